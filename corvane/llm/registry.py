@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.decontamination import OP5_SQL, op5_decontamination
+from corvane.llm.packing import op7_packing
+from corvane.llm.sharding import op10_sharding
 from corvane.llm.token_output import op1_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output}
+    return {
+        "op1_token_output": op1_token_output,
+        "op5_decontamination": op5_decontamination,
+        "op7_packing": op7_packing,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5_SQL}
