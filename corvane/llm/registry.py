@@ -10,16 +10,20 @@ from corvane.llm.decontamination import OP5_SQL, op5_decontamination
 from corvane.llm.packing import op7_packing
 from corvane.llm.sharding import op10_sharding
 from corvane.llm.token_output import op1_token_output
+from corvane.llm.toxicity import op6_toxicity
+from corvane.llm.url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
+        "op2_url_filter": op2_url_filter,
         "op5_decontamination": op5_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL}
