@@ -1,13 +1,15 @@
 """Encoding of whole texts with a public tokenizer file, at the speed of a dictionary.
 
-A byte-level BPE splits a text into pre-tokens and never merges across them, and a single space between two characters
-that are not white space always begins a pre-token. So a text may be cut in front of every such space, each distinct
-piece encoded once by the tokenizers library, and the ids of a text gathered by numpy. The memory of pieces is emptied
-at a fixed number of entries; that changes speed, never ids. Tokenizers of another kind encode whole texts.
+A byte-level BPE splits a text into pre-tokens and never merges across them. A single space, or a single line feed,
+between two characters that are not white space always begins a pre-token (and such a line feed is one). So a text may be
+cut there, each distinct piece encoded once by the tokenizers library, and the ids of a text gathered by numpy. The
+memory of pieces takes the first `entries` that a Python worker meets, and serves all of its tasks; later ones are encoded
+when they occur. That changes speed, never ids. Tokenizers of another kind encode whole texts.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -17,45 +19,91 @@ import numpy as np
 
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Mark of a piece that stands at the beginning of a text or line, not behind a space. No other piece begins with a space.
+_FIRST = "  "
+_LINE = _FIRST + "\n"
 
 
 class Encoder:
     """ids of texts under add_special_tokens=False, equal to Tokenizer.encode on the whole text."""
 
-    def __init__(self, path: str, special_as_text: bool = False, entries: int = 300_000):
+    def __init__(self, path: str, special_as_text: bool = False, entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocab_size = max(vocabulary.values(), default=-1) + 1
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"].get("type", "BPE") == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = [] if special_as_text else [x["content"] for x in spec.get("added_tokens", [])]
+        # A character of a byte-level token stands for one byte.
+        self.bytes_of = np.zeros(self.vocab_size, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.entries = entries
-        self._forget()
-
-    def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
         self.offset = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.count = self.used = 0  # entries and ids that stay
+
+    def _encode_pieces(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(keys in a new order, their ids, the length of each). Pieces without white space are joined, 256 to a text, and cut again by byte lengths."""
+        joined, alone = [], []
+        for key in keys:
+            (joined if key.split() == [key] else alone).append(key)
+        order, ids, lengths = [], [], []
+        for begin in range(0, len(joined), 256):
+            some = joined[begin : begin + 256]
+            found = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum([len(k.encode()) + 1 for k in some])
+            at = np.cumsum(self.bytes_of[found])
+            cuts = np.searchsorted(at, ends)
+            if cuts[-1] < len(at) and (at[cuts] == ends).all():
+                order += some
+                ids.append(found)
+                lengths.append(np.diff(cuts, prepend=-1))
+            else:
+                alone += some
+        texts = [k[2:] if k.startswith(_FIRST) else " " + k for k in alone]
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids.append(np.array(found.ids, np.int32))
+            lengths.append(np.array([len(ids[-1])]))
+        return order + alone, np.concatenate(ids), np.concatenate(lengths)
 
-    def _learn(self, keys: list[str]) -> None:
-        texts = [k[2:] if k.startswith("  ") else " " + k for k in keys]
-        for key, found in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, slot = found.ids, len(self.slots)
-            if slot == len(self.offset):
-                self.offset, self.length = np.resize(self.offset, 2 * slot), np.resize(self.length, 2 * slot)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.offset[slot], self.length[slot] = self.used, len(ids)
-            self.used += len(ids)
-            self.slots[key] = slot
+    def _learn(self, keys: list[str]) -> dict[str, int]:
+        """Slots for new pieces. Those beyond the number of entries hold until the next call only."""
+        keys, found, lengths = self._encode_pieces(keys)
+        n, m = self.count + len(keys), self.used + len(found)
+        if n > len(self.offset):
+            self.offset, self.length = np.resize(self.offset, 2 * n), np.resize(self.length, 2 * n)
+        if m > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * m)
+        self.pool[self.used : m] = found
+        self.length[self.count : n] = lengths
+        self.offset[self.count : n] = self.used + np.cumsum(lengths) - lengths
+        new = dict(zip(keys, range(self.count, n), strict=True))
+        if n <= self.entries:
+            self.slots.update(new)
+            self.count, self.used = n, m
+        return new
+
+    def _pieces(self, text: str) -> list[str]:
+        if _PAIR.search(text):
+            out = _CUT.split(text)
+            out[0] = _FIRST + out[0]
+            return out
+        out = []
+        for line in text.split("\n"):
+            begin = len(out)
+            out += line.split(" ")
+            out[begin] = _FIRST + out[begin]
+            out.append(_LINE)
+        out.pop()
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """One int32 array for each text; None counts as empty."""
@@ -68,18 +116,15 @@ class Encoder:
             elif not self.by_piece or any(s in text for s in self.special):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
             else:
-                pieces = _CUT.split(text) if _PAIR.search(text) else text.split(" ")
                 begin = len(keys)
-                pieces[0] = "  " + pieces[0]  # no other piece begins with a space
-                keys += pieces
+                keys += self._pieces(text)
                 spans.append((i, begin, len(keys)))
         if keys:
-            if len(self.slots) > self.entries:
-                self._forget()
             slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
             if (missing := np.flatnonzero(slots < 0)).size:
-                self._learn(list(dict.fromkeys(keys[i] for i in missing.tolist())))
-                slots[missing] = [self.slots[keys[i]] for i in missing.tolist()]
+                lost = [keys[i] for i in missing.tolist()]
+                new = self._learn(list(dict.fromkeys(lost)))
+                slots[missing] = [new[k] for k in lost]
             lengths = self.length[slots]
             ends = np.cumsum(lengths)
             flat = self.pool[np.repeat(self.offset[slots] - ends + lengths, lengths) + np.arange(ends[-1])]
@@ -88,6 +133,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The encoder of this process."""
+    return Encoder(path, special_as_text)
+
+
 def batches(texts: list[str | None], chars: int = 2_000_000):
     """Ranges of texts of about so many characters, so that memory doesn't depend on the size of an Arrow batch."""
     begin = size = 0

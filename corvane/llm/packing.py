@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.encoding import Encoder, batches
+from corvane.llm.encoding import batches, encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -56,7 +56,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
 
 def _tokenizer(path: str, end_id: int | None):
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         kind = np.dtype("<u2" if max(coder.vocab_size, (end_id or 0) + 1) <= 1 << 16 else "<u4")
         for part in parts:
             texts = part.column(1).to_pylist()

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import new_path, shuffle_width
-from corvane.llm.encoding import Encoder, batches
+from corvane.llm.common import drop, materialize, new_path, shuffle_width
+from corvane.llm.encoding import batches, encoder
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
@@ -56,25 +56,40 @@ def unpack(control: bytes, data: bytes) -> np.ndarray:
     return d[at].view("<u4").reshape(-1)
 
 
-def _counter(path: str, end_id: int | None):
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
-        total = np.zeros(max(coder.vocab_size, (end_id or 0) + 1), np.int64)
+def _tokenizer(path: str, end_id: int | None):
+    """Documents to ids; behind its last document a task adds a row with the counts of all ids it has seen."""
+
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        size = max(coder.vocab_size, (end_id or 0) + 1)
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        total = np.zeros(size, np.int64)
+        names = ["shard", "doc_id", "ids", "counts"]
         for part in parts:
-            texts = part.column(0).to_pylist()
+            texts = part.column(2).to_pylist()
             for a, b in batches(texts):
-                total += np.bincount(np.concatenate(coder.encode_many(texts[a:b])), minlength=len(total))
-            if end_id is not None:
-                total[end_id] += len(texts)
+                ids = [x if end_id is None else np.append(x, np.int32(end_id)) for x in coder.encode_many(texts[a:b])]
+                total += np.bincount(np.concatenate(ids), minlength=size)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+
+    return encode
+
+
+def _sum_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for part in parts:
+        for raw in part.column(0).to_pylist():
+            one = np.frombuffer(raw, np.int64)
+            total = one.copy() if total is None else total + one
+    if total is not None:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["token", "n"])
 
-    return count
 
-
-def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(token, n) over all whole texts; each task sends one row for each id of the vocabulary at most."""
-    return docs.select(text).mapInArrow(_counter(tokenizer_path, end_id), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def token_counts(coded: DataFrame) -> DataFrame:
+    """(token, n) over all texts; each task sends one row for each id of the vocabulary at most."""
+    return coded.where("counts is not null").select("counts").mapInArrow(_sum_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def shard_of(docs: DataFrame, id_col: str, shards: int) -> Column:
@@ -94,12 +109,15 @@ def shard_of(docs: DataFrame, id_col: str, shards: int) -> Column:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shards: int | None = None, block_tokens: int = BLOCK_TOKENS) -> str:
     """Encode every text and write the folder described above. Null texts count as empty, null ids come first, equal ids stay side by side.
 
-    Texts are read twice, once to count and once to encode, so that only coded bytes are shuffled.
+    Texts are encoded once, to a written table of ids, which is then read to count and to code; only coded bytes are shuffled.
     """
     spark = docs.sparkSession
     shards = shards or shuffle_width(spark)
-    counts = {r["token"]: r["n"] for r in token_counts(docs, tokenizer_path, text, end_id).collect()}
-    size = max([Encoder(tokenizer_path).vocab_size, (end_id or 0) + 1])
+    keyed = docs.select(shard_of(docs, id_col, shards).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = materialize(keyed.mapInArrow(_tokenizer(tokenizer_path, end_id), "shard int, doc_id long, ids binary, counts binary"), "plain-ids")
+    counts = {r["token"]: r["n"] for r in token_counts(plain).collect()}
+    size = max(encoder(tokenizer_path).vocab_size, (end_id or 0) + 1)
+    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     n = np.zeros(size, np.int64)
     n[list(counts)] = list(counts.values())
     by_rank = np.lexsort((np.arange(size), -n)).astype(np.int32)
@@ -107,18 +125,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     rank_of[by_rank] = np.arange(size, dtype=np.uint32)
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer_path)
         for part in parts:
-            texts = part.column(2).to_pylist()
-            for a, b in batches(texts):
-                lengths, control, data = [], [], []
-                for ids in coder.encode_many(texts[a:b]):
-                    ids = ids if end_id is None else np.append(ids, np.int32(end_id))
-                    c, d = pack(rank_of[ids])
-                    lengths.append(len(ids))
-                    control.append(c)
-                    data.append(d)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(lengths, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "length", "control", "data"])
+            coded = [np.frombuffer(raw, kind) for raw in part.column(2).to_pylist()]
+            both = [pack(rank_of[ids]) for ids in coded]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in coded], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], ["shard", "doc_id", "length", "control", "data"])
 
     def block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "block", "start", "doc_ids", "lengths", "control", "data"]
@@ -140,8 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if rows:
             yield flush()
 
-    keyed = docs.select(shard_of(docs, id_col, shards).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    coded = keyed.mapInArrow(encode, "shard int, doc_id long, length long, control binary, data binary")
+    coded = plain.where("ids is not null").select("shard", "doc_id", "ids").mapInArrow(encode, "shard int, doc_id long, length long, control binary, data binary")
     dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id")
     blocks = dealt.mapInArrow(block, "shard int, block long, start long, doc_ids array<long>, lengths array<long>, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
@@ -153,6 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         rows.append((shard, base, tokens))
         base += tokens
     spark.createDataFrame(rows, "shard int, base long, n_tokens long").coalesce(1).write.parquet(f"{path}/manifest")
+    drop(spark, plain)
     return path
 
 
