@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.decontamination import OP5_SQL, op5_decontamination
+from corvane.llm.jaccard import op9_jaccard_join
+from corvane.llm.nearest import op4_nearest
 from corvane.llm.packing import op7_packing
 from corvane.llm.sharding import op10_sharding
 from corvane.llm.token_output import op1_token_output
@@ -18,9 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_url_filter": op2_url_filter,
+        "op4_nearest": op4_nearest,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_sharding": op10_sharding,
     }
 
