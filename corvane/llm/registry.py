@@ -10,6 +10,7 @@ from corvane.llm.decontamination import OP5_SQL, op5_decontamination
 from corvane.llm.jaccard import op9_jaccard_join
 from corvane.llm.nearest import op4_nearest
 from corvane.llm.packing import op7_packing
+from corvane.llm.ppm import op3_lm_score
 from corvane.llm.sharding import op10_sharding
 from corvane.llm.token_output import op1_token_output
 from corvane.llm.toxicity import op6_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_url_filter": op2_url_filter,
+        "op3_lm_score": op3_lm_score,
         "op4_nearest": op4_nearest,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
