@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from corvane.llm.decontamination import OP5_SQL, op5_decontamination
 from corvane.llm.jaccard import op9_jaccard_join
+from corvane.llm.line_dedup import op8_line_dedup
 from corvane.llm.nearest import op4_nearest
 from corvane.llm.packing import op7_packing
 from corvane.llm.ppm import op3_lm_score
@@ -26,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
+        "op8_line_dedup": op8_line_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_sharding": op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
