@@ -1,10 +1,6 @@
 """Every query of the engine, with the DuckDB SQL that returns the same rows where SQL can express it."""
 
-from __future__ import annotations
+from corvane.plans.oracle import ORACLE_SQL
+from corvane.plans.queries import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
