@@ -164,7 +164,8 @@ def frontmatter(c: Column) -> Column:
 
 def without_frontmatter(c: Column) -> Column:
     """The text behind its frontmatter; a text without a closed block is only trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)\A---[ \t]*\n.*?\n(?:---|\.\.\.)[ \t]*(?:\n|\z)", ""))
+    rest = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)\A---[ \t]*\n.*?\n(?:---|\.\.\.)[ \t]*(?:\n|\z)", "")
+    return F.regexp_replace(rest, r"(?U)\A\s+|\s+\z", "")
 
 
 def prefix_hits(words: Column, prefixes: list[str]) -> Column:

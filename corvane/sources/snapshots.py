@@ -38,9 +38,10 @@ def write_snapshot(spark: SparkSession, root: str, run_id: str, tables: dict[str
     out.write(text.encode())
     out.close()
     pointer, _ = _fs(spark, f"{root}/{POINTER}")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()) if pointer.toUri().getScheme() else spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    files = spark._jvm.org.apache.hadoop.fs.FileContext
+    context = files.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()) if pointer.toUri().getScheme() else files.getFileContext(spark._jsc.hadoopConfiguration())
     options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    many = spark._gateway.new_array(options, 1)
+    many = spark.sparkContext._gateway.new_array(options, 1)
     many[0] = options.OVERWRITE
     context.rename(fresh, pointer, many)
     return f"{root}/{run_id}"
