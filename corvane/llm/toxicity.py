@@ -33,6 +33,8 @@ EPOCHS = 5
 CALIBRATION = 0.2
 #: Languages with fewer calibration rows use the threshold over all languages.
 MIN_CALIBRATION = 40
+#: With fewer rows of either label a threshold stays 0.5.
+MIN_OF_LABEL = 10
 SEED = 11
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MEMO = 400_000
@@ -197,9 +199,9 @@ class Classifier:
         self.network, self.thresholds, self.default = network, thresholds, default
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the score gap that gives the highest F1; 0.5 where a label is missing."""
-    if not len(labels) or labels.min() == labels.max():
+def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = MIN_OF_LABEL) -> float:
+    """The middle of the score gap that gives the highest F1; 0.5 where a label has too few rows to tell."""
+    if min((labels == 1).sum(), (labels == 0).sum()) < least:
         return 0.5
     order = np.argsort(-scores, kind="stable")
     s, y = scores[order], labels[order]
