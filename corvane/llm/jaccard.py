@@ -6,11 +6,12 @@ Rows of the incidence matrix are classes of documents with the same shingle set;
    common shingles, estimated within tasks) changes speed but never results.
 2. Prefix columns are dealt out in blocks by hash. A block multiplies its columns: it accumulates for each pair of rows
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
-   shingles plus the smaller rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
+   shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
 3. What remains is verified on whole sets.
-First only pairs with the smallest row of each column are multiplied; that joins large groups of near copies. Then all
-pairs of a column whose rows aren't yet in one component follow. So no link between different sets is lost, and a group
-of near copies never makes all of its pairs.
+First come STAR_ROUNDS in which a row is compared with one row only: of the leaders of its columns (another leader in each
+round) the one it shares most columns with, outside its own component. That joins large groups of near copies at a cost that
+grows with the rows. Then all pairs of a column whose rows aren't in one component follow. So no link between different
+sets is lost, and a group of near copies doesn't make all of its pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from corvane.llm.components import components
 WORDS = 5
 SIMILAR = (75, 100)
 #: At most so many shingles are marked as common, those in most sets of a task.
-COMMON = 1 << 18
-COMMON_SETS = 8
+COMMON = 1 << 19
+COMMON_SETS = 2
+STAR_ROUNDS = 3
 #: Bits of the fixed-size filter by which a task recognises sets that may be in a candidate pair (false hits are harmless).
 FILTER_BITS = 1 << 23
 MEMO = 400_000
@@ -230,16 +232,20 @@ def _accumulate(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(p[i, begins]) for i in range(4)), pa.array(counts)], ["a", "b", "na", "nb", "shared"])
 
 
-def _ordered(a, b, na, nb) -> np.ndarray:
-    swap = a > b
-    return np.array([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)], np.int64)
+def _needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Prefix shingles that two sets must share at least: the overlap their sizes ask for less the larger rest (see _bounded)."""
+    t, u = SIMILAR
+    return (t * (na + nb) + t + u - 1) // (t + u) - ((t * np.maximum(na, nb) + u - 1) // u - 1)
 
 
-def _product(all_pairs: bool, at_once: int = 2_000_000):
-    """Multiply the columns of a task. Rows come sorted by column; a column's rows never need to be in memory twice.
+def _product(star_round: int | None, at_once: int = 2_000_000):
+    """Multiply the columns of a task: rows (col, row, n, root, shared columns of the row), sorted by column.
 
-    all_pairs: each pair of different components (column `root`); else each row with the smallest row of its column.
+    star_round: each row with the leader of its column, as (row, leader). None: each pair of different components once,
+    if both rows share enough columns with others at all.
     """
+    salt = np.uint64(0 if star_round is None else (2 * star_round + 1) * 0x9E3779B97F4A7C15 & _MASK)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[np.ndarray] = []
         held = 0
@@ -258,26 +264,28 @@ def _product(all_pairs: bool, at_once: int = 2_000_000):
                 continue
             begins = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
             ends = np.r_[begins[1:], cut]
-            if not all_pairs:
-                lengths = ends - begins
-                first = np.repeat([b + int(np.argmin(now[1][b:e])) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], lengths)
-                other = np.flatnonzero(now[1][first] != now[1])
-                pairs.append(_ordered(now[1][first[other]], now[1][other], now[2][first[other]], now[2][other]))
+            if star_round is not None:
+                draw = _mix(now[1].view(np.uint64) ^ salt)
+                lead = np.repeat([b + int(np.argmin(draw[b:e])) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], ends - begins)
+                n, m = now[2], now[2][lead]
+                other = np.flatnonzero((now[3][lead] != now[3]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)))
+                pairs.append(np.array([now[1][other], now[1][lead[other]], n[other], m[other]], np.int64))
                 held += len(other)
             else:
                 for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                    c, n, root = now[1][b:e], now[2][b:e], now[3][b:e]
+                    c, n, root, columns = (x[b:e] for x in now[1:])
                     if (root == root[0]).all():
                         continue
                     order = np.argsort(n, kind="stable")
-                    c, n, root = c[order], n[order], root[order]
+                    c, n, root, columns = c[order], n[order], root[order], columns[order]
                     # Rows sorted by size: partners of a row end where sizes exceed its own by more than 4/3.
                     upto = np.searchsorted(n, SIMILAR[1] * n // SIMILAR[0], side="right")
                     for i in range(len(c) - 1):
                         j = np.arange(i + 1, upto[i])
-                        j = j[root[j] != root[i]]
+                        j = j[(root[j] != root[i]) & (np.minimum(columns[j], columns[i]) >= _needed(n[i], n[j]))]
                         if len(j):
-                            pairs.append(_ordered(np.full(len(j), c[i]), c[j], np.full(len(j), n[i]), n[j]))
+                            swap = c[j] < c[i]
+                            pairs.append(np.array([np.where(swap, c[j], c[i]), np.where(swap, c[i], c[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])], np.int64))
                             held += len(j)
                     if held > at_once:
                         yield _accumulate(pairs)
@@ -299,12 +307,16 @@ def _with_end(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
 
 
 def _bounded(products: DataFrame) -> DataFrame:
-    """Pairs whose accumulated overlap can still reach the similarity that their sizes ask for."""
+    """Pairs whose accumulated overlap can still reach the similarity that their sizes ask for.
+
+    Of two prefixes one ends first in the common order. What its set shares up to there lies in both prefixes; the rest lies
+    behind its own. As the blocks don't know which one that is, the larger rest counts.
+    """
     t, u = SIMILAR
     rest = lambda n: F.expr(f"({t} * {n} + {u - 1}) div {u} - 1")  # noqa: E731  what lies behind the prefix
     need = F.expr(f"({t} * (na + nb) + {t + u - 1}) div {t + u}")
     sums = products.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    return sums.where((F.col("shared") + F.least(rest("na"), rest("nb")) >= need) & F.expr(f"{u} * least(na, nb) >= {t} * greatest(na, nb)"))
+    return sums.where((F.col("shared") + F.greatest(rest("na"), rest("nb")) >= need) & F.expr(f"{u} * least(na, nb) >= {t} * greatest(na, nb)"))
 
 
 def _members(words: int, bits: np.ndarray):
@@ -346,30 +358,34 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take)], ["a", "b"])
 
 
-def _filter_of(pairs: DataFrame) -> np.ndarray:
-    """The fixed-size filter of the classes of pairs: bits gathered in words, FILTER_BITS in all at most."""
-    cls = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """The fixed-size filter of a column `c` of classes, 32 bits to a word; FILTER_BITS in all at most."""
     # The same position as in _members: the unsigned value modulo a power of two is the low bits of the signed one.
     at = F.col("c").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = cls.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
+    rows = classes.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     found = rows.toArrow()
     out[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs whose whole sets are similar enough."""
-    spark = pairs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_of(pairs))
-    # A class can come from several tasks; its set is the same in all.
-    run = lambda parts: _members(words, bits.value)(parts)
-    sets = texts.mapInArrow(run, "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
-    sets = materialize(sets, "sets")
-    both = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
-    out = materialize(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
-    drop(spark, sets)
-    return out
+def _wanted(bits: np.ndarray):
+    """Sets of the classes that the filter passes, so that others aren't shuffled."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = part.column(0).to_numpy() & (FILTER_BITS - 1)
+            yield part.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the written pairs (a, b) whose whole sets are similar enough."""
+    bits = pairs.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
+    run = lambda parts: _wanted(bits.value)(parts)
+    some = sets.mapInArrow(run, "cls long, members binary")
+    both = pairs.select("a", "b").join(some.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -393,16 +409,29 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     packed = texts.mapInArrow(deal, "block int, h binary, c binary, n binary").repartitionById(blocks, "block")
     columns = materialize(packed.mapInArrow(_columns, "col long, row long, n long"), "columns")
 
+    spread = columns.groupBy("row").agg(F.count(F.lit(1)).alias("columns"))
+    columns = materialize(columns.join(spread, "row").select("col", "row", "n", "columns"), "columns")
+    bits = spark.sparkContext.broadcast(_filter_of(columns.select(F.col("row").alias("c")).distinct()))
+    members = lambda parts: _members(words, bits.value)(parts)
+    # A class can come from several tasks; its set is the same in all.
+    sets = materialize(texts.mapInArrow(members, "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members")), "sets")
+
     product = "a long, b long, na long, nb long, shared long"
-    sorted_columns = columns.repartition(blocks, "col").sortWithinPartitions("col")
-    first = materialize(_bounded(sorted_columns.mapInArrow(_product(False), product)), "pairs")
-    links = _links(first, texts, words)
-    roots = materialize(components(links), "roots")
-    labelled = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"))
-    again = labelled.repartition(blocks, "col").sortWithinPartitions("col")
-    second = _bounded(again.mapInArrow(_product(True), product)).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = _links(materialize(second, "pairs"), texts, words)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def multiplied(star_round: int | None) -> DataFrame:
+        labelled = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"), "columns")
+        return labelled.repartition(blocks, "col").sortWithinPartitions("col").mapInArrow(_product(star_round), product)
+
+    def joined(more: DataFrame) -> DataFrame:
+        return materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+
+    for star_round in range(STAR_ROUNDS):
+        sums = multiplied(star_round).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        best = sums.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        roots = joined(_links(materialize(best, "pairs"), sets))
+    roots = joined(_links(materialize(_bounded(multiplied(None)), "pairs"), sets))
+    drop(spark, sets)
 
     mine = profile.where("cls is not null").select("doc_id", "cls", "n")
     least = mine.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("d"))
