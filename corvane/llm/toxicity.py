@@ -183,13 +183,19 @@ class Network:
                 self.E[0] = 0
 
 
-def sample(labelled: DataFrame, id_col: str, text: str, label: str, max_positive: int, max_negative: int):
-    """Rows (text, label, lang) with the smallest seeded hash of id and text, for each label at most the given number."""
-    order = F.xxhash64(F.lit(SEED), F.col(id_col), F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    rows = []
-    for value, most in ((1, max_positive), (0, max_negative)):
-        rows += labelled.where(F.col(label) == value).orderBy(order, id_col).limit(most).select(F.col(text).cast("binary"), F.col(label), "lang").collect()
-    return rows
+def sample(marked: DataFrame, texts: DataFrame, id_col: str, text: str, label: str, max_positive: int, max_negative: int) -> list:
+    """(text, label, lang) of the rows with the smallest seeded hash of their id, of each label at most the given number.
+
+    marked: id, label, lang; texts: id, text. Ids are chosen without their texts, which are then looked up by a broadcast of
+    the chosen ids, so the corpus is never shuffled. A repeated id counts once, a null id never.
+    """
+    order = F.xxhash64(F.lit(SEED), F.col(id_col))
+    one = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("label"), F.min("lang").alias("lang"), F.min(order).alias("k"))
+    parts = [one.where(F.col("label") == value).orderBy("k", "__id").limit(most) for value, most in ((1, max_positive), (0, max_negative))]
+    chosen = parts[0].unionByName(parts[1])
+    found = texts.select(F.col(id_col).alias("__id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(*[F.first(c).alias(c) for c in ("text", "label", "lang", "k")])
+    rows = sorted(found.collect(), key=lambda r: (-r["label"], r["k"], r["__id"]))
+    return [(r["text"], r["label"], r["lang"]) for r in rows]
 
 
 class Classifier:
@@ -212,9 +218,9 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = MIN_OF_L
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Classifier:
-    """labelled: id, text, label (0, 1, or null: ignored) and lang, which only chooses a threshold. Without rows of both labels every score is a constant."""
-    rows = sample(labelled, id_col, text, label, max_positive, max_negative)
+def train(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Classifier:
+    """labelled: id, text, label (0, 1, or null: ignored) and lang, which only chooses a threshold; the text may be in another table `texts` with the same ids. Without rows of both labels every score is a constant."""
+    rows = sample(labelled, labelled if texts is None else texts, id_col, text, label, max_positive, max_negative)
     ids, lengths = Words().ids([bytes(r[0]) if r[0] is not None else None for r in rows])
     texts = np.split(ids, np.cumsum(lengths)[:-1]) if len(rows) else []
     labels = np.array([r[1] for r in rows], np.float32)
@@ -275,8 +281,8 @@ def flag(scored: DataFrame, model: Classifier) -> DataFrame:
 def train_on_tables(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learns from the labelled documents outside the held-out fold. Repeated label rows of a document count once, as the highest."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.where(fold_of(F.col("doc_id")) != 0).select("doc_id", "text", "lang")
-    return train(own.join(marks, "doc_id"))
+    own = docs.where(fold_of(F.col("doc_id")) != 0)
+    return train(own.select("doc_id", "lang").join(marks, "doc_id"), own.select("doc_id", "text"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
