@@ -155,4 +155,33 @@ ORACLE_SQL = {
         WHERE role = 'user' AND r = 'assistant' AND trim(text) <> '' AND trim(a) <> ''""",
     "sft_manifest": """
         SELECT lang, v AS variant, count(*) * CASE WHEN v = 'good' THEN 3 ELSE 1 END AS n FROM (SELECT lang, CASE WHEN quality IS NULL THEN 'empty' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang, v""",
+    "idea_titles": f"""
+        WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents),
+        m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Idea: ' || left(l, 30) || ' -- ' || l WHEN 1 THEN 'make ' || lower(left(l, 20)) ELSE l END AS text FROM f),
+        c AS (SELECT doc_id, {CLEAN.format('text')} AS w FROM m),
+        p AS (SELECT *, CASE WHEN starts_with(lower(w), 'i want to build') THEN trim(substring(w, 16), ' :-') WHEN starts_with(lower(w), 'build') THEN trim(substring(w, 6), ' :-')
+          WHEN starts_with(lower(w), 'make') THEN trim(substring(w, 5), ' :-') WHEN starts_with(lower(w), 'my idea is') THEN trim(substring(w, 11), ' :-') WHEN starts_with(lower(w), 'idea:') THEN trim(substring(w, 6), ' :-') ELSE w END AS t FROM c),
+        s AS (SELECT *, strpos(t, ' -- ') AS a FROM p),
+        r AS (SELECT *, CASE WHEN a > 0 THEN trim(left(t, a - 1)) ELSE t END AS raw, CASE WHEN a > 0 THEN trim(substring(t, a + 4)) ELSE w END AS pitch FROM s),
+        k AS (SELECT *, CASE WHEN trim(left(raw, 64), ' .') = '' THEN 'Unwritten Page' ELSE trim(left(raw, 64), ' .') END AS cut FROM r),
+        h AS (SELECT *, CASE WHEN length(raw) > 64 OR (a = 0 AND length(cut) < length(w)) THEN trim(left(cut, 58)) || '...' ELSE cut END AS shown FROM k)
+        SELECT doc_id, CASE WHEN w = '' THEN 'Blank Page' ELSE upper(left(shown, 1)) || CASE WHEN regexp_matches(shown, '[\\p{{Lu}}\\p{{Nd}}]') THEN substring(shown, 2) ELSE lower(substring(shown, 2)) END END AS title,
+          md5(CASE WHEN w = '' THEN 'A project direction waiting for one concrete user and one concrete tension.' ELSE pitch END) AS pitch FROM h""",
+    "tool_calls": """
+        SELECT n_nationkey, CASE WHEN ok THEN tool ELSE 'search' END AS name, CASE WHEN ok THEN 'valid' ELSE 'defaulted' END AS status,
+          CASE WHEN ok THEN '{"place":"' || place || '"}' ELSE '{"query":"' || n_name || '"}' END AS arguments
+        FROM (SELECT *, tool = 'count' OR place <> '' AS ok FROM (SELECT *, CASE WHEN n_regionkey = 0 THEN 'look' ELSE 'count' END AS tool, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS place FROM nation))""",
+    "trace_lines": """SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}' AS line FROM conversations""",
+    "field_notes": """
+        WITH r AS (SELECT source, 'doc ' || doc_id || ', ' || n_chars || ' characters' AS line, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+        SELECT source, '## ' || source || chr(10) || chr(10) || string_agg('- ' || line, chr(10) ORDER BY k) AS page FROM r WHERE k <= 3 GROUP BY source""",
+    "map_dots": """
+        WITH c AS (SELECT doc_id, n_chars, lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 22),
+        b AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM c WHERE lang <> 'fr' ORDER BY n_chars DESC, doc_id LIMIT 16)
+        SELECT doc_id, (8 + ('0x' || left(h, 4))::BIGINT % 84)::INTEGER AS x, (8 + ('0x' || substring(h, 5, 4))::BIGINT % 84)::INTEGER AS y, 3 AS radius FROM b""",
+    "model_ledger": "SELECT p_brand, sum(p_size)::BIGINT AS total, arg_max(p_partkey, p_size::BIGINT * 1000000000 + p_partkey) AS largest FROM part GROUP BY 1",
+    "log_tail": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 80",
+    "filled_session_ids": """
+        WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) END AS size FROM conversations)
+        SELECT conv_id, turn, arg_max(size, turn) FILTER (size IS NOT NULL) OVER (PARTITION BY conv_id) AS size FROM r""",
 }

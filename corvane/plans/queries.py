@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.python_text import correct_aliases, folded
-from corvane.operators import etl, incremental, labels, repository, scoring, search, vectors
+from corvane.operators import etl, exports, incremental, labels, repository, scoring, search, vectors
 from corvane.streaming import turns
 
 BM25_QUERY = "the ering tion and with"
@@ -464,3 +464,58 @@ def sft_manifest(spark, d):
     """Rows by language and quality, unlabelled as empty, good ones three times."""
     rows = t(spark, d, "documents").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("lang", F.when(F.col("quality").isNull(), "empty").when(F.col("quality") == 1, "good").otherwise("bad").alias("variant"))
     return etl.upweighted(rows, "variant", {"good": 3}).groupBy("lang", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def idea_titles(spark, d):
+    """The first line of every second document as an idea, with a beginning and a pitch put to some."""
+    first = F.substring_index("text", "\n", 1)
+    made = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("Idea: "), F.left(first, F.lit(30)), F.lit(" -- "), first)).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("make "), F.lower(F.left(first, F.lit(20))))).otherwise(first)
+    return t(spark, d, "documents").select("doc_id", exports.idea(made).alias("i")).select("doc_id", "i.title", F.md5("i.pitch").alias("pitch"))
+
+
+@query
+def tool_calls(spark, d):
+    """Calls written as XML for each nation, some without what they need."""
+    rows = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit('<function name="'), F.when(F.col("n_regionkey") == 0, "look").otherwise("count"), F.lit('"><param name="place">'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")), F.lit("</param></function>")).alias("xml"), "n_name")
+    call = exports.tool_call(F.col("xml"))
+    return rows.select("n_nationkey", exports.resolved_call(call, {"look": ["place"], "count": []}, F.col("n_name")).alias("c")).select("n_nationkey", "c.name", "c.status", "c.arguments")
+
+
+@query
+def trace_lines(spark, d):
+    """K4"""
+    return t(spark, d, "conversations").select("conv_id", "turn", exports.json_line("conv_id", "turn", "role").alias("line"))
+
+
+@query
+def field_notes(spark, d):
+    """The three longest documents of each source as a Markdown list."""
+    line = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(", "), F.col("n_chars").cast("string"), F.lit(" characters"))
+    return exports.markdown_list(t(spark, d, "documents"), "source", [F.desc("n_chars"), F.asc("doc_id")], line, 3)
+
+
+@query
+def map_dots(spark, d):
+    """C11 F9 P38"""
+    docs = t(spark, d, "documents")
+    return exports.background_dots(docs, docs.where("lang = 'fr'"), "doc_id", [F.desc("n_chars"), F.asc("doc_id")])
+
+
+@query
+def model_ledger(spark, d):
+    """Total and largest of a column by brand."""
+    return t(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("total"), F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("largest"))
+
+
+@query
+def log_tail(spark, d):
+    """The last 80 events of each user."""
+    return etl.last_frames(t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 80)
+
+
+@query
+def filled_session_ids(spark, d):
+    """The last known value of a conversation on all its turns."""
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.length("text")).alias("size"))
+    return etl.filled_ids(rows, "conv_id", "turn", "size")
