@@ -268,7 +268,8 @@ def _product(star_round: int | None, at_once: int = 2_000_000):
                 draw = _mix(now[1].view(np.uint64) ^ salt)
                 lead = np.repeat([b + int(np.argmin(draw[b:e])) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], ends - begins)
                 n, m = now[2], now[2][lead]
-                other = np.flatnonzero((now[3][lead] != now[3]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)))
+                hope = np.minimum(now[4], now[4][lead]) >= _needed(n, m)
+                other = np.flatnonzero(hope & (now[3][lead] != now[3]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)))
                 pairs.append(np.array([now[1][other], now[1][lead[other]], n[other], m[other]], np.int64))
                 held += len(other)
             else:
