@@ -1,5 +1,7 @@
 """Text functions on literals worked out by hand."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def test_style_blob(spark):
 
 
 def test_scatter(spark):
-    assert tuple(one(spark, T.scatter(F.col("t")), t="build-small-hackathon/project-1")) == (58, 54)
+    digest = hashlib.sha256(b"owner/card-1").hexdigest()
+    assert tuple(one(spark, T.scatter(F.col("t")), t="owner/card-1")) == (8 + int(digest[:4], 16) % 84, 8 + int(digest[4:8], 16) % 84)
 
 
 def test_frontmatter(spark):
