@@ -118,3 +118,24 @@ def test_line_dedup(spark, docs, empty):
     assert L.dedup_lines(empty).count() == 0 and L.dedup_lines(docs).count() == 11
     left = L.without_repeats(docs)
     assert left.columns == docs.columns and {q["doc_id"] for q in left.collect()} == {1, 2, 3, 4, 5, 6, 8, None, 9}
+
+
+def test_line_recall(spark):
+    """Lines of 5 to 60 words with whole words replaced, as many as edit similarity 0.85 allows: none stays."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    common = [word() for _ in range(60)]
+    rows, near = [], []
+    for n in (5, 6, 8, 9, 10, 15, 20, 30, 40, 60):
+        for _ in range(15):
+            base = [r.choice(common) if r.random() < 0.5 else word() for _ in range(n)]
+            copy = list(base)
+            for k in r.sample(range(n), max(1, n // 6)):
+                copy[k] = word()
+            a, b = " ".join(base), " ".join(copy)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+            if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - L.EDIT)):
+                near.append(len(rows) - 1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {q["doc_id"] for q in L.dedup_lines(frame).where("n_removed > 0").collect()}
+    assert len(near) > 90 and gone == set(near)
