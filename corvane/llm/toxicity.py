@@ -29,12 +29,14 @@ FILTERS = 12
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 MIN_DOCS = 4
 EPOCHS = 5
-#: Share of the sample that calibrates thresholds and takes no part in training.
+#: Share of the sample that takes no part in training, so that small tables have rows to calibrate thresholds.
 CALIBRATION = 0.2
 #: Languages with fewer calibration rows use the threshold over all languages.
 MIN_CALIBRATION = 40
-#: With fewer rows of either label a threshold stays 0.5.
+#: So do languages with fewer rows of either label; where all rows together have fewer, the threshold is 0.5.
 MIN_OF_LABEL = 10
+#: Bins of scores from which thresholds are chosen.
+BINS = 4096
 SEED = 11
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MEMO = 400_000
@@ -184,7 +186,7 @@ class Network:
 
 
 def sample(marked: DataFrame, texts: DataFrame, id_col: str, text: str, label: str, max_positive: int, max_negative: int) -> list:
-    """(text, label, lang) of the rows with the smallest seeded hash of their id, of each label at most the given number.
+    """(text, label, lang, id) of the rows with the smallest seeded hash of their id, of each label at most the given number.
 
     marked: id, label, lang; texts: id, text. Ids are chosen without their texts, which are then looked up by a broadcast of
     the chosen ids, so the corpus is never shuffled. A repeated id counts once, a null id never.
@@ -195,7 +197,7 @@ def sample(marked: DataFrame, texts: DataFrame, id_col: str, text: str, label: s
     chosen = parts[0].unionByName(parts[1])
     found = texts.select(F.col(id_col).alias("__id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(*[F.first(c).alias(c) for c in ("text", "label", "lang", "k")])
     rows = sorted(found.collect(), key=lambda r: (-r["label"], r["k"], r["__id"]))
-    return [(r["text"], r["label"], r["lang"]) for r in rows]
+    return [(r["text"], r["label"], r["lang"], r["__id"]) for r in rows]
 
 
 class Classifier:
@@ -205,40 +207,60 @@ class Classifier:
         self.network, self.thresholds, self.default = network, thresholds, default
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = MIN_OF_LABEL) -> float:
-    """The middle of the score gap that gives the highest F1; 0.5 where a label has too few rows to tell."""
-    if min((labels == 1).sum(), (labels == 0).sum()) < least:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = MIN_OF_LABEL, weights: np.ndarray | None = None) -> float:
+    """The middle of the score gap that gives the highest F1; 0.5 where a label has too few rows to tell. weights: rows of each score."""
+    w = np.ones(len(scores)) if weights is None else weights
+    if min(w[labels == 1].sum(), w[labels == 0].sum()) < least:
         return 0.5
     order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    s, y, w = scores[order], labels[order], w[order]
+    hit = np.cumsum(y * w)
+    f1 = 2 * hit / (np.cumsum(w) + hit[-1])
     f1[:-1][s[:-1] == s[1:]] = -1  # equal scores can't be told apart
     k = int(np.argmax(f1))
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def train(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Classifier:
-    """labelled: id, text, label (0, 1, or null: ignored) and lang, which only chooses a threshold; the text may be in another table `texts` with the same ids. Without rows of both labels every score is a constant."""
-    rows = sample(labelled, labelled if texts is None else texts, id_col, text, label, max_positive, max_negative)
+def calibrate(network: Network, labelled: DataFrame, texts: DataFrame, fitted: list, id_col: str, text: str, label: str) -> Classifier:
+    """Thresholds from every labelled row that wasn't fitted, at the share of labels that the table has.
+
+    Rows are scored where they lie; only counts of BINS score bins by language and label reach the driver. A repeated id
+    counts once, a null id never.
+    """
+    one = labelled.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("label"), F.min("lang").alias("lang"))
+    if fitted:
+        ids = labelled.sparkSession.createDataFrame([(i,) for i in fitted], labelled.select(F.col(id_col).alias("__id")).schema)
+        one = one.join(F.broadcast(ids), "__id", "left_anti")
+    own = texts.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
+    scored = score(own, Classifier(network, {}, 0.5)).select("__id", "score").groupBy("__id").agg(F.min("score").alias("score"))
+    # Few languages have rows enough for a threshold of their own; others only count in the total.
+    marked = one.join(scored, "__id").select("lang", F.col("label").cast("int").alias("label"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    counts = marked.groupBy("lang", "label", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    middle = (counts["bin"].to_numpy(np.float64) + 0.5) / BINS
+    y, n, langs = counts["label"].to_numpy(np.float64), counts["n"].to_numpy(np.float64), counts["lang"].to_numpy(object)
+
+    default = best_threshold(middle, y, weights=n)
+    thresholds: dict[str, float] = {}
+    for lang in {x for x in langs.tolist() if isinstance(x, str)}:
+        at = langs == lang
+        if n[at].sum() >= MIN_CALIBRATION and min(n[at & (y == 1)].sum(), n[at & (y == 0)].sum()) >= MIN_OF_LABEL:
+            thresholds[lang] = best_threshold(middle[at], y[at], weights=n[at])
+    return Classifier(network, thresholds, default)
+
+
+def train(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS, calibrated: bool = True) -> Classifier:
+    """labelled: id, text, label (0, 1, or null: ignored) and lang, which only chooses a threshold; the text may be in another table `texts` with the same ids. Without rows of both labels every score is a constant. Without `calibrated`, for those who only want scores, thresholds are 0.5."""
+    sources = labelled if texts is None else texts
+    rows = sample(labelled, sources, id_col, text, label, max_positive, max_negative)
     ids, lengths = Words().ids([bytes(r[0]) if r[0] is not None else None for r in rows])
-    texts = np.split(ids, np.cumsum(lengths)[:-1]) if len(rows) else []
+    split = np.split(ids, np.cumsum(lengths)[:-1]) if len(rows) else []
     labels = np.array([r[1] for r in rows], np.float32)
     apart = np.random.default_rng(SEED).random(len(rows)) < CALIBRATION
     network = Network()
-    network.fit([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], epochs)
-    thresholds: dict[str, float] = {}
-    default = 0.5
-    if apart.any():
-        held = [network.rows_of(t) for t, a in zip(texts, apart, strict=True) if a]
-        scores = np.concatenate([network.scores(np.concatenate(held[i : i + 64]), np.array([len(t) for t in held[i : i + 64]])) for i in range(0, len(held), 64)])
-        langs = np.array([str(r[2]) for r, a in zip(rows, apart, strict=True) if a])
-        default = best_threshold(scores, labels[apart])
-        for lang in np.unique(langs):
-            own = langs == lang
-            if own.sum() >= MIN_CALIBRATION:
-                thresholds[str(lang)] = best_threshold(scores[own], labels[apart][own])
-    return Classifier(network, thresholds, default)
+    network.fit([t for t, a in zip(split, apart, strict=True) if not a], labels[~apart], epochs)
+    if not calibrated:
+        return Classifier(network, {}, 0.5)
+    return calibrate(network, labelled, sources, [r[3] for r, a in zip(rows, apart, strict=True) if not a], id_col, text, label)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once: int = 200_000) -> DataFrame:
@@ -278,16 +300,16 @@ def flag(scored: DataFrame, model: Classifier) -> DataFrame:
     return scored.withColumn("rejected", F.col("score") >= limit)
 
 
-def train_on_tables(docs: DataFrame, labels: DataFrame) -> Classifier:
+def train_on_tables(docs: DataFrame, labels: DataFrame, calibrated: bool = True) -> Classifier:
     """Learns from the labelled documents outside the held-out fold. Repeated label rows of a document count once, as the highest."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.where(fold_of(F.col("doc_id")) != 0)
-    return train(own.select("doc_id", "lang").join(marks, "doc_id"), own.select("doc_id", "text"))
+    return train(own.select("doc_id", "lang").join(marks, "doc_id"), own.select("doc_id", "text"), calibrated=calibrated)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents scored."""
     docs = table(spark, sf_dir, "documents")
-    model = train_on_tables(docs, table(spark, sf_dir, "labels"))
+    model = train_on_tables(docs, table(spark, sf_dir, "labels"), calibrated=False)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -39,3 +39,15 @@ def test_threshold():
     assert X.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
     assert 0.4 < X.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1]), 1) < 0.6
     assert X.best_threshold(np.array([0.1]), np.array([0])) == 0.5
+
+
+def test_thresholds_of_all_rows(spark):
+    """Rows beyond the fitted sample calibrate, and a language without toxic rows uses the common threshold."""
+    import numpy as np
+
+    r = random.Random(2)
+    words = lambda: " ".join(f"w{r.randint(0, 40)}" for _ in range(20))
+    rows = [(i, words() + (" vile" if i % 10 == 0 else ""), int(i % 10 == 0), "fr" if i % 10 == 3 else "en") for i in range(800)]
+    model = X.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string"), max_positive=20, max_negative=20)
+    assert set(model.thresholds) == {"en"}
+    assert X.best_threshold(np.array([0.4, 0.6]), np.array([0, 1]), weights=np.array([9, 20])) == 0.5
