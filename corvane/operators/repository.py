@@ -19,12 +19,15 @@ def overview(rows: DataFrame, **counts: Column) -> DataFrame:
 def resolve_contained(candidates: DataFrame, wanted: DataFrame, name: str, question: str, least: int = 4) -> DataFrame:
     """For each question the candidate whose name it contains, the longest, ties to the smaller name.
 
-    Names are found by their words, not by comparing every pair: a name's first word must be a word of the question.
+    Names are found by their first `least` characters among all runs of so many characters of the question, not by comparing
+    every pair, so punctuation and affixes around a name are harmless.
     """
-    first = F.split(F.lower(name), r"\s+")[0]
-    named = candidates.where(F.length(name) >= least).select(name, first.alias("__w"))
-    words = wanted.select(question, F.explode(F.array_distinct(F.split(F.lower(question), r"\s+"))).alias("__w"))
-    hits = words.join(named, "__w").where(F.lower(question).contains(F.lower(name)))
+    size = max(1, least)
+    q = F.lower(question)
+    named = candidates.where(F.length(name) >= size).select(name, F.substring(F.lower(name), 1, size).alias("__g"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - size + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(size)))
+    grams = wanted.select(question, F.explode(F.array_distinct(runs)).alias("__g"))
+    hits = grams.join(named, "__g").where(F.lower(question).contains(F.lower(name)))
     best = F.max_by(name, F.struct(F.length(name), F.lower(name)))
     return wanted.select(question).distinct().join(hits.groupBy(question).agg(best.alias("match")), question, "left")
 

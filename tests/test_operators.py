@@ -130,3 +130,10 @@ def test_cards(spark, tmp_path):
 
 def test_idf():
     assert math.log(1 + (10 - 1 + 0.5) / 1.5) == pytest.approx(1.992430, abs=1e-6)
+
+
+def test_resolve_contained_punctuation(spark):
+    names = spark.createDataFrame([("France",), ("Tide Clock",), ("Tide",), ("Jawbreaker",)], "name string")
+    asked = {"tell me about Jawbreaker?": "Jawbreaker", "(France)": "France", 'see "Tide Clock", please': "Tide Clock", "France, please": "France", "preTIDEpost": "Tide", "no": None, "fran ce": None}
+    out = repository.resolve_contained(names, spark.createDataFrame([(q,) for q in asked], "q string"), "name", "q", 3)
+    assert {r["q"]: r["match"] for r in out.collect()} == asked
