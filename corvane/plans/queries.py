@@ -173,7 +173,7 @@ def cluster_representatives(spark, d):
 @query
 def kmeans_clusters(spark, d):
     """M8 M9"""
-    return vectors.kmeans(_vectors(spark, d), starts=4)
+    return vectors.kmeans(_vectors(spark, d))
 
 
 @query
@@ -186,7 +186,7 @@ def pca_layout(spark, d):
 def tsne_layout(spark, d):
     """M10. t-SNE holds all pairs in one task, so above 5000 rows this is the PCA layout at the same scale."""
     rows = _vectors(spark, d)
-    return vectors.tsne_layout(rows, steps=500) if rows.count() <= 5000 else vectors.pca_layout(rows, 3, 97, 4)
+    return vectors.tsne_layout(rows) if rows.count() <= 5000 else vectors.pca_layout(rows, 3, 97, 4)
 
 
 def _matches(spark, d):

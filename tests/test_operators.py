@@ -137,3 +137,15 @@ def test_resolve_contained_punctuation(spark):
     asked = {"tell me about Jawbreaker?": "Jawbreaker", "(France)": "France", 'see "Tide Clock", please': "Tide Clock", "France, please": "France", "preTIDEpost": "Tide", "no": None, "fran ce": None}
     out = repository.resolve_contained(names, spark.createDataFrame([(q,) for q in asked], "q string"), "name", "q", 3)
     assert {r["q"]: r["match"] for r in out.collect()} == asked
+
+
+def test_registered_settings(monkeypatch, spark):
+    """The registered layouts run the operators' own numbers of starts and steps."""
+    from corvane.plans import queries
+
+    seen = {}
+    monkeypatch.setattr(vectors, "kmeans", lambda rows, **given: seen.update(kmeans=given))
+    monkeypatch.setattr(vectors, "tsne_layout", lambda rows, **given: seen.update(tsne=given))
+    queries.kmeans_clusters(spark, "/root/testdata/sf0.001")
+    queries.tsne_layout(spark, "/root/testdata/sf0.001")
+    assert seen == {"kmeans": {}, "tsne": {}}
