@@ -327,7 +327,7 @@ def dedupe_echoes(spark, d):
 
 @query
 def near_duplicates(spark, d):
-    """copies of an earlier text."""
+    """F15, first half: exact copies of an earlier text; the half by embedding cosine isn't built."""
     return etl.exact_copies(t(spark, d, "documents"), "doc_id", "text")
 
 
