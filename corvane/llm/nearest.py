@@ -120,7 +120,11 @@ def _best(k: int):
         names = ["query_id", "vec_id", "score"]
         asks = block.column("is_query").to_numpy()
         ids = block.column("id").to_numpy()
-        x = np.frombuffer(b"".join(block.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
+        raw = block.column("vec").to_pylist()
+        # Repeats of a row would take the places of others among the k best.
+        first = sorted({key: i for i, key in reversed(list(enumerate(zip(asks.tolist(), ids.tolist(), raw, strict=True))))}.values())
+        asks, ids = asks[first], ids[first]
+        x = np.frombuffer(b"".join([raw[i] for i in first]), np.float64).reshape(len(ids), -1)
         order = np.argsort(ids[~asks], kind="stable")
         c_ids, c = ids[~asks][order], x[~asks][order]
         q_ids, q = ids[asks], x[asks]

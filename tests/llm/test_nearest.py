@@ -40,3 +40,10 @@ def test_few_candidates(spark):
     assert [r["vec_id"] for r in got] == [1, 2]
     assert N.nearest(rows.limit(0), rows.limit(0)).count() == 0
     assert N.nearest(rows, rows, functions=2).count() == 6
+
+
+def test_repeats_take_no_places(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(1, [1.0, 0.1, 0.0, 0.0])] * 8 + [(2, [1.0, 0.2, 0.0, 0.0]), (3, [1.0, 0.3, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = N.nearest(frame, frame.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [1, 2, 3]
