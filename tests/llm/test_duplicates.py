@@ -136,6 +136,8 @@ def test_line_recall(spark):
             rows += [(len(rows), a), (len(rows) + 1, b)]
             if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - L.EDIT)):
                 near.append(len(rows) - 1)
+    rows += [(len(rows), " ".join(["ha"] * 9)), (len(rows) + 1, " ".join(["ha"] * 10))]
+    near.append(len(rows) - 1)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {q["doc_id"] for q in L.dedup_lines(frame).where("n_removed > 0").collect()}
     assert len(near) > 90 and gone == set(near)
