@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -18,20 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: list[str] = []
-
-
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. A session of one machine may do without: it then
+    gets a folder of its own; on a cluster the setting is needed, as a local folder there would be lost on other machines."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not _LOCAL:
-            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='corvane-')}")
-            atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), ignore_errors=True)
-        found = _LOCAL[0]
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _of_this_process()
     return found.rstrip("/")
 
 
+@functools.cache
+def _of_this_process() -> str:
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -52,6 +57,15 @@ def drop(spark: SparkSession, *frames_or_paths) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, taken) -> str:
+    """A column name of one's own: `name` behind as many underscores as it takes."""
+    name = f"__{name}"
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

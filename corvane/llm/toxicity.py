@@ -3,12 +3,14 @@
 Words are hashed into a table of embeddings; filters of several widths slide over the words of the whole text; each
 filter's highest response over the text (max pooling, so one abusive phrase in a long text counts fully) goes through a
 logistic layer. Words that fewer than MIN_DOCS training texts hold share the zero vector, so that the network can't learn
-documents by their rare words. Training looks at a bounded sample of labelled rows (MAX_POSITIVE, MAX_NEGATIVE); scoring
-reads every whole text. Text is all that a score depends on.
+documents by their rare words. Training looks at a bounded sample of labelled rows (MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS),
+hashed where they lie and fitted in one task from 32-bit numbers; the driver only sees the fitted arrays. Thresholds come from
+every other labelled row; scoring reads every whole text. Text is all that a score depends on.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corvane.llm.common import fold_of, table
+from corvane.llm.common import drop, fold_of, fresh, materialize, table
 
 #: Words are hashed to this many buckets; only buckets that training kept have an embedding, so a rare word rarely meets one.
 BUCKETS = 1 << 32
@@ -27,10 +31,14 @@ WIDTHS = (1, 2, 3)
 FILTERS = 12
 #: Rows of either label that training may use: those whose seeded hash is smallest.
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
+#: Words of the sample that training may use: rows in the order of their hash, as long as they fit.
+MAX_WORDS = 8_000_000
 MIN_DOCS = 4
 EPOCHS = 5
-#: Share of the sample that takes no part in training, so that small tables have rows to calibrate thresholds.
-CALIBRATION = 0.2
+#: Texts of a step of training, and words of a step that holds more than one text.
+STEP_TEXTS, STEP_WORDS = 64, 100_000
+#: One in so many rows of the sample takes no part in training, so that small tables have rows to calibrate thresholds.
+APART = 5
 #: Languages with fewer calibration rows use the threshold over all languages.
 MIN_CALIBRATION = 40
 #: So do languages with fewer rows of either label; where all rows together have fewer, the threshold is 0.5.
@@ -138,8 +146,33 @@ class Network:
         h, _, _ = self.pool(ids, lengths)
         return 1 / (1 + np.exp(-np.clip((h @ self.v + self.c).astype(np.float64), -30, 30)))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, seed: int = SEED) -> None:
-        """AdaGrad on the log loss. Only the places of the highest responses have a gradient."""
+    def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+        """Of the mean log loss: by W, b and v, by c, and by the rows of E that count, as (rows, gradients)."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        h, flat, places = self.pool(np.concatenate(texts), lengths, where=True)
+        p = 1 / (1 + np.exp(-np.clip(h @ self.v + self.c, -30, 30)))
+        d = (p - labels) / len(texts)
+        dh = np.outer(d, self.v) * (h > 0)
+        grads, rows, parts = [], [], []
+        for j, (w, W) in enumerate(zip(WIDTHS, self.W, strict=True)):
+            g = dh[:, j * FILTERS : (j + 1) * FILTERS]
+            gw = np.zeros_like(W)
+            for k in range(w):
+                words = flat[np.minimum(places[j] + k, len(flat) - 1)]
+                gw[k] = np.einsum("if,ifd->df", g, self.E[words])
+                rows.append(words.ravel())
+                parts.append((g[:, :, None] * W[k].T[None]).reshape(-1, DIMS))
+            grads.append(gw)
+        grads += [dh[:, j * FILTERS : (j + 1) * FILTERS].sum(axis=0) for j in range(len(WIDTHS))]
+        grads.append(h.T @ d)
+        rows_all, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        ge = np.zeros((len(rows_all), DIMS), np.float32)
+        np.add.at(ge, inverse, np.concatenate(parts))
+        return grads, float(d.sum()), rows_all, ge
+
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, seed: int = SEED, odds: bool = True) -> None:
+        """AdaGrad on the log loss. Only the places of the highest responses have a gradient. Without `odds`, embeddings and
+        filters start at random instead of from prior()."""
         r = np.random.default_rng(seed)
         if not len(texts) or labels.min() == labels.max():
             self.c, self.v[:] = np.float32(0 if not len(texts) else 4 * labels[0] - 2), 0
@@ -147,57 +180,83 @@ class Network:
         found, seen = np.unique(np.concatenate([np.unique(t) for t in texts]), return_counts=True)
         self.keys = found[seen >= MIN_DOCS]
         texts = [self.rows_of(t) for t in texts]
-        self.E = prior(texts, labels, (0.02 * r.standard_normal((len(self.keys) + 1, DIMS))).astype(np.float32))
+        noise = (0.02 * r.standard_normal((len(self.keys) + 1, DIMS))).astype(np.float32)
+        if odds:
+            self.E = prior(texts, labels, noise)
+        else:
+            self.E = noise * 5
+            self.E[0] = 0
+            self.W = [(r.standard_normal(W.shape) / np.sqrt(W.shape[0] * DIMS)).astype(np.float32) for W in self.W]
+            self.v = (0.1 * r.standard_normal(len(self.v))).astype(np.float32)
         params = [*self.W, *self.b, self.v]
         past = [np.full(p.shape, 1e-2, np.float32) for p in params]
         past_e, past_c = np.full(len(self.E), 1e-2, np.float32), 1e-2
         for _ in range(epochs):
-            order = r.permutation(len(texts))
-            for begin in range(0, len(order), 64):
-                some = order[begin : begin + 64]
-                lengths = np.array([len(texts[i]) for i in some], np.int64)
-                h, flat, places = self.pool(np.concatenate([texts[i] for i in some]), lengths, where=True)
-                p = 1 / (1 + np.exp(-np.clip(h @ self.v + self.c, -30, 30)))
-                d = (p - labels[some]) / len(some)
-                dh = np.outer(d, self.v) * (h > 0)
-                grads, rows, parts = [], [], []
-                for j, (w, W) in enumerate(zip(WIDTHS, self.W, strict=True)):
-                    g = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                    gw = np.zeros_like(W)
-                    for k in range(w):
-                        words = flat[np.minimum(places[j] + k, len(flat) - 1)]
-                        gw[k] = np.einsum("if,ifd->df", g, self.E[words])
-                        rows.append(words.ravel())
-                        parts.append((g[:, :, None] * W[k].T[None]).reshape(-1, DIMS))
-                    grads.append(gw)
-                grads += [dh[:, j * FILTERS : (j + 1) * FILTERS].sum(axis=0) for j in range(len(WIDTHS))]
-                grads.append(h.T @ d + 1e-5 * self.v)
+            for some in _steps(r.permutation(len(texts)), texts):
+                grads, dc, rows, ge = self.gradients([texts[i] for i in some], labels[some])
+                grads[-1] = grads[-1] + 1e-5 * self.v
                 for p_, g_, s_ in zip(params, grads, past, strict=True):
                     s_ += g_ * g_
                     p_ -= rate * g_ / np.sqrt(s_)
-                past_c += float(d.sum()) ** 2
-                self.c -= np.float32(rate * d.sum() / np.sqrt(past_c))
-                rows_all, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-                ge = np.zeros((len(rows_all), DIMS), np.float32)
-                np.add.at(ge, inverse, np.concatenate(parts))
-                past_e[rows_all] += (ge * ge).mean(axis=1)
-                self.E[rows_all] -= rate * ge / np.sqrt(past_e[rows_all])[:, None]
+                past_c += dc**2
+                self.c -= np.float32(rate * dc / np.sqrt(past_c))
+                past_e[rows] += (ge * ge).mean(axis=1)
+                self.E[rows] -= rate * ge / np.sqrt(past_e[rows])[:, None]
                 self.E[0] = 0
 
 
-def sample(marked: DataFrame, texts: DataFrame, id_col: str, text: str, label: str, max_positive: int, max_negative: int) -> list:
-    """(text, label, lang, id) of the rows with the smallest seeded hash of their id, of each label at most the given number.
+def _steps(order: np.ndarray, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Runs of the order that are bounded in texts and, but for a single long text, in words."""
+    held, size = [], 0
+    for i in order:
+        if held and (len(held) == STEP_TEXTS or size + len(texts[i]) > STEP_WORDS):
+            yield np.array(held)
+            held, size = [], 0
+        held.append(i)
+        size += len(texts[i])
+    if held:
+        yield np.array(held)
+
+
+def marked(labelled: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(__id, label, lang) once for each labelled id: the highest label. A null id, or label beyond 0 and 1, doesn't count; lang is null where there is no such column."""
+    lang = F.col("lang") if "lang" in labelled.columns else F.lit(None).cast("string")
+    own = labelled.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label"), lang.alias("lang"))
+    return own.groupBy("__id").agg(F.max("label").alias("label"), F.min("lang").alias("lang"))
+
+
+def sample(one: DataFrame, max_positive: int, max_negative: int) -> DataFrame:
+    """(__id, label, k, apart) of those rows of marked() with the smallest seeded hash k of their id, of each label at most the given number; `apart` says that a row only calibrates."""
+    keyed = one.select("__id", "label", F.xxhash64(F.lit(SEED), "__id").alias("k"))
+    parts = [keyed.where(F.col("label") == value).orderBy("k", "__id").limit(most) for value, most in ((1, max_positive), (0, max_negative))]
+    place = F.row_number().over(W.partitionBy("label").orderBy("k", "__id"))
+    return parts[0].unionByName(parts[1]).withColumn("apart", place % APART == 0)
+
+
+def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, k, text) to (id, label, k, words), words being 32-bit numbers."""
+    words = Words()
+    for part in parts:
+        out = [words.ids([value.as_py()])[0].astype(np.uint32).tobytes() for value in pc.cast(part.column(3), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], ["id", "label", "k", "words"])
 
-    marked: id, label, lang; texts: id, text. Ids are chosen without their texts, which are then looked up by a broadcast of
-    the chosen ids, so the corpus is never shuffled. A repeated id counts once, a null id never.
-    """
-    order = F.xxhash64(F.lit(SEED), F.col(id_col))
-    one = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("label"), F.min("lang").alias("lang"), F.min(order).alias("k"))
-    parts = [one.where(F.col("label") == value).orderBy("k", "__id").limit(most) for value, most in ((1, max_positive), (0, max_negative))]
-    chosen = parts[0].unionByName(parts[1])
-    found = texts.select(F.col(id_col).alias("__id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(*[F.first(c).alias(c) for c in ("text", "label", "lang", "k")])
-    rows = sorted(found.collect(), key=lambda r: (-r["label"], r["k"], r["__id"]))
-    return [(r["text"], r["label"], r["lang"], r["__id"]) for r in rows]
+
+def _fitter(epochs: int, max_words: int, odds: bool):
+    """Fits a network to the rows (label, words) of a task, which come in the order of their hash."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, room = [], [], max_words
+        for part in parts:
+            for label, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                words = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
+                if len(words) <= room:
+                    room -= len(words)
+                    texts.append(words)
+                    labels.append(label)
+        network = Network()
+        network.fit(texts, np.array(labels, np.float32), epochs, odds=odds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+    return run
 
 
 class Classifier:
@@ -221,23 +280,21 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = MIN_OF_L
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def calibrate(network: Network, labelled: DataFrame, texts: DataFrame, fitted: list, id_col: str, text: str, label: str) -> Classifier:
+def calibrate(network: Network, one: DataFrame, texts: DataFrame, fitted: DataFrame, id_col: str, text: str) -> Classifier:
     """Thresholds from every labelled row that wasn't fitted, at the share of labels that the table has.
 
-    Rows are scored where they lie; only counts of BINS score bins by language and label reach the driver. A repeated id
-    counts once, a null id never.
+    one: marked(); fitted: (__id), bounded by the sample. Rows are scored where they lie; only counts of BINS score bins by
+    language and label reach the driver. A repeated id counts once, a null id never.
     """
-    one = labelled.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("label"), F.min("lang").alias("lang"))
-    if fitted:
-        ids = labelled.sparkSession.createDataFrame([(i,) for i in fitted], labelled.select(F.col(id_col).alias("__id")).schema)
-        one = one.join(F.broadcast(ids), "__id", "left_anti")
+    one = one.join(F.broadcast(fitted), "__id", "left_anti")
     own = texts.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
     scored = score(own, Classifier(network, {}, 0.5)).select("__id", "score").groupBy("__id").agg(F.min("score").alias("score"))
     # Few languages have rows enough for a threshold of their own; others only count in the total.
-    marked = one.join(scored, "__id").select("lang", F.col("label").cast("int").alias("label"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts = marked.groupBy("lang", "label", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    middle = (counts["bin"].to_numpy(np.float64) + 0.5) / BINS
-    y, n, langs = counts["label"].to_numpy(np.float64), counts["n"].to_numpy(np.float64), counts["lang"].to_numpy(object)
+    binned = one.join(scored, "__id").select("lang", "label", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    counts = binned.groupBy("lang", "label", "bin").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    middle = (counts.column("bin").to_numpy() + 0.5) / BINS
+    y, n = counts.column("label").to_numpy().astype(np.float64), counts.column("n").to_numpy().astype(np.float64)
+    langs = np.array(counts.column("lang").to_pylist(), object)
 
     default = best_threshold(middle, y, weights=n)
     thresholds: dict[str, float] = {}
@@ -248,25 +305,38 @@ def calibrate(network: Network, labelled: DataFrame, texts: DataFrame, fitted: l
     return Classifier(network, thresholds, default)
 
 
-def train(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS, calibrated: bool = True) -> Classifier:
-    """labelled: id, text, label (0, 1, or null: ignored) and lang, which only chooses a threshold; the text may be in another table `texts` with the same ids. Without rows of both labels every score is a constant. Without `calibrated`, for those who only want scores, thresholds are 0.5."""
+def train(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS, calibrated: bool = True, max_words: int = MAX_WORDS, odds: bool = True) -> Classifier:
+    """labelled: id, text, label (0, 1, or null: ignored) and lang, if any, which only chooses a threshold; the text may be in
+    another table `texts` with the same ids. A repeated id counts once: its highest label and the first of its texts by their
+    hash. Null ids are never learnt from; null and empty texts have no words. Without rows of both labels every score is a
+    constant. Without `calibrated`, for those who only want scores, thresholds are 0.5.
+
+    Ids are chosen without their texts, which are then looked up by a broadcast of the chosen ids, so the corpus is never
+    shuffled; what the fitting task reads is bounded by the sample's rows and words.
+    """
+    spark = labelled.sparkSession
     sources = labelled if texts is None else texts
-    rows = sample(labelled, sources, id_col, text, label, max_positive, max_negative)
-    ids, lengths = Words().ids([bytes(r[0]) if r[0] is not None else None for r in rows])
-    split = np.split(ids, np.cumsum(lengths)[:-1]) if len(rows) else []
-    labels = np.array([r[1] for r in rows], np.float32)
-    apart = np.random.default_rng(SEED).random(len(rows)) < CALIBRATION
-    network = Network()
-    network.fit([t for t, a in zip(split, apart, strict=True) if not a], labels[~apart], epochs)
-    if not calibrated:
-        return Classifier(network, {}, 0.5)
-    return calibrate(network, labelled, sources, [r[3] for r, a in zip(rows, apart, strict=True) if not a], id_col, text, label)
-
-
-def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once: int = 200_000) -> DataFrame:
-    """docs with `score` added (a column of that name is replaced). Null and empty texts get the score of a text without words."""
+    one = marked(labelled, id_col, label)
+    chosen = materialize(sample(one, max_positive, max_negative), "toxicity-sample")
+    own = sources.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    found = own.join(F.broadcast(chosen.where(~F.col("apart")).select("__id", "label", "k")), "__id").select("__id", "label", "k", "__text")
+    kind = dict(chosen.dtypes)["__id"]
+    hashed = found.mapInArrow(_hashed, f"id {kind}, label int, k long, words binary").groupBy("id").agg(F.min("k").alias("k"), F.min("label").alias("label"), F.min_by("words", F.xxhash64("words")).alias("words"))
+    fitted = hashed.repartition(1).sortWithinPartitions("k", "id").select("label", "words").mapInArrow(_fitter(epochs, max_words, odds), "network binary").first()
+    network = pickle.loads(fitted["network"]) if fitted else Network()
+    if calibrated:
+        model = calibrate(network, one, sources, chosen.where(~F.col("apart")).select("__id"), id_col, text)
+    else:
+        model = Classifier(network, {}, 0.5)
+    drop(spark, chosen)
+    return model
+
+
+def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once: int = 200_000, into: str = "score") -> DataFrame:
+    """docs with the score added as `into` (a column of that name is replaced). Null and empty texts get the score of a text
+    without words; repeated rows, and rows with a null id, are scored like any other; a text of any length is read whole."""
     shipped = docs.sparkSession.sparkContext.broadcast(model.network)
-    kept = docs.drop("score")
+    kept = docs.drop(into)
     names = kept.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,29 +356,37 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once:
             if held:
                 found.append(network.scores(*words.ids(held)))
             scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], [*names, into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
-    return kept.select("*", F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
+    return kept.select("*", F.col(text).alias(fresh("text", names))).mapInArrow(run, schema)
 
 
-def flag(scored: DataFrame, model: Classifier) -> DataFrame:
-    """Adds `rejected`: the score reaches the threshold of the row's language."""
+def flag(scored: DataFrame, model: Classifier, score_col: str = "score", into: str = "rejected") -> DataFrame:
+    """Adds `into`: the score reaches the threshold of the row's language. Where lang is missing, null or has no threshold of its own, the common one holds; a null score isn't rejected."""
     limit = F.lit(model.default)
-    for lang, value in model.thresholds.items():
+    for lang, value in model.thresholds.items() if "lang" in scored.columns else ():
         limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
-    return scored.withColumn("rejected", F.col("score") >= limit)
+    return scored.withColumn(into, F.coalesce(F.col(score_col) >= limit, F.lit(False)))
+
+
+def clean(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """The rows of docs, in their own columns, that aren't rejected."""
+    mark, gone = fresh("score", docs.columns), fresh("rejected", docs.columns)
+    return flag(score(docs, model, text, into=mark), model, mark, gone).where(~F.col(gone)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def train_on_tables(docs: DataFrame, labels: DataFrame, calibrated: bool = True) -> Classifier:
-    """Learns from the labelled documents outside the held-out fold. Repeated label rows of a document count once, as the highest."""
+    """Learns from the labelled documents outside the held-out fold. Repeated label rows of a document count once, as the
+    highest; labels of null ids, null labels and labels of other documents don't count. Empty tables give a constant score."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.where(fold_of(F.col("doc_id")) != 0)
-    return train(own.select("doc_id", "lang").join(marks, "doc_id"), own.select("doc_id", "text"), calibrated=calibrated)
+    lang = [F.col("lang")] if "lang" in docs.columns else []
+    return train(own.select("doc_id", *lang).join(marks, "doc_id"), own.select("doc_id", "text"), calibrated=calibrated)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents scored."""
+    """Every text of documents scored, by a model of the labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     model = train_on_tables(docs, table(spark, sf_dir, "labels"), calibrated=False)
     scored = score(docs.select("doc_id", "text"), model)
