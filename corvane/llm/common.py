@@ -44,7 +44,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    # These tables hold hashes, which no dictionary shortens.
+    df.write.option("compression", codec).option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
