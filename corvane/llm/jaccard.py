@@ -3,7 +3,7 @@
 Rows of the incidence matrix are classes of documents with the same shingle set; columns are 64-bit hashes of shingles.
 1. A document's set is reduced to its prefix: n - ceil(0.75 n) + 1 shingles in an order that puts common ones last. Two
    sets with similarity 0.75 share a shingle of both prefixes, whatever the order, so the order (a bounded list of the most
-   common shingles, estimated within tasks) changes speed but never results.
+   common shingles, counted over the whole corpus) changes speed but never results.
 2. Prefix columns are dealt out in blocks by hash. A block multiplies its columns: it accumulates for each pair of rows
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
    shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
@@ -25,15 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, drop, materialize, shuffle_width, table
+from corvane.llm.common import LOWER, drop, fresh, materialize, shuffle_width, table
 from corvane.llm.components import components
 
 WORDS = 5
 SIMILAR = (75, 100)
-#: At most so many shingles are marked as common, those in most sets of a task.
+#: At most so many shingles are marked as common: of each block of hashes, its share of those in most sets.
 COMMON = 1 << 19
 COMMON_SETS = 2
-STAR_ROUNDS = 3
+#: Shingles that a task holds before it hands them over.
+HELD = 4_000_000
+STAR_ROUNDS = 2
 #: Bits of the fixed-size filter by which a task recognises sets that may be in a candidate pair (false hits are harmless).
 FILTER_BITS = 1 << 23
 MEMO = 400_000
@@ -116,22 +118,40 @@ def _texts(part: pa.RecordBatch, column: int, at_once: int = 1_500_000) -> Itera
         yield begin, held
 
 
-def _profile(words: int):
-    """Each document's class and size; at the end of the task its common shingles with the number of sets that hold them."""
-    names = ["doc_id", "cls", "n", "shingle", "sets"]
+def _key(shingles: np.ndarray, blocks: int) -> np.ndarray:
+    """A shingle's block, from its high half, and its low half: what shingles are counted by."""
+    return ((shingles >> np.uint64(32)) % np.uint64(blocks)) << np.uint64(32) | shingles & np.uint64(0xFFFFFFFF)
+
+
+def _planes(sorted_halves: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as their differences, byte by byte, so that the high bytes, mostly zeros, compress."""
+    steps = np.diff(sorted_halves, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _profile(words: int, blocks: int):
+    """Each document's class and size, and the shingles of the classes of a task, packed by block."""
+    names = ["doc_id", "cls", "n", "block", "packed"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingles(words)
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
-        common: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def count() -> None:
-            if held:
-                value, n = np.unique(np.concatenate(held), return_counts=True)
-                common.append((value[n > 1], n[n > 1]))
-                held.clear()
+        def flush() -> pa.RecordBatch:
+            keys = np.sort(_key(np.concatenate(held), blocks))
+            held.clear()
+            cuts = np.searchsorted(keys, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32))
+            own = [i for i in range(blocks) if cuts[i + 1] > cuts[i]]
+            packed = [_planes(keys[cuts[i] : cuts[i + 1]].astype(np.uint32)) for i in own]
+            m = len(own)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names)
 
         for part in parts:
             for begin, texts in _texts(part, 1):
@@ -142,23 +162,46 @@ def _profile(words: int):
                         seen.add(c)
                         held.append(s)
                         size += len(s)
-                if size > 6_000_000:
-                    count()
+                if size > HELD:
+                    yield flush()
                     size = 0
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, n), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-        count()
-        if common:
-            value, inverse = np.unique(np.concatenate([v for v, _ in common]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in common])).astype(np.int64)
-            m = len(value)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(value.view(np.int64)), pa.array(n)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, n), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        if held:
+            yield flush()
+
+    return run
+
+
+def _most_common(most: int):
+    """Of the packed shingles of each block of a task, sorted by block: those in most sets, `most` at most."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def found() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            value, n = value[n >= COMMON_SETS], n[n >= COMMON_SETS]
+            if len(n) > most:
+                # By falling counts, ties by value; which ones of a tie stay only changes speed.
+                top = np.sort(np.argsort(-n, kind="stable")[:most])
+                value, n = value[top], n[top]
+            return pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64) | block << 32), pa.array(n.astype(np.int64))], ["key", "sets"])
+
+        for part in parts:
+            for b, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if held and b != block:
+                    yield found()
+                block = b
+                held.append(_from_planes(raw.as_buffer()))
+        if held:
+            yield found()
 
     return run
 
 
 def _postings(words: int, common: np.ndarray, weight: np.ndarray, blocks: int):
-    """Packed prefix postings, by block: columns (hash), rows (class), sizes."""
+    """Packed prefix postings, by block: columns (hash), rows (class), sizes. common: sorted keys, and in how many sets they are."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingles(words)
         seen: set[int] = set()
@@ -187,8 +230,9 @@ def _postings(words: int, common: np.ndarray, weight: np.ndarray, blocks: int):
                     n = len(s)
                     p = int(prefix_length(np.array(n)))
                     if len(common):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        rank = np.where(common[at] == s, weight[at], 0)
+                        key = _key(s, blocks)
+                        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                        rank = np.where(common[at] == key, weight[at], 0)
                         s = s[np.argsort(rank, kind="stable")]
                     held.append((s[:p], c, n))
                     size += p
@@ -399,19 +443,22 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = rows.select("text")
-    profile = materialize(rows.mapInArrow(_profile(words), "doc_id long, cls long, n long, shingle long, sets long"), "profile")
-    counted = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= COMMON_SETS)
-    top = counted.orderBy(F.desc("sets"), "shingle").limit(COMMON).toArrow()
-    common = top.column("shingle").to_numpy().view(np.uint64)
+    # As many blocks as the corpus has splits, so that a block's size doesn't grow with the corpus.
+    blocks = max(shuffle_width(spark), rows.rdd.getNumPartitions())
+    profile = materialize(rows.mapInArrow(_profile(words, blocks), "doc_id long, cls long, n long, block int, packed binary"), "profile")
+    dealt = profile.where("packed is not null").select("block", "packed").repartitionById(blocks, "block").sortWithinPartitions("block")
+    top = dealt.mapInArrow(_most_common(max(1, COMMON // blocks)), "key long, sets long").toArrow()
+    common = top.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(common)
-    shipped = spark.sparkContext.broadcast((common[order], top.column("sets").to_numpy()[order]))
-    blocks = shuffle_width(spark)
+    shipped = spark.sparkContext.broadcast((common[order], top.column("sets").to_numpy()[order].astype(np.int32)))
+    mine = materialize(profile.where("cls is not null").select("doc_id", "cls", "n"), "classes")
+    drop(spark, profile)
     deal = lambda parts: _postings(words, *shipped.value, blocks)(parts)
     packed = texts.mapInArrow(deal, "block int, h binary, c binary, n binary").repartitionById(blocks, "block")
-    columns = materialize(packed.mapInArrow(_columns, "col long, row long, n long"), "columns")
-
-    spread = columns.groupBy("row").agg(F.count(F.lit(1)).alias("columns"))
-    columns = materialize(columns.join(spread, "row").select("col", "row", "n", "columns"), "columns")
+    raw = materialize(packed.mapInArrow(_columns, "col long, row long, n long"), "columns")
+    spread = raw.groupBy("row").agg(F.count(F.lit(1)).alias("columns"))
+    columns = materialize(raw.join(spread, "row").select("col", "row", "n", "columns"), "columns")
+    drop(spark, raw)
     bits = spark.sparkContext.broadcast(_filter_of(columns.select(F.col("row").alias("c")).distinct()))
     members = lambda parts: _members(words, bits.value)(parts)
     # A class can come from several tasks; its set is the same in all.
@@ -432,9 +479,8 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
         best = sums.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         roots = joined(_links(materialize(best, "pairs"), sets))
     roots = joined(_links(materialize(_bounded(multiplied(None)), "pairs"), sets))
-    drop(spark, sets)
+    drop(spark, sets, columns)
 
-    mine = profile.where("cls is not null").select("doc_id", "cls", "n")
     least = mine.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("d"))
     named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "d")
     groups = named.join(named.groupBy("root").agg(F.min("d").alias("component_id")), "root").select("cls", "component_id")
@@ -443,10 +489,22 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: the one whose id names it. Rows with a null id, or without words, stay."""
-    groups = link_groups(docs, id_col, text)
-    losers = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(losers, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    """docs, in their own columns, with one row of each group: the one with the smallest id.
+
+    Of rows with that id and one text, the one with the smallest hash of all columns stays. A null id comes last. Rows without
+    words (null, empty, white space) are no copies, and all stay.
+    """
+    key, mark = fresh("key", docs.columns), fresh("mark", docs.columns)
+    own = docs.withColumn(key, F.xxhash64(id_col, text))
+    rows = own.groupBy(F.col(key).alias("doc_id")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    named = link_groups(own, key, text).where("n_shingles > 0").select("doc_id", "component_id").distinct().join(rows, "doc_id")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("best"))
+    marks = named.join(best, "component_id").select(F.col("doc_id").alias(key), F.when(F.col("doc_id") != F.col("best.doc_id"), "goes").when(F.col("n") > 1, "repeats").alias(mark))
+    joined = own.join(marks.where(F.col(mark).isNotNull()), key, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Repeats of a row meet in an aggregate that combines before the shuffle.
+    one = joined.where(F.col(mark) == "repeats").groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return joined.where(F.col(mark).isNull()).select(*columns).unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

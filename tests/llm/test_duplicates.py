@@ -65,6 +65,29 @@ def test_jaccard(spark, docs, empty):
     assert {(1, 1), (7, 1), (2, 2), (3, 3), (9, 9)} <= mixed and J.link_groups(docs).count() == 11
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Equal rows of one id leave one; rows of one id with other texts are documents of their own; extra columns stay."""
+    rows = [(5, "a b c d e f", "x"), (5, "a b c d e f", "x"), (5, "q r s t u v", "y"), (7, "a b c d e f", "z"), (None, "q r s t u v", "w"), (8, None, "n"), (8, None, "n"), (9, " ", "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string").coalesce(1)
+    got = [tuple(q) for q in J.keep_one(frame).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+
+
+def test_common_shingles(spark):
+    """Shingles in most sets of all tasks come last; packing them loses nothing."""
+    import numpy as np
+
+    halves = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 1000).astype(np.uint32))
+    assert (J._from_planes(J._planes(halves)) == halves).all() and len(J._from_planes(J._planes(halves[:0]))) == 0
+    rows = [(i, f"common words that every text has own{i} own{i}a own{i}b own{i}c") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    maker, blocks = J.Shingles(), 4
+    packed = frame.select("doc_id", "text").mapInArrow(J._profile(J.WORDS, blocks), "doc_id long, cls long, n long, block int, packed binary").where("packed is not null").select("block", "packed")
+    top = {r["key"]: r["sets"] for r in packed.repartitionById(blocks, "block").sortWithinPartitions("block").mapInArrow(J._most_common(10), "key long, sets long").collect()}
+    common = J._key(maker.sets([b"common words that every text has"])[0], blocks).astype(np.int64).tolist()
+    assert {k for k, n in top.items() if n == 40} == set(common)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
