@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.encoding import batches, encoder
+from corvane.llm.encoding import binaries, encoder, runs, with_ends
 
 CAPACITY = 2048
 END_ID = 1
@@ -59,10 +59,11 @@ def _tokenizer(path: str, end_id: int | None):
         coder = encoder(path)
         kind = np.dtype("<u2" if max(coder.vocab_size, (end_id or 0) + 1) <= 1 << 16 else "<u4")
         for part in parts:
-            texts = part.column(1).to_pylist()
-            for a, b in batches(texts):
-                ids = [x if end_id is None else np.append(x, np.int32(end_id)) for x in coder.encode_many(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            for a, b in runs(part.column(1)):
+                flat, lengths = coder.encode_column(part.column(1).slice(a, b - a))
+                if end_id is not None:
+                    flat, lengths = with_ends(flat, lengths, end_id), lengths + 1
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(lengths), binaries(flat.astype(kind), lengths)], ["doc_id", "doc_tokens", "ids"])
 
     return encode
 

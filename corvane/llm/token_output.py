@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import drop, materialize, new_path, shuffle_width
-from corvane.llm.encoding import batches, encoder
+from corvane.llm.encoding import binaries, encoder, runs, with_ends
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
@@ -28,18 +29,27 @@ BLOCK_TOKENS = 1 << 18
 LENGTHS = np.stack([((np.arange(256) >> (2 * i)) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 SPAN = LENGTHS.sum(axis=1).astype(np.int64)
 _FROM = np.cumsum(LENGTHS, axis=1) - LENGTHS
-PLACES = np.where(np.arange(4)[None, None, :] < LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), 16).reshape(256, 16).astype(np.int64)
+PLACES = np.where(np.arange(4)[None, None, :] < LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), 16).reshape(256, 16).astype(np.int32)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of ranks, padded with zeros to a multiple of four."""
-    r = np.zeros(-(-len(ranks) // 4) * 4, np.uint32)
-    r[: len(ranks)] = ranks
+    control, data, _ = pack_runs(ranks, np.array([len(ranks)], np.int64))
+    return control.tobytes(), data.tobytes()
+
+
+def pack_runs(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control, data, bytes of data of each run) of runs of ranks, each padded with zeros to a multiple of four."""
+    padded = -(-lengths // 4) * 4
+    r = np.zeros(int(padded.sum()), np.uint32)
+    shift = (np.cumsum(padded) - padded) - (np.cumsum(lengths) - lengths)
+    r[np.repeat(shift, lengths) + np.arange(len(ranks))] = ranks
     extra = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
     four = extra.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    upto = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)])
+    return control.astype(np.uint8), data, np.diff(upto[np.concatenate([[0], np.cumsum(padded)])])
 
 
 def unpack(control: bytes, data: bytes) -> np.ndarray:
@@ -66,11 +76,12 @@ def _tokenizer(path: str, end_id: int | None):
         total = np.zeros(size, np.int64)
         names = ["shard", "doc_id", "ids", "counts"]
         for part in parts:
-            texts = part.column(2).to_pylist()
-            for a, b in batches(texts):
-                ids = [x if end_id is None else np.append(x, np.int32(end_id)) for x in coder.encode_many(texts[a:b])]
-                total += np.bincount(np.concatenate(ids), minlength=size)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(b - a, pa.binary())], names)
+            for a, b in runs(part.column(2)):
+                flat, lengths = coder.encode_column(part.column(2).slice(a, b - a))
+                if end_id is not None:
+                    flat, lengths = with_ends(flat, lengths, end_id), lengths + 1
+                total += np.bincount(flat, minlength=size)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), binaries(flat.astype(kind), lengths), pa.nulls(b - a, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     return encode
@@ -114,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     spark = docs.sparkSession
     shards = shards or shuffle_width(spark)
     keyed = docs.select(shard_of(docs, id_col, shards).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    plain = materialize(keyed.mapInArrow(_tokenizer(tokenizer_path, end_id), "shard int, doc_id long, ids binary, counts binary"), "plain-ids")
+    plain = materialize(keyed.mapInArrow(_tokenizer(tokenizer_path, end_id), "shard int, doc_id long, ids binary, counts binary"), "plain-ids", "lz4")
     counts = {r["token"]: r["n"] for r in token_counts(plain).collect()}
     size = max(encoder(tokenizer_path).vocab_size, (end_id or 0) + 1)
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -126,9 +137,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            coded = [np.frombuffer(raw, kind) for raw in part.column(2).to_pylist()]
-            both = [pack(rank_of[ids]) for ids in coded]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in coded], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], ["shard", "doc_id", "length", "control", "data"])
+            for a, b in runs(part.column(2)):
+                ids = pc.cast(part.column(2).slice(a, b - a), pa.large_binary())
+                offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+                lengths = np.diff(offsets) // kind.itemsize
+                flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+                control, data, sizes = pack_runs(rank_of[flat], lengths)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(lengths), binaries(control, -(-lengths // 4)), binaries(data, sizes)], ["shard", "doc_id", "length", "control", "data"])
 
     def block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "block", "start", "doc_ids", "lengths", "control", "data"]
