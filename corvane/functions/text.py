@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ HOSTING_TAG = "region:"
 STYLE_MARKERS = ("{", "}", ";", "!important", "rgba(", "linear-gradient")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Null to empty, runs of white space to one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -100,17 +107,24 @@ def bounded(c: Column, limit: int) -> Column:
 
 
 def clipped(c: Column, limit: int, mark: str = " ...") -> Column:
-    """The first `limit` characters, then the mark, if the text is longer."""
+    """The first `limit` characters, then the mark, if the text is longer."""
     t = F.trim(F.coalesce(c, F.lit("")))
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit(mark)))
 
 
-def truncated(c: Column, cap: int) -> Column:
-    """A struct (text, omitted). The mark of a cut counts towards the cap; a cap shorter than the mark leaves the mark's beginning."""
+def short_value(c: Column, limit: int = 84) -> Column:
+    """White space collapsed; a longer value is cut three short of the limit, loses spaces and ,.;: at its end, and gets dots."""
+    t = clean(c)
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit - 3)), F.lit(" ,.;:")), F.lit("...")))
+
+
+def truncated(c: Column, cap: int | Column) -> Column:
+    """A struct (text, omitted). The mark of a cut counts towards the cap; a cap no longer than the mark leaves the mark's end; a cap of 0 or less cuts nothing."""
+    cap = F.lit(cap) if isinstance(cap, int) else cap
     omitted = F.length(c) - cap
-    mark = F.concat(F.lit("\n[truncated, "), omitted.cast("string"), F.lit(" characters omitted]"))
-    cut = F.left(F.concat(F.left(c, F.greatest(F.lit(0), F.lit(cap) - F.length(mark))), mark), F.lit(cap))
-    long = F.length(c) > cap
+    mark = F.concat(F.lit("\n[truncated "), omitted.cast("string"), F.lit(" chars before privacy filtering]"))
+    cut = let(mark, lambda m: F.when(F.length(m) >= cap, F.right(m, cap)).otherwise(F.concat(F.left(c, cap - F.length(m)), m)))
+    long = (F.length(c) > cap) & (cap > 0)
     return F.struct(F.when(long, cut).otherwise(c).alias("text"), F.when(long, omitted).otherwise(F.lit(0)).alias("omitted"))
 
 
@@ -135,15 +149,16 @@ def scatter(key: Column) -> Column:
     return F.struct(at(1).alias("x"), at(5).alias("y"))
 
 
-def snippet(text: Column, terms: Column, limit: int = 170, around: int = 85) -> Column:
-    """`limit` characters at most around the earliest term, marked where cut."""
+def snippet(text: Column, terms: Column, limit: int = 170, folded: Column | None = None) -> Column:
+    """At most `limit` characters from half of that before the earliest term on, moved back where the text ends, with dots where it is cut.
+
+    Terms are looked for in `folded`, the cleaned text in the form that terms have; without it in lower case."""
     flat = clean(text)
-    places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(flat), t) - 1), lambda p: p >= 0)
-    first = F.coalesce(F.array_min(places), F.lit(0))
-    start = F.greatest(F.lit(0), first - around)
-    end = F.least(F.length(flat), start + limit)
-    part = F.trim(F.substring(flat, start + 1, end - start))
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), part, F.when(end < F.length(flat), F.lit("...")).otherwise(F.lit(""))))
+    where = F.lower(flat) if folded is None else folded
+    places = F.filter(F.transform(terms, lambda t: F.instr(where, t) - 1), lambda p: p >= 0)
+    end = F.least(F.length(flat), F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(0)) - limit // 2) + limit)
+    start = F.greatest(F.lit(0), end - limit)
+    return F.concat(F.when(start > 0, F.lit("... ")).otherwise(F.lit("")), F.trim(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), F.lit(" ...")).otherwise(F.lit("")))
 
 
 def frontmatter_block(c: Column) -> Column:

@@ -41,6 +41,29 @@ TAG_LABELS = {
     "tiny-titan": "Tiny Titan",
     "best-agent": "Best Agent",
 }
+ALIASES = {
+    "Best MiniCPM Build": "OpenBMB",
+    "MiniCPM Build": "OpenBMB",
+    "MiniCPM": "OpenBMB",
+    "OpenBMB / MiniCPM": "OpenBMB",
+    "OpenAI": "Codex",
+    "Offbrand": "Off-Brand",
+    "Offgrid": "Off the Grid",
+    "Llama Champion badge": "Llama Champion",
+    "Modal first": "Modal",
+    "Nemotron 3 Nano 4B": "Nemotron",
+    "Nemotron Mini 4B": "Nemotron",
+    "Small model <=4B": "Tiny Titan",
+    "Small model under 4B": "Tiny Titan",
+    "Shareable output": "Sharing is Caring",
+    "Custom UI": "Off-Brand",
+    "Custom interface": "Off-Brand",
+    "Local first": "Off the Grid",
+    "Fine tuned": "Well-Tuned",
+    "Fine tune": "Well-Tuned",
+}
+#: Labels of tracks: a declared track settles both.
+TRACKS = ("Backyard AI", "Thousand Token Wood")
 SOURCES = ("metadata", "rules", "model")
 EVIDENCE_CHARS = 360
 
@@ -54,12 +77,19 @@ class LabelError(ValueError):
 
 
 def declared(tagged: DataFrame, key: str, tags: str, tag_labels: dict[str, str] = TAG_LABELS) -> DataFrame:
-    """(key, label, evidence) for tags of the official map; the first tag of a label counts."""
+    """(key, label, confidence, evidence, source) for tags of the official map; the first tag of a label counts."""
     spark = tagged.sparkSession
     known = spark.createDataFrame(list(tag_labels.items()), "tag string, label string")
     rows = tagged.select(key, F.posexplode(tags).alias("pos", "raw")).withColumn("tag", F.lower(clean(F.col("raw"))))
     first = W.partitionBy(key, "label").orderBy("pos")
-    return rows.join(F.broadcast(known), "tag").withColumn("k", F.row_number().over(first)).where("k = 1").select(key, "label", F.col("raw").alias("evidence"))
+    own = rows.join(F.broadcast(known), "tag").withColumn("k", F.row_number().over(first)).where("k = 1")
+    return own.select(key, "label", F.lit(1.0).alias("confidence"), F.concat(F.lit("official Space tag "), "tag").alias("evidence"), F.lit("metadata").alias("source"))
+
+
+def suppressed(declared_matches: DataFrame, key: str, tracks: tuple[str, ...] = TRACKS) -> DataFrame:
+    """(key, label): rows that declare a track are settled for all tracks."""
+    own = declared_matches.where(F.col("label").isin(*tracks)).select(key).distinct()
+    return own.select(key, F.explode(F.array(*map(F.lit, tracks))).alias("label"))
 
 
 def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -69,26 +99,39 @@ def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return both.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k", "__p")
 
 
-def remaining(rows: DataFrame, matches: DataFrame, key: str, labels: list[str]) -> DataFrame:
-    """(key, labels), those of the label space that a row has no match for, in its order."""
+def remaining(rows: DataFrame, matches: DataFrame, key: str, labels: list[str], settled: DataFrame | None = None) -> DataFrame:
+    """(key, labels), those of the label space that a row has no match for and that aren't settled (key, label), in its order."""
+    matches = matches.select(key, "label") if settled is None else matches.select(key, "label").unionByName(settled.select(key, "label"))
     has = matches.groupBy(key).agg(F.collect_set("label").alias("__has"))
     every = F.array(*map(F.lit, labels))
     return rows.select(key).join(has, key, "left").select(key, F.array_except(every, F.coalesce("__has", F.array().cast("array<string>"))).alias("labels"))
 
 
+def _names(labels: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """The key of every name of a label: its id and label, both behind `Best` and `Best Use of`, and the fixed aliases."""
+    plain = lambda name: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in name.lower().replace("&", " and ")).split())
+    names = {f"{before}{name}": i for i, label in labels for name in (i, label) for before in ("", "Best ", "Best Use of ")}
+    return {plain(name): i for name, i in {**names, **ALIASES}.items()}
+
+
 def canonical(name: Column, labels: tuple[tuple[str, str], ...] = LABELS) -> Column:
-    """X11: the id of an exact id, else of an id or label by its key, also behind `Best` or `Best Use of`, else of an id before ` (` or ` - `; else null."""
+    """X11: the id of an exact id, else of a known name by its key, else of an id, in any case, before ` (` or ` - `; else null."""
     raw = clean(name)
-    key = label_key(raw)
     out = F.lit(None).cast("string")
     for i, _ in reversed(labels):
-        out = F.when(F.lower(raw).startswith(f"{i.lower()} (") | F.lower(raw).startswith(f"{i.lower()} - "), F.lit(i)).otherwise(out)
-    plain = F.regexp_replace(key, "^best (use of )?", "")
-    for i, label in reversed(labels):
-        keys = ["".join(c if c.isalnum() else " " for c in x.lower().replace("&", " and ")).split() for x in (i, label)]
-        names = [" ".join(k) for k in keys]
-        out = F.when(key.isin(names) | plain.isin(names), F.lit(i)).otherwise(out)
-    return F.when(raw.isin([i for i, _ in labels]), raw).otherwise(out)
+        low = F.lower(raw)
+        out = F.when((low == i.lower()) | low.startswith(f"{i.lower()} (") | low.startswith(f"{i.lower()} - "), F.lit(i)).otherwise(out)
+    known = F.create_map(*[F.lit(x) for pair in _names(labels).items() for x in pair])
+    return F.when(raw.isin([i for i, _ in labels]), raw).otherwise(F.coalesce(F.try_element_at(known, label_key(raw)), out))
+
+
+def canonical_all(name: Column, labels: tuple[tuple[str, str], ...] = LABELS) -> Column:
+    """X11, composites: the ids of a name, or of the parts between its slashes if all are known; null if one isn't."""
+    whole = canonical(name, labels)
+    parts = F.filter(F.transform(F.split(clean(name), "/"), lambda p: F.trim(p)), lambda p: p != "")
+    ids = F.transform(parts, lambda p: canonical(p, labels))
+    every = (F.size(parts) > 1) & ~F.exists(ids, lambda i: i.isNull())
+    return F.when(whole.isNotNull(), F.array(whole)).when(every, F.array_distinct(ids))
 
 
 def checked(matches: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Words that name no cluster.
+CLUSTER_STOPWORDS = (
+    "about agent app apps ai all an and are as at before assistant be been being build build-small build-small-hackathon built by demo face for from gradio "
+    "hackathon hugging huggingface in is it its first local make makes made me model models my of on or our one project projects pro region run runs small "
+    "space spaces submission the their them these they this those to tool tools try us use used uses using we with you your"
+).split()
+
 K1, B = 1.35, 0.72
 TITLE_BOOST, SLUG_BOOST = 2.0, 1.4
 DEFAULT_LIMIT, MAX_LIMIT = 12, 30
@@ -60,6 +67,28 @@ def scored(posted: DataFrame, total: int, average: float, terms: list[str], key:
     return rows.groupBy(key).agg(score.alias("score"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("term").alias("t")))), lambda x: x["t"]), 1, 8).alias("matched"))
 
 
+def one_pass(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """M3, M5, A1-A3 for one query: (key, kept columns, score, matched) of every row. Each row counts the terms and its own
+    length in all fields; one aggregate row has the corpus's counts; no token is shuffled. `matched`: sorted, at most 8."""
+    unique = list(dict.fromkeys(terms))
+    words = docs.select(key, *keep, *[tokens(F.col(f)).alias(f"__f{i}") for i, f in enumerate(fields)])
+    own = [f"__f{i}" for i in range(len(fields))]
+    weighted = lambda count: sum((w * count(F.col(f)) for f, w in zip(own, fields.values(), strict=True)), F.lit(0.0))
+    tf = [weighted(lambda c, t=t: F.size(F.filter(c, lambda x: x == t))).alias(f"__t{i}") for i, t in enumerate(unique)]
+    rows = words.select(key, *keep, weighted(F.size).alias("__length"), *tf)
+    some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("__length") > 0, F.col("__length"))).alias("average"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"df{i}") for i in range(len(unique))]).first()
+    one = lambda i: F.when(F.col(f"__t{i}") > 0, term_score(F.col(f"__t{i}"), F.lit(some[f"df{i}"]), F.lit(float(some["n"])), F.col("__length"), F.lit(some["average"] or 1.0))).otherwise(0.0)
+    matched = F.slice(F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"__t{i}") > 0, F.lit(t)) for i, t in enumerate(unique)]))), 1, 8) if unique else F.array().cast("array<string>")
+    return rows.select(key, *keep, sum((one(i) for i in range(len(unique))), F.lit(0.0)).alias("score"), matched.alias("matched"))
+
+
+def snippets(fields: dict[str, Column], terms: list[str], tokens, cut) -> Column:
+    """(source, text) of the first two fields, in their order, that share a token with the query."""
+    wanted = F.array(*map(F.lit, terms))
+    found = [F.when(F.arrays_overlap(tokens(c), wanted), F.struct(F.lit(f).alias("source"), cut(c, wanted).alias("text"))) for f, c in fields.items()]
+    return F.slice(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["text"] != "")), 1, 2)
+
+
 def ranked(hits: DataFrame, docs: DataFrame, key: str, likes: str, title: str, limit: int, boost: Column | None = None) -> DataFrame:
     """Boosts added for documents with or without matching terms, positive scores kept, ordered by score, likes and
     folded title, all falling, then the key; scores divided by the best; `total` counts hits before the limit."""
@@ -72,18 +101,32 @@ def ranked(hits: DataFrame, docs: DataFrame, key: str, likes: str, title: str, l
 
 
 def phrase_boost(query: str, title: Column, slug: Column) -> Column:
-    """the whole query within the public title, or within the slug with spaces for dashes."""
+    """the whole query within the public title, or within the slug with spaces for - and _."""
     q = query.casefold()
-    return F.when(F.lower(title).contains(q), F.lit(TITLE_BOOST)).otherwise(0.0) + F.when(F.lower(F.replace(slug, F.lit("-"), F.lit(" "))).contains(q), F.lit(SLUG_BOOST)).otherwise(0.0)
+    return F.when(F.lower(title).contains(q), F.lit(TITLE_BOOST)).otherwise(0.0) + F.when(F.lower(F.translate(slug, "-_", "  ")).contains(q), F.lit(SLUG_BOOST)).otherwise(0.0)
+
+
+def names_clusters(term: Column) -> Column:
+    """terms that may name a cluster: no stopword, no hosting region, no number."""
+    return ~term.isin(CLUSTER_STOPWORDS) & ~term.startswith("region") & ~term.rlike(r"(?U)^\d+$")
 
 
 def distinctive_keywords(terms: DataFrame, cluster: str, key: str, total: int, sizes: DataFrame, most: int = 5) -> DataFrame:
-    """M6: (cluster, term, score, rank) for the terms that set a cluster apart. `terms`: (cluster, key, term, n)."""
-    df = terms.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    own = terms.groupBy(cluster, "term").agg(F.sum("n").alias("tf"), F.count_distinct(key).alias("docs"))
-    rows = own.join(df, "term").join(sizes.select(cluster, "members"), cluster)
+    """M6: (cluster, term, score, rank) for the terms that set a cluster apart. `terms`: (cluster, key, term, n), a key being in one cluster, so that the corpus's counts are sums over clusters."""
+    own = terms.where(names_clusters(F.col("term"))).groupBy(cluster, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
+    rows = own.withColumn("df", F.sum("docs").over(W.partitionBy("term"))).join(sizes.select(cluster, "members"), cluster)
     weight = F.log((1 + F.lit(total)) / (1 + F.col("df")))
     score = (1 + F.log("tf")) * weight * (0.35 + 0.65 * F.col("docs") / F.col("df")) * (0.35 + 0.65 * F.col("docs") / F.col("members"))
     kept = rows.where((F.col("docs") >= F.when(F.col("members") <= 3, 1).otherwise(2)) & (weight > 0)).withColumn("score", score)
     by = W.partitionBy(cluster).orderBy(F.desc("score"), F.desc("docs"), F.desc("tf"), "term")
     return kept.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select(cluster, "term", "tf", "docs", "df", "score", "rank")
+
+
+def cluster_labels(keywords: DataFrame, representatives: DataFrame, cluster: str, title: str) -> DataFrame:
+    """M7: (cluster, label): the two best keywords in title case, else the titles of the two first representatives (cluster, rank, title) that have one, else `Mixed projects`."""
+    joined = lambda rows, value: rows.groupBy(cluster).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda x: x["v"]), 1, 2), " / ").alias("label"))
+    by_word = joined(keywords.where("rank <= 2"), F.initcap(F.col("term")))
+    named = representatives.where(F.col(title) != "Untitled project")
+    by_title = joined(named, F.col(title)).withColumnRenamed("label", "titles")
+    every = representatives.select(cluster).distinct().join(by_word, cluster, "left").join(by_title, cluster, "left")
+    return every.select(cluster, F.coalesce("label", "titles", F.lit("Mixed projects")).alias("label"))

@@ -1,5 +1,8 @@
 """DuckDB SQL for the named queries that SQL can express."""
 
+from corvane.operators.labels import LABELS
+from corvane.operators.search import CLUSTER_STOPWORDS
+
 TOKENS = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9.+_-]*'), lambda x: trim(lower(x), '._-+')), lambda x: length(x) > 1)"
 CLEAN = r"trim(regexp_replace(coalesce({}, ''), '[\s\v\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 POST = f"tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"
@@ -21,6 +24,37 @@ for _p, _r in _SECRETS:
 MARKERS = "(" + " + ".join(f"(length(html) - length(replace(html, '{m}', ''))) // {len(m)}" for m in ("{", "}", ";", "!important", "rgba(", "linear-gradient")) + ")"
 SIGNAL = CLEAN.format("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')")
 
+KEYWORD = "term NOT IN ({}) AND NOT starts_with(term, 'region') AND NOT regexp_full_match(term, '[0-9]+')".format(", ".join(f"'{w}'" for w in CLUSTER_STOPWORDS))
+_END = "least(length({0}), greatest(0, coalesce(list_min(list_filter([strpos(lower({0}), t) - 1 for t in ['the', 'ering', 'tion']], lambda p: p >= 0)), 0) - 85) + 170)"
+SNIPPET = f"(CASE WHEN {_END} > 170 THEN '... ' ELSE '' END || trim(substring({{0}}, greatest(0, {_END} - 170) + 1, least({_END}, 170))) || CASE WHEN {_END} < length({{0}}) THEN ' ...' ELSE '' END)"
+CLUSTERS = f"""
+        pr AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text, n_chars, source, lang, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS raw FROM documents JOIN embeddings ON doc_id = vec_id),
+        z AS (SELECT raw, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM pr GROUP BY 1),
+        ids AS (SELECT *, 'cluster-' || row_number() OVER (ORDER BY n DESC, cx, cy) AS cluster_id FROM z),
+        named AS (SELECT *, CASE WHEN {CLEAN.format('title')} = '' THEN 'Untitled project' ELSE {CLEAN.format('title')} END AS shown FROM pr)"""
+
+_SAFE = REDACTED.replace("text", "@", 1)
+_CUT = "CASE WHEN length({0}) > {1} THEN left({0}, {1} - length(chr(10) || '[truncated ' || (length({0}) - {1}) || ' chars before privacy filtering]')) || chr(10) || '[truncated ' || (length({0}) - {1}) || ' chars before privacy filtering]' ELSE {0} END"
+RECORDS = f"""
+        r AS (SELECT conv_id, turn, role, replace(text || ' API_KEY=abc, at /home/me/x', '/home/me', '~') AS m0, text AS o0 FROM conversations),
+        u AS (SELECT conv_id, turn, role, {_SAFE.replace('@', 'm0')} AS m, {_SAFE.replace('@', 'o0')} AS o FROM r),
+        rec AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'session_meta' WHEN role = 'user' THEN 'event_msg' ELSE 'response_item' END AS type,
+          CASE WHEN turn = 0 THEN '{{"cwd":"~/work","git":{{"branch":"main","n":3}},"id":"' || conv_id || '"}}'
+            WHEN role = 'user' THEN '{{"images":[' || to_json(o) || ',"TOKEN=[REDACTED_SECRET]"],"message":' || to_json({_CUT.format('m', 300)}) || ',"type":"user_message"}}'
+            WHEN role = 'system' THEN NULL
+            ELSE '{{"name":"look","output":' || to_json({_CUT.format('o', 120)}) || ',"type":"function_call_output"}}' END AS public,
+          CASE WHEN turn = 0 THEN 0 WHEN role = 'user' THEN 3 WHEN role = 'system' THEN 0 ELSE 1 END AS texts,
+          CASE WHEN turn = 0 OR role = 'system' THEN 0 WHEN role = 'user' THEN greatest(0, length(m) - 300) ELSE greatest(0, length(o) - 120) END AS omitted FROM u)"""
+TRAIN = """
+        l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1),
+        n AS (SELECT doc_id, 'natural' AS variant, 'doc ' || doc_id AS title, source || ',' || lang AS tags, md5(left({0}, 3000)) AS readme, 'app' AS app, coalesce(q, 0) = 1 AS a, coalesce(x, 0) = 1 AS b FROM documents JOIN l USING (doc_id)),
+        every AS (FROM n UNION ALL (SELECT doc_id, 'app_only', title, tags, md5('(no README description provided)'), app, a, false FROM n WHERE a ORDER BY doc_id LIMIT 16)
+          UNION ALL (SELECT doc_id, 'missing_app_file', title, tags, readme, '(no app file available)', false, b FROM n WHERE b ORDER BY doc_id LIMIT 16)
+          UNION ALL (SELECT doc_id, 'noisy_metadata', title || ' ::: TODO copy of template (do not read title)', tags || ',asdf123,xx,region:us,untitled,draft', readme, app, a, b FROM n WHERE a OR b ORDER BY a::INTEGER + b::INTEGER DESC, doc_id LIMIT 8)),
+        ex AS (SELECT *, a::INTEGER + b::INTEGER AS k, '{{"matches":[' || CASE WHEN b THEN '{{"quest":"Modal","confidence":0.75,"evidence":"toxic","source":"readme"}}' ELSE '' END || CASE WHEN a AND b THEN ',' ELSE '' END
+          || CASE WHEN a THEN '{{"quest":"Codex","confidence":0.5,"evidence":"quality","source":"app_file"}}' ELSE '' END || ']}}' AS completion FROM every),
+        sums AS (SELECT 'total' AS what, 'rows' AS name, count(*) AS n FROM ex UNION ALL SELECT 'total', 'empty', count(*) FILTER (k = 0) FROM ex UNION ALL SELECT 'variant', variant, count(*) FROM ex GROUP BY variant)""".format(CLEAN.format("text"))
+
 ORACLE_SQL = {
     "bm25_search": f"""
         WITH {POST}, l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
@@ -37,13 +71,13 @@ ORACLE_SQL = {
         s AS (SELECT avg(len) AS average, (SELECT count(*) FROM documents) AS n FROM l),
         f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
         q(term, o) AS (VALUES ('ering', 1), ('tion', 2), ('with', 3))
-        SELECT doc_id, round(sum({BM25}), 6) AS score, string_agg(term, ',' ORDER BY o) AS matched
+        SELECT doc_id, round(sum({BM25}), 6) AS score, string_agg(term, ',' ORDER BY term) AS matched
         FROM post JOIN f USING (term) JOIN l USING (doc_id) JOIN q USING (term), s GROUP BY doc_id ORDER BY sum({BM25}) DESC, doc_id LIMIT 10""",
     "doc_frequency": f"WITH {POST} SELECT term, count(*) AS df FROM post GROUP BY 1",
     "weighted_tf": f"WITH {POST} SELECT doc_id, term, tf::DOUBLE AS tf FROM post",
     "distinctive_keywords": f"""
         WITH tok AS (SELECT lang, doc_id, unnest({TOKENS}) AS term FROM documents),
-        p AS (SELECT lang, doc_id, term, count(*) AS n FROM tok GROUP BY ALL),
+        p AS (SELECT lang, doc_id, term, count(*) AS n FROM tok WHERE {KEYWORD} GROUP BY ALL),
         d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
         o AS (SELECT lang, term, sum(n) AS tf, count(*) AS docs FROM p GROUP BY ALL),
         z AS (SELECT lang, count(*) AS members FROM documents GROUP BY 1),
@@ -56,11 +90,12 @@ ORACLE_SQL = {
     "corpus_overview": "SELECT count(*) AS rows, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars >= 2000) AS long, count(*) FILTER (trim(text) = '') AS blank FROM documents",
     "coverage_order": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "knn_search": f"""
-        WITH v AS (SELECT vec_id AS id, {UNIT} AS v FROM embeddings)
-        SELECT id, round(s, 6) AS score FROM (SELECT a.id, greatest(0, least(1, (list_inner_product(a.v, b.v) + 1) / 2)) AS s FROM v a, v b WHERE b.id = 0) ORDER BY s DESC, id LIMIT 5""",
+        WITH v AS (SELECT vec_id AS id, {UNIT} AS v FROM embeddings),
+        p AS (SELECT a.id AS id, b.id AS other, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.id % 20 = 0 AND a.id <> b.id)
+        SELECT id, other, round(greatest(0, least(1, (s + 1) / 2)), 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other DESC) <= 5""",
     "gap_rank": f"""
         WITH v AS (SELECT vec_id AS id, {UNIT} AS v FROM embeddings),
-        p AS (SELECT a.id AS seed, b.id, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.id < 10 AND a.id <> b.id),
+        p AS (SELECT a.id AS seed, b.id, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.id % 20 = 0 AND a.id <> b.id),
         k AS (SELECT seed, greatest(0, least(1, (s + 1) / 2)) AS s FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY p.s DESC, id DESC) <= 3),
         g AS (SELECT seed, avg(s) AS a FROM k GROUP BY 1)
         SELECT seed, round(a, 6) AS saturation, round(greatest(0, least(1, 1 - greatest(0, a - 0.35) / 0.60)), 6) AS gap FROM g""",
@@ -85,7 +120,7 @@ ORACLE_SQL = {
         SELECT tp, fp, fn, exact, n, round(a, 6) AS precision, round(b, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS f1 FROM q""",
     "declared_labels": """
         WITH k(tag, label) AS (VALUES ('src0', 'zero'), ('src1', 'one'), ('fr', 'french'), ('es', 'spanish'))
-        SELECT DISTINCT doc_id, label, tag AS evidence FROM documents, k WHERE tag = source OR tag = lang""",
+        SELECT DISTINCT doc_id, label, 1.0::DOUBLE AS confidence, 'official Space tag ' || tag AS evidence, 'metadata' AS source FROM documents, k WHERE tag = documents.source OR tag = lang""",
     "merge_labels": f"""
         WITH {MATCHES}, u AS (SELECT doc_id, 'quality' AS label, 1.0::DOUBLE AS confidence, 0 AS p FROM documents WHERE lang = 'fr' UNION ALL SELECT *, 1 FROM m)
         SELECT doc_id, label, confidence FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY p) = 1""",
@@ -100,19 +135,22 @@ ORACLE_SQL = {
     "frontmatter_fields": "SELECT doc_id, 'Doc ' || doc_id AS title, lang, length(trim(text)) AS n FROM documents",
     "secret_redaction": f"SELECT doc_id, md5({REDACTED}) AS digest, {REDACTED} <> text AS changed FROM documents",
     "truncate_fields": """
-        SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN left(left(text, greatest(0, 120 - length(mark))) || mark, 120) ELSE text END AS text, greatest(0, length(text) - 120)::INTEGER AS omitted
-        FROM (SELECT *, chr(10) || '[truncated, ' || (length(text) - 120) || ' characters omitted]' AS mark FROM conversations)""",
+        SELECT conv_id, turn, CASE WHEN n > 0 THEN left(text, 120 - length(mark)) || mark ELSE text END AS text, greatest(0, n)::INTEGER AS omitted
+        FROM (SELECT *, length(text) - 120 AS n, chr(10) || '[truncated ' || (length(text) - 120) || ' chars before privacy filtering]' AS mark FROM conversations)""",
     "clip_titles": f"""
         SELECT doc_id, CASE WHEN length(c) <= 40 THEN c ELSE rtrim(left(c, 40)) || ' ...' END AS title
         FROM (SELECT doc_id, CASE WHEN t = '' THEN 'Untitled project' ELSE t END AS c FROM (SELECT doc_id, {CLEAN.format("split_part(text, chr(10), 1)")} AS t FROM documents))""",
     "search_snippets": f"""
         WITH c AS (SELECT doc_id, {CLEAN.format('text')} AS f FROM documents),
-        p AS (SELECT *, coalesce(list_min(list_filter([strpos(lower(f), 'with') - 1, strpos(lower(f), 'ering') - 1], lambda x: x >= 0)), 0) AS a FROM c),
-        e AS (SELECT *, greatest(0, a - 85) AS s, least(length(f), greatest(0, a - 85) + 170) AS z FROM p)
-        SELECT doc_id, CASE WHEN length(f) <= 170 THEN f ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || trim(substring(f, s + 1, z - s)) || (CASE WHEN z < length(f) THEN '...' ELSE '' END) END AS snippet FROM e""",
-    "history_tail": """
-        WITH h AS (SELECT conv_id, turn, role, CASE WHEN length(trim(text)) <= 80 THEN trim(text) ELSE rtrim(left(trim(text), 80)) || ' ...' END AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')
-        SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""",
+        p AS (SELECT *, CASE WHEN contains(lower(f), 'with') THEN strpos(lower(f), 'with') - 1 END AS a, CASE WHEN contains(lower(f), 'ering') THEN strpos(lower(f), 'ering') - 1 END AS b FROM c),
+        e AS (SELECT *, least(length(f), greatest(0, coalesce(least(a, b), 0) - 85) + 170) AS z FROM p)
+        SELECT doc_id, CASE WHEN z > 170 THEN '... ' ELSE '' END || trim(substring(f, greatest(0, z - 170) + 1, least(z, 170))) || CASE WHEN z < length(f) THEN ' ...' ELSE '' END AS snippet FROM e""",
+    "history_tail": f"""
+        WITH h AS (SELECT conv_id, turn, role, left({CLEAN.format('text')}, 80) AS text FROM conversations WHERE role IN ('user', 'assistant') AND {CLEAN.format('text')} <> ''),
+        m AS (SELECT *, role = 'assistant' AND coalesce(text = lead(text) OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn), false) AS echo, count(*) FILTER (role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM h),
+        e AS (SELECT *, bool_or(echo) OVER (PARTITION BY conv_id, run) AS echoed FROM m),
+        k AS (SELECT conv_id, turn, role, text FROM e WHERE NOT CASE WHEN role = 'assistant' THEN echo ELSE echoed END)
+        SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""",
     "near_duplicates": "SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first",
     "length_floor": "SELECT doc_id, length(trim(text)) AS n FROM documents WHERE length(trim(text)) >= 400",
     "text_digest": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
@@ -141,7 +179,7 @@ ORACLE_SQL = {
           count(*) FILTER (event_type = 'click') AS tools, bool_or(event_type = 'purchase') AS fell_back FROM events GROUP BY 1""",
     "session_stats": """
         SELECT user_id, count(*) AS records, count(*) FILTER (value >= 50) AS published, count(*) - count(*) FILTER (value >= 50) AS dropped,
-          strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY 1""",
+          strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY 1""",
     "selected_sessions": """
         SELECT conv_id, arg_min(r, turn) AS reason FROM (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'with') THEN 'with' WHEN contains(lower(text), 'ering') THEN 'ering' WHEN contains(lower(text), 'de la') THEN 'de la' END AS r FROM conversations)
         WHERE r IS NOT NULL GROUP BY 1""",
@@ -184,4 +222,57 @@ ORACLE_SQL = {
     "filled_session_ids": """
         WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) END AS size FROM conversations)
         SELECT conv_id, turn, arg_max(size, turn) FILTER (size IS NOT NULL) OVER (PARTITION BY conv_id) AS size FROM r""",
+    "dedupe_echoes": """
+        WITH h AS (SELECT conv_id, turn, role, text FROM conversations),
+        m AS (SELECT *, role = 'assistant' AND coalesce(text = lead(text) OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn), false) AS echo, count(*) FILTER (role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM h),
+        e AS (SELECT *, bool_or(echo) OVER (PARTITION BY conv_id, run) AS echoed FROM m),
+        k AS (SELECT conv_id, turn, role, text FROM e WHERE NOT CASE WHEN role = 'assistant' THEN echo ELSE echoed END)
+        SELECT * FROM k""",
+    "search_full": f"""
+        WITH dd AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS title, source || ' ' || lang AS tags, source || '-doc_' || doc_id AS slug, n_chars FROM documents),
+        tok AS (SELECT doc_id, 4.0::DOUBLE AS w, unnest({TOKENS.replace('text', 'title')}) AS term FROM dd UNION ALL SELECT doc_id, 3.2::DOUBLE, unnest({TOKENS.replace('text', 'slug')}) FROM dd
+          UNION ALL SELECT doc_id, 2.0::DOUBLE, unnest({TOKENS.replace('text', 'tags')}) FROM dd UNION ALL SELECT doc_id, 0.9::DOUBLE, unnest({TOKENS}) FROM dd),
+        post AS (SELECT doc_id, term, sum(w) AS tf FROM tok GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
+        s AS (SELECT avg(len) AS average, (SELECT count(*) FROM documents) AS n FROM l), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+        hit AS (SELECT doc_id, sum({BM25}) AS score, string_agg(term, ',' ORDER BY term) AS matched FROM post JOIN f USING (term) JOIN l USING (doc_id), s WHERE term IN ('the', 'ering', 'tion') GROUP BY doc_id),
+        r AS (SELECT dd.*, coalesce(score, 0) + CASE WHEN contains(lower(title), 'src0 doc') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(translate(slug, '-_', '  ')), 'src0 doc') THEN 1.4 ELSE 0 END AS raw, coalesce(matched, '') AS matched FROM dd LEFT JOIN hit USING (doc_id)),
+        g AS (SELECT *, count(*) OVER () AS total, max(raw) OVER () AS best FROM r WHERE raw > 0),
+        top AS (SELECT * FROM g ORDER BY raw DESC, n_chars DESC, lower(title) DESC, doc_id LIMIT 12),
+        c AS (SELECT *, {CLEAN.format('title')} AS a, {CLEAN.format('text')} AS b, len(list_intersect({TOKENS.replace('text', 'title')}, ['the', 'ering', 'tion'])) > 0 AS in_a, len(list_intersect({TOKENS}, ['the', 'ering', 'tion'])) > 0 AS in_b FROM top),
+        e AS (SELECT *, {SNIPPET.format('a')} AS sa, {SNIPPET.format('b')} AS sb FROM c)
+        SELECT doc_id, round(raw / best, 6) AS score, round(raw, 6) AS raw_score, total, matched,
+          to_json(list_filter([CASE WHEN in_a AND sa <> '' THEN {{'source': 'Title', 'text': sa}} END, CASE WHEN in_b AND sb <> '' THEN {{'source': 'README', 'text': sb}} END], lambda x: x IS NOT NULL))::VARCHAR AS snippets FROM e""",
+    "dashboard_clusters": f"""
+        WITH {CLUSTERS}, tok AS (SELECT raw, doc_id, unnest({TOKENS.replace('text', 'title')}) AS term FROM pr),
+        p AS (SELECT raw, doc_id, term, count(*) AS n FROM tok WHERE {KEYWORD} GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+        o AS (SELECT raw, term, sum(n) AS tf, count(*) AS docs FROM p GROUP BY ALL),
+        k AS (SELECT raw, term, tf, docs, df, n AS members, ln((1 + (SELECT count(*) FROM pr)) / (1 + df)) AS w FROM o JOIN d USING (term) JOIN z USING (raw)),
+        r AS (SELECT *, (1 + ln(tf)) * w * (0.35 + 0.65 * docs / df) * (0.35 + 0.65 * docs / members) AS s FROM k WHERE docs >= CASE WHEN members <= 3 THEN 1 ELSE 2 END AND w > 0),
+        q AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, docs DESC, tf DESC, term) AS rank FROM r QUALIFY rank <= 5),
+        kw AS (SELECT raw, string_agg(term, ',' ORDER BY rank) AS keywords, string_agg(upper(left(term, 1)) || substring(term, 2), ' / ' ORDER BY rank) FILTER (rank <= 2) AS label FROM q GROUP BY 1),
+        b AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY n_chars DESC, source DESC, lower(title) DESC, doc_id DESC) AS rank FROM named QUALIFY rank <= 4),
+        t1 AS (SELECT raw, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS representatives FROM b GROUP BY 1),
+        t2 AS (SELECT raw, string_agg(shown, ' / ' ORDER BY k) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY rank) AS k FROM b WHERE shown <> 'Untitled project' QUALIFY k <= 2) GROUP BY 1)
+        SELECT cluster_id, coalesce(label, titles, 'Mixed projects') AS label, coalesce(keywords, '') AS keywords, n AS project_count, round(cx, 4) AS x, round(cy, 4) AS y, representatives
+        FROM ids LEFT JOIN kw USING (raw) LEFT JOIN t2 USING (raw) JOIN t1 USING (raw)""",
+    "dashboard_points": f"""
+        WITH {CLUSTERS}, {MATCHES}, own AS (SELECT doc_id, string_agg(label, ',' ORDER BY confidence DESC, label) AS q FROM m GROUP BY 1)
+        SELECT doc_id, shown AS title, md5({CLEAN.format('text')}) AS summary, n_chars AS likes, source || ',' || lang AS tags, round(x, 6) AS x, round(y, 6) AS y, cluster_id, coalesce(q, '') AS quest_ids
+        FROM named JOIN ids USING (raw) LEFT JOIN own USING (doc_id)""",
+    "labelled_points": f"""
+        WITH {CLUSTERS}, {MATCHES} SELECT DISTINCT doc_id, n_chars AS likes, cluster_id FROM pr JOIN ids USING (raw) JOIN m USING (doc_id) WHERE cluster_id = 'cluster-1' ORDER BY n_chars DESC, doc_id LIMIT 12""",
+    "public_records": f"WITH {RECORDS} SELECT conv_id, turn, type, public, texts, (omitted > 0)::INTEGER AS cut, omitted FROM rec",
+    "publication_manifest": f"WITH {RECORDS} SELECT count(DISTINCT conv_id) AS sessions, count(*) AS records, count(public) AS published, count(*) - count(public) AS dropped, sum(texts)::BIGINT AS texts, count(*) FILTER (omitted > 0) AS truncated_fields, sum(omitted)::BIGINT AS omitted_chars FROM rec",
+    "redaction_totals": "SELECT role, sum(length(regexp_replace(text, '[^A-Z]', '', 'g')))::BIGINT AS capitals, sum(length(regexp_replace(text, '[^0-9]', '', 'g')))::BIGINT AS digits FROM conversations GROUP BY 1",
+    "sft_branches": f"WITH {TRAIN} SELECT doc_id, variant, title, tags, readme, app, completion FROM ex",
+    "sft_counts": f"WITH {TRAIN} FROM sums UNION ALL SELECT 'label', v.name, CASE v.name WHEN 'Codex' THEN (SELECT count(*) FROM ex WHERE a) WHEN 'Modal' THEN (SELECT count(*) FROM ex WHERE b) ELSE 0 END FROM (VALUES {', '.join(f"('{i}')" for i, _ in LABELS)}) v(name)",
+    "sft_lines": f"""
+        WITH {TRAIN}, c AS (FROM sums UNION ALL SELECT 'label', 'Codex', (SELECT count(*) FROM ex WHERE a) UNION ALL SELECT 'label', 'Modal', (SELECT count(*) FROM ex WHERE b) UNION ALL SELECT 'label', 'Nemotron', 0)
+        SELECT 0 AS pos, NULL::BIGINT AS doc_id, NULL::VARCHAR AS variant, '{{"type":"lora_sft_manifest","counts":{{' || string_agg('"' || what || ':' || name || '":' || n, ',' ORDER BY what || ':' || name) || '}}}}' AS line FROM c
+        UNION ALL SELECT 1, doc_id, variant, '{{"type":"lora_sft_example","doc_id":' || doc_id || ',"variant":"' || variant || '","match_count":' || k || ',"completion":' || to_json(completion) || '}}' FROM ex""",
+    "sft_violations": """
+        SELECT doc_id, 'natural' AS variant, CASE WHEN doc_id % 3 = 0 THEN 'remote inference, yet Off the Grid' ELSE 'OpenBMB without a model of its family' END AS problem FROM documents WHERE doc_id % 2 = 0""",
+    "app_segments": """
+        WITH a AS (SELECT doc_id, left('from gradio import Blocks' || chr(10) || 'from torch.nn import Linear' || chr(10) || chr(10) || text || chr(10) || 'from gradio import Blocks' || chr(10) || 'from gradio import Blocks' || chr(10) || '  from torch.nn import Linear', 3800) AS head, 'org/model-' || doc_id AS own FROM documents)
+        SELECT doc_id, md5(head || chr(10) || chr(10) || 'ASSETS: acme/x.y, ' || own) AS digest FROM a""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.python_text import correct_aliases, folded
-from corvane.operators import etl, exports, incremental, labels, repository, scoring, search, vectors
+from corvane.operators import dashboard, etl, exports, incremental, labels, publication, repository, scoring, search, training_rows, vectors
 from corvane.streaming import turns
 
 BM25_QUERY = "the ering tion and with"
@@ -54,12 +54,55 @@ def bm25_search(spark, d):
 def bm25_fields(spark, d):
     """M3 M5 A2: two weighted fields, the first line as the title and the whole text; the ten best."""
     docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
-    posted = search.postings(docs, "doc_id", {"title": 4.0, "text": 0.9}, T.tokens)
-    lengths = search.lengths(posted, "doc_id").agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("n")).first()
-    hits = search.scored(posted, docs.count(), lengths["average"] or 1.0, ["ering", "tion", "with"], "doc_id")
+    hits = search.one_pass(docs, "doc_id", {"title": 4.0, "text": 0.9}, ["ering", "tion", "with"], T.tokens).where("score > 0")
     return hits.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
 
 
+@query
+def search_full(spark, d):
+    """All fields, boosts for the whole phrase, the twelve best with their share of the best score, the number of hits, and snippets."""
+    phrase = "the ering tion"
+    docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.concat_ws(" ", "source", "lang").alias("tags"), F.concat("source", F.lit("-doc_"), F.col("doc_id").cast("string")).alias("slug"), F.col("n_chars").alias("likes"))
+    fields = {"title": search.FIELDS["Title"], "slug": search.FIELDS["Space"], "tags": search.FIELDS["Tags"], "text": search.FIELDS["README"]}
+    terms = phrase.split()
+    hits = search.one_pass(docs, "doc_id", fields, terms, T.tokens)
+    found = search.ranked(hits, docs, "doc_id", "likes", "title", 12, search.phrase_boost("src0 doc", F.col("title"), F.col("slug")))
+    shown = search.snippets({"Title": F.col("title"), "README": F.col("text")}, terms, T.tokens, T.snippet)
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "total", F.array_join("matched", ",").alias("matched"), F.to_json(shown).alias("snippets"))
+
+
+def _projects(spark, d):
+    """Documents as projects that an embedding of the same id places on the map."""
+    docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.col("n_chars").alias("likes"), F.array("source", "lang", F.lit("region:us")).alias("tags"), F.col("source").alias("last_modified"))
+    layout = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").alias("raw"))
+    return dashboard.placed(docs, layout, "doc_id")
+
+
+@query
+def dashboard_clusters(spark, d):
+    """C2 A5 M6 M7 M9 W2"""
+    out = dashboard.clusters(_projects(spark, d), "doc_id", T.tokens(F.col("title")))
+    return out.select("cluster_id", "label", F.array_join("keywords", ",").alias("keywords"), "project_count", "x", "y", F.array_join(F.transform("representatives", lambda x: x.cast("string")), ",").alias("representatives"))
+
+
+@query
+def dashboard_points(spark, d):
+    """Points, after the checks of a payload."""
+    rows = _projects(spark, d)
+    ids = dashboard.cluster_ids(rows)
+    shown = dashboard.points(rows, ids, _matches(spark, d), "doc_id")
+    dashboard.check(shown, ids, rows.select(F.col("doc_id").alias("source"), F.col("doc_id").alias("target")), "doc_id")
+    return shown.select("doc_id", "title", F.md5("summary").alias("summary"), "likes", F.array_join("tags", ",").alias("tags"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster_id", F.array_join("quest_ids", ",").alias("quest_ids"))
+
+
+@query
+def labelled_points(spark, d):
+    """The most liked points of the first cluster that have a label."""
+    rows = _projects(spark, d)
+    shown = dashboard.points(rows, dashboard.cluster_ids(rows), _matches(spark, d), "doc_id").where(F.size("quest_ids") > 0)
+    return dashboard.labelled_points(dashboard.visible(shown, cluster="cluster-1"), "doc_id").select("doc_id", "likes", "cluster_id")
+
+
 @query
 def doc_frequency(spark, d):
     """A1"""
@@ -127,17 +170,17 @@ def _vectors(spark, d):
 
 @query
 def knn_search(spark, d):
-    """The five rows nearest to row 0."""
+    """The five rows nearest to every row whose id is divisible by 20."""
     rows = _vectors(spark, d)
-    first = rows.where("id = 0").first()
-    return vectors.search(rows, list(first["vec"]), "id", "vec", limit=5).select("id", F.round("score", 6).alias("score"))
+    best = vectors.top_pairs(rows.where("id % 20 = 0"), rows, 5)
+    return best.select("id", "other", F.round(vectors.affine(F.col("score")), 6).alias("score"))
 
 
 @query
 def gap_rank(spark, d):
-    """Ten seeds against all rows."""
+    """Every row whose id is divisible by 20 as a seed against all rows."""
     rows = _vectors(spark, d)
-    best = vectors.top_pairs(rows.where("id < 10"), rows, 3)
+    best = vectors.top_pairs(rows.where("id % 20 = 0"), rows, 3)
     scored = best.select(F.col("id").alias("seed"), vectors.affine(F.col("score")).alias("score"))
     return vectors.gap_scores(scored, "seed").select("seed", F.round("saturation", 6).alias("saturation"), F.round("gap", 6).alias("gap"))
 
@@ -184,9 +227,8 @@ def pca_layout(spark, d):
 
 @query
 def tsne_layout(spark, d):
-    """M10. t-SNE holds all pairs in one task, so above 5000 rows this is the PCA layout at the same scale."""
-    rows = _vectors(spark, d)
-    return vectors.tsne_layout(rows) if rows.count() <= 5000 else vectors.pca_layout(rows, 3, 97, 4)
+    """M10. t-SNE holds all pairs in one task, so it refuses more than 5000 rows."""
+    return vectors.tsne_layout(_vectors(spark, d))
 
 
 def _matches(spark, d):
@@ -245,9 +287,9 @@ def remaining_labels(spark, d):
 @query
 def canonical_labels(spark, d):
     """X11 P27 over the names of the label space, written in other ways."""
-    names = [x for i, label in labels.LABELS for x in (i, label.upper(), f"Best Use of {i}", f"{i} (track)", i.replace(" ", "--"), f"not {i}")]
-    rows = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
-    return rows.select("pos", "name", labels.canonical(F.col("name")).alias("label"))
+    names = [x for i, label in labels.LABELS for x in (i, label.upper(), f"Best Use of {i}", f"{i} (track)", i.replace(" ", "--"), f"not {i}", f"{label} / Codex", f"{label} / not {i}")]
+    rows = spark.createDataFrame(list(enumerate([*names, *labels.ALIASES])), "pos int, name string")
+    return rows.select("pos", "name", F.array_join(labels.canonical_all(F.col("name")), ",").alias("label"))
 
 
 @query
@@ -430,7 +472,7 @@ def turn_profile(spark, d):
 def session_stats(spark, d):
     """A13"""
     ev = t(spark, d, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return etl.session_stats(ev, "user_id", "at", F.coalesce(F.col("value") >= 50, F.lit(False)))
+    return etl.session_stats(ev, "user_id", "event_id", "at", F.coalesce(F.col("value") >= 50, F.lit(False)))
 
 
 @query
@@ -519,3 +561,84 @@ def filled_session_ids(spark, d):
     """The last known value of a conversation on all its turns."""
     rows = t(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.length("text")).alias("size"))
     return etl.filled_ids(rows, "conv_id", "turn", "size")
+
+
+def _session_records(spark, d):
+    """Conversations as session logs: what the system says is no call, first turns begin a session, users' are messages, all others call."""
+    rows = t(spark, d, "conversations")
+    secret = F.concat("text", F.lit(" API_KEY=abc, at /home/me/x"))
+    json = lambda *fields: F.to_json(F.struct(*fields))
+    payload = (
+        F.when(F.col("turn") == 0, json(F.col("conv_id").cast("string").alias("id"), F.lit("/home/me/work").alias("cwd"), F.lit(1).alias("extra"), F.struct(F.lit("main").alias("branch"), F.lit(3).alias("n")).alias("git")))
+        .when(F.col("role") == "user", json(F.lit("user_message").alias("type"), secret.alias("message"), F.array("text", F.lit("TOKEN: x")).alias("images"), F.lit(True).alias("private")))
+        .when(F.col("role") == "system", json(F.lit("message").alias("type"), F.col("text").alias("content")))
+        .otherwise(json(F.lit("function_call_output").alias("type"), F.lit("look").alias("name"), F.col("text").alias("output"), F.lit("x").alias("hidden")))
+    )
+    kind = F.when(F.col("turn") == 0, "session_meta").when(F.col("role") == "user", "event_msg").otherwise("response_item")
+    return publication.public_records(rows.select("conv_id", "turn", kind.alias("type"), payload.alias("payload")), "type", "payload", (("/home/me", "~"),), {**publication.CAPS, "message": 300, "tool_output": 120})
+
+
+@query
+def public_records(spark, d):
+    """F7 X5 P32 P33 A24"""
+    return _session_records(spark, d).select("conv_id", "turn", "type", "public", "texts", "cut", "omitted")
+
+
+@query
+def publication_manifest(spark, d):
+    """K5 A12"""
+    return publication.manifest(_session_records(spark, d), "conv_id")
+
+
+@query
+def redaction_totals(spark, d):
+    """Digits and capitals of all turns of a role as if they were kinds of redactions."""
+    rows = t(spark, d, "conversations").select("role", F.create_map(F.lit("capitals"), F.regexp_count("text", F.lit("[A-Z]")), F.lit("digits"), F.regexp_count("text", F.lit("[0-9]"))).alias("found"))
+    out = publication.merged_counts(rows, "role", "found")
+    return out.select("role", F.col("found")["capitals"].alias("capitals"), F.col("found")["digits"].alias("digits"))
+
+
+def _training_rows(spark, d):
+    """Documents with marks as labelled inputs: quality seen in the app, toxicity in the README."""
+    results = t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    one = lambda c, label, confidence, source: F.when(F.col(c) == 1, F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lit(c).alias("evidence"), F.lit(source).alias("source")))
+    marks = F.array_compact(F.array(one("quality", "Codex", 0.5, "app_file"), one("toxic", "Modal", 0.75, "readme")))
+    inputs = t(spark, d, "documents").groupBy("doc_id").agg(F.min(F.struct("source", "lang", "text")).alias("x")).select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.array("x.source", "x.lang").alias("tags"), training_rows.readme_segment(F.col("x.text")).alias("readme"), F.lit("app").alias("app"))
+    return training_rows.labelled_inputs(results.select("doc_id", marks.alias("matches")), inputs, "doc_id")
+
+
+@query
+def sft_branches(spark, d):
+    """U1 M19 J20 T7 X13 P19"""
+    out = training_rows.branches(_training_rows(spark, d), "doc_id")
+    return out.select("doc_id", "variant", "title", F.array_join("tags", ",").alias("tags"), F.md5("readme").alias("readme"), "app", training_rows.completion(F.col("matches")).alias("completion"))
+
+
+@query
+def sft_counts(spark, d):
+    """The manifest's counts, labels without a row included."""
+    return training_rows.manifest(training_rows.branches(_training_rows(spark, d), "doc_id"), [i for i, _ in labels.LABELS])
+
+
+@query
+def sft_lines(spark, d):
+    """The training file's lines, its manifest first."""
+    rows = training_rows.branches(_training_rows(spark, d), "doc_id")
+    return training_rows.json_lines(rows, training_rows.manifest(rows, ["Codex", "Modal", "Nemotron"]), "doc_id")
+
+
+@query
+def sft_violations(spark, d):
+    """documents whose labels say Off the Grid or OpenBMB against what their text shows."""
+    made = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("client = InferenceClient()")).otherwise(F.lit("model = 'openbmb/MiniCPM'"))
+    label = F.when(F.pmod("doc_id", F.lit(3)) == 0, "Off the Grid").otherwise("OpenBMB")
+    rows = t(spark, d, "documents").select("doc_id", F.lit("natural").alias("variant"), F.lit("title").alias("title"), F.array("source").alias("tags"), F.lit("").alias("readme"), made.alias("app"), F.array(F.struct(label.alias("label"))).alias("matches"))
+    return training_rows.violations(rows, "doc_id")
+
+
+@query
+def app_segments(spark, d):
+    """P20: a made source file of each document, its imports behind its text."""
+    source = F.concat("text", F.lit("\nfrom gradio import Blocks\nfrom gradio import Blocks\n  from torch.nn import Linear"))
+    signals = F.concat(F.lit("uses org/model-"), F.col("doc_id").cast("string"), F.lit(" and acme/x.y"))
+    return t(spark, d, "documents").select("doc_id", F.md5(training_rows.app_segment(source, signals)).alias("digest"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<think>", "</think>"
+CLOSE = "</think>"
 
 
 def profile(events: DataFrame, turn: str = "turn_id", watermark: str | None = None) -> DataFrame:
@@ -41,43 +41,43 @@ def sessions(events: DataFrame, gap: str, by: str, watermark: str | None = None)
 
 
 def feed(text: str, held: str, thinking: bool) -> tuple[list[tuple[str, str]], str, bool]:
-    """R3, one step: (pieces as (kind, text), what is held back, whether inside the marks). A mark may straddle chunks, so a
-    tail that could begin one is held back, of 7 characters at most."""
-    held += text
-    out = []
-    while held:
-        mark = CLOSE if thinking else OPEN
-        at = held.find(mark)
-        if at >= 0:
-            if at:
-                out.append(("thinking" if thinking else "token", held[:at]))
-            held, thinking = held[at + len(mark) :], not thinking
-            continue
-        keep = next((k for k in range(min(len(mark) - 1, len(held)), 0, -1) if held.endswith(mark[:k])), 0)
-        if len(held) > keep:
-            out.append(("thinking" if thinking else "token", held[: len(held) - keep]))
-        return out, held[len(held) - keep :], thinking
-    return out, held, thinking
-
-
-def split_thinking(chunks: DataFrame, key: str = "turn_id", order: str = "seq", text: str = "text", final: str = "final") -> DataFrame:
+    """R3, one step: (pieces as (kind, text), what is held back, whether still thinking). Text is thought up to the closing mark,
+    and the answer behind it, without line feeds right after the mark. The mark may straddle chunks, so an end of a thought
+    that could begin it is held back, of 7 characters at most."""
+    if not thinking:
+        return [("answer", text)] if text else [], "", False
+    thought, mark, rest = (held + text).partition(CLOSE)
+    if mark:
+        held, pieces = "", [("thinking", thought), ("answer", rest.lstrip("\n"))]
+    else:
+        held = next((CLOSE[:k] for k in range(len(CLOSE) - 1, 0, -1) if thought.endswith(CLOSE[:k])), "")
+        pieces = [("thinking", thought.removesuffix(held))]
+    return [p for p in pieces if p[1]], held, not mark
+
+
+def finish(held: str, thinking: bool) -> list[tuple[str, str]]:
+    """What is held back when the stream ends within a thought."""
+    return [("thinking", held)] if thinking and held else []
+
+
+def split_thinking(chunks: DataFrame, key: str = "turn_id", order: str = "seq", text: str = "text", final: str = "final", active: bool = True) -> DataFrame:
     """(key, seq, kind, text) of streamed chunks; state is what is held back of each key, and goes with its final chunk.
+    `active`: whether a turn begins with a thought.
 
     For a streaming table; a key's chunks of one trigger are put in order first.
     """
     from pyspark.sql.streaming.state import GroupState
 
     def step(group_key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, thinking = state.get if state.exists else ("", False)
+        held, thinking = state.get if state.exists else ("", active)
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         out = []
         done = False
         for seq, chunk, last in zip(rows[order], rows[text], rows[final], strict=True):
             pieces, held, thinking = feed(chunk or "", held, thinking)
             if last:
-                if held:
-                    pieces.append(("thinking" if thinking else "token", held))
-                held, thinking, done = "", False, True
+                pieces += finish(held, thinking)
+                held, thinking, done = "", active, True
             out += [(*group_key, int(seq), k, t) for k, t in pieces]
         if done:
             state.remove()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import etl, incremental, labels, repository, scoring, search, vectors
+from corvane.operators import etl, incremental, labels, publication, repository, scoring, search, training_rows, vectors
 from corvane.sources import cards, snapshots
 
 
@@ -149,3 +149,75 @@ def test_registered_settings(monkeypatch, spark):
     queries.kmeans_clusters(spark, "/root/testdata/sf0.001")
     queries.tsne_layout(spark, "/root/testdata/sf0.001")
     assert seen == {"kmeans": {}, "tsne": {}}
+
+
+def test_echoes(spark):
+    """An answer that its conversation's next answer repeats goes, and the user turn that led to it; what is kept doesn't undo that."""
+    def kept(*turns):
+        rows = spark.createDataFrame([(1, i, role, text) for i, (role, text) in enumerate(turns)], "c int, turn int, role string, text string")
+        return sorted(r["turn"] for r in etl.without_echoes(rows, "c", "turn").collect())
+
+    u, a = "user", "assistant"
+    assert kept((u, "q"), (a, "y"), (a, "x"), (u, "r"), (a, "x")) == [1, 3, 4]
+    assert kept((u, "1"), (a, "same"), (u, "2"), (a, "same"), (u, "3"), (a, "same")) == [4, 5]
+    assert kept((u, "1"), (a, "a"), (u, "2"), (a, "b"), (u, "3"), (a, "a")) == [0, 1, 2, 3, 4, 5]
+
+
+def test_history(spark):
+    rows = [(1, 0, "user", " hi  there "), (1, 1, "assistant", "same"), (1, 2, "system", "s"), (1, 3, "user", "again"), (1, 4, "assistant", " same "), (1, 5, "user", " "), (1, 6, "user", "x" * 900)]
+    frame = spark.createDataFrame(rows, "c int, turn int, role string, text string")
+    got = {r["turn"]: r["text"] for r in etl.history(frame, "c", "turn").collect()}
+    assert got == {3: "again", 4: "same", 6: "x" * 600}
+
+
+def test_session_stats_in_order_of_records(spark):
+    rows = spark.createDataFrame([("s", 0, None), ("s", 1, "b"), ("s", 2, "a"), ("s", 3, None)], "k string, i int, at string")
+    out = etl.session_stats(rows, "k", "i", "at", F.col("i") > 0).first()
+    assert (out["records"], out["published"], out["dropped"], out["first_at"], out["last_at"]) == (4, 3, 1, "b", "a")
+
+
+def test_label_names(spark):
+    names = {"best use of OpenAI Codex": "Codex", "MiniCPM": "OpenBMB", "OpenBMB / MiniCPM": "OpenBMB", "Custom UI": "Off-Brand", "off the grid (x)": "Off the Grid", "Local first": "Off the Grid", "Small model <=4B": "Tiny Titan", "Modal / Codex / Modal": "Modal,Codex", "Modal / nothing": None, "nothing": None}
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["l"] for r in rows.select("n", F.array_join(labels.canonical_all(F.col("n")), ",").alias("l")).collect()} == names
+
+
+def test_declared_tracks_settle_both(spark):
+    rows = spark.createDataFrame([(1, ["Track:Backyard", "track:backyard", "x"]), (2, ["sponsor:modal"])], "id int, tags array<string>")
+    found = labels.declared(rows, "id", "tags")
+    assert {tuple(r) for r in found.collect()} == {(1, "Backyard AI", 1.0, "official Space tag track:backyard", "metadata"), (2, "Modal", 1.0, "official Space tag sponsor:modal", "metadata")}
+    left = labels.remaining(rows, found, "id", ["Backyard AI", "Thousand Token Wood", "Modal"], labels.suppressed(found, "id"))
+    assert {r["id"]: r["labels"] for r in left.collect()} == {1: ["Modal"], 2: ["Backyard AI", "Thousand Token Wood"]}
+
+
+def test_publication_rules(spark):
+    lines = [
+        ("session_meta", '{"id": "s", "cwd": "/home/me/p", "other": 1}'),
+        ("turn_context", '{"model": "m", "collaboration_mode": {"mode": "plan", "x": 1}}'),
+        ("event_msg", '{"type": "agent", "message": "see hf_aaaaaaaaaaaaaaaaaaaaaaaa", "text_elements": [{"text": "t"}]}'),
+        ("response_item", '{"type": "message", "content": "private"}'),
+        ("response_item", '{"type": "function_call_output", "output": "%s"}' % ("x" * 200)),
+        ("compacted", '{"a": 1}'),
+        ("event_msg", "no object"),
+        ("event_msg", None),
+    ]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "i int, type string, payload string")
+    out = publication.public_records(rows, "type", "payload", (("/home/me", "~"),)).orderBy("i").collect()
+    assert out[0]["public"] == '{"cwd":"~/p","id":"s"}'
+    assert out[1]["public"] == '{"collaboration_mode":{"mode":"plan"},"model":"m"}'
+    assert out[2]["public"] == '{"message":"see [REDACTED_SECRET]","text_elements":[{"text":"t"}],"type":"agent"}' and out[2]["texts"] == 2
+    assert [r["public"] is None for r in out] == [False, False, False, True, False, True, True, True]
+    assert (out[4]["cut"], out[4]["omitted"]) == (1, 80) and "truncated 80 chars" in out[4]["public"]
+
+
+def test_app_segments(spark):
+    source = "import os\nfrom a.b import c\nx = 1\n  from a.b import c\nfrom d import e"
+    rows = spark.createDataFrame([(source, "org/model x/y-z"), ("", " "), (None, "a/b")], "s string, g string")
+    got = [r[0] for r in rows.select(training_rows.app_segment(F.col("s"), F.col("g"))).collect()]
+    assert got[0] == f"from a.b import c\nfrom d import e\n\n{source}\n\nASSETS: org/model, x/y-z" and got[1:] == ["", "\n\nASSETS: a/b"]
+
+
+def test_taxonomy_quotes(spark):
+    rows = spark.createDataFrame([("It says  SIGNALS: x",), ("Runs  on this machine",), ("fine",)], "e string")
+    assert [r[0] for r in rows.select(training_rows.repeats_taxonomy(F.col("e"), ["Runs on this machine only"])).collect()] == [True, False, False]
+    assert rows.select(training_rows.repeats_taxonomy(F.col("e"), ["runs on"])).collect()[1][0] is True

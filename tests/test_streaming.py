@@ -1,19 +1,24 @@
 """Streams give what the batch gives."""
 
-from pyspark.sql import functions as F
-
 from corvane.streaming import turns
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_splitter():
-    held, thinking, out = "", False, []
-    for chunk in ["a<th", "ink>b</thi", "nk>c<", "d"]:
+def fed(chunks, thinking=True):
+    held, out = "", []
+    for chunk in chunks:
         pieces, held, thinking = turns.feed(chunk, held, thinking)
+        assert len(held) <= 7
         out += pieces
-    text = {k: "".join(t for kind, t in out if kind == k) for k in ("token", "thinking")}
-    assert text == {"token": "ac<d", "thinking": "b"} and held == ""
+    return out + turns.finish(held, thinking)
+
+
+def test_splitter():
+    assert fed(["plan the ", "answer</th", "ink>\n\nHello", " there"]) == [("thinking", "plan the "), ("thinking", "answer"), ("answer", "Hello"), ("answer", " there")]
+    assert fed(["a < b </thin", "g"]) == [("thinking", "a < b "), ("thinking", "</thing")]
+    assert fed(["cut </th"]) == [("thinking", "cut "), ("thinking", "</th")]
+    assert fed(["straight", "", "</think> through"], thinking=False) == [("answer", "straight"), ("answer", "</think> through")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -27,10 +32,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stateful_splitter(spark, tmp_path):
-    rows = spark.createDataFrame([("t", i, c, i == 3) for i, c in enumerate(["a<th", "ink>b</thi", "nk>c<", "d"])], "turn_id string, seq long, text string, final boolean")
+    rows = spark.createDataFrame([("t", i, c, i == 3) for i, c in enumerate(["a<th", "ink b</thi", "nk>\nc<", "d"])], "turn_id string, seq long, text string, final boolean")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = turns.split_thinking(stream).writeStream.outputMode("append").format("memory").queryName("split").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.table("split").orderBy("seq").collect()
-    assert "".join(r["text"] for r in got if r["kind"] == "token") == "ac<d" and F is not None
+    assert "".join(r["text"] for r in got if r["kind"] == "answer") == "c<d"
+    assert "".join(r["text"] for r in got if r["kind"] == "thinking") == "a<think b"

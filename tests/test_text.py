@@ -33,7 +33,26 @@ def test_clean_and_bounded(spark):
 def test_truncation_fits_its_cap(spark):
     r = one(spark, T.truncated(F.col("t"), 80), t="x" * 120)
     assert (len(r["text"]), r["omitted"]) == (80, 40)
+    mark = "\n[truncated 40 chars before privacy filtering]"
+    assert r["text"] == "x" * 34 + mark and len(mark) == 46
     assert one(spark, T.truncated(F.col("t"), 80), t="x" * 80)["omitted"] == 0
+    assert tuple(one(spark, T.truncated(F.col("t"), 10), t="x" * 120)) == ("filtering]", 110)
+    assert tuple(one(spark, T.truncated(F.col("t"), 0), t="xyz")) == ("xyz", 0)
+
+
+def test_short_values(spark):
+    assert one(spark, T.short_value(F.col("t"), 12), t=" a  b ") == "a b"
+    assert one(spark, T.short_value(F.col("t"), 12), t="one two, and more") == "one two..."
+
+
+def test_snippets(spark):
+    terms = F.array(F.lit("needle"))
+    assert one(spark, T.snippet(F.col("t"), terms), t="  a  needle here ") == "a needle here"
+    long = "x " * 200 + "needle"
+    cut = one(spark, T.snippet(F.col("t"), terms), t=long)
+    assert cut.startswith("... ") and cut.endswith("needle") and len(cut) >= 170
+    middle = one(spark, T.snippet(F.col("t"), terms), t="y" * 300 + " needle " + "z" * 300)
+    assert middle.startswith("... y") and middle.endswith("z ...") and "needle" in middle
 
 
 def test_titles_and_tags(spark):
