@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import fresh, table
 
 WINDOW = 10
 #: Characters of all patterns together that one automaton may hold (some 100 bytes of memory each).
@@ -102,10 +102,12 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         held += len(k)
     shipped = docs.sparkSession.sparkContext.broadcast(parts)
 
+    carry = fresh("text", docs.columns)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [Automaton(p) for p in shipped.value]
         for batch in batches:
-            column = pc.cast(batch.column(batch.schema.get_field_index("__text")), pa.binary())
+            column = pc.cast(batch.column(batch.schema.get_field_index(carry)), pa.binary())
             n_words, n_hit, items, spans = [], [], [], []
             for value in column:
                 raw = value.as_py() or b""
@@ -119,20 +121,22 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                 n_hit.append(0 if hit is None else int(hit.sum()))
                 items.append(sorted(found))
                 spans.append([] if hit is None else [{"begin": a, "end": b} for a, b in spans_of(raw, hit)])
-            keep = [i for i, f in enumerate(batch.schema.names) if f != "__text"]
+            keep = [i for i, f in enumerate(batch.schema.names) if f != carry]
             span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(span))], [batch.schema.names[i] for i in keep] + ["n_words", "n_hit", "items", "spans"])
 
     kept = docs.drop("n_words", "n_hit", "items", "spans")
-    carried = kept.withColumn("__text", F.col(text))
+    carried = docs.withColumn(carry, F.col(text)).drop("n_words", "n_hit", "items", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<begin:bigint,end:bigint>>"
     return carried.mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a benchmark window, in their own columns."""
-    flagged = scan_documents(docs, benchmark, id_col, text, window)
-    return flagged.where(F.col("n_hit") == 0).select(*docs.columns)
+    """docs without the rows that hold a benchmark window, in their own columns, whatever their names. Null and empty texts, and
+    texts of any length without a hit, stay; repeated rows stay or go together; a null item id, as an empty benchmark, rejects nothing."""
+    clash = {c: fresh(c, docs.columns) for c in docs.columns if c in ("n_words", "n_hit", "items", "spans")}
+    flagged = scan_documents(docs.withColumnsRenamed(clash), benchmark, clash.get(id_col, id_col), clash.get(text, text), window)
+    return flagged.where(F.col("n_hit") == 0).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -39,3 +39,10 @@ def test_scan(spark):
     kept = D.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5] + [7] * (plain(TEXTS[7][1])[1] == 0)
     assert D.scan_documents(docs.limit(0), bench).count() == 0 and D.scan_documents(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(3, "shorts item", "keep", 7, "t"), (2, "a short item", "keep", 8, "t")], "doc_id long, text string, items string, n_hit int, __text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = D.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "shorts item", "keep", 7, "t")]
