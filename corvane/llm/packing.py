@@ -1,7 +1,7 @@
 """Packing of token sequences: first-fit decreasing by a tournament tree, in randomised groups of documents.
 
 A document is its ids and one end id. It is cut at every multiple of the capacity; full pieces are sequences of their
-own, and what remains is packed whole. Documents fall into groups of about `group_docs` by a seeded hash of id and
+own, and what remains is packed whole. Documents fall into groups of about `group_docs`, or fewer long ones, by a seeded hash of id and
 length, so that every group holds a random sample of lengths whatever the order of the input, and no group grows with
 the corpus. Within a group the pieces go, longest first, to the first sequence with room.
 """
@@ -20,7 +20,8 @@ from corvane.llm.encoding import binaries, encoder, runs, with_ends
 
 CAPACITY = 2048
 END_ID = 1
-GROUP_DOCS = 4096
+#: A group holds about so many documents, and so many bytes of text, whichever are fewer.
+GROUP_DOCS, GROUP_BYTES = 4096, 32 << 20
 SEED = 20_240_601
 
 
@@ -68,13 +69,14 @@ def _tokenizer(path: str, end_id: int | None):
     return encode
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each piece: doc_id, doc_tokens, start, length, sequence_id, offset, ids (unsigned 32-bit, little-endian).
 
     Null texts count as empty: one piece that holds the end id (none if there is no end id). Equal rows are packed as
     often as they occur. sequence_id is the group times 2^32 plus the number of the sequence in its group.
     """
-    groups = max(1, math.ceil(docs.count() / group_docs))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
+    groups = max(1, math.ceil(size["n"] / group_docs), math.ceil(size["b"] / group_bytes))
     coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenizer(tokenizer_path, end_id), "doc_id long, doc_tokens long, ids binary")
     keyed = coded.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens"), F.lit(groups)).cast("int"))
 

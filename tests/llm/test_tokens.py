@@ -91,3 +91,21 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
     first = packing.digest(packing.pack_documents(docs, PATH)).orderBy("sequence_id", "offset").collect()
     assert first[0]["ids_crc32"] == first[0]["ids_crc32"] & 0xFFFFFFFF and zlib
+
+
+def test_groups_by_bytes(spark):
+    """Long texts make more groups; padding stays little; every id is in one piece."""
+    import public_tokenizers
+
+    from corvane.llm import packing
+
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word and more ', cast(1 + (id * 37) % 400 as int)) as text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, many = packing.pack_documents(docs, path).collect(), packing.pack_documents(docs, path, group_bytes=200_000).collect()
+    for pieces, groups in ((few, 1), (many, 5)):
+        assert len({p["sequence_id"] >> 32 for p in pieces}) >= groups
+        ends = {}
+        for p in pieces:
+            ends[p["sequence_id"]] = max(ends.get(p["sequence_id"], 0), p["offset"] + p["length"])
+        total = sum(p["length"] for p in pieces)
+        assert total == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values()) and len(ends) <= 1.01 * total / 2048 + len({s >> 32 for s in ends})  # at most one sequence of each group is left open
