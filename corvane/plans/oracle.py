@@ -275,4 +275,20 @@ ORACLE_SQL = {
     "app_segments": """
         WITH a AS (SELECT doc_id, left('from gradio import Blocks' || chr(10) || 'from torch.nn import Linear' || chr(10) || chr(10) || text || chr(10) || 'from gradio import Blocks' || chr(10) || 'from gradio import Blocks' || chr(10) || '  from torch.nn import Linear', 3800) AS head, 'org/model-' || doc_id AS own FROM documents)
         SELECT doc_id, md5(head || chr(10) || chr(10) || 'ASSETS: acme/x.y, ' || own) AS digest FROM a""",
+    "index_build": f"""
+        SELECT doc_id, sha256(text) AS text_digest, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, len(u)::INTEGER AS dimensions, round(u[1], 6) AS first
+        FROM (SELECT doc_id, text, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT doc_id, text, {UNIT} AS v FROM documents JOIN embeddings ON doc_id = vec_id))""",
+    "index_problems": """
+        SELECT coalesce(doc_id, vec_id) AS doc_id, CASE WHEN vec_id IS NULL THEN 'not indexed' WHEN doc_id % 7 = 0 THEN 'text digest differs' ELSE 'not normalized' END AS problem
+        FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL OR doc_id % 7 = 0 OR doc_id % 11 = 0""",
+    "point_marks": """
+        SELECT doc_id, round(0.62 + least(0.72, sqrt(n_chars) * 0.12), 6) AS radius, CASE WHEN length(f) > 22 THEN trim(left(f, 20)) || '...' ELSE f END AS title,
+          'My ' || upper(left(source, 1)) || substring(source, 2) || ' ' || upper(left(lang, 1)) || substring(lang, 2) AS name, 'https://' || source || '.hf.space' AS host, '~/' || source AS path
+        FROM (SELECT *, trim(split_part(text, chr(10), 1)) AS f FROM documents)""",
+    "lookups": "SELECT c_custkey::VARCHAR AS asked, c_custkey::VARCHAR AS id FROM customer UNION ALL SELECT lower(c_name), c_custkey::VARCHAR FROM customer",
+    "first_seen_sources": "SELECT user_id, string_agg(event_type, ',' ORDER BY a) AS types FROM (SELECT user_id, event_type, min(event_id) AS a FROM events GROUP BY ALL) GROUP BY 1",
+    "snapshot_listing": "SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1 HAVING NOT bool_and(p_size = 1)",
+    "unused_labels": """
+        WITH used AS (SELECT n_regionkey AS k FROM nation WHERE n_nationkey < 2), best AS (SELECT min(r_regionkey) AS b FROM region WHERE r_regionkey NOT IN (SELECT k FROM used))
+        SELECT r_name AS label, CASE WHEN r_regionkey = b THEN -1 ELSE r_regionkey END AS place, 0.0::DOUBLE AS score FROM region, best""",
 }

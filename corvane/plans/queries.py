@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.python_text import correct_aliases, folded
-from corvane.operators import dashboard, etl, exports, incremental, labels, publication, repository, scoring, search, training_rows, vectors
+from corvane.operators import dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, training_rows, vectors
 from corvane.streaming import turns
 
 BM25_QUERY = "the ering tion and with"
@@ -642,3 +642,60 @@ def app_segments(spark, d):
     source = F.concat("text", F.lit("\nfrom gradio import Blocks\nfrom gradio import Blocks\n  from torch.nn import Linear"))
     signals = F.concat(F.lit("uses org/model-"), F.col("doc_id").cast("string"), F.lit(" and acme/x.y"))
     return t(spark, d, "documents").select("doc_id", F.md5(training_rows.app_segment(source, signals)).alias("digest"))
+
+
+def _indexed(spark, d):
+    """Documents with the embedding of the same id."""
+    return t(spark, d, "documents").join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id")
+
+
+@query
+def index_build(spark, d):
+    """M24 K8"""
+    out = index.built(_indexed(spark, d), "doc_id", "text", "vec")
+    return out.select("doc_id", "text_digest", F.round("norm", 6).alias("norm"), "dimensions", F.round(F.element_at("vector", 1), 6).alias("first"))
+
+
+@query
+def index_problems(spark, d):
+    """An index of the documents that have an embedding, some with another text or a longer vector, against all documents."""
+    rows = _indexed(spark, d).withColumn("text", F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("other")).otherwise(F.col("text")))
+    made = index.built(rows, "doc_id", "text", "vec").withColumn("vector", F.when(F.pmod("doc_id", F.lit(11)) == 0, F.transform("vector", lambda x: x * 2)).otherwise(F.col("vector")))
+    return index.problems(made, t(spark, d, "documents"), "doc_id", "text", 64)
+
+
+@query
+def point_marks(spark, d):
+    """P26 P34 P41"""
+    slug = F.concat(F.lit("my_"), "source", F.lit("--"), "lang")
+    return t(spark, d, "documents").select("doc_id", F.round(index.point_radius(F.col("n_chars")), 6).alias("radius"), index.short_title(F.substring_index("text", "\n", 1)).alias("title"), index.humanized(slug).alias("name"), index.host_url(F.when(F.col("lang") == "en", F.lit("")), F.col("source")).alias("host"), index.display_path(F.concat(F.lit("/home/me/"), "source"), "/home/me").alias("path"))
+
+
+@query
+def lookups(spark, d):
+    """Customers by key or by name."""
+    rows = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lower("c_name").alias("slug"), F.col("c_custkey").alias("pos"))
+    asked = rows.select("id").unionByName(rows.select(F.col("slug").alias("id"))).withColumnRenamed("id", "asked")
+    return index.found(rows, asked, "id", "slug", "pos")
+
+
+@query
+def first_seen_sources(spark, d):
+    """Event types of a user in the order in which they came up."""
+    out = index.first_seen(t(spark, d, "events"), "user_id", "event_type", "event_id")
+    return out.select("user_id", F.array_join("event_type", ",").alias("types"))
+
+
+@query
+def snapshot_listing(spark, d):
+    """Parts by folded name, those of size 1 being private; the order is frozen as a place."""
+    rows = t(spark, d, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") == 1).alias("private")).groupBy("brand").agg(F.bool_and("private").alias("private"), F.count(F.lit(1)).alias("n"))
+    return index.snapshot_order(rows, "brand").select("brand", "n")
+
+
+@query
+def unused_labels(spark, d):
+    """Regions in their order, the first one without a nation of the first two keys first."""
+    items = index.starters(t(spark, d, "region").select(F.col("r_name").alias("label"), F.col("r_regionkey").alias("pos")), "pos", 5)
+    used = t(spark, d, "nation").where("n_nationkey < 2").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("label"))
+    return index.unused_first(items, used, "pos").select("label", "place", "score")
