@@ -276,7 +276,7 @@ ORACLE_SQL = {
         WITH a AS (SELECT doc_id, left('from gradio import Blocks' || chr(10) || 'from torch.nn import Linear' || chr(10) || chr(10) || text || chr(10) || 'from gradio import Blocks' || chr(10) || 'from gradio import Blocks' || chr(10) || '  from torch.nn import Linear', 3800) AS head, 'org/model-' || doc_id AS own FROM documents)
         SELECT doc_id, md5(head || chr(10) || chr(10) || 'ASSETS: acme/x.y, ' || own) AS digest FROM a""",
     "index_build": f"""
-        SELECT doc_id, sha256(text) AS text_digest, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, len(u)::INTEGER AS dimensions, round(u[1], 6) AS first
+        SELECT doc_id, sha256(text) AS text_digest, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, len(u)::INTEGER AS dimensions, round(round(u[1], 8), 6) AS first
         FROM (SELECT doc_id, text, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT doc_id, text, {UNIT} AS v FROM documents JOIN embeddings ON doc_id = vec_id))""",
     "index_problems": """
         SELECT coalesce(doc_id, vec_id) AS doc_id, CASE WHEN vec_id IS NULL THEN 'not indexed' WHEN doc_id % 7 = 0 THEN 'text digest differs' ELSE 'not normalized' END AS problem
