@@ -17,7 +17,6 @@ sets is lost, and a group of near copies doesn't make all of its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,12 @@ HELD = 4_000_000
 STAR_ROUNDS = 2
 #: Bits of the fixed-size filter by which a task recognises sets that may be in a candidate pair (false hits are harmless).
 FILTER_BITS = 1 << 23
-MEMO = 400_000
+#: Bytes of text that are hashed at a time.
+PIECE = 4 << 20
 _PRIME = 0x9E3779B97F4A7C15
+_BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,43 +54,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct shingle hashes of texts."""
+    """Sorted distinct shingle hashes of texts, in numpy alone: a word's hash is the difference of two prefix sums of its bytes."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memo: dict[bytes, int] = {}
         self.powers = [np.uint64(pow(_PRIME, k, 1 << 64)) for k in range(words)]
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        """Powers of the base, and of its inverse, up to n."""
+        if len(self.up) <= n:
+            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base)]))
+            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, inverse)]))
+
+    def _hashes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, begin) of the words of lower-case bytes."""
+        inside = ~_SPACE[raw]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begin, end = edges[::2], edges[1::2]
+        self._reach(len(raw))
+        upto = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=upto[1:])
+        value = (upto[end] - upto[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * np.uint64(_PRIME)
+        return _mix(value), begin
+
+    def _words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_hashes() of pieces of bounded size, cut at white space."""
+        hashes, begins, at = [], [], 0
+        while at < len(raw):
+            end = min(at + PIECE, len(raw))
+            if end < len(raw):
+                spaces = np.flatnonzero(_SPACE[raw[at:end]])
+                after = np.flatnonzero(_SPACE[raw[end:]])[:1] if not len(spaces) else spaces[:0]
+                end = at + int(spaces[-1]) + 1 if len(spaces) else end + int(after[0]) + 1 if len(after) else len(raw)
+            h, b = self._hashes(raw[at:end])
+            hashes.append(h)
+            begins.append(b + at)
+            at = end
+        return (np.concatenate(hashes), np.concatenate(begins)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        import xxhash
-
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        tokens, lengths = [], []
-        for text in texts:
-            own = text.translate(LOWER).split() if text else []
-            tokens += own
-            lengths.append(len(own))
-        hashes = np.fromiter(map(self.memo.get, tokens, repeat(0)), np.uint64, len(tokens))
-        for i in np.flatnonzero(hashes == 0).tolist():
-            found = self.memo.get(tokens[i])
-            if found is None:
-                found = self.memo[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i]) | 1
-            hashes[i] = found
-        k, out, at = self.words, [], 0
+        k = self.words
+        joined = b" ".join([t or b"" for t in texts]).translate(LOWER)
+        hashes, begins = self._words(np.frombuffer(joined, np.uint8))
+        sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+        bounds = np.concatenate([[0], np.searchsorted(begins, np.cumsum(sizes))])
         rolled = np.zeros(0, np.uint64)
         if len(hashes) >= k:
-            rolled = sum(hashes[j : len(hashes) - k + 1 + j] * self.powers[j] for j in range(k))
-            rolled = _mix(rolled)
-        for n in lengths:
+            rolled = _mix(sum(hashes[j : len(hashes) - k + 1 + j] * self.powers[j] for j in range(k)))
+        out = []
+        for at, upto in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            n = upto - at
             if n >= k:
-                out.append(np.unique(rolled[at : at + n - k + 1]))
+                out.append(np.unique(rolled[at : upto - k + 1]))
             elif n:
-                whole = int(sum(int(h) * int(p) for h, p in zip(hashes[at : at + n], self.powers, strict=False))) + n
-                out.append(_mix(np.array([whole & _MASK], np.uint64)))
+                out.append(_mix((hashes[at:upto] * np.array(self.powers[:n])).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
             else:
                 out.append(np.zeros(0, np.uint64))
-            at += n
         return out
 
 
