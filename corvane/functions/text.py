@@ -205,3 +205,30 @@ def packed_chunks(c: Column, least: int = 28) -> Column:
 
 def bounded_score(c: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(10), c))
+
+
+def merged_spans(found: Column, least: float = 0.5) -> Column:
+    """An array of spans (begin, end, label, score) of enough score, in order, as (begin, end, label) with touching ones merged; a merge of different labels is PRIVATE."""
+    kept = F.transform(F.array_sort(F.filter(found, lambda s: s["score"] >= least)), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label")))
+    none = F.filter(kept, lambda s: F.lit(False))
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"), F.when(last["label"] == s["label"], s["label"]).otherwise(F.lit("PRIVATE")).alias("label"))
+        return F.when((F.size(done) > 0) & (s["begin"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(kept, none, add)
+
+
+def redact_spans(text: Column, found: Column, least: float = 0.5) -> Column:
+    """A struct (text, labels): merged spans replaced by [LABEL], and how often each label occurs."""
+
+    def of(spans: Column) -> Column:
+        behind = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, behind(i) + 1, s["begin"] - behind(i)), F.lit("["), s["label"], F.lit("]")))
+        rest = F.substring(text, behind(F.size(spans)) + 1, F.length(text))
+        names = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"])))
+        counts = F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(spans, lambda s: s["label"] == n))))
+        return F.struct(F.concat(F.array_join(pieces, ""), rest).alias("text"), counts.alias("labels"))
+
+    return let(merged_spans(found, least), of)

@@ -109,7 +109,12 @@ def test_json_repair():
     assert P.first_object("none") is None
 
 
-def test_spans():
-    assert P.redact_spans("call Ann Lee now", [(5, 8, "NAME", 0.9), (8, 12, "NAME", 0.8), (0, 4, "X", 0.1)]) == ("call [NAME] now", {"NAME": 1})
-    assert P.merged_spans([(0, 3, "A", 1), (2, 5, "B", 1)]) == [(0, 5, "PRIVATE")]
+def test_spans(spark):
+    kind = "text string, found array<struct<begin:int,end:int,label:string,score:double>>"
+    rows = spark.createDataFrame([("call Ann Lee now", [(5, 8, "NAME", 0.9), (8, 12, "NAME", 0.8), (0, 4, "X", 0.1)]), ("abcdef", [(2, 5, "B", 1.0), (0, 3, "A", 1.0)]), ("ab cd", [(3, 5, "N", 1.0), (0, 2, "N", 1.0)]), ("plain", [])], kind)
+    got = rows.select(T.redact_spans(F.col("text"), F.col("found")).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [("call [NAME] now", {"NAME": 1}), ("[PRIVATE]f", {"PRIVATE": 1}), ("[N] [N]", {"N": 2}), ("plain", {})]
+
+
+def test_redaction_labels():
     assert P.redaction_label("B-private_name") == "PRIVATE_NAME" and P.redaction_label("") == "PRIVATE"
