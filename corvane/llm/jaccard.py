@@ -4,7 +4,7 @@ Rows of the incidence matrix are classes of documents with the same shingle set;
 1. A document's set is reduced to its prefix: n - ceil(0.75 n) + 1 shingles in an order that puts common ones last. Two
    sets with similarity 0.75 share a shingle of both prefixes, whatever the order, so the order (a bounded list of the most
    common shingles, counted over the whole corpus) changes speed but never results.
-2. Prefix columns are dealt out in blocks by hash. A block multiplies its columns: it accumulates for each pair of rows
+2. Prefix columns are dealt out in blocks by hash, for all pairs by the hash of their smallest row. A block multiplies its columns: it accumulates for each pair of rows
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
    shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
 3. What remains is verified on whole sets.
@@ -269,7 +269,7 @@ def _postings(words: int, common: np.ndarray, weight: np.ndarray, blocks: int):
 
 
 def _columns(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns of a block that at least two rows share, as (col, row, n) sorted by column, size and row."""
+    """The columns of a block that at least two rows share, as (col, row, n, lead) sorted by column and row; lead is a column's smallest row."""
     h, c, n = [], [], []
     for part in parts:
         h += [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
@@ -283,10 +283,12 @@ def _columns(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # tasks may share a class
     h, c, n = h[fresh], c[fresh], n[fresh]
     begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    many = np.repeat(np.diff(np.r_[begins, len(h)]) > 1, np.diff(np.r_[begins, len(h)]))
+    sizes = np.diff(np.r_[begins, len(h)])
+    many = np.repeat(sizes > 1, sizes)
+    lead = np.repeat(c[begins], sizes)[many]
     h, c, n = h[many], c[many], n[many]
     for a in range(0, len(h), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000]), pa.array(n[a : a + 100_000].astype(np.int64))], ["col", "row", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000]), pa.array(n[a : a + 100_000].astype(np.int64)), pa.array(lead[a : a + 100_000])], ["col", "row", "n", "lead"])
 
 
 def _accumulate(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -478,9 +480,9 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     drop(spark, profile)
     deal = lambda parts: _postings(words, *shipped.value, blocks)(parts)
     packed = texts.mapInArrow(deal, "block int, h binary, c binary, n binary").repartitionById(blocks, "block")
-    raw = materialize(packed.mapInArrow(_columns, "col long, row long, n long"), "columns")
+    raw = materialize(packed.mapInArrow(_columns, "col long, row long, n long, lead long"), "columns")
     spread = raw.groupBy("row").agg(F.count(F.lit(1)).alias("columns"))
-    columns = materialize(raw.join(spread, "row").select("col", "row", "n", "columns"), "columns")
+    columns = materialize(raw.join(spread, "row").select("col", "row", "n", "columns", "lead"), "columns")
     drop(spark, raw)
     bits = spark.sparkContext.broadcast(_filter_of(columns.select(F.col("row").alias("c")).distinct()))
     members = lambda parts: _members(words, bits.value)(parts)
@@ -491,8 +493,13 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     roots = spark.createDataFrame([], "node long, root long")
 
     def multiplied(star_round: int | None) -> DataFrame:
-        labelled = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"), "columns")
-        return labelled.repartition(blocks, "col").sortWithinPartitions("col").mapInArrow(_product(star_round), product)
+        labelled = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"), "columns", "lead")
+        if star_round is not None:
+            dealt = labelled.repartition(blocks, "col").sortWithinPartitions("col")
+        else:
+            # Columns that share documents mostly share their smallest one: together in a block, they make a pair once, not once in each block.
+            dealt = labelled.repartition(blocks, "lead").sortWithinPartitions("lead", "col")
+        return dealt.drop("lead").mapInArrow(_product(star_round), product)
 
     def joined(more: DataFrame) -> DataFrame:
         return materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
