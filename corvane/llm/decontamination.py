@@ -7,7 +7,6 @@ spaces are then joined, and a pattern is ` w1 w2 ... wn `, so that it fits whole
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
