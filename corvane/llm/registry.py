@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from corvane.llm.decontamination import OP5_SQL, op5_decontamination
+from corvane.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from corvane.llm.jaccard import op9_jaccard_join
 from corvane.llm.line_dedup import op8_line_dedup
 from corvane.llm.nearest import op4_nearest
 from corvane.llm.packing import op7_packing
 from corvane.llm.ppm import op3_lm_score
+from corvane.llm.secret_ledger import op13_secret_ledger
 from corvane.llm.sharding import op10_sharding
+from corvane.llm.spelling import op12_spelling
 from corvane.llm.token_output import op1_token_output
 from corvane.llm.toxicity import op6_toxicity
 from corvane.llm.url_filter import OP2_SQL, op2_url_filter
@@ -32,9 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_sharding": op10_sharding,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_spelling": op12_spelling,
+        "op13_secret_ledger": op13_secret_ledger,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op11_hard_negatives": OP11_SQL}

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_line_dedup": "doc_id bigint, n_lines int, n_removed int",
     "op9_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_secret_ledger": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
 
@@ -44,7 +47,7 @@ def test_contract(spark, duck, name):
         assert types[column] == kind, column
     rows = [r.asDict() for r in df.collect()]
     docs = duck.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
-    if name not in ("op2_url_filter", "op4_nearest", "op7_packing"):
+    if name not in ("op2_url_filter", "op4_nearest", "op7_packing", "op11_hard_negatives", "op12_spelling"):
         assert sorted(r["doc_id"] for r in rows) == sorted(d for d, _ in docs)
     fold = {"op3_lm_score": 1, "op6_toxicity": 0}.get(name)
     if fold is not None:
