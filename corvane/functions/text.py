@@ -32,7 +32,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def clean(c: Column) -> Column:
     """Null to empty, runs of white space to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def slug(c: Column) -> Column:
@@ -62,6 +62,17 @@ def search_tokens(folded: Column) -> Column:
     return F.filter(every, lambda t: ((F.length(t) > 1) | t.rlike(r"(?U)^\d$")) & ~t.isin(SEARCH_STOPWORDS))
 
 
+def title_case(c: Column) -> Column:
+    """A capital for the first letter of every run of letters, small letters behind it."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
+
+
+def humanized(slug: Column) -> Column:
+    """The parts between - and _, in title case."""
+    return title_case(F.array_join(F.filter(F.split(F.translate(slug, "_", "-"), "-"), lambda p: p != ""), " "))
+
+
 def public_title(c: Column) -> Column:
     """P6."""
     t = clean(c)
@@ -207,6 +218,13 @@ def bounded_score(c: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(10), c))
 
 
+def redaction_label(raw: Column) -> Column:
+    """Without its B-, I-, E- or S- prefix, upper case with underscores; PRIVATE if nothing is left."""
+    plain = F.regexp_replace(F.coalesce(raw, F.lit("")), "^[BIES]-(?=.)", "")
+    joined = F.upper(F.btrim(F.regexp_replace(plain, "[^A-Za-z0-9]+", "_"), F.lit("_")))
+    return F.when(joined == "", F.lit("PRIVATE")).otherwise(joined)
+
+
 def merged_spans(found: Column, least: float = 0.5) -> Column:
     """An array of spans (begin, end, label, score) of enough score, in order, as (begin, end, label) with touching ones merged; a merge of different labels is PRIVATE."""
     kept = F.transform(F.array_sort(F.filter(found, lambda s: s["score"] >= least)), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label")))

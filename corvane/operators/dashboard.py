@@ -1,4 +1,4 @@
-"""The read path of a corpus atlas: clusters with names and centres, points with labels, and its checks."""
+"""The read path of a corpus atlas: clusters with names and centres, points with labels, and its checks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import normalized_tags, public_summary, public_title
 from corvane.operators import search
-from corvane.operators.labels import require
+from corvane.operators.labels import report, require
+from corvane.sources.snapshots import write_snapshot
+from corvane.sources.work import written
 
 
 def placed(projects: DataFrame, layout: DataFrame, key: str) -> DataFrame:
@@ -92,3 +94,65 @@ def check(shown: DataFrame, ids: DataFrame, links: DataFrame, key: str) -> None:
     require(shown.join(ids.select("cluster_id"), "cluster_id", "left_anti").select(key, "cluster_id"), "points of unknown clusters")
     ends = links.select(F.explode(F.array("source", "target")).alias(key))
     require(ends.join(shown.select(key), key, "left_anti"), "links to unknown points")
+
+
+PAYLOAD_VERSION, LEAST_PROJECTS = 1, 3
+
+
+def payload(projects: DataFrame, layout: DataFrame, links: DataFrame, matches: DataFrame, dimension: DataFrame, key: str, words: Column, source: str, generated_at: str) -> dict[str, DataFrame]:
+    """All parts of one dashboard from one reading of its rows: header, clusters, points, links and quest_report.
+
+    projects: title, summary, likes, tags, last_modified; layout: x, y, raw; links: source, target, score; dimension: pos, label.
+    The placed rows are written once and every part is made of them, so that the parts agree; no parts are made of rows that only
+    one of projects and layout has, which `payload_problems` tells. Without a source the labels count as not analysed."""
+    require(unplaced(projects, layout, key), "projects without a place, or places without a project")
+    rows = written(placed(projects, layout, key), "placed")
+    ids = written(cluster_ids(rows), "clusters")
+    header = rows.agg(F.count(F.lit(1)).alias("project_count")).select(
+        F.lit(PAYLOAD_VERSION).alias("schema_version"), F.lit(generated_at).alias("generated_at"), "project_count", F.lit("analyzed" if source else "not_analyzed").alias("status"), F.lit(source).alias("source")
+    )
+    return {
+        "header": header,
+        "clusters": clusters(rows, key, words),
+        "points": points(rows, ids, matches, key),
+        "links": links,
+        "quest_report": report(dimension, matches.join(rows.select(key), key, "left_semi"), key, rows.select(key, "likes")),
+    }
+
+
+def payload_problems(parts: dict[str, DataFrame], key: str, least: int = LEAST_PROJECTS) -> DataFrame:
+    """J21 over a whole payload: (problem, what), a row for everything that doesn't fit: its version and number of projects, ids that
+    are missing or come twice, places outside 0..100, points of no or of unknown clusters, links to unknown points, an unknown status."""
+    shown, name = parts["points"], F.col(key).cast("string").alias("what")
+    told = lambda rows, problem, what=name: rows.select(F.lit(problem).alias("problem"), what)
+    head = parts["header"].join(shown.agg(F.count(F.lit(1)).alias("__points")))
+    number = lambda c: F.col(c).cast("string").alias("what")
+    outside = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.col(c) > 100)
+    ends = parts["links"].select(F.explode(F.array("source", "target")).alias(key))
+    found = [
+        told(head.where(F.col("schema_version") != PAYLOAD_VERSION), "unsupported schema version", number("schema_version")),
+        told(head.where(F.col("project_count") < least), "too few projects", number("project_count")),
+        told(head.where("project_count <> __points"), "the number of points isn't that of projects", number("__points")),
+        told(head.where(~F.col("status").isin("analyzed", "not_analyzed")), "unknown report status", number("status")),
+        told(shown.where(F.col(key).isNull()), "a point without an id"),
+        told(shown.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a point comes twice"),
+        told(shown.where(outside("x") | outside("y")), "a place outside 0 to 100"),
+        told(shown.where("cluster_id = ''"), "a point without a cluster"),
+        told(shown.where("cluster_id <> ''").join(parts["clusters"].select("cluster_id"), "cluster_id", "left_anti"), "a point of an unknown cluster"),
+        told(ends.join(shown.select(key), key, "left_anti"), "a link to an unknown point"),
+    ]
+    whole = found[0]
+    for rows in found[1:]:
+        whole = whole.unionByName(rows)
+    return whole
+
+
+def publish(parts: dict[str, DataFrame], root: str, run_id: str, key: str) -> str:
+    """The payload as one run of a snapshot, made the latest when it is whole; a payload with problems is an error and leaves the old one."""
+    require(payload_problems(parts, key), "dashboard payload")
+    return write_snapshot(parts["points"].sparkSession, root, run_id, parts)
+
+
+def public_points(shown: DataFrame) -> DataFrame:
+    """Points as they are read, their tags without hosting ones and repeats whatever was stored."""
+    return shown.withColumn("tags", normalized_tags(F.col("tags")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import clean, scatter
+from corvane.functions.text import clean, let, scatter
 
 # Beginnings that introduce an idea, in order of precedence.
 IDEA_PREFIXES = ("i want to build", "build", "make", "my idea is", "idea:")
@@ -16,21 +16,31 @@ UNTITLED = "Unwritten Page"
 def idea(text: Column) -> Column:
     """A struct (title, pitch). A known beginning goes; ` -- ` parts title and pitch; a long title, or one that is only
     part of a text without ` -- `, is cut and marked."""
-    whole = clean(text)
-    title = whole
-    for p in reversed(IDEA_PREFIXES):
-        title = F.when(F.lower(whole).startswith(p), F.btrim(F.substring(whole, len(p) + 1, 2**31 - 1), F.lit(" :-"))).otherwise(title)
-    at = F.instr(title, " -- ")
-    raw = F.when(at > 0, F.trim(F.left(title, at - 1))).otherwise(title)
-    pitch = F.when(at > 0, F.trim(F.substr(title, at + 4))).otherwise(whole)
-    cut = F.btrim(F.left(raw, F.lit(64)), F.lit(" ."))
-    cut = F.when(cut == "", F.lit(UNTITLED)).otherwise(cut)
-    marked = (F.length(raw) > 64) | ((at == 0) & (F.length(cut) < F.length(whole)))
-    shown = F.when(marked, F.concat(F.trim(F.left(cut, F.lit(58))), F.lit("..."))).otherwise(cut)
-    head, rest = F.upper(F.left(shown, F.lit(1))), F.substring(shown, 2, 2**31 - 1)
-    shown = F.concat(head, F.when(shown.rlike(r"[\p{Lu}\p{Nd}]"), rest).otherwise(F.lower(rest)))
-    blank = whole == ""
-    return F.struct(F.when(blank, F.lit(EMPTY_IDEA[0])).otherwise(shown).alias("title"), F.when(blank, F.lit(EMPTY_IDEA[1])).otherwise(pitch).alias("pitch"))
+    def parted(whole: Column, title: Column) -> Column:
+        at = F.instr(title, " -- ")
+        raw = F.when(at > 0, F.trim(F.left(title, at - 1))).otherwise(title)
+        return F.struct(raw.alias("raw"), F.when(at > 0, F.trim(F.substr(title, at + 4))).otherwise(whole).alias("pitch"), (at > 0).alias("two"))
+
+    def named(whole: Column, parts: Column) -> Column:
+        cut = F.btrim(F.left(parts["raw"], F.lit(64)), F.lit(" ."))
+        cut = F.when(cut == "", F.lit(UNTITLED)).otherwise(cut)
+        marked = (F.length(parts["raw"]) > 64) | (~parts["two"] & (F.length(cut) < F.length(whole)))
+        return F.when(marked, F.concat(F.trim(F.left(cut, F.lit(58))), F.lit("..."))).otherwise(cut)
+
+    def of(whole: Column) -> Column:
+        title = whole
+        for p in reversed(IDEA_PREFIXES):
+            title = F.when(F.lower(whole).startswith(p), F.btrim(F.substring(whole, len(p) + 1, 2**31 - 1), F.lit(" :-"))).otherwise(title)
+        blank = whole == ""
+        return let(let(title, lambda x: parted(whole, x)), lambda parts: let(named(whole, parts), lambda shown: F.struct(F.when(blank, F.lit(EMPTY_IDEA[0])).otherwise(_capital(shown)).alias("title"), F.when(blank, F.lit(EMPTY_IDEA[1])).otherwise(parts["pitch"]).alias("pitch"))))
+
+    return let(clean(text), of)
+
+
+def _capital(shown: Column) -> Column:
+    """A capital first; the rest stays if the text has capitals or digits, else it becomes small."""
+    rest = F.substring(shown, 2, 2**31 - 1)
+    return F.concat(F.upper(F.left(shown, F.lit(1))), F.when(shown.rlike(r"[\p{Lu}\p{Nd}]"), rest).otherwise(F.lower(rest)))
 
 
 def tool_call(xml: Column) -> Column:

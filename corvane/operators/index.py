@@ -90,12 +90,6 @@ def first_seen(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return seen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", value))), lambda x: x[value]).alias(value))
 
 
-def humanized(slug: Column) -> Column:
-    """The parts between - and _ with a capital each."""
-    parts = F.filter(F.split(F.translate(slug, "_", "-"), "-"), lambda p: p != "")
-    return F.initcap(F.array_join(parts, " "))
-
-
 def host_url(host: Column, subdomain: Column) -> Column:
     """The host, else the address of the subdomain, else nothing."""
     empty = lambda c: F.coalesce(c, F.lit("")) == ""

@@ -64,7 +64,7 @@ ALIASES = {
 }
 #: Labels of tracks: a declared track settles both.
 TRACKS = ("Backyard AI", "Thousand Token Wood")
-SOURCES = ("metadata", "rules", "model")
+SOURCES = ("readme", "app_file", "metadata")
 EVIDENCE_CHARS = 360
 
 

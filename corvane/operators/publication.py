@@ -1,17 +1,19 @@
-"""Publication of session logs: allowed fields by type of record, redaction, caps, and counts.
+"""Publication of session logs: allowed fields by type of record, redaction, caps, privacy filter, and counts.
 
-A payload is a JSON object of any shape. Its tree is walked in expressions on variants, to a depth of DEPTH; what lies deeper
-is left out and counted.
+A payload is a JSON object of any shape and depth. Its tree is walked in one expression on variants, as deep as the deepest
+payload of the table goes; nothing is left out for its depth. Where the privacy filter is to see the texts, the walk puts a mark
+in their place, which no JSON text can hold, and the filtered texts are filled in again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import let, redacted, truncated
+from corvane.functions.text import let, redact_spans, redacted, redaction_label, truncated
 
 # Fields that a record of each type may keep, kinds of items that may stay, and keys whose strings are texts.
 KEEP = {
@@ -23,7 +25,12 @@ KEEP = {
 ITEMS = "function_call function_call_output custom_tool_call custom_tool_call_output web_search_call image_generation_call image_generation_call_output".split()
 TEXT_KEYS = "arguments content images input local_images message output queries query summary text text_elements".split()
 CAPS = {"message": 4000, "tool_argument": 2000, "tool_output": 120, "other": 1000}
-DEPTH = 2
+CHUNK, OVERLAP, CALL = 12_000, 256, 32
+#: Where a text goes: a control character, which JSON only has escaped.
+MARK = "\x01"
+SPAN = "struct<begin:int,end:int,label:string,score:double>"
+#: What finds private spans: texts to spans of each, as (begin, end, label, score).
+Finder = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
 
 
 def quoted(text: Column) -> Column:
@@ -32,44 +39,105 @@ def quoted(text: Column) -> Column:
     return F.substring(whole, F.lit(2), F.length(whole) - 2)
 
 
-def _node(json: Column, texts: Column, cut: Column, omitted: Column, deep: Column) -> Column:
-    return F.struct(json.alias("json"), texts.cast("long").alias("texts"), cut.cast("long").alias("cut"), omitted.cast("long").alias("omitted"), deep.cast("long").alias("deep"))
+def depth(json: Column) -> Column:
+    """How deep objects and lists are nested in a JSON text; 0 for a plain value and for null."""
+    # Without escapes no string holds a quote, and without strings every bracket counts.
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(json, F.lit("")), r"\\.", ""), '"[^"]*"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"), F.lit(1)), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")))["most"]
 
 
-def _joined(nodes: Column, begin: str, end: str, text: Callable[[Column], Column]) -> Column:
-    """One node of several, `text` giving each one's JSON."""
+def _node(json: Column, texts: Column, cut: Column, omitted: Column) -> Column:
+    return F.struct(json.alias("json"), texts.alias("texts"), cut.cast("long").alias("cut"), omitted.cast("long").alias("omitted"))
+
+
+def _joined(nodes: Column, is_list: Column) -> Column:
+    """One node of several (key, node): a list, or an object."""
     total = lambda name: F.aggregate(nodes, F.lit(0).cast("long"), lambda s, n: s + n["node"][name])
-    return _node(F.concat(F.lit(begin), F.array_join(F.transform(nodes, text), ","), F.lit(end)), total("texts"), total("cut"), total("omitted"), total("deep"))
+    parts = F.transform(nodes, lambda n: F.when(n["key"].isNull(), n["node"]["json"]).otherwise(F.concat(quoted(n["key"]), F.lit(":"), n["node"]["json"])))
+    begin, end = F.when(is_list, "[").otherwise("{"), F.when(is_list, "]").otherwise("}")
+    return _node(F.concat(begin, F.array_join(parts, ","), end), F.flatten(F.transform(nodes, lambda n: n["node"]["texts"])), total("cut"), total("omitted"))
 
 
-def walked(value: Column, key: Column, cap: Callable[[Column], Column], roots: tuple[tuple[str, str], ...], depth: int = DEPTH, listed: bool = False) -> Column:
-    """A variant as a struct (json, texts, cut, omitted, deep): its JSON with strings redacted and, under text keys, capped;
-    how many texts it has, how many were cut, by how many characters, and how many values lay too deep. Strings in a list
-    under a text key are texts, but aren't cut."""
-    kind, none = F.schema_of_variant(value), F.lit(0)
-    is_text = key.isin(TEXT_KEYS)
+def walked(value: Column, key: Column, cap: Callable[[Column], Column], roots: tuple[tuple[str, str], ...], levels: int, listed: Column | None = None) -> Column:
+    """A variant of at most `levels` levels as a struct (json, texts, cut, omitted): its JSON with strings redacted and, under
+    text keys, capped; texts are taken out of it in their order and marked by MARK. Strings in a list under a text key are
+    texts too, but aren't cut; a list within a list has the key of the outer one."""
+    listed = F.lit(False) if listed is None else listed
+    kind, zero, none = F.schema_of_variant(value), F.lit(0), F.array().cast("array<string>")
+    is_list, is_object, is_text = kind.startswith("ARRAY"), kind.startswith("OBJECT"), key.isin(TEXT_KEYS)
 
     def string(short: Column) -> Column:
-        return _node(quoted(short["text"]), is_text.cast("int"), (short["omitted"] > 0).cast("int"), short["omitted"], none)
+        return _node(F.when(is_text, F.lit(MARK)).otherwise(quoted(short["text"])), F.when(is_text, F.array(short["text"])).otherwise(none), (short["omitted"] > 0).cast("int"), short["omitted"])
 
     # A cap of 0 cuts nothing.
-    plain = let(redacted(value.cast("string"), roots), lambda text: let(truncated(text, F.lit(0) if listed else F.when(is_text, cap(key)).otherwise(0)), string))
-    out = F.when(kind == "STRING", plain)
-    if depth:
-        items = F.transform(value.cast("array<variant>"), lambda v: F.struct(F.lit("").alias("key"), walked(v, key, cap, roots, depth - 1, True).alias("node")))
-        fields = F.transform(F.map_entries(value.cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), walked(e["value"], e["key"], cap, roots, depth - 1).alias("node")))
-        out = out.when(kind.startswith("ARRAY"), let(items, lambda x: _joined(x, "[", "]", lambda n: n["node"]["json"])))
-        out = out.when(kind.startswith("OBJECT"), let(fields, lambda x: _joined(x, "{", "}", lambda n: F.concat(quoted(n["key"]), F.lit(":"), n["node"]["json"]))))
+    limit = F.when(is_text & ~listed, cap(key)).otherwise(0)
+    out = F.when(kind == "STRING", let(redacted(value.cast("string"), roots), lambda text: let(truncated(text, limit), string)))
+    if levels:
+        child = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+        items = F.when(is_list, F.transform(value.cast("array<variant>"), lambda v: child(F.lit(None).cast("string"), v)))
+        items = items.when(is_object, F.transform(F.map_entries(value.cast("map<string,variant>")), lambda e: child(e["key"], e["value"])))
+        nodes = F.transform(items, lambda c: F.struct(c["key"].alias("key"), walked(c["value"], F.coalesce(c["key"], key), cap, roots, levels - 1, c["key"].isNull()).alias("node")))
+        out = out.when(is_list | is_object, let(nodes, lambda x: _joined(x, is_list)))
     else:
-        out = out.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), _node(F.lit("null"), none, none, none, F.lit(1)))
-    return out.otherwise(_node(F.to_json(value), none, none, none, none))
+        out = out.when(is_list | is_object, F.raise_error(F.lit("a payload deeper than the walk")).cast("struct<json:string,texts:array<string>,cut:bigint,omitted:bigint>"))
+    return out.otherwise(_node(F.to_json(value), none, zero, zero))
+
+
+def filled(json: Column, texts: Column) -> Column:
+    """JSON with its marks replaced by the texts in their order."""
+    parts = F.split(json, MARK, -1)
+    return let(parts, lambda p: F.concat(F.get(p, 0), F.array_join(F.zip_with(texts, F.slice(p, F.lit(2), F.size(p) - 1), lambda t, rest: F.concat(quoted(t), rest)), "")))
+
+
+def span_finder(find: Finder, call: int = CALL):
+    """A pandas UDF from an array of texts to an array of spans for each, which gives `find` at most `call` texts at a time."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        own = [list(r) if r is not None else [] for r in rows]
+        flat = [x or "" for r in own for x in r]
+        spans = [s for at in range(0, len(flat), call) for s in find(flat[at : at + call])]
+        out, at = [], 0
+        for r in own:
+            out.append([[{"begin": int(b), "end": int(e), "label": str(label), "score": float(score)} for b, e, label, score in s] for s in spans[at : at + len(r)]])
+            at += len(r)
+        return pd.Series(out)
+
+    # Once written as a column, it stays one: the finder isn't asked again where the column is used again.
+    return F.pandas_udf(run, f"array<array<{SPAN}>>").asNondeterministic()
+
+
+def with_filtered(rows: DataFrame, texts: Column, out: str, finder, least: float = 0.5, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Rows with a column `out`, for an array of texts an array of structs (text, labels): each text with its
+    private spans replaced by [LABEL], and how often each label occurs.
+
+    Long texts go to the finder in pieces of `chunk` characters and the `overlap` that follow, so that a span over a cut is seen
+    whole; spans move back to their place in the text, and what overlaps or touches is one. Spans that end before they begin are dropped."""
+    starts = F.transform(texts, lambda t: F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(chunk)))
+    places = F.flatten(F.transform(starts, lambda s, k: F.transform(s, lambda at: F.struct(k.alias("of"), at.alias("at")))))
+    pieces = F.transform("__places", lambda p: F.substring(F.get("__texts", p["of"]), p["at"] + 1, F.lit(chunk + overlap)))
+    asked = rows.withColumn("__texts", texts).withColumn("__places", places).withColumn("__found", finder(pieces))
+    moved = F.flatten(F.zip_with("__found", "__places", lambda spans, p: F.transform(F.filter(spans, lambda s: s["begin"] < s["end"]), lambda s: F.struct(p["of"].alias("of"), (s["begin"] + p["at"]).alias("begin"), (s["end"] + p["at"]).alias("end"), redaction_label(s["label"]).alias("label"), s["score"].alias("score")))))
+    own = lambda k: F.transform(F.filter("__moved", lambda s: s["of"] == k), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score")))
+    safe = F.transform("__texts", lambda t, k: redact_spans(t, own(k), least))
+    return asked.withColumn("__moved", moved).withColumn(out, safe).drop("__texts", "__places", "__found", "__moved")
+
+
+def label_counts(results: Column) -> Column:
+    """The maps of labels of several texts as one, in the order of the labels."""
+    every = F.flatten(F.transform(results, lambda r: F.map_entries(r["labels"])))
+    names = F.array_sort(F.array_distinct(F.transform(every, lambda e: e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.aggregate(F.filter(every, lambda e: e["key"] == n), F.lit(0), lambda s, e: s + e["value"])))
 
 
-def public_records(rows: DataFrame, kind: str, payload: str, roots: tuple[tuple[str, str], ...] = (), caps: dict[str, int] = CAPS) -> DataFrame:
-    """Rows with `public` (JSON of the allowed fields; null where a record is dropped), `texts`, `cut`, `omitted`, `deep`.
+def public_records(rows: DataFrame, kind: str, payload: str, roots: tuple[tuple[str, str], ...] = (), caps: dict[str, int] = CAPS, finder=None, least: float = 0.5) -> DataFrame:
+    """Rows with `public` (JSON of the allowed fields; null where a record is dropped), `texts`, `cut`, `omitted`,
+    and, if a finder is given (see span_finder), `private`, a map of labels to how often they were replaced.
 
-    Payloads that aren't objects, unknown types, and items that aren't calls are dropped.
-    """
+    In this order: strings are redacted, texts are cut to their caps, and private spans in texts are replaced. Payloads that
+    aren't objects, unknown types, and items that aren't calls are dropped. One pass over the payloads finds how deep they go."""
+    levels = rows.agg(F.coalesce(F.max(depth(F.col(payload))), F.lit(0))).first()[0]
     tree = F.try_parse_json(payload)
     whole = F.when(F.schema_of_variant(tree).startswith("OBJECT"), tree.cast("map<string,variant>"))
     item = F.try_variant_get(tree, "$.type", "string")
@@ -83,14 +151,24 @@ def public_records(rows: DataFrame, kind: str, payload: str, roots: tuple[tuple[
         rule = rule.when(item.isin("function_call_output", "custom_tool_call_output") & (key == "output"), caps["tool_output"])
         return rule.when(item.isin("function_call", "custom_tool_call") & key.isin("arguments", "input"), caps["tool_argument"]).otherwise(caps["other"])
 
-    # Of a turn's mode only the mode itself is public.
-    mode = lambda k, v: F.when((F.col(kind) == "turn_context") & (k == "collaboration_mode"), F.parse_json(F.to_json(F.struct(F.try_variant_get(v, "$.mode", "string").alias("mode"))))).otherwise(v)
-    kept = F.transform_values(F.map_filter(whole, lambda k, _: F.array_contains(keep, k)), mode)
-    fields = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.struct(k.alias("key"), walked(F.element_at(kept, k), k, cap, roots).alias("node")))
-    node = F.when(keep.isNotNull() & whole.isNotNull(), let(fields, lambda x: _joined(x, "{", "}", lambda n: F.concat(quoted(n["key"]), F.lit(":"), n["node"]["json"]))))
+    # Of a turn's mode only the mode itself is public, and nothing if there is none.
+    is_mode = lambda k: (F.col(kind) == "turn_context") & (k == "collaboration_mode")
+    mode_of = lambda v: F.try_variant_get(v, "$.mode", "variant")
+    mode = lambda k, v: F.when(is_mode(k), F.parse_json(F.concat(F.lit('{"mode":'), F.to_json(mode_of(v)), F.lit("}")))).otherwise(v)
+    kept = F.map_filter(whole, lambda k, v: F.array_contains(keep, k) & (~is_mode(k) | mode_of(v).isNotNull()))
+    # A message without a type says so.
+    kept = F.when((F.col(kind) == "event_msg") & ~F.map_contains_key(kept, "type"), F.map_concat(kept, F.create_map(F.lit("type"), F.parse_json(F.lit("null"))))).otherwise(kept)
+    kept = F.transform_values(kept, mode)
+    fields = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.struct(k.alias("key"), walked(F.element_at(kept, k), k, cap, roots, max(0, levels - 1)).alias("node")))
+    node = F.when(keep.isNotNull() & whole.isNotNull(), let(fields, lambda x: _joined(x, F.lit(False))))
     out = rows.withColumn("__node", node)
     zero = lambda name: F.coalesce(F.col(f"__node.{name}"), F.lit(0)).alias(name)
-    return out.select(*[F.col(c) for c in rows.columns], F.col("__node.json").alias("public"), zero("texts"), zero("cut"), zero("omitted"), zero("deep"))
+    texts, more = F.col("__node.texts"), []
+    if finder is not None:
+        out = with_filtered(out, F.coalesce(texts, F.array().cast("array<string>")), "__safe", finder, least)
+        texts, more = F.transform("__safe", lambda r: r["text"]), [label_counts(F.col("__safe")).alias("private")]
+    public = F.when(F.col("__node").isNotNull(), filled(F.col("__node.json"), texts))
+    return out.select(*[F.col(c) for c in rows.columns], public.alias("public"), F.coalesce(F.size("__node.texts").cast("long"), F.lit(0).cast("long")).alias("texts"), zero("cut"), zero("omitted"), *more)
 
 
 def merged_counts(rows: DataFrame, key: str, counts: str) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.functions.text import clean
+from corvane.operators.labels import LABELS, canonical
 
 
 def top(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
@@ -17,19 +24,69 @@ def overview(rows: DataFrame, **counts: Column) -> DataFrame:
 
 
 def resolve_contained(candidates: DataFrame, wanted: DataFrame, name: str, question: str, least: int = 4) -> DataFrame:
-    """For each question the candidate whose name it contains, the longest, ties to the smaller name.
+    """J15, by names alone: for each question the candidate whose name it is, else the longest whose name it contains, ties to the smaller name."""
+    named = candidates.select(F.struct(F.lower(name).alias("low"), name).alias("pos"), name, F.array(name).alias("names"))
+    return resolve_projects(named, wanted, "pos", name, "names", question, least)
+
 
-    Names are found by their first `least` characters among all runs of so many characters of the question, not by comparing
-    every pair, so punctuation and affixes around a name are harmless.
-    """
+def resolve_projects(candidates: DataFrame, wanted: DataFrame, pos: str, value: str, names: str, question: str, least: int = 4) -> DataFrame:
+    """(question, match): the value of the first candidate one of whose names (id, slug, title) is the question; else of the one
+    with the longest name, of at least `least` characters, that the question contains, ties to the first candidate (by pos) and its first name.
+
+    Case and runs of white space don't matter. Exact names meet questions by equality; contained ones by their first `least`
+    characters among all runs of so many characters of the question, not by comparing every pair, so punctuation and affixes are harmless."""
     size = max(1, least)
-    q = F.lower(question)
-    named = candidates.where(F.length(name) >= size).select(name, F.substring(F.lower(name), 1, size).alias("__g"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - size + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(size)))
-    grams = wanted.select(question, F.explode(F.array_distinct(runs)).alias("__g"))
-    hits = grams.join(named, "__g").where(F.lower(question).contains(F.lower(name)))
-    best = F.max_by(name, F.struct(F.length(name), F.lower(name)))
-    return wanted.select(question).distinct().join(hits.groupBy(question).agg(best.alias("match")), question, "left")
+    fold = lambda c: F.lower(clean(c))
+    asked = wanted.select(question, fold(F.col(question)).alias("__q")).where("__q <> ''").distinct()
+    named = candidates.select(F.col(pos).alias("__pos"), F.col(value).alias("__value"), F.posexplode(names).alias("__place", "__raw")).withColumn("__name", fold(F.col("__raw"))).where("__name <> ''")
+    exact = asked.join(named, F.col("__q") == F.col("__name")).groupBy(question).agg(F.min_by("__value", "__pos").alias("__exact"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__q") - size + 1, F.lit(1))), lambda i: F.substring("__q", i, F.lit(size)))
+    grams = asked.select(question, "__q", F.explode(F.array_distinct(runs)).alias("__g"))
+    hits = grams.join(named.where(F.length("__name") >= size).withColumn("__g", F.left("__name", F.lit(size))), "__g").where(F.contains("__q", "__name"))
+    best = F.min_by("__value", F.struct((-F.length("__name")).alias("n"), "__pos", "__place"))
+    contained = hits.groupBy(question).agg(best.alias("__contained"))
+    joined = wanted.select(question).distinct().join(exact, question, "left").join(contained, question, "left")
+    return joined.select(question, F.coalesce("__exact", "__contained").alias("match"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _ratios(asked: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([[SequenceMatcher(None, q, x).ratio() for x in row] for q, row in zip(asked, labels, strict=True)])
+
+
+def resolve_clusters(clusters: list[tuple[str, str, list[str]]], wanted: DataFrame, question: str, least: float = 0.6) -> DataFrame:
+    """(question, match, rung): the id of the first cluster (id, label, keywords; in their order, some tens at most) whose id is the
+    question; else whose label is; else whose label contains it or is contained; else with a keyword among its words; else whose
+    label is most like it, from `least` on. Only questions that reach the last rung are compared letter by letter."""
+    known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(" ".join(x.split()).lower()).alias("label"), F.array(*[F.lit(k.lower()) for k in words]).cast("array<string>").alias("words"), F.lit(i.lower()).alias("low")) for i, x, words in clusters])
+    q = F.col("__q")
+    rungs = [
+        lambda c: c["low"] == q,
+        lambda c: c["label"] == q,
+        lambda c: F.contains(c["label"], q) | F.contains(q, c["label"]),
+        lambda c: F.arrays_overlap(c["words"], F.split(q, " ")),
+    ]
+    asked = wanted.select(question).distinct().withColumn("__q", F.lower(clean(F.col(question))))
+    found = F.lit(None).cast("struct<id:string,rung:int>")
+    for k, holds in reversed(list(enumerate(rungs))):
+        own = F.get(F.filter(known, holds), F.lit(0))
+        found = F.when(own.isNotNull(), F.struct(own["id"].alias("id"), F.lit(k).alias("rung"))).otherwise(found)
+    first = asked.withColumn("__f", F.when(q != "", found))
+    labels = F.transform(known, lambda c: c["label"])
+    left = first.where((q != "") & F.col("__f").isNull()).withColumn("__r", _ratios(q, labels))
+    most = F.array_max("__r")
+    alike = F.when(most >= least, F.get(F.transform(known, lambda c: c["id"]), (F.array_position("__r", most) - 1).cast("int")))
+    settled = first.where((q == "") | F.col("__f").isNotNull()).select(question, F.col("__f.id").alias("match"), F.col("__f.rung").alias("rung"))
+    return settled.unionByName(left.select(question, alike.alias("match"), F.when(alike.isNotNull(), F.lit(len(rungs))).alias("rung")))
+
+
+def resolve_label(text: Column) -> Column:
+    """The label of a text: a canonical name or alias, else the first label whose id or name the text contains; null without one."""
+    low = F.lower(clean(text))
+    out = F.lit(None).cast("string")
+    for i, name in reversed(LABELS):
+        out = F.when(low.contains(i.lower()) | low.contains(name.lower()), F.lit(i)).otherwise(out)
+    return F.when(low != "", F.coalesce(canonical(text), out))
 
 
 def resolve_ladder(candidates: DataFrame, wanted: str, key: str, label: str) -> DataFrame:

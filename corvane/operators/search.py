@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.functions.text import title_case
+
 # Words that name no cluster.
 CLUSTER_STOPWORDS = (
     "about agent app apps ai all an and are as at before assistant be been being build build-small build-small-hackathon built by demo face for from gradio "
@@ -67,18 +69,20 @@ def scored(posted: DataFrame, total: int, average: float, terms: list[str], key:
     return rows.groupBy(key).agg(score.alias("score"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("term").alias("t")))), lambda x: x["t"]), 1, 8).alias("matched"))
 
 
-def one_pass(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+def one_pass(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], tokens, keep: tuple[str, ...] = (), alphabetic: bool = False) -> DataFrame:
     """M3, M5, A1-A3 for one query: (key, kept columns, score, matched) of every row. Each row counts the terms and its own
-    length in all fields; one aggregate row has the corpus's counts; no token is shuffled. `matched`: sorted, at most 8."""
+    length in all fields; one aggregate row has the corpus's counts; no token is shuffled. Documents without
+    tokens count in the average length. `matched`: in the query's order, or sorted (J18), at most 8."""
     unique = list(dict.fromkeys(terms))
     words = docs.select(key, *keep, *[tokens(F.col(f)).alias(f"__f{i}") for i, f in enumerate(fields)])
     own = [f"__f{i}" for i in range(len(fields))]
     weighted = lambda count: sum((w * count(F.col(f)) for f, w in zip(own, fields.values(), strict=True)), F.lit(0.0))
     tf = [weighted(lambda c, t=t: F.size(F.filter(c, lambda x: x == t))).alias(f"__t{i}") for i, t in enumerate(unique)]
     rows = words.select(key, *keep, weighted(F.size).alias("__length"), *tf)
-    some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("__length") > 0, F.col("__length"))).alias("average"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"df{i}") for i in range(len(unique))]).first()
+    some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("__length").alias("average"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"df{i}") for i in range(len(unique))]).first()
     one = lambda i: F.when(F.col(f"__t{i}") > 0, term_score(F.col(f"__t{i}"), F.lit(some[f"df{i}"]), F.lit(float(some["n"])), F.col("__length"), F.lit(some["average"] or 1.0))).otherwise(0.0)
-    matched = F.slice(F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"__t{i}") > 0, F.lit(t)) for i, t in enumerate(unique)]))), 1, 8) if unique else F.array().cast("array<string>")
+    hit = F.array_compact(F.array(*[F.when(F.col(f"__t{i}") > 0, F.lit(t)) for i, t in enumerate(unique)])) if unique else F.array().cast("array<string>")
+    matched = F.slice(F.sort_array(hit) if alphabetic else hit, 1, 8)
     return rows.select(key, *keep, sum((one(i) for i in range(len(unique))), F.lit(0.0)).alias("score"), matched.alias("matched"))
 
 
@@ -125,7 +129,7 @@ def distinctive_keywords(terms: DataFrame, cluster: str, key: str, total: int, s
 def cluster_labels(keywords: DataFrame, representatives: DataFrame, cluster: str, title: str) -> DataFrame:
     """M7: (cluster, label): the two best keywords in title case, else the titles of the two first representatives (cluster, rank, title) that have one, else `Mixed projects`."""
     joined = lambda rows, value: rows.groupBy(cluster).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda x: x["v"]), 1, 2), " / ").alias("label"))
-    by_word = joined(keywords.where("rank <= 2"), F.initcap(F.col("term")))
+    by_word = joined(keywords.where("rank <= 2"), title_case(F.col("term")))
     named = representatives.where(F.col(title) != "Untitled project")
     by_title = joined(named, F.col(title)).withColumnRenamed("label", "titles")
     every = representatives.select(cluster).distinct().join(by_word, cluster, "left").join(by_title, cluster, "left")

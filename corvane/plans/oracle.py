@@ -1,13 +1,15 @@
 """DuckDB SQL for the named queries that SQL can express."""
 
+from corvane.operators import analysis, tools
 from corvane.operators.labels import LABELS
 from corvane.operators.search import CLUSTER_STOPWORDS
 
 TOKENS = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9.+_-]*'), lambda x: trim(lower(x), '._-+')), lambda x: length(x) > 1)"
-CLEAN = r"trim(regexp_replace(coalesce({}, ''), '[\s\v\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+CLEAN = r"trim(regexp_replace(coalesce({}, ''), '[\s\v\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 POST = f"tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"
 MATCHES = "m AS (SELECT doc_id, 'quality' AS label, 0.9::DOUBLE AS confidence FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic', 0.8::DOUBLE FROM labels WHERE toxic = 1)"
 BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.35 / (tf + 1.35 * (0.28 + 0.72 * greatest(len, 1.0) / greatest(average, 1.0)))"
+TITLE = r"array_to_string(list_transform(regexp_extract_all({}, '\p{{L}}+|[^\p{{L}}]+'), lambda r: upper(left(r, 1)) || lower(substring(r, 2))), '')"
 UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 WORDS = lambda words: f"({' + '.join(f'''CASE WHEN len(list_filter(w, lambda x: starts_with(x, '{p}'))) > 0 THEN 1 ELSE 0 END''' for p in words)})"
 _SECRETS = [
@@ -42,9 +44,10 @@ RECORDS = f"""
           CASE WHEN turn = 0 THEN '{{"cwd":"~/work","git":{{"branch":"main","n":3}},"id":"' || conv_id || '"}}'
             WHEN role = 'user' THEN '{{"images":[' || to_json(o) || ',"TOKEN=[REDACTED_SECRET]"],"message":' || to_json({_CUT.format('m', 300)}) || ',"type":"user_message"}}'
             WHEN role = 'system' THEN NULL
-            ELSE '{{"name":"look","output":' || to_json({_CUT.format('o', 120)}) || ',"type":"function_call_output"}}' END AS public,
-          CASE WHEN turn = 0 THEN 0 WHEN role = 'user' THEN 3 WHEN role = 'system' THEN 0 ELSE 1 END AS texts,
-          CASE WHEN turn = 0 OR role = 'system' THEN 0 WHEN role = 'user' THEN greatest(0, length(m) - 300) ELSE greatest(0, length(o) - 120) END AS omitted FROM u)"""
+            ELSE '{{"arguments":{{"a":{{"b":{{"c":{{"d":[{{"other":"plain","text":' || to_json({_CUT.format('o', 1000)}) || '}}]}}}}}}}},"name":"look","output":' || to_json({_CUT.format('o', 120)}) || ',"type":"function_call_output"}}' END AS public,
+          CASE WHEN turn = 0 THEN 0 WHEN role = 'user' THEN 3 WHEN role = 'system' THEN 0 ELSE 2 END AS texts,
+          CASE WHEN turn = 0 OR role = 'system' THEN 0 WHEN role = 'user' THEN (length(m) > 300)::INTEGER ELSE (length(o) > 120)::INTEGER + (length(o) > 1000)::INTEGER END AS cut,
+          CASE WHEN turn = 0 OR role = 'system' THEN 0 WHEN role = 'user' THEN greatest(0, length(m) - 300) ELSE greatest(0, length(o) - 120) + greatest(0, length(o) - 1000) END AS omitted FROM u)"""
 TRAIN = """
         l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1),
         n AS (SELECT doc_id, 'natural' AS variant, 'doc ' || doc_id AS title, source || ',' || lang AS tags, md5(left({0}, 3000)) AS readme, 'app' AS app, coalesce(q, 0) = 1 AS a, coalesce(x, 0) = 1 AS b FROM documents JOIN l USING (doc_id)),
@@ -58,7 +61,7 @@ TRAIN = """
 ORACLE_SQL = {
     "bm25_search": f"""
         WITH {POST}, l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
-        s AS (SELECT avg(len) AS average, (SELECT count(*) FROM documents) AS n FROM l),
+        s AS (SELECT sum(len) / (SELECT count(*) FROM documents) AS average, (SELECT count(*) FROM documents) AS n FROM l),
         f AS (SELECT term, count(*) AS df FROM post GROUP BY 1)
         SELECT doc_id, round(sum({BM25}), 6) AS score FROM post JOIN f USING (term) JOIN l USING (doc_id), s
         WHERE term IN ('the', 'ering', 'tion', 'and', 'with') GROUP BY doc_id ORDER BY sum({BM25}) DESC, doc_id LIMIT 12""",
@@ -68,7 +71,7 @@ ORACLE_SQL = {
           UNION ALL SELECT doc_id, 0.9::DOUBLE, unnest({TOKENS}) FROM documents),
         post AS (SELECT doc_id, term, sum(w) AS tf FROM tok GROUP BY ALL),
         l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
-        s AS (SELECT avg(len) AS average, (SELECT count(*) FROM documents) AS n FROM l),
+        s AS (SELECT sum(len) / (SELECT count(*) FROM documents) AS average, (SELECT count(*) FROM documents) AS n FROM l),
         f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
         q(term, o) AS (VALUES ('ering', 1), ('tion', 2), ('with', 3))
         SELECT doc_id, round(sum({BM25}), 6) AS score, string_agg(term, ',' ORDER BY term) AS matched
@@ -151,7 +154,13 @@ ORACLE_SQL = {
         e AS (SELECT *, bool_or(echo) OVER (PARTITION BY conv_id, run) AS echoed FROM m),
         k AS (SELECT conv_id, turn, role, text FROM e WHERE NOT CASE WHEN role = 'assistant' THEN echo ELSE echoed END)
         SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""",
-    "near_duplicates": "SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first",
+    "near_duplicates": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, {UNIT} AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+        e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.45
+          UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+        r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.node = s.a)
+        SELECT node AS doc_id, min(root) AS first FROM r GROUP BY node HAVING node <> min(root)""",
     "length_floor": "SELECT doc_id, length(trim(text)) AS n FROM documents WHERE length(trim(text)) >= 400",
     "text_digest": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
     "hash_scatter": "SELECT doc_id, (8 + ('0x' || left(h, 4))::BIGINT % 84)::INTEGER AS x, (8 + ('0x' || substring(h, 5, 4))::BIGINT % 84)::INTEGER AS y FROM (SELECT doc_id, sha256('doc-' || doc_id) AS h FROM documents)",
@@ -233,8 +242,8 @@ ORACLE_SQL = {
         tok AS (SELECT doc_id, 4.0::DOUBLE AS w, unnest({TOKENS.replace('text', 'title')}) AS term FROM dd UNION ALL SELECT doc_id, 3.2::DOUBLE, unnest({TOKENS.replace('text', 'slug')}) FROM dd
           UNION ALL SELECT doc_id, 2.0::DOUBLE, unnest({TOKENS.replace('text', 'tags')}) FROM dd UNION ALL SELECT doc_id, 0.9::DOUBLE, unnest({TOKENS}) FROM dd),
         post AS (SELECT doc_id, term, sum(w) AS tf FROM tok GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
-        s AS (SELECT avg(len) AS average, (SELECT count(*) FROM documents) AS n FROM l), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-        hit AS (SELECT doc_id, sum({BM25}) AS score, string_agg(term, ',' ORDER BY term) AS matched FROM post JOIN f USING (term) JOIN l USING (doc_id), s WHERE term IN ('the', 'ering', 'tion') GROUP BY doc_id),
+        s AS (SELECT sum(len) / (SELECT count(*) FROM documents) AS average, (SELECT count(*) FROM documents) AS n FROM l), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+        hit AS (SELECT doc_id, sum({BM25}) AS score, string_agg(term, ',' ORDER BY list_position(['the', 'ering', 'tion'], term)) AS matched FROM post JOIN f USING (term) JOIN l USING (doc_id), s WHERE term IN ('the', 'ering', 'tion') GROUP BY doc_id),
         r AS (SELECT dd.*, coalesce(score, 0) + CASE WHEN contains(lower(title), 'src0 doc') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(translate(slug, '-_', '  ')), 'src0 doc') THEN 1.4 ELSE 0 END AS raw, coalesce(matched, '') AS matched FROM dd LEFT JOIN hit USING (doc_id)),
         g AS (SELECT *, count(*) OVER () AS total, max(raw) OVER () AS best FROM r WHERE raw > 0),
         top AS (SELECT * FROM g ORDER BY raw DESC, n_chars DESC, lower(title) DESC, doc_id LIMIT 12),
@@ -249,7 +258,7 @@ ORACLE_SQL = {
         k AS (SELECT raw, term, tf, docs, df, n AS members, ln((1 + (SELECT count(*) FROM pr)) / (1 + df)) AS w FROM o JOIN d USING (term) JOIN z USING (raw)),
         r AS (SELECT *, (1 + ln(tf)) * w * (0.35 + 0.65 * docs / df) * (0.35 + 0.65 * docs / members) AS s FROM k WHERE docs >= CASE WHEN members <= 3 THEN 1 ELSE 2 END AND w > 0),
         q AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, docs DESC, tf DESC, term) AS rank FROM r QUALIFY rank <= 5),
-        kw AS (SELECT raw, string_agg(term, ',' ORDER BY rank) AS keywords, string_agg(upper(left(term, 1)) || substring(term, 2), ' / ' ORDER BY rank) FILTER (rank <= 2) AS label FROM q GROUP BY 1),
+        kw AS (SELECT raw, string_agg(term, ',' ORDER BY rank) AS keywords, string_agg({TITLE.format('term')}, ' / ' ORDER BY rank) FILTER (rank <= 2) AS label FROM q GROUP BY 1),
         b AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY n_chars DESC, source DESC, lower(title) DESC, doc_id DESC) AS rank FROM named QUALIFY rank <= 4),
         t1 AS (SELECT raw, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS representatives FROM b GROUP BY 1),
         t2 AS (SELECT raw, string_agg(shown, ' / ' ORDER BY k) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY rank) AS k FROM b WHERE shown <> 'Untitled project' QUALIFY k <= 2) GROUP BY 1)
@@ -261,8 +270,8 @@ ORACLE_SQL = {
         FROM named JOIN ids USING (raw) LEFT JOIN own USING (doc_id)""",
     "labelled_points": f"""
         WITH {CLUSTERS}, {MATCHES} SELECT DISTINCT doc_id, n_chars AS likes, cluster_id FROM pr JOIN ids USING (raw) JOIN m USING (doc_id) WHERE cluster_id = 'cluster-1' ORDER BY n_chars DESC, doc_id LIMIT 12""",
-    "public_records": f"WITH {RECORDS} SELECT conv_id, turn, type, public, texts, (omitted > 0)::INTEGER AS cut, omitted FROM rec",
-    "publication_manifest": f"WITH {RECORDS} SELECT count(DISTINCT conv_id) AS sessions, count(*) AS records, count(public) AS published, count(*) - count(public) AS dropped, sum(texts)::BIGINT AS texts, count(*) FILTER (omitted > 0) AS truncated_fields, sum(omitted)::BIGINT AS omitted_chars FROM rec",
+    "public_records": f"WITH {RECORDS} SELECT conv_id, turn, type, public, texts, cut, omitted FROM rec",
+    "publication_manifest": f"WITH {RECORDS} SELECT count(DISTINCT conv_id) AS sessions, count(*) AS records, count(public) AS published, count(*) - count(public) AS dropped, sum(texts)::BIGINT AS texts, sum(cut)::BIGINT AS truncated_fields, sum(omitted)::BIGINT AS omitted_chars FROM rec",
     "redaction_totals": "SELECT role, sum(length(regexp_replace(text, '[^A-Z]', '', 'g')))::BIGINT AS capitals, sum(length(regexp_replace(text, '[^0-9]', '', 'g')))::BIGINT AS digits FROM conversations GROUP BY 1",
     "sft_branches": f"WITH {TRAIN} SELECT doc_id, variant, title, tags, readme, app, completion FROM ex",
     "sft_counts": f"WITH {TRAIN} FROM sums UNION ALL SELECT 'label', v.name, CASE v.name WHEN 'Codex' THEN (SELECT count(*) FROM ex WHERE a) WHEN 'Modal' THEN (SELECT count(*) FROM ex WHERE b) ELSE 0 END FROM (VALUES {', '.join(f"('{i}')" for i, _ in LABELS)}) v(name)",
@@ -283,7 +292,7 @@ ORACLE_SQL = {
         FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL OR doc_id % 7 = 0 OR doc_id % 11 = 0""",
     "point_marks": """
         SELECT doc_id, round(0.62 + least(0.72, sqrt(n_chars) * 0.12), 6) AS radius, CASE WHEN length(f) > 22 THEN trim(left(f, 20)) || '...' ELSE f END AS title,
-          'My ' || upper(left(source, 1)) || substring(source, 2) || ' ' || upper(left(lang, 1)) || substring(lang, 2) AS name, 'https://' || source || '.hf.space' AS host, '~/' || source AS path
+          'My ' || upper(left(source, 1)) || substring(source, 2) || ' 2' || upper(left(lang, 1)) || substring(lang, 2) AS name, 'https://' || source || '.hf.space' AS host, '~/' || source AS path
         FROM (SELECT *, trim(split_part(text, chr(10), 1)) AS f FROM documents)""",
     "lookups": "SELECT c_custkey::VARCHAR AS asked, c_custkey::VARCHAR AS id FROM customer UNION ALL SELECT lower(c_name), c_custkey::VARCHAR FROM customer",
     "first_seen_sources": "SELECT user_id, string_agg(event_type, ',' ORDER BY a) AS types FROM (SELECT user_id, event_type, min(event_id) AS a FROM events GROUP BY ALL) GROUP BY 1",
@@ -292,3 +301,134 @@ ORACLE_SQL = {
         WITH used AS (SELECT n_regionkey AS k FROM nation WHERE n_nationkey < 2), best AS (SELECT min(r_regionkey) AS b FROM region WHERE r_regionkey NOT IN (SELECT k FROM used))
         SELECT r_name AS label, CASE WHEN r_regionkey = b THEN -1 ELSE r_regionkey END AS place, 0.0::DOUBLE AS score FROM region, best""",
 }
+
+#: Ideas of a table asked(key..., text): the rule of idea_titles.
+MAILS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+LAYOUT = f"""
+        lay AS (SELECT vec_id AS doc_id, label AS raw, round(3 + (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 94, 4) AS x, round(3 + (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 94, 4) AS y
+          FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)),
+        pr AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text, n_chars, source, lang, x, y, raw FROM documents JOIN lay USING (doc_id)),
+        z AS (SELECT raw, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM pr GROUP BY 1),
+        ids AS (SELECT *, 'cluster-' || row_number() OVER (ORDER BY n DESC, cx, cy) AS cluster_id FROM z),
+        named AS (SELECT *, CASE WHEN {CLEAN.format('title')} = '' THEN 'Untitled project' ELSE {CLEAN.format('title')} END AS shown FROM pr)"""
+_CLUSTERS_SQL = ORACLE_SQL["dashboard_clusters"]
+_BODY = _CLUSTERS_SQL[_CLUSTERS_SQL.index("tok AS (SELECT raw"):_CLUSTERS_SQL.index("        SELECT cluster_id, coalesce(label")]
+_LINKS = ORACLE_SQL["nearest_links"].strip().removeprefix("WITH ").replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
+_LINKS, _, _LAST = _LINKS.rpartition("\n        SELECT ")
+ORACLE_SQL["dashboard_payload"] = f"""
+        WITH {LAYOUT}, {MATCHES}, {_BODY.rstrip()},
+        cl AS (SELECT cluster_id, coalesce(label, titles, 'Mixed projects') || ';' || coalesce(keywords, '') || ';' || representatives AS what, n, round(cx, 4) AS x, round(cy, 4) AS y FROM ids LEFT JOIN kw USING (raw) LEFT JOIN t2 USING (raw) JOIN t1 USING (raw)),
+        own AS (SELECT doc_id, string_agg(label, ',' ORDER BY confidence DESC, label) AS q FROM m GROUP BY 1),
+        links AS (WITH {_LINKS} SELECT {_LAST}),
+        dim(pos, label) AS (VALUES (0, 'quality'), (1, 'toxic'), (2, 'unused')),
+        mt AS (SELECT label, doc_id, max(confidence) AS c FROM m WHERE doc_id IN (SELECT doc_id FROM pr) GROUP BY ALL),
+        mr AS (SELECT mt.*, row_number() OVER (PARTITION BY label ORDER BY c DESC, n_chars DESC, doc_id) AS k FROM mt JOIN pr USING (doc_id))
+        SELECT 'header' AS part, 'analyzed' AS item, 'marks' AS what, count(*) AS n, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM pr
+        UNION ALL SELECT 'cluster', cluster_id, what, n, x, y FROM cl
+        UNION ALL SELECT 'point', doc_id::VARCHAR, cluster_id || ';' || source || ',' || lang || ';' || coalesce(q, ''), n_chars, x, y FROM named JOIN ids USING (raw) LEFT JOIN own USING (doc_id)
+        UNION ALL SELECT 'link', source || '-' || target, NULL, NULL, score, NULL FROM links
+        UNION ALL SELECT 'label', dim.label, coalesce(string_agg(mr.doc_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 4), ''), count(mr.doc_id), NULL, NULL FROM dim LEFT JOIN mr USING (label) GROUP BY dim.label"""
+ORACLE_SQL["crawled_cards"] = rf"""
+        WITH r AS (SELECT *, doc_id % 4 AS k, regexp_replace(regexp_replace(text, '^[\s\v\x1c-\x1f\x85\x{{a0}}\x{{3000}}]+', ''), '[\s\v\x1c-\x1f\x85\x{{a0}}\x{{3000}}]+$', '') AS body, left(text, 3000) AS app FROM documents WHERE doc_id % 10 <> 9),
+        c AS (SELECT *, {CLEAN.format('app')} AS flat FROM r)
+        SELECT 'org/doc_' || doc_id || '-2go' AS id, CASE WHEN doc_id % 3 = 0 THEN 'Doc ' || doc_id ELSE 'Doc ' || doc_id || ' 2Go' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'about' ELSE '' END AS summary,
+          least(source, lang) || ',' || greatest(source, lang) AS tags, n_chars AS likes, 'https://' || source || '.hf.space' AS host, CASE WHEN k = 0 THEN 'src/app.txt' ELSE '' END AS app_file,
+          md5(left(body, 24000)) AS readme, length(app) AS app_chars,
+          md5(CASE WHEN k <> 0 OR trim(app) = '' THEN '' WHEN length(flat) <= 2000 THEN flat ELSE rtrim(left(flat, 997)) || ' ... ' || ltrim(right(flat, 997)) END) AS embedded,
+          CASE WHEN k = 1 THEN 'invalid app_file path: ../up.txt' END AS error FROM c"""
+ORACLE_SQL["privacy_redaction"] = f"SELECT doc_id, md5(regexp_replace(text, '{MAILS}', '[MAIL]', 'g')) AS digest, len(regexp_extract_all(text, '{MAILS}')) AS mails FROM documents"
+ORACLE_SQL["resolve_names"] = """
+        WITH c AS (SELECT c_custkey AS pos, 'org/c-' || c_custkey AS id, lower(c_name) AS title FROM customer),
+        n AS (SELECT pos, id, id AS name, 0 AS place FROM c UNION ALL SELECT pos, id, split_part(id, '/', 2), 1 FROM c UNION ALL SELECT pos, id, title, 2 FROM c),
+        q AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN upper('org/c-' || c_custkey) WHEN 1 THEN '  ' || lower(c_name) WHEN 2 THEN 'Tell me about ' || c_name || '!' WHEN 3 THEN 'open c-' || c_custkey || ' now' ELSE 'unknown ' || c_custkey END AS question FROM customer),
+        f AS (SELECT question, trim(lower(question)) AS low FROM q),
+        e AS (SELECT question, arg_min(id, pos) AS exact FROM f JOIN n ON low = name GROUP BY 1),
+        h AS (SELECT question, arg_min(id, (-length(name), pos, place)) AS contained FROM f JOIN n ON contains(low, name) AND length(name) >= 4 GROUP BY 1)
+        SELECT question, coalesce(exact, contained) AS match FROM f LEFT JOIN e USING (question) LEFT JOIN h USING (question)"""
+ORACLE_SQL["tool_violations"] = """
+        WITH b AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations),
+        g AS (SELECT *, CASE WHEN n % 13 = 0 THEN 'jump' WHEN turn % 2 = 0 THEN 'look' ELSE 'set' END AS tool,
+          CASE WHEN n % 11 = 0 THEN '[1]' WHEN n % 11 = 1 THEN '{broken'
+            WHEN turn % 2 = 0 THEN '{"place":' || CASE WHEN n % 7 = 0 THEN '5' ELSE to_json(left(text, 30)) END || CASE n % 3 WHEN 0 THEN ',"how":"near"' WHEN 1 THEN ',"how":"up"' ELSE '' END || CASE n % 5 WHEN 0 THEN ',"count":1.5' WHEN 1 THEN ',"count":3' ELSE '' END || '}'
+            ELSE '{' || CASE WHEN n % 4 > 0 THEN '"names":["a",' ELSE '"zeta":[' END || CASE WHEN n % 6 = 0 THEN '1,null' ELSE '"b"' END || '],"exact":' || CASE WHEN n % 5 = 0 THEN '"yes"' ELSE 'true' END || ',"share":0.5,"more":{"x":[1]}}' END AS given FROM b),
+        spec(tool, field, kind, needed, allowed, item) AS (VALUES ('look', 'place', 'string', true, NULL, NULL), ('look', 'how', 'string', false, ['near', 'far'], NULL), ('look', 'count', 'integer', false, NULL, NULL),
+          ('set', 'names', 'array', true, NULL, 'string'), ('set', 'exact', 'boolean', false, NULL, NULL), ('set', 'share', 'number', false, NULL, NULL), ('set', 'more', 'object', false, NULL, NULL)),
+        types(json, kind) AS (VALUES ('VARCHAR', 'string'), ('UBIGINT', 'integer'), ('BIGINT', 'integer'), ('DOUBLE', 'number'), ('UBIGINT', 'number'), ('BIGINT', 'number'), ('BOOLEAN', 'boolean'), ('ARRAY', 'array'), ('OBJECT', 'object')),
+        ok AS (SELECT * FROM g WHERE json_valid(given) AND left(given, 1) = '{' AND tool <> 'jump'),
+        a AS (SELECT conv_id, turn, tool, unnest(json_keys(given)) AS field, given FROM ok),
+        v AS (SELECT *, json_type(given, '$.' || field) AS kind_found, json_extract_string(given, '$.' || field) AS value, json_extract(given, '$.' || field) AS json FROM a),
+        bad AS (
+          SELECT conv_id, turn, 0 AS o, '' AS f, 0 AS i, 'unexpected arguments for ' || tool || ': ' || string_agg(field, ', ' ORDER BY field) AS e FROM v ANTI JOIN spec USING (tool, field) GROUP BY conv_id, turn, tool
+          UNION ALL SELECT conv_id, turn, 1, '', 0, 'missing required arguments for ' || tool || ': ' || string_agg(field, ', ' ORDER BY field) FROM ok JOIN spec USING (tool) WHERE needed AND NOT list_contains(json_keys(given), field) GROUP BY conv_id, turn, tool
+          UNION ALL SELECT conv_id, turn, 2, field, 0, tool || '.' || field || CASE WHEN NOT EXISTS (FROM types WHERE types.json = kind_found AND types.kind = spec.kind) THEN ' must be ' || kind ELSE ' must be one of: ' || array_to_string(allowed, ', ') END
+            FROM v JOIN spec USING (tool, field) WHERE NOT EXISTS (FROM types WHERE types.json = kind_found AND types.kind = spec.kind) OR allowed IS NOT NULL AND NOT list_contains(allowed, value)
+          UNION ALL SELECT conv_id, turn, 2, field, i, tool || '.' || field || '[' || i || '] must be ' || item FROM (SELECT *, unnest(range(json_array_length(v.json)::BIGINT)) AS i FROM v JOIN spec USING (tool, field) WHERE item IS NOT NULL AND kind_found = 'ARRAY')
+            WHERE NOT EXISTS (FROM types WHERE types.json = json_type(given, '$.' || field || '[' || i || ']') AND types.kind = item)),
+        e AS (SELECT conv_id, turn, string_agg(e, '; ' ORDER BY o, f, i) AS errors FROM bad GROUP BY ALL),
+        r AS (SELECT g.*, CASE WHEN NOT json_valid(given) THEN 'function arguments are not valid JSON' WHEN left(given, 1) <> '{' THEN 'function arguments must be a JSON object' WHEN tool = 'jump' THEN 'unknown tool: jump' ELSE coalesce(errors, '') END AS errors FROM g LEFT JOIN e USING (conv_id, turn))
+        SELECT conv_id, turn, CASE WHEN errors = '' THEN 'valid' ELSE 'defaulted' END AS status, CASE WHEN errors = '' THEN tool WHEN turn % 3 > 0 AND trim(left(text, 20)) <> '' THEN 'search_projects' ELSE 'find_whitespace' END AS name,
+          md5(CASE WHEN errors = '' THEN CASE WHEN tool = 'look' THEN '{' || CASE WHEN n % 5 = 1 THEN '"count":3,' ELSE '' END || CASE WHEN n % 3 = 0 THEN '"how":"near",' ELSE '' END || '"place":' || to_json(left(text, 30)) || '}'
+              ELSE '{"exact":true,"more":{"x":[1]},"names":["a","b"],"share":0.5}' END
+            WHEN turn % 3 > 0 AND trim(left(text, 20)) <> '' THEN '{"query":' || to_json(trim(left(text, 20))) || '}' ELSE '{}' END) AS arguments, errors FROM r"""
+_ASKED = """
+        b AS (SELECT conv_id, turn, left(text, 40) AS s, length(text) % 12 AS k FROM conversations),
+        a AS (SELECT conv_id, turn, CASE WHEN k IN (1, 5) THEN '' ELSE s END AS s, ['', 'projects', 'read project https://example.org/spaces/org/', 'Compare ideas ', 'make a plan  for ', 'find a gap', 'search for ', 'show me the cluster ', 'who completed most quests: ', 'latest ', 'hello ', 'how many '][k + 1] AS p FROM b),
+        m AS (SELECT conv_id, turn, {0} AS text FROM (SELECT conv_id, turn, p || s AS raw FROM a)),
+        l AS (SELECT *, lower(text) AS low FROM m)""".format(CLEAN.format("raw"))
+_IS = lambda words: "(" + " OR ".join(f"low = '{w}' OR starts_with(low, '{w} ')" for w in words) + ")"
+_HAS = lambda words: "(" + " OR ".join("contains(low, '{}')".format(w.replace("'", "''")) for w in words) + ")"
+_LISTING = "(low IN ({}) OR {})".format(", ".join(f"'{w}'" for w in tools.LISTING_WORDS), " OR ".join(f"starts_with(low, '{w}')" for w in tools.LISTING_PREFIXES))
+_KNOWN = r"trim(regexp_extract(regexp_replace(regexp_replace(text, '^(?i)(read|open|show) (project|space) +', ''), '^(?i)https?://[^/\s]+/spaces/', ''), '^\S*'), '.,;:!?\"''')"
+ORACLE_SQL["advisor_routes"] = f"""
+        WITH {_ASKED}, r AS (SELECT *, CASE WHEN text = '' OR {_LISTING} THEN 'list_projects' WHEN regexp_matches(low, '^(read|open|show) (project|space) ') AND {_KNOWN} <> '' THEN 'get_project'
+          {' '.join(f"WHEN {_IS(words)} THEN '{tool}'" for tool, words in tools.COMMANDS.items())} ELSE 'save_idea' END AS name FROM l)
+        SELECT conv_id, turn, name, CASE name WHEN 'list_projects' THEN '{{"sort":"likes"}}' WHEN 'get_project' THEN '{{"id":' || to_json({_KNOWN}) || '}}' WHEN 'search_projects' THEN '{{"query":' || to_json(text) || '}}' WHEN 'save_idea' THEN NULL ELSE '{{}}' END AS arguments FROM r"""
+ORACLE_SQL["chat_routes"] = f"""
+        WITH {_ASKED}, i AS (SELECT *, {_HAS(tools.DETAIL)} AS detail FROM l),
+        r AS (SELECT *, CASE WHEN {_HAS(tools.LEADERS)} THEN 'top_projects_by_quests' WHEN {_HAS(tools.CLUSTERS)} THEN CASE WHEN detail THEN 'show_cluster' ELSE 'list_clusters' END WHEN {_HAS(tools.QUESTS)} THEN CASE WHEN detail THEN 'show_quest' ELSE 'list_quests' END
+          WHEN {_HAS(tools.RECENT)} THEN 'recent_activity' WHEN {_HAS(tools.OVERVIEW)} THEN 'atlas_overview' WHEN {_HAS(tools.INSIDE)} OR detail THEN 'show_project' WHEN {_HAS(tools.SEARCHES)} OR text <> '' THEN 'search_projects' ELSE 'atlas_overview' END AS name FROM i)
+        SELECT conv_id, turn, name, CASE name WHEN 'show_cluster' THEN '{{"label":' || to_json(text) || '}}' WHEN 'show_quest' THEN '{{"quest":' || to_json(text) || '}}' WHEN 'show_project' THEN '{{"project":' || to_json(text) || '}}' WHEN 'search_projects' THEN '{{"query":' || to_json(text) || '}}' ELSE '{{}}' END AS arguments,
+          rtrim(low, '.!?') = '' OR {_IS(tools.SMALLTALK).replace('low', "rtrim(low, '.!?')")} AS smalltalk FROM r"""
+ORACLE_SQL["session_states"] = """
+        WITH e AS (SELECT conv_id::VARCHAR AS session, turn, CASE WHEN turn % 4 = 3 THEN 'set_goals' WHEN role = 'user' THEN 'save_idea' ELSE 'update_profile' END AS action, left(text, 1) AS title, left(text, 2) AS pitch, left(text, 20) AS value, length(text) % 2 = 0 AS even FROM conversations),
+        s AS (SELECT *, coalesce(lower(trim(title)) <> lag(lower(trim(title))) OVER w OR trim(pitch) <> lag(trim(pitch)) OVER w, true) AS another FROM e WHERE action = 'save_idea' WINDOW w AS (PARTITION BY session ORDER BY turn)),
+        n AS (SELECT *, sum(another::INTEGER) OVER (PARTITION BY session ORDER BY turn) AS idea FROM s),
+        i AS (SELECT session, idea, arg_max(title, turn) AS title, arg_max(pitch, turn) AS pitch, max(turn) AS saved, min(turn) AS born FROM n GROUP BY ALL),
+        o AS (SELECT *, coalesce(lead(born) OVER (PARTITION BY session ORDER BY idea), 1000000000) AS until FROM i),
+        g AS (SELECT session, turn, CASE WHEN even THEN 'Off-Brand' ELSE '' END AS goals FROM e WHERE action = 'set_goals'),
+        k AS (SELECT o.session, idea, title, pitch, coalesce((SELECT arg_max(goals, turn) FROM g WHERE g.session = o.session AND g.turn < until), 'Off the Grid+Well-Tuned+Off-Brand') AS goals FROM o),
+        l AS (SELECT session, string_agg(title || '/' || pitch || '/' || goals, '|' ORDER BY idea) AS ideas FROM k GROUP BY 1),
+        p AS (SELECT session, arg_max(value, turn) FILTER (action = 'update_profile' AND even) AS time, arg_max(value, turn) FILTER (action = 'update_profile' AND NOT even) AS skills, max(turn) AS seq FROM e GROUP BY 1),
+        t AS (SELECT session, string_agg(turn || ':' || action, ',' ORDER BY turn) AS trace FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY session ORDER BY turn DESC) <= 12) GROUP BY 1),
+        z AS (SELECT session, arg_max(goals, turn) AS goals FROM g GROUP BY 1)
+        SELECT session, seq, coalesce(ideas, '') AS ideas, coalesce(z.goals, 'Off the Grid+Well-Tuned+Off-Brand') AS goals, time, skills, trace FROM p LEFT JOIN l USING (session) LEFT JOIN t USING (session) LEFT JOIN z USING (session)"""
+ORACLE_SQL["turn_stages"] = """
+        WITH e AS (SELECT user_id, ts, event_id AS seq, value, CASE event_type WHEN 'view' THEN 'stage' WHEN 'click' THEN 'tool_event' WHEN 'purchase' THEN 'model_progress' WHEN 'search' THEN 'start' WHEN 'error' THEN 'fallback' ELSE 'done' END AS type FROM events),
+        s AS (SELECT *, CASE WHEN type <> 'stage' THEN NULL WHEN value < 20 THEN 'planning' WHEN value < 40 THEN 'running_tool' ELSE 'writing' END AS stage FROM e),
+        p AS (SELECT *, CASE type WHEN 'start' THEN 0 WHEN 'model_progress' THEN 2 WHEN 'tool_event' THEN 4 WHEN 'token' THEN 6 WHEN 'done' THEN 7 WHEN 'stage' THEN CASE stage WHEN 'planning' THEN 1 WHEN 'running_tool' THEN 3 ELSE 5 END END AS phase FROM s),
+        w AS (SELECT user_id, bool_and(coalesce(phase >= before, true)) AS in_order FROM (SELECT *, max(phase) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p WHERE phase IS NOT NULL) GROUP BY 1),
+        g AS (SELECT user_id, min(ts) AS a, coalesce(min(ts) FILTER (type = 'done'), max(ts)) AS z, min(ts) FILTER (stage = 'planning') AS p, min(ts) FILTER (stage = 'running_tool') AS r, min(ts) FILTER (stage = 'writing') AS w,
+          max(floor(value)::BIGINT) FILTER (type = 'model_progress') AS tokens, count(*) FILTER (type = 'tool_event') AS tools, bool_or(type = 'fallback') AS fell_back FROM s GROUP BY 1)
+        SELECT user_id AS turn_id, round((epoch_us(z) - epoch_us(a)) / 1000, 0) AS total_ms, round((epoch_us(r) - epoch_us(p)) / 1000, 0) AS decode_ms, round((epoch_us(w) - epoch_us(r)) / 1000, 0) AS tools_ms, round((epoch_us(z) - epoch_us(w)) / 1000, 0) AS write_ms,
+          ((p IS NOT NULL)::INTEGER + (r IS NOT NULL)::INTEGER + (w IS NOT NULL)::INTEGER) AS stages, tokens, tools, fell_back, coalesce(in_order, true) AS in_order FROM g LEFT JOIN w USING (user_id)"""
+_LABEL_IDS = ",".join(f'"{i}"' for i, _ in LABELS)
+_ANALYZER = '{"adapter":{"id":"a","revision":"r"},"generation":{"sample":false,"temperature":0.5},"model":"m"}'
+ORACLE_SQL["cache_identity"] = f"""
+        WITH t AS (SELECT sha256('{{"labels":[{_LABEL_IDS}],"prompt_version":"v1"}}') AS h)
+        SELECT doc_id, sha256(text) AS prompt_hash, sha256('{{"analyzer_fingerprint":{_ANALYZER},"project_id":"' || doc_id || '","prompt_hash":"' || sha256(text) || '","schema_version":1,"taxonomy_hash":"' || h || '"}}') AS cache_key,
+          sha256('{{"k":' || to_json(left(text, 10)) || ',"z":[1,{{"a":null,"b":' || n_chars || '}}]}}') AS canonical FROM documents, t"""
+_HEAD = "\n".join(analysis.PROMPT_HEAD).replace("'", "''")
+_RULES = "\n".join(analysis.PROMPT_RULES).replace("'", "''")
+_LISTED = "\n".join(f"- {i}: {x} Signals: the words {x}" for i, x in LABELS).replace("'", "''")
+_CLIPPED = "CASE WHEN length(trim({0})) = 0 THEN '{2}' WHEN length(trim({0})) <= {1} THEN trim({0}) ELSE rtrim(left(trim({0}), {1})) || ' ...' END"
+ORACLE_SQL["quest_prompts"] = f"""
+        WITH r AS (SELECT *, left({CLEAN.format('text')}, 3000) AS readme, CASE WHEN doc_id % 2 = 0 AND trim(text) <> '' THEN left(text, 3800) ELSE '' END AS app FROM documents),
+        p AS (SELECT doc_id, '{_HEAD}' || chr(10) || '{_LISTED}' || chr(10) || '{_RULES}' || chr(10) || 'METADATA: {{"title": ' || to_json(trim(split_part(text, chr(10), 1))) || ', "sdk": "' || source || '", "declared_models": ["' || lang || '", "org/x"], "tags": ["' || source || '", "' || lang || '"]}}'
+          || chr(10) || chr(10) || '[README]' || chr(10) || {_CLIPPED.format('readme', 1500, '(no README description provided)')} || chr(10) || chr(10) || '[APP_FILE] ' || CASE WHEN doc_id % 2 = 0 THEN 'app.py' ELSE '(unknown)' END || chr(10) || {_CLIPPED.format('app', 1900, '(no app file available)')} AS made FROM r)
+        SELECT doc_id, md5(made) AS digest, length(made) AS n FROM p"""
+ORACLE_SQL["label_ladder"] = f"""
+        WITH r AS (SELECT doc_id, source, length(text) % 6 AS k, regexp_replace(left(text, 30), '["\\\\]', '''', 'g') AS raw FROM documents),
+        e AS (SELECT *, {CLEAN.format('raw')} AS e, source <> 'src1' AS asked, source = 'src2' AS declared FROM r),
+        o AS (SELECT *, CASE WHEN NOT asked THEN NULL WHEN k = 3 THEN 'ValueError: no answer; repair failed: no JSON object in the answer' WHEN k = 4 THEN 'no JSON object in the answer; repair failed: no JSON object in the answer' WHEN e = '' THEN 'evidence must not be empty; repair failed: evidence must not be empty' END AS error FROM e)
+        SELECT doc_id, CASE WHEN NOT asked OR error IS NOT NULL THEN 'declared' WHEN k = 2 THEN 'repaired' ELSE 'parsed' END AS rung,
+          CASE WHEN declared THEN 'Modal/1.0/tag/metadata' ELSE '' END || CASE WHEN NOT asked OR error IS NOT NULL THEN '' WHEN k = 5 THEN CASE WHEN declared THEN '|' ELSE '' END || 'OpenBMB/0.75/' || e || '/readme|Codex/0.75/' || e || '/readme' WHEN declared THEN '' ELSE 'Modal/0.75/' || e || '/readme' END AS matches, error FROM o"""

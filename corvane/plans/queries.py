@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.python_text import correct_aliases, folded
-from corvane.operators import dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, training_rows, vectors
-from corvane.streaming import turns
+from corvane.functions.python_text import folded
+from corvane.operators import aliases, analysis, dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, tools, training_rows, vectors
+from corvane.sources import crawl
+from corvane.sources.work import new_path, written
+from corvane.streaming import sessions, turns
 
 BM25_QUERY = "the ering tion and with"
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -44,7 +49,7 @@ def bm25_search(spark, d):
 
     tf = [occurrences(q).alias(f"tf{i}") for i, q in enumerate(terms)]
     rows = words.select("doc_id", F.size("w").alias("length"), *tf)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = rows.join(F.broadcast(stats))
     score = sum((F.when(F.col(f"tf{i}") > 0, search.term_score(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("length"), F.col("average"))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
     return joined.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(12).select("doc_id", F.round("score", 6).alias("score"))
@@ -60,7 +65,7 @@ def bm25_fields(spark, d):
 
 @query
 def search_full(spark, d):
-    """All fields, boosts for the whole phrase, the twelve best with their share of the best score, the number of hits, and snippets."""
+    """Four fields, boosts for the whole phrase, the twelve best with their share of the best score, the number of hits, and snippets."""
     phrase = "the ering tion"
     docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.concat_ws(" ", "source", "lang").alias("tags"), F.concat("source", F.lit("-doc_"), F.col("doc_id").cast("string")).alias("slug"), F.col("n_chars").alias("likes"))
     fields = {"title": search.FIELDS["Title"], "slug": search.FIELDS["Space"], "tags": search.FIELDS["Tags"], "text": search.FIELDS["README"]}
@@ -369,8 +374,8 @@ def dedupe_echoes(spark, d):
 
 @query
 def near_duplicates(spark, d):
-    """F15, first half: exact copies of an earlier text; the half by embedding cosine isn't built."""
-    return etl.exact_copies(t(spark, d, "documents"), "doc_id", "text")
+    """documents that an equal text, or an embedding of a cosine of at least 0.45 (the tables hold no nearer ones), makes superfluous."""
+    return etl.near_copies(t(spark, d, "documents"), t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "text", 0.45)
 
 
 @query
@@ -437,9 +442,10 @@ def integrity_check(spark, d):
 
 @query
 def alias_correction(spark, d):
-    """Three common words of each benchmark text written out as names."""
-    fix = correct_aliases({"THE": ("the",), "ONES": ("onnes", "ones"), "TION": ("tion", "tionn")})
-    return t(spark, d, "benchmark").select("item_id", fix("text").alias("c")).select("item_id", "c.text", F.size("c.corrections").alias("n"))
+    """Three common words of every turn of a conversation written out as names."""
+    names = aliases.alias_table(spark, {"THE": ("the",), "ONES": ("onnes", "ones"), "TION": ("tion", "tionn")})
+    rows = t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return aliases.corrected(rows, names, "id", "text").select("id", "text", F.to_json("corrections").alias("corrections"))
 
 
 @query
@@ -450,6 +456,16 @@ def fuzzy_resolve(spark, d):
     return repository.resolve_contained(nations, asked, "n_name", "question", 3)
 
 
+@query
+def resolve_names(spark, d):
+    """Customers by id, by title in other case, by either within a sentence, and by nothing that is known."""
+    rows = t(spark, d, "customer").select("c_custkey", F.concat(F.lit("org/c-"), "c_custkey").alias("id"), "c_name")
+    known = rows.select("c_custkey", "id", F.array("id", F.substring_index("id", "/", -1), "c_name").alias("names"))
+    k = F.pmod("c_custkey", F.lit(5))
+    text = F.when(k == 0, F.upper("id")).when(k == 1, F.concat(F.lit("  "), F.lower("c_name"))).when(k == 2, F.concat(F.lit("Tell me about "), "c_name", F.lit("!"))).when(k == 3, F.concat(F.lit("open c-"), "c_custkey", F.lit(" now"))).otherwise(F.concat(F.lit("unknown "), "c_custkey"))
+    return repository.resolve_projects(known, rows.select(text.alias("question")), "c_custkey", "id", "names", "question")
+
+
 @query
 def score_rubric(spark, d):
     """M15 A19"""
@@ -568,11 +584,13 @@ def _session_records(spark, d):
     rows = t(spark, d, "conversations")
     secret = F.concat("text", F.lit(" API_KEY=abc, at /home/me/x"))
     json = lambda *fields: F.to_json(F.struct(*fields))
+    below = lambda value, name: F.struct(value.alias(name))
+    nested = below(below(below(below(F.array(F.struct(F.col("text").alias("text"), F.lit("plain").alias("other"))), "d"), "c"), "b"), "a")
     payload = (
         F.when(F.col("turn") == 0, json(F.col("conv_id").cast("string").alias("id"), F.lit("/home/me/work").alias("cwd"), F.lit(1).alias("extra"), F.struct(F.lit("main").alias("branch"), F.lit(3).alias("n")).alias("git")))
         .when(F.col("role") == "user", json(F.lit("user_message").alias("type"), secret.alias("message"), F.array("text", F.lit("TOKEN: x")).alias("images"), F.lit(True).alias("private")))
         .when(F.col("role") == "system", json(F.lit("message").alias("type"), F.col("text").alias("content")))
-        .otherwise(json(F.lit("function_call_output").alias("type"), F.lit("look").alias("name"), F.col("text").alias("output"), F.lit("x").alias("hidden")))
+        .otherwise(json(F.lit("function_call_output").alias("type"), F.lit("look").alias("name"), nested.alias("arguments"), F.col("text").alias("output"), F.lit("x").alias("hidden")))
     )
     kind = F.when(F.col("turn") == 0, "session_meta").when(F.col("role") == "user", "event_msg").otherwise("response_item")
     return publication.public_records(rows.select("conv_id", "turn", kind.alias("type"), payload.alias("payload")), "type", "payload", (("/home/me", "~"),), {**publication.CAPS, "message": 300, "tool_output": 120})
@@ -667,8 +685,8 @@ def index_problems(spark, d):
 @query
 def point_marks(spark, d):
     """P26 P34 P41"""
-    slug = F.concat(F.lit("my_"), "source", F.lit("--"), "lang")
-    return t(spark, d, "documents").select("doc_id", F.round(index.point_radius(F.col("n_chars")), 6).alias("radius"), index.short_title(F.substring_index("text", "\n", 1)).alias("title"), index.humanized(slug).alias("name"), index.host_url(F.when(F.col("lang") == "en", F.lit("")), F.col("source")).alias("host"), index.display_path(F.concat(F.lit("/home/me/"), "source"), "/home/me").alias("path"))
+    slug = F.concat(F.lit("my_"), "source", F.lit("--2"), "lang")
+    return t(spark, d, "documents").select("doc_id", F.round(index.point_radius(F.col("n_chars")), 6).alias("radius"), index.short_title(F.substring_index("text", "\n", 1)).alias("title"), T.humanized(slug).alias("name"), index.host_url(F.when(F.col("lang") == "en", F.lit("")), F.col("source")).alias("host"), index.display_path(F.concat(F.lit("/home/me/"), "source"), "/home/me").alias("path"))
 
 
 @query
@@ -699,3 +717,188 @@ def unused_labels(spark, d):
     items = index.starters(t(spark, d, "region").select(F.col("r_name").alias("label"), F.col("r_regionkey").alias("pos")), "pos", 5)
     used = t(spark, d, "nation").where("n_nationkey < 2").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("label"))
     return index.unused_first(items, used, "pos").select("label", "place", "score")
+
+
+def _scaled_layout(spark, d):
+    """The first two coordinates of each embedding as a layout in percent."""
+    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("label").alias("raw"))
+    ends = rows.agg(*[f(c).alias(n + c) for c in "ab" for n, f in (("least_", F.min), ("most_", F.max))])
+    return rows.join(F.broadcast(ends)).select("doc_id", *[vectors.scaled(F.col(c), 3, 97, F.col(f"least_{c}"), F.col(f"most_{c}"), 4).alias(n) for c, n in (("a", "x"), ("b", "y"))], "raw")
+
+
+@query
+def dashboard_payload(spark, d):
+    """The whole payload of all documents with an embedding, checked, a row for each of its items."""
+    layout = written(_scaled_layout(spark, d), "layout")
+    projects = t(spark, d, "documents").join(layout.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.col("n_chars").alias("likes"), F.array("source", "lang", F.lit("region:us")).alias("tags"), F.col("source").alias("last_modified"))
+    layout = layout.join(projects.select("doc_id"), "doc_id", "left_semi")
+    links = vectors.nearest_links(_indexed(spark, d).select(F.col("doc_id").alias("id"), "vec"), 2)
+    dimension = spark.createDataFrame([(0, "quality"), (1, "toxic"), (2, "unused")], "pos int, label string")
+    parts = dashboard.payload(projects, layout, written(links, "links"), _matches(spark, d), dimension, "doc_id", T.tokens(F.col("title")), "marks", "2024-01-01T00:00:00+00:00")
+    labels.require(dashboard.payload_problems(parts, "doc_id"), "dashboard payload")
+    text = lambda c: F.col(c).cast("string")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    row = lambda part, rows, item, what, n, x, y: rows.select(F.lit(part).alias("part"), item.alias("item"), what.alias("what"), n.cast("long").alias("n"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    none = F.lit(None)
+    return (
+        row("header", parts["header"], text("status"), F.col("source"), F.col("project_count"), none, none)
+        .unionByName(row("cluster", parts["clusters"], F.col("cluster_id"), F.concat_ws(";", "label", listed("keywords"), listed("representatives")), F.col("project_count"), F.col("x"), F.col("y")))
+        .unionByName(row("point", dashboard.public_points(parts["points"]), text("doc_id"), F.concat_ws(";", "cluster_id", listed("tags"), listed("quest_ids")), F.col("likes"), F.col("x"), F.col("y")))
+        .unionByName(row("link", parts["links"], F.concat_ws("-", "source", "target"), none.cast("string"), none, F.col("score"), none))
+        .unionByName(row("label", parts["quest_report"], F.col("label"), listed("examples"), F.col("rows"), none, none))
+    )
+
+
+@query
+def crawled_cards(spark, d):
+    """Documents written as a listing of items with their READMEs, read by the crawl connector and made cards."""
+    app = F.when(F.col("doc_id") % 4 == 0, "./src//app.txt").when(F.col("doc_id") % 4 == 1, "../up.txt").otherwise("")
+    readme = F.concat(F.lit("---\ntitle: x\napp_file: "), app, F.lit("\n---\n"), "text")
+    card = F.when(F.col("doc_id") % 3 == 0, F.struct(F.concat(F.lit("Doc "), "doc_id").alias("title"), F.lit("about").alias("description")))
+    item = F.struct(F.concat(F.lit("org/doc_"), "doc_id", F.lit("-2go")).alias("id"), (F.col("doc_id") % 10 == 9).alias("private"), F.col("n_chars").alias("likes"), F.array("source", "lang", "source", F.lit("region:us")).alias("tags"), F.col("source").alias("subdomain"), card.alias("cardData"), readme.alias("readme"), F.left("text", F.lit(3000)).alias("app"))
+    listing = new_path(spark, "listing")
+    t(spark, d, "documents").select(F.to_json(item).alias("value")).write.text(listing)
+    items = crawl.read_items(spark, crawl.folder_pages(spark, listing))
+    field = lambda name: F.try_variant_get(F.try_parse_json("item"), f"$.{name}", "string")
+    out = crawl.cards(items.withColumn("readme", field("readme")).withColumn("app_text", field("app")))
+    return out.select("id", "title", "summary", F.array_join("tags", ",").alias("tags"), "likes", "host", "app_file", F.md5("readme_body").alias("readme"), F.length("app_file_source").alias("app_chars"), F.md5("app_file_embedding_text").alias("embedded"), "error")
+
+
+def found_mails(texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    """A finder of private spans: addresses of mail."""
+    return [[(*m.span(), "B-mail", 0.9) for m in MAIL.finditer(x)] for x in texts]
+
+
+@query
+def privacy_redaction(spark, d):
+    """Whole documents without addresses of mail, long ones in pieces."""
+    safe = publication.with_filtered(t(spark, d, "documents"), F.array("text"), "safe", publication.span_finder(found_mails))
+    rows = safe.select("doc_id", F.get("safe", F.lit(0)).alias("r"))
+    return rows.select("doc_id", F.md5("r.text").alias("digest"), F.coalesce(F.try_element_at("r.labels", F.lit("MAIL")), F.lit(0)).cast("long").alias("mails"))
+
+
+#: The tools of made calls.
+MADE_TOOLS = {
+    "look": {"place": tools.Field("string", True), "how": tools.Field("string", enum=("near", "far")), "count": tools.Field("integer")},
+    "set": {"names": tools.Field("array", True, items="string"), "exact": tools.Field("boolean"), "share": tools.Field("number"), "more": tools.Field("object")},
+}
+
+
+def _made_calls(spark, d):
+    """Turns as calls in JSON, some without what they need or with what is wrong, by the turn's text."""
+    n = F.length("text")
+    place = F.when(n % 7 == 0, F.lit("5")).otherwise(tools.quoted(F.left("text", F.lit(30))))
+    look = F.concat(F.lit('{"place":'), place, F.when(n % 3 == 0, F.lit(',"how":"near"')).when(n % 3 == 1, F.lit(',"how":"up"')).otherwise(""), F.when(n % 5 == 0, F.lit(',"count":1.5')).when(n % 5 == 1, F.lit(',"count":3')).otherwise(""), F.lit("}"))
+    several = F.concat(F.lit("{"), F.when(n % 4 > 0, F.lit('"names":["a",')).otherwise(F.lit('"zeta":[')), F.when(n % 6 == 0, F.lit("1,null")).otherwise(F.lit('"b"')), F.lit('],"exact":'), F.when(n % 5 == 0, F.lit('"yes"')).otherwise(F.lit("true")), F.lit(',"share":0.5,"more":{"x":[1]}}'))
+    arguments = F.when(n % 11 == 0, F.lit("[1]")).when(n % 11 == 1, F.lit("{broken")).when(F.col("turn") % 2 == 0, look).otherwise(several)
+    name = F.when(n % 13 == 0, F.lit("jump")).when(F.col("turn") % 2 == 0, F.lit("look")).otherwise(F.lit("set"))
+    escaped = F.replace(F.replace(F.replace(arguments, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return t(spark, d, "conversations").select("conv_id", "turn", "text", name.alias("tool"), arguments.alias("given"), F.concat(F.lit(' <function name="'), name, F.lit('">'), escaped, F.lit("</function>")).alias("output"))
+
+
+@query
+def tool_violations(spark, d):
+    """Every turn as a call, what is wrong with it, and what is done instead."""
+    rows = _made_calls(spark, d).withColumn("call", tools.json_call(F.col("output")))
+    resolved = tools.resolved(F.col("call"), F.when(F.col("turn") % 3 > 0, F.left("text", F.lit(20))), MADE_TOOLS)
+    return rows.select("conv_id", "turn", resolved.alias("r")).select("conv_id", "turn", "r.status", "r.name", F.md5("r.arguments").alias("arguments"), F.array_join("r.errors", "; ").alias("errors"))
+
+
+def _asked(spark, d):
+    """Turns as messages: the first of their words behind beginnings that ask for something."""
+    begins = ("", "projects", "read project https://example.org/spaces/org/", "Compare ideas ", "make a plan  for ", "find a gap", "search for ", "show me the cluster ", "who completed most quests: ", "latest ", "hello ", "how many ")
+    text, k = F.left("text", F.lit(40)), F.pmod(F.length("text"), F.lit(len(begins)))
+    made = F.lit("")
+    for i, b in enumerate(begins):
+        made = F.when(k == i, F.concat(F.lit(b), F.lit("") if b in ("projects", "find a gap") else text)).otherwise(made)
+    return t(spark, d, "conversations").select("conv_id", "turn", made.alias("message"))
+
+
+@query
+def advisor_routes(spark, d):
+    """The tool that each message asks for."""
+    route = tools.advisor_route(F.col("message"))
+    return _asked(spark, d).select("conv_id", "turn", route.alias("r")).select("conv_id", "turn", "r.name", F.when(F.col("r.name") != "save_idea", F.col("r.arguments")).alias("arguments"))
+
+
+@query
+def chat_routes(spark, d):
+    """The data that each message asks for, and whether it is small talk."""
+    return _asked(spark, d).select("conv_id", "turn", tools.chat_route(F.col("message")).alias("r"), tools.is_smalltalk(F.col("message")).alias("smalltalk")).select("conv_id", "turn", "r.name", "r.arguments", "smalltalk")
+
+
+@query
+def session_states(spark, d):
+    """Turns as events of their conversations: users save ideas, others change the profile, every fourth turn sets goals."""
+    rows = t(spark, d, "conversations")
+    is_user = F.col("role") == "user"
+    action = F.when(F.col("turn") % 4 == 3, "set_goals").when(is_user, "save_idea").otherwise("update_profile")
+    events = rows.select(
+        F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("seq"), action.alias("action"), F.left("text", F.lit(1)).alias("title"), F.left("text", F.lit(2)).alias("pitch"),
+        F.when(F.length("text") % 2 == 0, "time").otherwise("skills").alias("field"), F.left("text", F.lit(20)).alias("value"), F.when(F.length("text") % 2 == 0, F.array(F.lit("Codex"), F.lit("Off-Brand"), F.lit("Off-Brand"))).otherwise(F.array().cast("array<string>")).alias("goals"),
+    )
+    out = sessions.session_states(events)
+    shown = F.transform("ideas", lambda i: F.concat(i["title"], F.lit("/"), i["pitch"], F.lit("/"), F.array_join(i["goals"], "+")))
+    return out.select("session", "seq", F.array_join(shown, "|").alias("ideas"), F.array_join("goals", "+").alias("goals"), F.col("profile")["time"].alias("time"), F.col("profile")["skills"].alias("skills"), F.array_join(F.transform("trace", lambda x: F.concat(x["seq"].cast("string"), F.lit(":"), x["action"])), ",").alias("trace"))
+
+
+@query
+def turn_stages(spark, d):
+    """Users as turns, their events as those of a turn."""
+    kinds = {"view": "stage", "click": "tool_event", "purchase": "model_progress", "search": "start", "error": "fallback"}
+    kind = F.lit("done")
+    for a, b in kinds.items():
+        kind = F.when(F.col("event_type") == a, b).otherwise(kind)
+    stage = F.when(F.col("value") < 20, "planning").when(F.col("value") < 40, "running_tool").otherwise("writing")
+    ev = t(spark, d, "events").select(F.col("user_id").alias("turn_id"), "ts", F.col("event_id").alias("seq"), kind.alias("type"), stage.alias("stage"), F.floor("value").cast("long").alias("tokens"))
+    return turns.stages(ev).select("turn_id", F.round("total_ms", 0).alias("total_ms"), F.round("decode_ms", 0).alias("decode_ms"), F.round("tools_ms", 0).alias("tools_ms"), F.round("write_ms", 0).alias("write_ms"), F.size("at").alias("stages"), "tokens", "tools", "fell_back", "in_order")
+
+
+#: What decides the results of the made analysis, with keys in no order.
+ANALYZER = {"model": "m", "adapter": {"revision": "r", "id": "a"}, "generation": {"temperature": 0.5, "sample": False}}
+TAXONOMY = {"prompt_version": "v1", "labels": [i for i, _ in labels.LABELS]}
+
+
+@query
+def cache_identity(spark, d):
+    """The key under which a document's result is kept, and the canonical form of a JSON with its keys in another order."""
+    rows = t(spark, d, "documents").select("doc_id", "text", F.concat(F.lit('{"z": [1, {"b": '), F.col("n_chars").cast("string"), F.lit(', "a": null}], "k": '), tools.quoted(F.left("text", F.lit(10))), F.lit("}")).alias("json"))
+    out = analysis.identified(rows, "doc_id", "text", TAXONOMY, ANALYZER)
+    return out.select("doc_id", "prompt_hash", "cache_key", F.sha2(analysis.canonical_json(F.col("json")), 256).alias("canonical"))
+
+
+@query
+def quest_prompts(spark, d):
+    """The classification prompt of every document, with a list of all labels."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("description"), F.lit(f"the words {label}").alias("signals")) for i, label in labels.LABELS])
+    made = analysis.prompt(F.substring_index("text", "\n", 1), F.col("source"), F.array("lang", F.lit("org/x")), F.array("source", "lang"), training_rows.readme_segment(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "app.py"), training_rows.app_segment(F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.lit("")), wanted)
+    return t(spark, d, "documents").select("doc_id", F.md5(made).alias("digest"), F.length(made).alias("n"))
+
+
+def answered(prompts: list[str]) -> list[str]:
+    """A model of labels that answers in good and bad JSON, or not at all, by its prompt."""
+    out = []
+    for p in prompts:
+        kind, _, evidence = p.partition(":")
+        match = json.dumps({"matches": [{"quest": "modal", "confidence": 0.75, "evidence": evidence, "source": "readme"}]}, ensure_ascii=False)
+        if kind == "3":
+            raise ValueError("no answer")
+        out.append({"0": match, "1": f"```json\n{match}\n```", "2": match.replace("0.75", "7.5"), "4": match[:-3], "5": match.replace('"modal"', '"OpenBMB / Codex"')}[kind])
+    return out
+
+
+def mended(requests: list[str]) -> list[str]:
+    """A repair: confidences above 1 are divided by 10; what isn't closed stays so."""
+    return [r.partition("\n")[2].replace("7.5", "0.75") for r in requests]
+
+
+@query
+def label_ladder(spark, d):
+    """Every document through the ladder, by a model that sometimes errs; documents of one source declare a label, those of another ask nothing."""
+    kind = F.pmod(F.length("text"), F.lit(6)).cast("string")
+    asks = F.when(F.col("source") != "src1", F.concat(kind, F.lit(":"), F.regexp_replace(F.left("text", F.lit(30)), r"[\"\\\\]", "'")))
+    declared = F.when(F.col("source") == "src2", F.array(F.struct(F.lit("Modal").alias("quest"), F.lit(1.0).alias("confidence"), F.lit("tag").alias("evidence"), F.lit("metadata").alias("source"))))
+    rows = t(spark, d, "documents").select("doc_id", asks.alias("prompt"), declared.alias("declared"))
+    out = analysis.analyzed(rows, "doc_id", "prompt", "declared", answered, mended)
+    shown = F.transform("matches", lambda m: F.concat_ws("/", m["quest"], m["confidence"].cast("string"), m["evidence"], m["source"]))
+    return out.select("doc_id", "rung", F.array_join(shown, "|").alias("matches"), "error")

@@ -25,6 +25,43 @@ def profile(events: DataFrame, turn: str = "turn_id", watermark: str | None = No
     )
 
 
+# The phases of a turn in their order, by type of event and stage.
+PHASES = (("start", None), ("stage", "planning"), ("model_progress", None), ("stage", "running_tool"), ("tool_event", None), ("stage", "writing"), ("token", None), ("done", None))
+
+
+def stages(events: DataFrame, turn: str = "turn_id", watermark: str | None = None) -> DataFrame:
+    """For each turn (turn, started, ended, at, total_ms, decode_ms, tools_ms, write_ms, tokens, tools, fell_back, in_order).
+
+    at: a map of stages to when each first came; a duration is null where one of its ends is. A turn without `done` ends with its
+    last event. in_order: no event of a phase has a number (seq) below one of an earlier phase. Every part is the least, most or
+    number of something, so that a stream keeps one small row a turn, whatever the order in which events arrive."""
+    if watermark:
+        events = events.withWatermark("ts", watermark)
+    is_type = lambda name: F.col("type") == name
+    named = {s: F.min(F.when(is_type("stage") & (F.col("stage") == s), F.col("ts"))) for _, s in PHASES if s}
+    ends = []
+    for i, (kind, stage) in enumerate(PHASES):
+        own = F.when(is_type(kind) & (F.col("stage") == stage if stage else F.lit(True)), F.col("seq"))
+        ends += [F.min(own).alias(f"__first{i}"), F.max(own).alias(f"__last{i}")]
+    found = events.groupBy(turn).agg(
+        F.min("ts").alias("started"),
+        F.coalesce(F.min(F.when(is_type("done"), F.col("ts"))), F.max("ts")).alias("ended"),
+        F.map_filter(F.create_map(*[x for s, first in named.items() for x in (F.lit(s), first)]), lambda _, v: v.isNotNull()).alias("at"),
+        F.max(F.when(is_type("model_progress"), F.col("tokens"))).alias("tokens"),
+        F.count_if(is_type("tool_event")).alias("tools"),
+        F.coalesce(F.bool_or(is_type("fallback")), F.lit(False)).alias("fell_back"),
+        *ends,
+    )
+    ordered = F.lit(True)
+    for i in range(1, len(PHASES)):
+        before = F.greatest(*[F.col(f"__last{k}") for k in range(i)], F.lit(None).cast("long"))
+        ordered = ordered & F.coalesce(F.col(f"__first{i}") >= before, F.lit(True))
+    ms = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1000
+    at = lambda s: F.try_element_at("at", F.lit(s))
+    durations = {"total_ms": ms(F.col("started"), F.col("ended")), "decode_ms": ms(at("planning"), at("running_tool")), "tools_ms": ms(at("running_tool"), at("writing")), "write_ms": ms(at("writing"), F.col("ended"))}
+    return found.select(turn, "started", "ended", "at", *[F.round(d, 1).alias(n) for n, d in durations.items()], "tokens", "tools", "fell_back", ordered.alias("in_order"))
+
+
 def tumbling(events: DataFrame, width: str, by: str, value: str, watermark: str | None = None) -> DataFrame:
     """Counts and sums by window of event time; late rows beyond the watermark are dropped when streaming."""
     if watermark:

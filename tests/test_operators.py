@@ -93,7 +93,7 @@ def test_incremental(spark):
     assert one == incremental.table_digest(rows.repartition(3).orderBy(F.desc("id")), "id", ["c", "id"]).first()
 
 
-def test_echoes(spark):
+def test_echoes_of_answers(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 2, "user", "b"), (1, 3, "assistant", "x"), (1, 4, "assistant", "y")]
     out = etl.without_echoes(spark.createDataFrame(rows, "c long, turn long, role string, text string"), "c", "turn").orderBy("turn").collect()
     assert [r["turn"] for r in out] == [2, 3, 4]
