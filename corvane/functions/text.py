@@ -35,6 +35,11 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def stripped(c: Column) -> Column:
+    """Null to empty, white space of any kind off both ends."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def slug(c: Column) -> Column:
     """What follows the last slash."""
     return F.substring_index(c, "/", -1)
@@ -119,8 +124,8 @@ def bounded(c: Column, limit: int) -> Column:
 
 def clipped(c: Column, limit: int, mark: str = " ...") -> Column:
     """The first `limit` characters, then the mark, if the text is longer."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit(mark)))
+    t = stripped(c)
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(stripped(F.left(t, F.lit(limit))), F.lit(mark)))
 
 
 def short_value(c: Column, limit: int = 84) -> Column:

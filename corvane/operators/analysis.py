@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.python_text import repaired_json
-from corvane.functions.text import clean, clipped, let
+from corvane.functions.text import clean, clipped, let, stripped
 from corvane.operators.labels import EVIDENCE_CHARS, SOURCES, canonical_all
 from corvane.operators.publication import quoted
 from corvane.operators.training_rows import NO_APP, NO_README, repeats_taxonomy
@@ -71,9 +71,8 @@ def prompt(title: Column, sdk: Column, models: Column, tags: Column, readme: Col
     """The classification prompt, byte for byte. labels: an array of structs (id, description, signals) of the labels asked for; signals null: without them."""
     line = F.transform(labels, lambda x: F.concat(F.lit("- "), x["id"], F.lit(": "), x["description"], F.coalesce(F.concat(F.lit(" Signals: "), x["signals"]), F.lit(""))))
     text = lambda c, limit, none: F.coalesce(F.nullif(clipped(c, limit), F.lit("")), F.lit(none))
-    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    metadata = F.concat(F.lit('METADATA: {"title": '), quoted(trimmed(title)), F.lit(', "sdk": '), quoted(trimmed(sdk)), F.lit(', "declared_models": '), _spaced(models), F.lit(', "tags": '), _spaced(tags), F.lit("}"))
-    name = F.coalesce(F.nullif(trimmed(app_name), F.lit("")), F.lit("(unknown)"))
+    metadata = F.concat(F.lit('METADATA: {"title": '), quoted(stripped(title)), F.lit(', "sdk": '), quoted(stripped(sdk)), F.lit(', "declared_models": '), _spaced(models), F.lit(', "tags": '), _spaced(tags), F.lit("}"))
+    name = F.coalesce(F.nullif(stripped(app_name), F.lit("")), F.lit("(unknown)"))
     lines = F.concat(F.array(*map(F.lit, PROMPT_HEAD)), line, F.array(*map(F.lit, PROMPT_RULES)), F.array(metadata, F.lit(""), F.lit("[README]"), text(readme, README_LIMIT, NO_README), F.lit(""), F.concat(F.lit("[APP_FILE] "), name), text(app, APP_LIMIT, NO_APP)))
     return F.array_join(lines, "\n")
 

@@ -1,8 +1,9 @@
 """Publication of session logs: allowed fields by type of record, redaction, caps, privacy filter, and counts.
 
-A payload is a JSON object of any shape and depth. Its tree is walked in one expression on variants, as deep as the deepest
-payload of the table goes; nothing is left out for its depth. Where the privacy filter is to see the texts, the walk puts a mark
-in their place, which no JSON text can hold, and the filtered texts are filled in again.
+A payload is a JSON object of any shape and depth. An expression on variants walks LEVELS levels of it; what lies below is cut
+out as rows of their own and walked in the next round, until nothing is left, and put back from the last round to the first.
+Tables without such payloads, which one scan tells, need no second round. Nothing is left out for its depth. The walk
+puts marks in the place of texts and of what it cuts out, which no JSON text can hold, and fills them in again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import let, redact_spans, redacted, redaction_label, truncated
+from corvane.sources.work import written
 
 # Fields that a record of each type may keep, kinds of items that may stay, and keys whose strings are texts.
 KEEP = {
@@ -26,8 +28,10 @@ ITEMS = "function_call function_call_output custom_tool_call custom_tool_call_ou
 TEXT_KEYS = "arguments content images input local_images message output queries query summary text text_elements".split()
 CAPS = {"message": 4000, "tool_argument": 2000, "tool_output": 120, "other": 1000}
 CHUNK, OVERLAP, CALL = 12_000, 256, 32
-#: Where a text goes: a control character, which JSON only has escaped.
-MARK = "\x01"
+#: Where a text goes, and where what lies deeper goes: control characters, which JSON only has escaped.
+MARK, BELOW = "\x01", "\x02"
+#: The analyzer resolves an expression level by level, a hundred steps at most.
+LEVELS = 6
 SPAN = "struct<begin:int,end:int,label:string,score:double>"
 #: What finds private spans: texts to spans of each, as (begin, end, label, score).
 Finder = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
@@ -48,22 +52,27 @@ def depth(json: Column) -> Column:
     return F.aggregate(steps, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")))["most"]
 
 
-def _node(json: Column, texts: Column, cut: Column, omitted: Column) -> Column:
-    return F.struct(json.alias("json"), texts.alias("texts"), cut.cast("long").alias("cut"), omitted.cast("long").alias("omitted"))
+_DEEP = "array<struct<key:string,listed:boolean,json:string>>"
+
+
+def _node(json: Column, texts: Column, cut: Column, omitted: Column, deep: Column | None = None) -> Column:
+    deep = F.array().cast(_DEEP) if deep is None else deep
+    return F.struct(json.alias("json"), texts.alias("texts"), cut.cast("long").alias("cut"), omitted.cast("long").alias("omitted"), deep.alias("deep"))
 
 
 def _joined(nodes: Column, is_list: Column) -> Column:
     """One node of several (key, node): a list, or an object."""
     total = lambda name: F.aggregate(nodes, F.lit(0).cast("long"), lambda s, n: s + n["node"][name])
+    every = lambda name: F.flatten(F.transform(nodes, lambda n: n["node"][name]))
     parts = F.transform(nodes, lambda n: F.when(n["key"].isNull(), n["node"]["json"]).otherwise(F.concat(quoted(n["key"]), F.lit(":"), n["node"]["json"])))
     begin, end = F.when(is_list, "[").otherwise("{"), F.when(is_list, "]").otherwise("}")
-    return _node(F.concat(begin, F.array_join(parts, ","), end), F.flatten(F.transform(nodes, lambda n: n["node"]["texts"])), total("cut"), total("omitted"))
+    return _node(F.concat(begin, F.array_join(parts, ","), end), every("texts"), total("cut"), total("omitted"), every("deep"))
 
 
-def walked(value: Column, key: Column, cap: Callable[[Column], Column], roots: tuple[tuple[str, str], ...], levels: int, listed: Column | None = None) -> Column:
-    """A variant of at most `levels` levels as a struct (json, texts, cut, omitted): its JSON with strings redacted and, under
-    text keys, capped; texts are taken out of it in their order and marked by MARK. Strings in a list under a text key are
-    texts too, but aren't cut; a list within a list has the key of the outer one."""
+def walked(value: Column, key: Column, cap: Callable[[Column], Column], roots: tuple[tuple[str, str], ...], levels: int = LEVELS, listed: Column | None = None) -> Column:
+    """A variant as a struct (json, texts, cut, omitted, deep): its JSON with strings redacted and, under text keys, capped;
+    texts are taken out of it in their order and marked by MARK, objects and lists below `levels` levels by BELOW, with the key
+    they lie under. Strings in a list under a text key are texts too, but aren't cut; a list within a list has the key of the outer one."""
     listed = F.lit(False) if listed is None else listed
     kind, zero, none = F.schema_of_variant(value), F.lit(0), F.array().cast("array<string>")
     is_list, is_object, is_text = kind.startswith("ARRAY"), kind.startswith("OBJECT"), key.isin(TEXT_KEYS)
@@ -81,10 +90,38 @@ def walked(value: Column, key: Column, cap: Callable[[Column], Column], roots: t
         nodes = F.transform(items, lambda c: F.struct(c["key"].alias("key"), walked(c["value"], F.coalesce(c["key"], key), cap, roots, levels - 1, c["key"].isNull()).alias("node")))
         out = out.when(is_list | is_object, let(nodes, lambda x: _joined(x, is_list)))
     else:
-        out = out.when(is_list | is_object, F.raise_error(F.lit("a payload deeper than the walk")).cast("struct<json:string,texts:array<string>,cut:bigint,omitted:bigint>"))
+        below = F.array(F.struct(key.alias("key"), listed.alias("listed"), F.to_json(value).alias("json")))
+        out = out.when(is_list | is_object, _node(F.lit(BELOW), none, zero, zero, below))
     return out.otherwise(_node(F.to_json(value), none, zero, zero))
 
 
+def _put_back(node: Column, below: Column) -> Column:
+    """A node with the walked nodes of what was cut out of it, in their order."""
+    parts = F.split(node["json"], BELOW, -1)
+    texts_in = lambda p: F.length(p) - F.length(F.replace(p, F.lit(MARK), F.lit("")))
+    before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + texts_in(p))
+    none = F.array().cast("array<string>")
+    json = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(below, i)["json"], F.lit("")))), "")
+    texts = F.flatten(F.transform(parts, lambda p, i: F.concat(F.slice(node["texts"], before(i) + 1, texts_in(p)), F.coalesce(F.get(below, i)["texts"], none))))
+    total = lambda name: node[name] + F.aggregate(below, F.lit(0).cast("long"), lambda s, n: s + n[name])
+    return F.when(F.size(node["deep"]) > 0, _node(json, texts, total("cut"), total("omitted"))).otherwise(node)
+
+
+def _deeper(rows: DataFrame, cap, roots: tuple[tuple[str, str], ...]) -> DataFrame:
+    """rows with a column __node, __kind and __item, the nodes made whole: round by round what was cut out is walked, and then put back."""
+    rounds = [written(rows.withColumn("__id", F.monotonically_increasing_id()), "walked")]
+    while not rounds[-1].where(F.size("__node.deep") > 0).isEmpty():
+        cut = rounds[-1].select(F.col("__id").alias("__of"), "__kind", "__item", F.posexplode("__node.deep").alias("__pos", "__d"))
+        node = walked(F.parse_json("__d.json"), F.col("__d.key"), cap, roots, LEVELS, F.col("__d.listed"))
+        rounds.append(written(cut.select("__of", "__pos", "__kind", "__item", node.alias("__node")).withColumn("__id", F.monotonically_increasing_id()), "walked"))
+    whole = rounds.pop()
+    while rounds:
+        below = whole.groupBy("__of").agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__node"))), lambda x: x["__node"]).alias("__below")).withColumnRenamed("__of", "__id")
+        joined = rounds.pop().join(below, "__id", "left")
+        whole = joined.withColumn("__node", F.when(F.col("__below").isNull(), F.col("__node")).otherwise(_put_back(F.col("__node"), F.col("__below")))).drop("__below")
+    return whole.drop("__id")
+
+
 def filled(json: Column, texts: Column) -> Column:
     """JSON with its marks replaced by the texts in their order."""
     parts = F.split(json, MARK, -1)
@@ -147,9 +184,10 @@ def public_records(rows: DataFrame, kind: str, payload: str, roots: tuple[tuple[
     keep = F.when((F.col(kind) != "response_item") | item.isin(ITEMS), keep)
 
     def cap(key: Column) -> Column:
-        rule = F.when((F.col(kind) == "event_msg") & (key == "message"), caps["message"])
-        rule = rule.when(item.isin("function_call_output", "custom_tool_call_output") & (key == "output"), caps["tool_output"])
-        return rule.when(item.isin("function_call", "custom_tool_call") & key.isin("arguments", "input"), caps["tool_argument"]).otherwise(caps["other"])
+        of, own = F.col("__kind"), F.col("__item")
+        rule = F.when((of == "event_msg") & (key == "message"), caps["message"])
+        rule = rule.when(own.isin("function_call_output", "custom_tool_call_output") & (key == "output"), caps["tool_output"])
+        return rule.when(own.isin("function_call", "custom_tool_call") & key.isin("arguments", "input"), caps["tool_argument"]).otherwise(caps["other"])
 
     # Of a turn's mode only the mode itself is public, and nothing if there is none.
     is_mode = lambda k: (F.col(kind) == "turn_context") & (k == "collaboration_mode")
@@ -158,17 +196,19 @@ def public_records(rows: DataFrame, kind: str, payload: str, roots: tuple[tuple[
     kept = F.map_filter(whole, lambda k, v: F.array_contains(keep, k) & (~is_mode(k) | mode_of(v).isNotNull()))
     # A message without a type says so.
     kept = F.when((F.col(kind) == "event_msg") & ~F.map_contains_key(kept, "type"), F.map_concat(kept, F.create_map(F.lit("type"), F.parse_json(F.lit("null"))))).otherwise(kept)
-    kept = F.transform_values(kept, mode)
-    fields = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.struct(k.alias("key"), walked(F.element_at(kept, k), k, cap, roots, max(0, levels - 1)).alias("node")))
-    node = F.when(keep.isNotNull() & whole.isNotNull(), let(fields, lambda x: _joined(x, F.lit(False))))
-    out = rows.withColumn("__node", node)
+    public = F.when(keep.isNotNull() & whole.isNotNull(), F.parse_json(F.to_json(F.transform_values(kept, mode))))
+    tagged = rows.withColumn("__kind", F.col(kind)).withColumn("__item", item).withColumn("__public", public)
+    node = walked(F.col("__public"), F.lit(""), cap, roots, min(LEVELS, levels))
+    out = tagged.withColumn("__node", F.when(F.col("__public").isNotNull(), node)).drop("__public")
+    if levels > LEVELS:
+        out = _deeper(out, cap, roots)
     zero = lambda name: F.coalesce(F.col(f"__node.{name}"), F.lit(0)).alias(name)
     texts, more = F.col("__node.texts"), []
     if finder is not None:
         out = with_filtered(out, F.coalesce(texts, F.array().cast("array<string>")), "__safe", finder, least)
         texts, more = F.transform("__safe", lambda r: r["text"]), [label_counts(F.col("__safe")).alias("private")]
-    public = F.when(F.col("__node").isNotNull(), filled(F.col("__node.json"), texts))
-    return out.select(*[F.col(c) for c in rows.columns], public.alias("public"), F.coalesce(F.size("__node.texts").cast("long"), F.lit(0).cast("long")).alias("texts"), zero("cut"), zero("omitted"), *more)
+    shown = F.when(F.col("__node").isNotNull(), filled(F.col("__node.json"), texts))
+    return out.select(*[F.col(c) for c in rows.columns], shown.alias("public"), F.coalesce(F.size("__node.texts").cast("long"), F.lit(0).cast("long")).alias("texts"), zero("cut"), zero("omitted"), *more)
 
 
 def merged_counts(rows: DataFrame, key: str, counts: str) -> DataFrame:

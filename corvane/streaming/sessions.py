@@ -111,7 +111,7 @@ class Sessions(StatefulProcessor):
 def session_states(events: DataFrame) -> DataFrame:
     """R6 over a table: the last state of each session."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state = fresh()
         for event in _events(iter([rows])):
             state = reduced(state, key[0], event)
