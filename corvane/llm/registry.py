@@ -15,9 +15,9 @@ from corvane.llm.line_dedup import op8_line_dedup
 from corvane.llm.nearest import op4_nearest
 from corvane.llm.packing import op7_packing
 from corvane.llm.ppm import op3_lm_score
-from corvane.llm.secret_ledger import op13_secret_ledger
+from corvane.llm.secret_ledger import OP13_SQL, op13_secret_ledger
 from corvane.llm.sharding import op10_sharding
-from corvane.llm.spelling import op12_spelling
+from corvane.llm.spelling import OP12_SQL, op12_spelling
 from corvane.llm.token_output import op1_token_output
 from corvane.llm.toxicity import op6_toxicity
 from corvane.llm.url_filter import OP2_SQL, op2_url_filter
@@ -43,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_spelling": OP12_SQL, "op13_secret_ledger": OP13_SQL}

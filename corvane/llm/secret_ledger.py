@@ -211,3 +211,30 @@ def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ledger")
     update(ledger, docs)
     return digest(with_findings(docs, read_ledger(spark, ledger)).select("doc_id", "spans"))
+
+
+def _spans_sql() -> str:
+    """A select of (doc_id, rank, kind, start, stop) for each rule. In front of a rule's pattern the shortest text that leads to a match is
+    matched too, so that the lengths of what was matched so far give its place. Letters of either case are written out."""
+    def either(pattern: str) -> str:
+        word, _, rest = pattern.partition(")")
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) + ")" + rest
+
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = (either(rule.pattern) if rule.flags & re.IGNORECASE else rule.pattern).replace("'", "''")
+        found = lambda group: f"regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({pattern})', {group})"  # noqa: B023, E731
+        parts.append(
+            f"SELECT doc_id, pos, {rank} AS rank, '{rule.name}' AS kind, stop - length(m) AS start, stop FROM (SELECT doc_id, pos, m, tested, sum(length(lead) + length(m)) OVER (PARTITION BY pos ORDER BY i) AS stop FROM ("
+            f"SELECT doc_id, pos, generate_subscripts(m, 1) AS i, unnest(lead) AS lead, unnest(m) AS m, unnest(tested) AS tested FROM (SELECT doc_id, pos, {found(1)} AS lead, {found(2)} AS m, {found(2 + rule.group)} AS tested FROM d))) WHERE length(tested) >= {rule.least}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS pos FROM documents),
+s AS ({_spans_sql()}),
+t AS (SELECT pos, rank, start, kind || ':' || start || ':' || stop AS span FROM s),
+g AS (SELECT pos, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM t GROUP BY pos)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (pos)
+"""

@@ -287,3 +287,35 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of all documents, one run in 31 having lost a code point. Nulls, empty and long texts, repeated rows
     and empty tables as in spelling_variants."""
     return spelling_variants(table(spark, sf_dir, "documents"), spoil=True)
+
+
+OP12_SQL = """
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS b FROM runs
+), hashed AS (
+  SELECT run, k, length(run) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, t
+), vocab AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, (h % size)::INTEGER) || substring(run, (h % size)::INTEGER + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS (
+  SELECT word, i, left(word, i::INTEGER) || substring(word, i::INTEGER + 2) AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, vocab.word FROM cut JOIN vocab ON cut.k = vocab.word
+  UNION SELECT vocab.word, cut.word FROM cut JOIN vocab ON cut.k = vocab.word
+), best AS (
+  SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN vocab v ON v.word = other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) = 1
+), forms AS (
+  SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * vocab.n THEN other END AS form, CASE WHEN other_n >= 10 * vocab.n THEN other_n END AS form_n FROM vocab LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT ways.word, form FROM ways JOIN forms ON forms.word = ways.root WHERE form IS NOT NULL
+)
+SELECT forms.word, forms.form, ways.root, forms.n, forms.n_near, forms.form_n FROM forms JOIN ways USING (word) JOIN forms last ON last.word = ways.root WHERE last.form IS NULL
+"""
