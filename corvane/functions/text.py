@@ -169,12 +169,17 @@ def snippet(text: Column, terms: Column, limit: int = 170, folded: Column | None
     """At most `limit` characters from half of that before the earliest term on, moved back where the text ends, with dots where it is cut.
 
     Terms are looked for in `folded`, the cleaned text in the form that terms have; without it in lower case."""
-    flat = clean(text)
-    where = F.lower(flat) if folded is None else folded
-    places = F.filter(F.transform(terms, lambda t: F.instr(where, t) - 1), lambda p: p >= 0)
-    end = F.least(F.length(flat), F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(0)) - limit // 2) + limit)
-    start = F.greatest(F.lit(0), end - limit)
-    return F.concat(F.when(start > 0, F.lit("... ")).otherwise(F.lit("")), F.trim(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), F.lit(" ...")).otherwise(F.lit("")))
+    def shown(flat: Column, end: Column) -> Column:
+        start = F.greatest(F.lit(0), end - limit)
+        return F.concat(F.when(start > 0, F.lit("... ")).otherwise(F.lit("")), F.trim(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), F.lit(" ...")).otherwise(F.lit("")))
+
+    def cut(flat: Column) -> Column:
+        where = F.lower(flat) if folded is None else folded
+        places = F.filter(F.transform(terms, lambda t: F.instr(where, t) - 1), lambda p: p >= 0)
+        end = F.least(F.length(flat), F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(0)) - limit // 2) + limit)
+        return let(end, lambda e: shown(flat, e))
+
+    return let(clean(text), cut)
 
 
 def frontmatter_block(c: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.text import title_case
+from corvane.functions.text import clean, let, public_summary, public_title, snippet, title_case
+from corvane.sources.work import written
 
 # Words that name no cluster.
 CLUSTER_STOPWORDS = (
@@ -74,18 +75,78 @@ def one_pass(docs: DataFrame, key: str, fields: dict[str, float], terms: list[st
     length in all fields; one aggregate row has the corpus's counts; no token is shuffled. Documents without
     tokens count in the average length. `matched`: in the query's order, or sorted (J18), at most 8."""
     unique = list(dict.fromkeys(terms))
-    words = docs.select(key, *keep, *[tokens(F.col(f)).alias(f"__f{i}") for i, f in enumerate(fields)])
-    own = [f"__f{i}" for i in range(len(fields))]
-    weighted = lambda count: sum((w * count(F.col(f)) for f, w in zip(own, fields.values(), strict=True)), F.lit(0.0))
-    tf = [weighted(lambda c, t=t: F.size(F.filter(c, lambda x: x == t))).alias(f"__t{i}") for i, t in enumerate(unique)]
-    rows = words.select(key, *keep, weighted(F.size).alias("__length"), *tf)
-    some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("__length").alias("average"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"df{i}") for i in range(len(unique))]).first()
-    one = lambda i: F.when(F.col(f"__t{i}") > 0, term_score(F.col(f"__t{i}"), F.lit(some[f"df{i}"]), F.lit(float(some["n"])), F.col("__length"), F.lit(some["average"] or 1.0))).otherwise(0.0)
-    hit = F.array_compact(F.array(*[F.when(F.col(f"__t{i}") > 0, F.lit(t)) for i, t in enumerate(unique)])) if unique else F.array().cast("array<string>")
+    # One array a row: its length, then how often each term occurs, weighted. A field's tokens are made once.
+    def occurrences(words: Column, term: str) -> Column:
+        return F.size(F.filter(words, lambda x: x == term))
+
+    def weighted(field: str, weight: float) -> Column:
+        own = lambda w: F.array(F.size(w), *[occurrences(w, term) for term in unique])
+        return F.transform(let(tokens(F.col(field)), own), lambda n: n * F.lit(float(weight)))
+
+    parts = [weighted(f, x) for f, x in fields.items()]
+    sums = parts[0]
+    for part in parts[1:]:
+        sums = F.zip_with(sums, part, lambda x, y: x + y)
+    rows = written(docs.select(key, *keep, sums.alias("__w")), "counts")
+    length, tf = F.col("__w")[0], [F.col("__w")[i + 1] for i in range(len(unique))]
+    some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)]).first()
+    one = lambda i: F.when(tf[i] > 0, term_score(tf[i], F.lit(some[f"df{i}"]), F.lit(float(some["n"])), length, F.lit(some["average"] or 1.0))).otherwise(0.0)
+    hit = F.array_compact(F.array(*[F.when(x > 0, F.lit(t)) for x, t in zip(tf, unique, strict=True)])) if unique else F.array().cast("array<string>")
     matched = F.slice(F.sort_array(hit) if alphabetic else hit, 1, 8)
     return rows.select(key, *keep, sum((one(i) for i in range(len(unique))), F.lit(0.0)).alias("score"), matched.alias("matched"))
 
 
+def project_fields(projects: DataFrame, points: DataFrame, clusters: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """M5: a project's search fields as columns, named as in FIELDS, with key, title, slug and likes.
+
+    projects: id, title, summary, tags, models, datasets, sdk, likes, app_file, app_file_embedding_text, app_file_source,
+    readme_body; points: cluster_id; clusters: cluster_id, label, keywords; evidence: pos, label, evidence, in the order of pos.
+    A project without a point, a cluster or evidence has those fields empty."""
+    own = evidence.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim(F.concat_ws(" ", "label", "evidence")).alias("t")))), lambda x: x["t"]), " ").alias("Quest evidence"))
+    names = clusters.select("cluster_id", F.concat_ws(" ", "label", F.array_join("keywords", " ")).alias("Cluster"))
+    rows = projects.join(points.select(key, "cluster_id"), key, "left").join(names, "cluster_id", "left").join(own, key, "left")
+    slug = F.substring_index("id", "/", -1)
+    return rows.select(
+        key,
+        "likes",
+        "title",
+        slug.alias("slug"),
+        public_title(F.col("title")).alias("Title "),
+        F.concat_ws(" ", "id", slug, F.translate(slug, "-_", "  ")).alias("Space"),
+        public_summary(F.col("summary")).alias("Summary"),
+        F.concat_ws(" ", F.array_join(F.concat("tags", "models", "datasets"), " "), "sdk").alias("Tags"),
+        F.coalesce("Quest evidence", F.lit("")).alias("Quest evidence"),
+        F.coalesce("Cluster", F.lit("")).alias("Cluster"),
+        F.concat_ws(" ", "app_file", "app_file_embedding_text", "app_file_source").alias("App"),
+        F.col("readme_body").alias("README"),
+    )
+
+
+def search_projects(fields: DataFrame, query: str, key: str, fold, tokens, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """M4 over project_fields: the best projects for a query, best first: (key, title, slug, likes, score, raw_score, total, matched, snippets).
+
+    fold: normalises and folds the case of a column; tokens: the search tokens of a folded column. The query's words are
+    made the same way and keep their order; a query without words finds nothing."""
+    spark, text = fields.sparkSession, " ".join(query.split())
+    terms = spark.createDataFrame([(text,)], "q string").select(tokens(fold("q")).alias("t")).first()["t"]
+    own = {name: "Title " if name == "Title" else name for name in FIELDS}
+    folded = fields.select(key, "likes", "title", "slug", *[fold(c).alias(c) for c in own.values()])
+    hits = one_pass(folded, key, {own[n]: w for n, w in FIELDS.items()}, terms, tokens, keep=("likes", "title", "slug"))
+    best = ranked(hits.where(F.lit(bool(terms))), None, key, "likes", "title", limit, phrase_boost(text, public_title(F.col("title")), F.col("slug")))
+    shown = best.join(fields.select(key, *own.values()), key)
+    # Terms are looked for in the folded text, and the excerpt is of the text itself.
+    flat = {n: f"__{i}" for i, n in enumerate(FIELDS)}
+    both = shown.select("*", *[fold(clean_column(c)).alias(flat[n]) for n, c in own.items()])
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    excerpts = [F.when(F.arrays_overlap(tokens(F.col(flat[n])), wanted), F.struct(F.lit(n).alias("source"), snippet(F.col(c), wanted, folded=F.col(flat[n])).alias("text"))) for n, c in own.items()]
+    found = F.slice(F.filter(F.array(*excerpts), lambda x: x.isNotNull() & (x["text"] != "")), 1, 2)
+    return both.select(key, "title", "slug", "likes", "score", "raw_score", "total", "matched", found.alias("snippets")).orderBy(F.desc("raw_score"), F.desc("likes"), F.desc(F.lower("title")), key)
+
+
+def clean_column(name: str) -> Column:
+    return clean(F.col(name))
+
+
 def snippets(fields: dict[str, Column], terms: list[str], tokens, cut) -> Column:
     """(source, text) of the first two fields, in their order, that share a token with the query."""
     wanted = F.array(*map(F.lit, terms))
@@ -93,10 +154,11 @@ def snippets(fields: dict[str, Column], terms: list[str], tokens, cut) -> Column
     return F.slice(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["text"] != "")), 1, 2)
 
 
-def ranked(hits: DataFrame, docs: DataFrame, key: str, likes: str, title: str, limit: int, boost: Column | None = None) -> DataFrame:
+def ranked(hits: DataFrame, docs: DataFrame | None, key: str, likes: str, title: str, limit: int, boost: Column | None = None) -> DataFrame:
     """Boosts added for documents with or without matching terms, positive scores kept, ordered by score, likes and
-    folded title, all falling, then the key; scores divided by the best; `total` counts hits before the limit."""
-    joined = docs.join(hits, key, "left" if boost is not None else "inner")
+    folded title, all falling, then the key; scores divided by the best; `total` counts hits before the limit. Without docs the
+    hits carry likes and title themselves, and no text is moved."""
+    joined = hits if docs is None else docs.join(hits, key, "left" if boost is not None else "inner")
     value = F.coalesce("score", F.lit(0.0)) + (boost if boost is not None else F.lit(0.0))
     found = joined.withColumn("raw_score", value).where("raw_score > 0")
     whole = found.agg(F.count(F.lit(1)).alias("total"), F.max("raw_score").alias("best"))

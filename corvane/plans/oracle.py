@@ -1,5 +1,6 @@
 """DuckDB SQL for the named queries that SQL can express."""
 
+from corvane.functions.text import SEARCH_STOPWORDS
 from corvane.operators import analysis, tools
 from corvane.operators.labels import LABELS
 from corvane.operators.search import CLUSTER_STOPWORDS
@@ -432,3 +433,35 @@ ORACLE_SQL["label_ladder"] = f"""
         o AS (SELECT *, CASE WHEN NOT asked THEN NULL WHEN k = 3 THEN 'ValueError: no answer; repair failed: no JSON object in the answer' WHEN k = 4 THEN 'no JSON object in the answer; repair failed: no JSON object in the answer' WHEN e = '' THEN 'evidence must not be empty; repair failed: evidence must not be empty' END AS error FROM e)
         SELECT doc_id, CASE WHEN NOT asked OR error IS NOT NULL THEN 'declared' WHEN k = 2 THEN 'repaired' ELSE 'parsed' END AS rung,
           CASE WHEN declared THEN 'Modal/1.0/tag/metadata' ELSE '' END || CASE WHEN NOT asked OR error IS NOT NULL THEN '' WHEN k = 5 THEN CASE WHEN declared THEN '|' ELSE '' END || 'OpenBMB/0.75/' || e || '/readme|Codex/0.75/' || e || '/readme' WHEN declared THEN '' ELSE 'Modal/0.75/' || e || '/readme' END AS matches, error FROM o"""
+
+_FOLD = "replace(lower({}), 'ß', 'ss')"
+_RAW = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{M}}\p{{N}}_][\p{{L}}\p{{M}}\p{{N}}_.+-]*')"
+_WHOLE = "list_filter(list_transform(" + _RAW + ", lambda r: trim(r, '._+-/')), lambda w: w <> '')"
+_PARTS = "list_filter(string_split_regex(w, '[._+\\-/]+'), lambda p: length(p) > 1)"
+_STOP = ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS)
+_WORDS = "list_filter(flatten(list_transform(" + _WHOLE + f", lambda w: CASE WHEN {_PARTS} = [w] THEN [w] ELSE list_prepend(w, {_PARTS}) END)), lambda x: (length(x) > 1 OR regexp_full_match(x, '[0-9]')) AND x NOT IN ({_STOP}))"
+_NAMES = ["Title", "Space", "Summary", "Tags", "Quest evidence", "Cluster", "App", "README"]
+_WEIGHTS = [4.0, 3.2, 2.4, 2.0, 1.6, 1.4, 1.0, 0.9]
+_FIELD = [f"c{i}" for i in range(8)]
+_CENTRE = "coalesce(list_min(list_filter([strpos(" + _FOLD.format("{0}") + ", t) - 1 for t in ['src1', 'tion', 'strasse', 'quality']], lambda p: p >= 0)), 0)"
+_TO = "least(length({0}), greatest(0, " + _CENTRE + " - 85) + 170)"
+_EXCERPT = f"(CASE WHEN {_TO} > 170 THEN '... ' ELSE '' END || trim(substring({{0}}, greatest(0, {_TO} - 170) + 1, least({_TO}, 170))) || CASE WHEN {_TO} < length({{0}}) THEN ' ...' ELSE '' END)"
+ORACLE_SQL["search_projects"] = f"""
+        WITH {CLUSTERS}, {MATCHES}, {_BODY.rstrip()},
+        cl AS (SELECT raw, coalesce(label, titles, 'Mixed projects') || CASE WHEN keywords IS NULL THEN ' ' ELSE ' ' || replace(keywords, ',', ' ') END AS c5 FROM ids LEFT JOIN kw USING (raw) LEFT JOIN t2 USING (raw)),
+        ev AS (SELECT doc_id, string_agg(label || ' was marked', ' ' ORDER BY label) AS c4 FROM m GROUP BY 1),
+        dd AS (SELECT d.doc_id, n_chars, split_part(text, chr(10), 1) AS title, source || '-doc_' || d.doc_id AS slug, pt.raw, CASE WHEN {CLEAN.format('title')} = '' THEN 'Untitled project' ELSE {CLEAN.format('title')} END AS c0,
+          'org/' || slug || ' ' || slug || ' ' || translate(slug, '-_', '  ') AS c1, {CLEAN.format('left(text, 60)')} AS c2, source || ' ' || lang || ' static' AS c3, coalesce(c4, '') AS c4, coalesce(c5, '') AS c5, 'app.py  ' || right(text, 50) AS c6, text AS c7
+          FROM documents d LEFT JOIN (SELECT vec_id AS doc_id, label AS raw FROM embeddings) pt USING (doc_id) LEFT JOIN cl USING (raw) LEFT JOIN ev ON ev.doc_id = d.doc_id),
+        w AS (SELECT doc_id, {', '.join(f"{_WORDS.format(c)} AS w{i}" for i, c in enumerate(_FIELD))} FROM dd),
+        tk AS ({' UNION ALL '.join(f"SELECT doc_id, {x}::DOUBLE AS x, unnest(w{i}) AS term FROM w" for i, x in enumerate(_WEIGHTS))}),
+        post AS (SELECT doc_id, term, sum(x) AS tf FROM tk GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1),
+        st AS (SELECT sum(len) / (SELECT count(*) FROM documents) AS average, (SELECT count(*) FROM documents) AS n FROM l), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+        hit AS (SELECT doc_id, sum({BM25}) AS score, string_agg(term, ',' ORDER BY list_position(['src1', 'tion', 'strasse', 'quality'], term)) AS matched FROM post JOIN f USING (term) JOIN l USING (doc_id), st WHERE term IN ('src1', 'tion', 'strasse', 'quality') GROUP BY doc_id),
+        g AS (SELECT dd.*, score, matched, count(*) OVER () AS total, max(score) OVER () AS best FROM dd JOIN hit USING (doc_id) WHERE score > 0),
+        top AS (SELECT * FROM g ORDER BY score DESC, n_chars DESC, lower(title) DESC, doc_id LIMIT 12),
+        cc AS (SELECT * REPLACE ({', '.join(f"{CLEAN.format(c)} AS {c}" for c in _FIELD)}) FROM top),
+        own AS (SELECT doc_id, string_agg(label, ',' ORDER BY confidence DESC, label) AS q FROM m GROUP BY 1)
+        SELECT doc_id, slug, round(score / best, 6) AS score, round(score, 6) AS raw_score, total, matched, CASE WHEN pt.raw IS NULL THEN NULL ELSE cluster_id END AS cluster_id, CASE WHEN pt.raw IS NULL THEN NULL ELSE coalesce(q, '') END AS quest_ids,
+          to_json(list_filter([{', '.join(f"CASE WHEN len(list_intersect(w{i}, ['src1', 'tion', 'strasse', 'quality'])) > 0 AND {_EXCERPT.format(c)} <> '' THEN {{'source': '{_NAMES[i]}', 'text': {_EXCERPT.format(c)}}} END" for i, c in enumerate(_FIELD))}], lambda x: x IS NOT NULL)[:2])::VARCHAR AS snippets
+        FROM cc pt JOIN w USING (doc_id) LEFT JOIN ids USING (raw) LEFT JOIN own USING (doc_id)"""

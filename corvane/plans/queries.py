@@ -70,8 +70,10 @@ def search_full(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.concat_ws(" ", "source", "lang").alias("tags"), F.concat("source", F.lit("-doc_"), F.col("doc_id").cast("string")).alias("slug"), F.col("n_chars").alias("likes"))
     fields = {"title": search.FIELDS["Title"], "slug": search.FIELDS["Space"], "tags": search.FIELDS["Tags"], "text": search.FIELDS["README"]}
     terms = phrase.split()
-    hits = search.one_pass(docs, "doc_id", fields, terms, T.tokens)
-    found = search.ranked(hits, docs, "doc_id", "likes", "title", 12, search.phrase_boost("src0 doc", F.col("title"), F.col("slug")))
+    hits = search.one_pass(docs, "doc_id", fields, terms, T.tokens, keep=("likes", "title", "slug"))
+    best = search.ranked(hits, None, "doc_id", "likes", "title", 12, search.phrase_boost("src0 doc", F.col("title"), F.col("slug")))
+    # Texts are read again for the twelve alone.
+    found = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")
     shown = search.snippets({"Title": F.col("title"), "README": F.col("text")}, terms, T.tokens, T.snippet)
     return found.select("doc_id", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "total", F.array_join("matched", ",").alias("matched"), F.to_json(shown).alias("snippets"))
 
@@ -902,3 +904,21 @@ def label_ladder(spark, d):
     out = analysis.analyzed(rows, "doc_id", "prompt", "declared", answered, mended)
     shown = F.transform("matches", lambda m: F.concat_ws("/", m["quest"], m["confidence"].cast("string"), m["evidence"], m["source"]))
     return out.select("doc_id", "rung", F.array_join(shown, "|").alias("matches"), "error")
+
+
+SEARCHED = "Src1 Tion STRASSE quality"
+
+
+@query
+def search_projects(spark, d):
+    """The whole search: eight fields with cluster and label texts, folded tokens with variants, boosts, the query's order of terms, excerpts, and each hit's point."""
+    rows = _projects(spark, d)
+    ids = dashboard.cluster_ids(rows)
+    groups, shown = dashboard.clusters(rows, "doc_id", T.tokens(F.col("title"))), dashboard.points(rows, ids, _matches(spark, d), "doc_id")
+    none = F.array().cast("array<string>")
+    projects = t(spark, d, "documents").select("doc_id", F.concat(F.lit("org/"), "source", F.lit("-doc_"), "doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.left("text", F.lit(60)).alias("summary"), F.array("source", "lang").alias("tags"), none.alias("models"), none.alias("datasets"), F.lit("static").alias("sdk"), F.col("n_chars").alias("likes"), F.lit("app.py").alias("app_file"), F.lit("").alias("app_file_embedding_text"), F.right("text", F.lit(50)).alias("app_file_source"), F.col("text").alias("readme_body"))
+    evidence = _matches(spark, d).select("doc_id", F.when(F.col("label") == "quality", 0).otherwise(1).alias("pos"), "label", F.lit("was marked").alias("evidence"))
+    fields = search.project_fields(projects, shown, groups, evidence, "doc_id")
+    best = search.search_projects(fields, SEARCHED, "doc_id", lambda c: folded(c), T.search_tokens)
+    found = dashboard.with_points(best.drop("title"), shown, "doc_id")
+    return found.select("doc_id", "slug", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "total", F.array_join("matched", ",").alias("matched"), F.to_json("snippets").alias("snippets"), "cluster_id", F.array_join("quest_ids", ",").alias("quest_ids"))
