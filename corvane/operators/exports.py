@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean, let, scatter
@@ -71,10 +72,47 @@ def json_line(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def trace_lines(turns: DataFrame, session: str, order: str, index: dict[str, str], ideas: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """(session, pos, line): a manifest of each session, then a line for each of its turns, keys in alphabetic order.
+
+    turns: input, tools (array of name, summary), verdict, overall, plan_steps, artifact_title, response, status, tool, arguments
+    (JSON), errors; nulls become what an empty turn has. index: what the session's answers were looked up in. ideas: (session, ideas)."""
+    empty, none = lambda c: F.coalesce(F.col(c), F.lit("")), F.array().cast("array<string>")
+    number = F.row_number().over(W.partitionBy(session).orderBy(order))
+    call = F.struct(F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.lit("{}"))).alias("arguments"), empty("tool").alias("name"))
+    fields = {
+        "artifact_title": empty("artifact_title"), "input": empty("input"), "overall": F.col("overall"), "plan_steps": F.coalesce("plan_steps", F.lit(0)), "response": empty("response"), "schema_version": F.lit(version),
+        "tool_resolution": F.struct(call.alias("call"), F.coalesce("errors", none).alias("errors"), empty("status").alias("status")),
+        "tools": F.coalesce("tools", F.array().cast("array<struct<name:string,summary:string>>")), "turn_index": F.col("__n"), "type": F.lit("agent_turn"), "verdict": empty("verdict"),
+    }
+    whole = F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
+    rows = turns.withColumn("__n", number).select(session, F.col("__n").alias("pos"), whole.alias("line"))
+    counted = turns.groupBy(session).agg(F.count(F.lit(1)).alias("turns"))
+    counted = counted.join(ideas.select(session, "ideas"), session, "left") if ideas is not None else counted.withColumn("ideas", F.lit(0))
+    names = ("algorithm", "index_generated_at", "snapshot_digest", "snapshot_generated_at")
+    head = F.to_json(F.struct(F.coalesce("ideas", F.lit(0)).alias("idea_count"), F.struct(*[F.lit(index.get(n, "")).alias(n) for n in names]).alias("index"), F.lit(version).alias("schema_version"), F.col("turns").alias("turn_count"), F.lit("trace_manifest").alias("type")))
+    return counted.select(session, F.lit(0).alias("pos"), head.alias("line")).unionByName(rows)
+
+
+def trace_examples(turns: DataFrame, session: str, order: str, systems: tuple[str, str]) -> DataFrame:
+    """K7, F8: (session, turn_index, example_index, kind, messages): two examples of every turn whose call was valid and that has
+    an input, a response and a tool: the call that the input asks for, and the response to input and call. systems: what the model is told in each.
+
+    turns: input, response, status, tool, arguments (JSON; written with sorted keys). Turns are counted whether they give examples or not."""
+    numbered = turns.withColumn("turn_index", F.row_number().over(W.partitionBy(session).orderBy(order)))
+    text = {c: clean(F.col(c)) for c in ("input", "response", "tool")}
+    fit = numbered.select(session, "turn_index", *[c.alias(n) for n, c in text.items()], F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("{}")).alias("arguments"), "status")
+    fit = fit.where((F.col("status") == "valid") & (F.col("input") != "") & (F.col("response") != "") & (F.col("tool") != ""))
+    call = F.concat(F.lit('<function name="'), "tool", F.lit('">'), "arguments", F.lit("</function>"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    kinds = [("tool_call", systems[0], F.col("input"), call), ("advisor_response", systems[1], F.concat_ws("\n", "input", F.lit(""), F.concat(F.lit("Tool call: "), call)), F.col("response"))]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.array(message("system", F.lit(told)), message("user", asked), message("assistant", said)).alias("messages")) for k, (kind, told, asked, said) in enumerate(kinds)])
+    rows = fit.select(session, "turn_index", F.explode(pairs).alias("p")).select(session, "turn_index", "p.*")
+    return rows.withColumn("example_index", F.row_number().over(W.partitionBy(session).orderBy("turn_index", "k"))).select(session, "turn_index", "example_index", "kind", "messages")
+
+
 def markdown_list(rows: DataFrame, group: str, order: list[Column], line: Column, most: int) -> DataFrame:
     """(group, page), a heading and the first lines of each group."""
-    from pyspark.sql import Window as W
-
     numbered = rows.select(group, line.alias("line"), F.row_number().over(W.partitionBy(group).orderBy(*order)).alias("k")).where(F.col("k") <= most)
     items = F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: F.concat(F.lit("- "), x["line"]))
     return numbered.groupBy(group).agg(items.alias("items")).select(group, F.concat(F.lit("## "), F.col(group), F.lit("\n\n"), F.array_join("items", "\n")).alias("page"))

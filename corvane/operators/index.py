@@ -36,6 +36,49 @@ def problems(index: DataFrame, rows: DataFrame, key: str, text: str, dimensions:
     return joined.select(key, found.alias("problem")).where("problem is not null")
 
 
+#: What an index says of itself.
+SCHEMA_VERSION, ALGORITHM, RUNTIME = 3, "dense-cosine", "external"
+
+
+def header(index: DataFrame, snapshot: dict[str, str], metadata: dict[str, str] | None = None, generated_at: str = "") -> DataFrame:
+    """The one row of an index's header. snapshot: generated_at, source and digest of what was indexed. An empty index, and one
+    of vectors of several sizes, is an error."""
+    sizes = index.agg(F.count(F.lit(1)).alias("document_count"), F.min("dimensions").alias("least"), F.max("dimensions").alias("most"))
+    bad = F.when(F.coalesce("most", F.lit(0)) <= 0, F.lit("embedding vectors must not be empty")).when(F.col("least") != F.col("most"), F.lit("embedding vectors must have one shared dimension"))
+    most = F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.col("most")).cast("int")
+    own = {"runtime": RUNTIME, "normalized": "true", **(metadata or {})}
+    return sizes.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ALGORITHM).alias("algorithm"), F.lit(generated_at).alias("generated_at"), *[F.lit(snapshot.get(k, "")).alias(f"snapshot_{k}") for k in ("generated_at", "source", "digest")],
+        "document_count", F.struct(most.alias("dimensions"), *[F.lit(v).alias(k) for k, v in sorted(own.items())]).alias("embedding"),
+    )
+
+
+def header_problems(head: DataFrame, snapshot: dict[str, str], documents: int) -> DataFrame:
+    """(problem) of an index's header, each that there is: its version and algorithm, the snapshot it was built of, its
+    embedding, and the number of its documents."""
+    differs = lambda column, value: ~F.coalesce(F.col(column) == value, F.lit(False))
+    checks = {
+        "unsupported schema version": differs("schema_version", SCHEMA_VERSION),
+        "unsupported algorithm": differs("algorithm", ALGORITHM),
+        "built from a snapshot of another time": differs("snapshot_generated_at", snapshot.get("generated_at", "")),
+        "built from a snapshot of another source": differs("snapshot_source", snapshot.get("source", "")),
+        "the snapshot's digest differs": differs("snapshot_digest", snapshot.get("digest", "")),
+        "no embedding": F.col("embedding").isNull(),
+        "no dimensions": F.coalesce(F.col("embedding.dimensions"), F.lit(0)) <= 0,
+        "another runtime": F.col("embedding").isNotNull() & differs("embedding.runtime", RUNTIME),
+        "another number of documents": differs("document_count", documents),
+    }
+    told = F.filter(F.array(*[F.struct(c.alias("holds"), F.lit(p).alias("problem")) for p, c in checks.items()]), lambda x: x["holds"])
+    return head.select(F.explode(told).alias("x")).select("x.problem")
+
+
+def order_problems(index: DataFrame, rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """(key, pos, other) where the document of a place (pos) isn't the one of the corpus; other: what the index has there."""
+    there = index.select(F.col(pos), F.col(key).alias("other"))
+    joined = rows.select(key, pos).join(there, pos, "full_outer")
+    return joined.where(~F.col(key).eqNullSafe(F.col("other"))).select(key, pos, "other")
+
+
 def validate(index: DataFrame, rows: DataFrame, key: str, text: str, dimensions: int) -> None:
     """Any problem is an error, as is an empty dimension."""
     if dimensions <= 0:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import let, redact_spans, redacted, redaction_label, truncated
+from corvane.operators.etl import session_stats
 from corvane.sources.work import written
 
 # Fields that a record of each type may keep, kinds of items that may stay, and keys whose strings are texts.
@@ -228,3 +229,24 @@ def manifest(records: DataFrame, session: str) -> DataFrame:
         F.sum("cut").alias("truncated_fields"),
         F.sum("omitted").alias("omitted_chars"),
     )
+
+
+def session_totals(records: DataFrame, session: str, order: str, at: str) -> DataFrame:
+    """A13, A24 of public_records(): a row for each session, with its records, its first and last time seen, its texts and what was cut."""
+    stats = session_stats(records, session, order, at, F.col("public").isNotNull())
+    sums = records.groupBy(session).agg(F.sum("texts").alias("texts"), F.sum("cut").alias("truncated_fields"), F.sum("omitted").alias("omitted_chars"))
+    return stats.join(sums, session)
+
+
+def write_dataset(records: DataFrame, path: str, session: str, index: str, at: str, kind: str, version: int = 1) -> dict:
+    """K5: the published records as JSON lines under path/records, and beside them path/manifest, one JSON object with the totals, which it
+    returns. Lines hold schema_version, session_id, record_index, timestamp, type and the public payload. An existing dataset is an error."""
+    whole = written(records, "records")
+    line = F.concat(
+        F.lit(f'{{"schema_version":{version},"session_id":'), quoted(F.col(session)), F.lit(',"record_index":'), F.col(index).cast("string"), F.lit(',"timestamp":'),
+        F.coalesce(quoted(F.col(at)), F.lit("null")), F.lit(',"type":'), quoted(F.col(kind)), F.lit(',"payload":'), F.col("public"), F.lit("}"),
+    )
+    whole.where("public IS NOT NULL").select(line.alias("value")).write.mode("errorifexists").text(f"{path}/records")
+    totals = manifest(whole, session).withColumn("schema_version", F.lit(version))
+    totals.select(F.to_json(F.struct(*sorted(totals.columns))).alias("value")).coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    return totals.first().asDict()

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean
+from corvane.operators.answers import checked, repeats_taxonomy
+from corvane.operators.etl import shuffled_split, upweighted
 
 # Sizes of segments, and the patterns of the invariants.
+SCHEMA_VERSION = 1
 README_CHARS, APP_CHARS, IMPORTS, ASSETS = 3000, 3800, 40, 12
 REMOTE = r"(?i)InferenceClient|endpoints\.huggingface|\breplicate\b|\btogether\b|openrouter|gradio_client|\.modal\.run|api\.openai|api\.anthropic|generativeai|cohere\.Client"
 OPENBMB = r"(?i)openbmb/|minicpm|opencpm"
 IMPORT = r"^\s*(?:import\s+\w|from\s+\w[\w.]*\s+import)\b"
 REPO_ID = r"\b[\w-]+/[\w.\-]+\b"
 NO_README, NO_APP = "(no README description provided)", "(no app file available)"
+#: Variants of rows that are written by hand.
+MADE = ("contradiction", "empty", "hard_negative")
 NOISE = ("asdf123", "xx", "region:us", "untitled", "draft")
 
 
@@ -34,16 +39,6 @@ def app_segment(source: Column, signals: Column) -> Column:
     return F.when((F.trim(text) == "") & (F.trim(marks) == ""), F.lit("")).otherwise(whole)
 
 
-def repeats_taxonomy(evidence: Column, descriptions: list[str]) -> Column:
-    """evidence that quotes the prompt: it has `signals:`, or begins with the first 80 characters of a description."""
-    flat = F.lower(clean(evidence))
-    begins = [flat.startswith(" ".join(x.lower().split())[:80]) for x in descriptions]
-    out = F.contains(flat, F.lit("signals:"))
-    for b in begins:
-        out = out | b
-    return out
-
-
 def completion(matches: Column) -> Column:
     """An array of matches (label, confidence, evidence, source) as the compact JSON that a model is to give, confidence falling, equal ones in their order."""
     placed = F.transform(matches, lambda m, i: F.struct((-m["confidence"]).alias("c"), i.alias("i"), m.alias("m")))
@@ -57,10 +52,12 @@ def labelled_inputs(results: DataFrame, inputs: DataFrame, key: str, covered: Da
     return joined if covered is None else joined.join(covered.select(key), key, "left_anti")
 
 
-def branches(rows: DataFrame, key: str, app_only: int = 16, readme_only: int = 16, noisy: int = 8) -> DataFrame:
+def branches(rows: DataFrame, key: str, app_only: int = 16, readme_only: int = 16, noisy: int = 8, remote: DataFrame | None = None, made: DataFrame | None = None) -> DataFrame:
     """Rows (key, title, tags, readme, app, matches) as they are, and the variants of those richest in matches of a source.
 
-    Ties go to the smaller key. Variants keep the matches of the source that they keep.
+    Ties go to the smaller key. Variants keep the matches of the source that they keep. remote: keys of rows known to call
+    remote inference; those that no `app_only` row shows become `remote_app_only`. made: rows written by hand, with a variant
+    of their own (`contradiction`, `empty`, `hard_negative`); an empty one has no matches whatever it says.
     """
     own = lambda source: F.filter("matches", lambda m: m["source"] == source)
 
@@ -70,7 +67,15 @@ def branches(rows: DataFrame, key: str, app_only: int = 16, readme_only: int = 1
     app = richest(F.size(own("app_file")), app_only).withColumns({"readme": F.lit(NO_README), "matches": own("app_file"), "variant": F.lit("app_only")})
     readme = richest(F.size(own("readme")), readme_only).withColumns({"app": F.lit(NO_APP), "matches": own("readme"), "variant": F.lit("missing_app_file")})
     noise = richest(F.size("matches"), noisy).withColumns({"tags": F.concat("tags", F.array(*map(F.lit, NOISE))), "title": F.concat("title", F.lit(" ::: TODO copy of template (do not read title)")), "variant": F.lit("noisy_metadata")})
-    return rows.withColumn("variant", F.lit("natural")).unionByName(app).unionByName(readme).unionByName(noise)
+    out = rows.withColumn("variant", F.lit("natural")).unionByName(app).unionByName(readme).unionByName(noise)
+    if remote is not None:
+        left = rows.join(remote.select(key).distinct(), key, "left_semi").join(app.select(key), key, "left_anti")
+        out = out.unionByName(left.withColumns({"readme": F.lit(NO_README), "matches": own("app_file"), "variant": F.lit("remote_app_only")}))
+    if made is not None:
+        known = made.where(F.col("variant").isin(*MADE))
+        none = F.filter("matches", lambda m: F.lit(False))
+        out = out.unionByName(known.withColumn("matches", F.when(F.col("variant") == "empty", none).otherwise(F.col("matches"))).select(*out.columns))
+    return out
 
 
 def violations(examples: DataFrame, key: str) -> DataFrame:
@@ -98,3 +103,49 @@ def json_lines(examples: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     first = summary.agg(F.to_json(F.struct(F.lit("lora_sft_manifest").alias("type"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "what", "name"), "n")))).alias("counts"))).alias("line"))
     rest = examples.select(key, "variant", F.to_json(F.struct(F.lit("lora_sft_example").alias("type"), key, "variant", F.size("matches").alias("match_count"), completion(F.col("matches")).alias("completion"))).alias("line"))
     return first.select(F.lit(0).alias("pos"), F.lit(None).cast(dict(examples.dtypes)[key]).alias(key), F.lit(None).cast("string").alias("variant"), "line").unionByName(rest.select(F.lit(1).alias("pos"), key, "variant", "line"))
+
+
+def example_line(prompt: Column, system: str, key: Column, variant: Column, matches: Column, base_model: str, task: str) -> Column:
+    """One training example as compact JSON: the three messages of a chat, whose last is what the model is to answer,
+    and what the example is about. Labels are listed once each, in alphabetic order."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    fields = {
+        "type": F.lit("lora_sft_example"), "schema_version": F.lit(SCHEMA_VERSION), "base_model": F.lit(base_model), "adapter_task": F.lit(task), "example_kind": F.lit("quest_classification"),
+        "project_id": key.cast("string"), "variant": variant, "match_count": F.size(matches), "quests": F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))),
+        "messages": F.array(message("system", F.lit(system)), message("user", prompt), message("assistant", completion(matches))),
+    }
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def training_file(examples: DataFrame, summary: DataFrame, key: str, line: str, source: str) -> DataFrame:
+    """(pos, key, variant, line) of a training file: the manifest with the counts of `manifest`, then each example's line."""
+    counts = lambda what: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("name", "n")))))
+    total = lambda name: F.sum(F.when((F.col("what") == "total") & (F.col("name") == name), F.col("n")))
+    whole = summary.agg(F.to_json(F.struct(F.lit("lora_sft_manifest").alias("type"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("chat-jsonl").alias("format"), F.lit(source).alias("source"), total("rows").alias("example_count"), total("empty").alias("empty_match_examples"), counts("variant").alias("variant_counts"), counts("label").alias("quest_positive_counts"))).alias("line"))
+    kind = dict(examples.dtypes)[key]
+    first = whole.select(F.lit(0).alias("pos"), F.lit(None).cast(kind).alias(key), F.lit(None).cast("string").alias("variant"), "line")
+    return first.unionByName(examples.select(F.lit(1).alias("pos"), key, "variant", F.col(line).alias("line")))
+
+
+def file_problems(lines: DataFrame, at: str, line: str) -> DataFrame:
+    """(at, problem) of the lines of a training file that are no manifest: lines that aren't examples, have no messages, no
+    answer at their end, or an answer without a list of matches that hold."""
+    tree = F.try_parse_json(line)
+    text = lambda path: F.try_variant_get(tree, path, "string")
+    messages = F.try_variant_get(tree, "$.messages", "array<variant>")
+    last = F.try_element_at(messages, F.lit(-1))
+    answer = F.try_variant_get(last, "$.content", "string")
+    problem = (
+        F.when(text("$.type") == "lora_sft_manifest", F.lit(None))
+        .when(~F.coalesce(text("$.type") == "lora_sft_example", F.lit(False)), F.lit("not an example"))
+        .when(F.coalesce(F.size(messages), F.lit(0)) < 2, F.lit("no chat messages"))
+        .when((F.coalesce(F.try_variant_get(last, "$.role", "string"), F.lit("")) != "assistant") | (F.coalesce(answer, F.lit("")) == ""), F.lit("no answer of the assistant"))
+        .otherwise(checked(answer)["error"])
+    )
+    return lines.select(at, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def split_rows(examples: DataFrame, key: str, variant: str, weights: dict[str, int], holdout: float, seed: int = 13) -> DataFrame:
+    """Examples as often as their variants' weights say, with `copy`, and `split`: by the hash of key and seed a share is held
+    out, each example with all of its copies on one side."""
+    return shuffled_split(upweighted(examples, variant, weights), key, holdout, seed)

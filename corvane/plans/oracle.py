@@ -1,7 +1,7 @@
 """DuckDB SQL for the named queries that SQL can express."""
 
 from corvane.functions.text import SEARCH_STOPWORDS
-from corvane.operators import analysis, tools
+from corvane.operators import advice, analysis, tools
 from corvane.operators.labels import LABELS
 from corvane.operators.search import CLUSTER_STOPWORDS
 
@@ -465,3 +465,65 @@ ORACLE_SQL["search_projects"] = f"""
         SELECT doc_id, slug, round(score / best, 6) AS score, round(score, 6) AS raw_score, total, matched, CASE WHEN pt.raw IS NULL THEN NULL ELSE cluster_id END AS cluster_id, CASE WHEN pt.raw IS NULL THEN NULL ELSE coalesce(q, '') END AS quest_ids,
           to_json(list_filter([{', '.join(f"CASE WHEN len(list_intersect(w{i}, ['src1', 'tion', 'strasse', 'quality'])) > 0 AND {_EXCERPT.format(c)} <> '' THEN {{'source': '{_NAMES[i]}', 'text': {_EXCERPT.format(c)}}} END" for i, c in enumerate(_FIELD))}], lambda x: x IS NOT NULL)[:2])::VARCHAR AS snippets
         FROM cc pt JOIN w USING (doc_id) LEFT JOIN ids USING (raw) LEFT JOIN own USING (doc_id)"""
+
+_QLIST = "\n".join(f"- {i}: {x}" for i, x in LABELS).replace("'", "''")
+_VALID = "','".join(("contradiction", "empty", "hard_negative"))
+_TRAIN_ALL = TRAIN.rstrip()
+_CODEX = '{"quest":"Codex","confidence":0.5,"evidence":"made","source":"readme"}'
+ORACLE_SQL["sft_file"] = f"""
+        WITH {TRAIN.split("ex AS (SELECT *")[0].rstrip().rstrip(',').replace("md5(left({0}, 3000))", "x").replace("md5(", "(")},
+        picked AS (SELECT doc_id FROM n WHERE a ORDER BY doc_id LIMIT 16),
+        more AS (FROM every UNION ALL SELECT doc_id, 'remote_app_only', title, tags, '(no README description provided)', app, a, false FROM n WHERE split_part(tags, ',', 1) = 'src1' AND doc_id NOT IN (FROM picked)),
+        ex AS (SELECT doc_id, variant, title, tags, readme, app, a::INTEGER + b::INTEGER AS k, '{{"matches":[' || CASE WHEN b THEN '{{"quest":"Modal","confidence":0.75,"evidence":"toxic","source":"readme"}}' ELSE '' END || CASE WHEN a AND b THEN ',' ELSE '' END
+            || CASE WHEN a THEN '{{"quest":"Codex","confidence":0.5,"evidence":"quality","source":"app_file"}}' ELSE '' END || ']}}' AS completion, CASE WHEN a AND b THEN '["Codex","Modal"]' WHEN a THEN '["Codex"]' WHEN b THEN '["Modal"]' ELSE '[]' END AS quests, a, b FROM more
+          UNION ALL SELECT -1 - item_id, ['contradiction', 'empty', 'hard_negative'][item_id % 4 + 1], 'made ' || item_id, 'gradio', left({CLEAN.format('text')}, 3000), 'app', (item_id % 4 <> 1)::INTEGER, CASE WHEN item_id % 4 = 1 THEN '{{"matches":[]}}' ELSE '{{"matches":[{_CODEX}]}}' END, CASE WHEN item_id % 4 = 1 THEN '[]' ELSE '["Codex"]' END, item_id % 4 <> 1, false FROM benchmark WHERE item_id % 4 < 3),
+        pr AS (SELECT *, '{_HEAD}' || chr(10) || '{_QLIST}' || chr(10) || '{_RULES}' || chr(10) || 'METADATA: {{"title": ' || to_json(title) || ', "sdk": "static", "declared_models": [], "tags": ["' || replace(tags, ',', '", "') || '"]}}' || chr(10) || chr(10) || '[README]' || chr(10) || {_CLIPPED.format('readme', 1500, '(no README description provided)')}
+            || chr(10) || chr(10) || '[APP_FILE] app.py' || chr(10) || app AS prompt FROM ex),
+        li AS (SELECT doc_id, variant, '{{"type":"lora_sft_example","schema_version":1,"base_model":"base","adapter_task":"labels","example_kind":"quest_classification","project_id":"' || doc_id || '","variant":"' || variant || '","match_count":' || k || ',"quests":' || quests
+            || ',"messages":[{{"role":"system","content":"You label projects."}},{{"role":"user","content":' || to_json(prompt) || '}},{{"role":"assistant","content":' || to_json(completion) || '}}]}}' AS line FROM pr),
+        ma AS (SELECT '{{"type":"lora_sft_manifest","schema_version":1,"format":"chat-jsonl","source":"documents","example_count":' || count(*) || ',"empty_match_examples":' || count(*) FILTER (k = 0) || ',"variant_counts":{{' || (SELECT string_agg('"' || variant || '":' || c, ',' ORDER BY variant) FROM (SELECT variant, count(*) AS c FROM ex GROUP BY 1))
+            || '}},"quest_positive_counts":{{"Codex":' || count(*) FILTER (a) || ',"Modal":' || count(*) FILTER (b) || ',"Nemotron":0}}}}' AS line FROM ex)
+        SELECT 0 AS pos, NULL::BIGINT AS doc_id, NULL::VARCHAR AS variant, md5(line) AS digest, line AS manifest FROM ma UNION ALL SELECT 1, doc_id, variant, md5(line), NULL FROM li"""
+ORACLE_SQL["sft_split"] = f"WITH {TRAIN} SELECT variant, count(*) * CASE WHEN variant = 'natural' THEN 1 ELSE 3 END AS n, count(DISTINCT doc_id) AS examples, count(DISTINCT doc_id) AS sides FROM ex GROUP BY variant"
+_TRACED = """
+        p AS (SELECT conv_id, turn, text AS prompt, a AS answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant' AND trim(text) <> '' AND trim(a) <> ''),
+        x AS (SELECT conv_id, turn, left(prompt, 40) AS i, left(answer, 60) AS o, length(prompt) % 3 > 0 AS valid, CASE WHEN length(prompt) % 5 > 0 THEN 'search_projects' ELSE '' END AS tool, '{"n":1,"query":' || to_json(left(prompt, 9)) || '}' AS args, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM p)"""
+ORACLE_SQL["trace_file"] = f"""
+        WITH {_TRACED}
+        SELECT conv_id, 0 AS pos, '{{"idea_count":0,"index":{{"algorithm":"dense","index_generated_at":"","snapshot_digest":"x","snapshot_generated_at":""}},"schema_version":1,"turn_count":' || count(*) || ',"type":"trace_manifest"}}' AS line FROM x GROUP BY conv_id
+        UNION ALL SELECT conv_id, k, '{{"artifact_title":"","input":' || to_json(i) || ',"overall":' || CASE WHEN turn > 0 THEN turn::VARCHAR ELSE 'null' END || ',"plan_steps":0,"response":' || to_json(o) || ',"schema_version":1,"tool_resolution":{{"call":{{"arguments":' || args || ',"name":"' || tool || '"}},"errors":[],"status":"' || CASE WHEN valid THEN 'valid' ELSE 'defaulted' END
+          || '"}},"tools":[{{"name":"search","summary":"Found 1."}}],"turn_index":' || k || ',"type":"agent_turn","verdict":""}}' FROM x"""
+ORACLE_SQL["trace_training"] = f"""
+        WITH {_TRACED}, f AS (SELECT conv_id, k, {CLEAN.format('i')} AS i, {CLEAN.format('o')} AS o, '<function name="search_projects">' || args || '</function>' AS call FROM x WHERE valid AND tool <> ''),
+        g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS nth FROM f WHERE i <> '' AND o <> '')
+        SELECT conv_id, k AS turn_index, 2 * nth - 1 AS example_index, 'tool_call' AS kind, '[{{"role":"system","content":"Call a tool."}},{{"role":"user","content":' || to_json(i) || '}},{{"role":"assistant","content":' || to_json(call) || '}}]' AS messages FROM g
+        UNION ALL SELECT conv_id, k, 2 * nth, 'advisor_response', '[{{"role":"system","content":"Answer."}},{{"role":"user","content":' || to_json(i || chr(10) || chr(10) || 'Tool call: ' || call) || '}},{{"role":"assistant","content":' || to_json(o) || '}}]' FROM g"""
+ORACLE_SQL["index_header"] = """
+        WITH n AS (SELECT count(*) AS c, max(len(embedding)) AS dims FROM documents JOIN embeddings ON doc_id = vec_id)
+        SELECT 'header' AS what, '{"schema_version":3,"algorithm":"dense-cosine","generated_at":"","snapshot_generated_at":"2024-01-01","snapshot_source":"a","snapshot_digest":"x","document_count":' || c || ',"embedding":{"dimensions":' || dims || ',"normalized":"true","repo":"r","runtime":"external"}}' AS value FROM n
+        UNION ALL SELECT 'problem', unnest(['built from a snapshot of another time', 'the snapshot''s digest differs']) UNION ALL SELECT 'problem', 'another number of documents' FROM n WHERE c <> (SELECT count(*) FROM documents)"""
+
+_STEPS = [s.replace("'", "''") for s in advice.PLAN_STEPS]
+_TIME, _PREFERENCE = (dict(advice.PROFILE_STEPS)[k].replace("'", "''").split("{}") for k in ("time", "preferences"))
+ORACLE_SQL["session_plans"] = f"""
+        WITH c AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n FROM conversations GROUP BY 1),
+        s AS (SELECT *, {CLEAN.format('last')} AS f FROM c),
+        v AS (SELECT *, CASE WHEN length(f) <= 84 THEN f ELSE rtrim(left(f, 81), ' ,.;:') || '...' END AS short FROM s),
+        p AS (SELECT *, ['{_STEPS[0]}'] || CASE WHEN n % 2 = 0 THEN CASE WHEN short <> '' THEN ['{_TIME[0]}' || short || '{_TIME[1]}'] ELSE [] END || ['{_PREFERENCE[0]}short words{_PREFERENCE[1]}'] ELSE [] END || ['{"','".join(_STEPS[1:4])}'] || CASE WHEN n % 3 = 0 THEN ['{advice.TUNING_STEP}'] ELSE [] END || ['{_STEPS[4]}'] AS made FROM v),
+        t AS (SELECT conv_id, string_agg('- ' || role, chr(10) ORDER BY turn) AS context FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY 1)
+        SELECT conv_id, ['Trainable', 'Field Notes', 'Off-Brand'][n % 3 + 1] AS goals, len(made)::INTEGER AS n, md5(array_to_string(made, '|')) AS digest, context FROM p JOIN t USING (conv_id)"""
+_AT = "(8 + ('0x' || substring(sha256({0}), {1}, 4))::BIGINT % 84)::INTEGER"
+ORACLE_SQL["idea_map"] = f"""
+        WITH v AS (SELECT vec_id AS doc_id, {UNIT} AS v FROM embeddings),
+        k AS (SELECT b.doc_id, greatest(0, least(1, (list_inner_product(a.v, b.v) + 1) / 2)) - 0.4 AS score, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.doc_id = 0 AND b.doc_id > 0 ORDER BY s DESC, b.doc_id LIMIT 12),
+        h AS (SELECT k.*, split_part(text, chr(10), 1) AS title FROM k JOIN documents USING (doc_id)),
+        c AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 22),
+        d AS (SELECT 'inked' AS kind, doc_id, title, 3 AS radius FROM (SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM h) ORDER BY n_chars DESC, doc_id LIMIT 16)
+          UNION ALL SELECT 'echo', doc_id, title, greatest(5, least(9, round_even(score * 14 + 4, 0)::INTEGER)) FROM (SELECT * FROM h ORDER BY score DESC, doc_id LIMIT 5)),
+        l AS (SELECT vec_id AS doc_id, floor(embedding[1]::DOUBLE * 40 + 50)::INTEGER AS x, floor(embedding[2]::DOUBLE * 40 + 50)::INTEGER AS y FROM embeddings WHERE vec_id % 2 = 0)
+        SELECT kind, doc_id::VARCHAR AS item, md5(title) AS title, coalesce(x, {_AT.format('doc_id::VARCHAR', 1)}) AS x, coalesce(y, {_AT.format('doc_id::VARCHAR', 5)}) AS y, radius FROM d LEFT JOIN l USING (doc_id)
+        UNION ALL SELECT 'idea', 'idea-1', md5('Tide Clock'), {_AT.format("'idea:idea-1:Tide Clock'", 1)}, {_AT.format("'idea:idea-1:Tide Clock'", 5)}, 8"""
+ORACLE_SQL["result_digests"] = """
+        WITH r AS (SELECT *, '  - label: "' || left(text, 20) || '", share: 1.5' AS item FROM documents)
+        SELECT doc_id, md5('about:' || chr(10) || '  language: "' || lang || '"' || chr(10) || '  place:' || chr(10) || '    name: "' || source || '"' || chr(10) || 'count: ' || n_chars || chr(10) || 'examples:' || chr(10) || item || chr(10) || item || chr(10)
+          || 'long: ' || CASE WHEN n_chars > 500 THEN 'True' ELSE 'False' END || chr(10) || 'names:' || chr(10) || '  - "a"' || chr(10) || '  - "' || source || '"') AS digest FROM r"""

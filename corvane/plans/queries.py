@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.python_text import folded
-from corvane.operators import aliases, analysis, dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, tools, training_rows, vectors
+from corvane.operators import advice, aliases, analysis, dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, tools, training_rows, vectors
 from corvane.sources import crawl
 from corvane.sources.work import new_path, written
 from corvane.streaming import sessions, turns
@@ -922,3 +922,89 @@ def search_projects(spark, d):
     best = search.search_projects(fields, SEARCHED, "doc_id", lambda c: folded(c), T.search_tokens)
     found = dashboard.with_points(best.drop("title"), shown, "doc_id")
     return found.select("doc_id", "slug", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "total", F.array_join("matched", ",").alias("matched"), F.to_json("snippets").alias("snippets"), "cluster_id", F.array_join("quest_ids", ",").alias("quest_ids"))
+
+
+SYSTEM = "You label projects."
+
+
+@query
+def sft_file(spark, d):
+    """The whole training file, with rows that call remote inference, rows written by hand (made of the benchmark) and messages; digests of its lines."""
+    made = t(spark, d, "benchmark").select(
+        (-1 - F.col("item_id")).alias("doc_id"), F.concat(F.lit("made "), "item_id").alias("title"), F.array(F.lit("gradio")).alias("tags"), training_rows.readme_segment(F.col("text")).alias("readme"), F.lit("app").alias("app"),
+        F.array(F.struct(F.lit("Codex").alias("label"), F.lit(0.5).alias("confidence"), F.lit("made").alias("evidence"), F.lit("readme").alias("source"))).alias("matches"), F.element_at(F.array(*map(F.lit, [*training_rows.MADE, "other"])), F.pmod("item_id", F.lit(4)).cast("int") + 1).alias("variant"),
+    )
+    remote = t(spark, d, "documents").where("source = 'src1'").select("doc_id")
+    rows = training_rows.branches(_training_rows(spark, d), "doc_id", remote=remote, made=made)
+    wanted = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("description"), F.lit(None).cast("string").alias("signals")) for i, label in labels.LABELS])
+    prompt = analysis.prompt(F.col("title"), F.lit("static"), F.array().cast("array<string>"), F.col("tags"), F.col("readme"), F.lit("app.py"), F.col("app"), wanted)
+    lined = written(rows.withColumn("line", training_rows.example_line(prompt, SYSTEM, F.col("doc_id"), F.col("variant"), F.col("matches"), "base", "labels")), "lines")
+    whole = training_rows.training_file(lined, training_rows.manifest(lined, ["Codex", "Modal", "Nemotron"]), "doc_id", "line", "documents")
+    return whole.select("pos", "doc_id", "variant", F.md5("line").alias("digest"), F.when(F.col("pos") == 0, F.col("line")).alias("manifest"))
+
+
+@query
+def sft_split(spark, d):
+    """How many examples and copies of each variant are learnt from and held out; an example's copies are on one side."""
+    rows = training_rows.branches(_training_rows(spark, d), "doc_id").select("doc_id", "variant")
+    out = training_rows.split_rows(rows, "doc_id", "variant", {"app_only": 3, "missing_app_file": 3, "noisy_metadata": 3}, 0.2)
+    return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("examples"), (F.count_distinct(F.when(F.col("split") == "train", F.col("doc_id"))) + F.count_distinct(F.when(F.col("split") == "holdout", F.col("doc_id")))).alias("sides"))
+
+
+def _traced(spark, d):
+    """Users' turns with the answer that follows as turns of a session, each with the tool that its message asks for."""
+    pairs = etl.turn_pairs(t(spark, d, "conversations"), "conv_id", "turn")
+    empty = F.lit(None).cast("string")
+    return pairs.select("conv_id", "turn", F.left("prompt", F.lit(40)).alias("input"), F.left("answer", F.lit(60)).alias("response"), F.when(F.length("prompt") % 3 > 0, "valid").otherwise("defaulted").alias("status"), F.when(F.length("prompt") % 5 > 0, "search_projects").otherwise("").alias("tool"), F.to_json(F.struct(F.left("prompt", F.lit(9)).alias("query"), F.lit(1).alias("n"))).alias("arguments"), F.array(F.struct(F.lit("search").alias("name"), F.lit("Found 1.").alias("summary"))).alias("tools"), empty.alias("verdict"), F.when(F.col("turn") > 0, F.col("turn")).alias("overall"), F.lit(None).cast("int").alias("plan_steps"), empty.alias("artifact_title"), F.lit(None).cast("array<string>").alias("errors"))
+
+
+@query
+def trace_file(spark, d):
+    """Each session's manifest and turns as lines."""
+    return exports.trace_lines(_traced(spark, d), "conv_id", "turn", {"algorithm": "dense", "snapshot_digest": "x"})
+
+
+@query
+def trace_training(spark, d):
+    """K7 F8: two examples of every valid turn."""
+    out = exports.trace_examples(_traced(spark, d), "conv_id", "turn", ("Call a tool.", "Answer."))
+    return out.select("conv_id", "turn_index", "example_index", "kind", F.to_json("messages").alias("messages"))
+
+
+@query
+def index_header(spark, d):
+    """The header of an index of all documents with an embedding, and what is wrong with it for a later snapshot with all documents."""
+    made = index.built(_indexed(spark, d), "doc_id", "text", "vec")
+    head = written(index.header(made, {"generated_at": "2024-01-01", "source": "a", "digest": "x"}, {"repo": "r"}), "header")
+    bad = index.header_problems(head, {"generated_at": "2024-01-02", "source": "a", "digest": "y"}, t(spark, d, "documents").count())
+    return head.select(F.lit("header").alias("what"), F.to_json(F.struct("*")).alias("value")).unionByName(bad.select(F.lit("problem").alias("what"), F.col("problem").alias("value")))
+
+
+@query
+def session_plans(spark, d):
+    """A plan for every conversation, shaped by what its turns say, with its last turns as context lines."""
+    rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    goals = advice.wanted_goals(F.when(F.col("n") % 3 == 0, F.array(F.lit("Well-Tuned"), F.lit("nothing"), F.lit("Well-Tuned"))).when(F.col("n") % 3 == 1, F.array(F.lit("Field Notes"))), sessions.GOALS, F.array(F.lit("Off-Brand")))
+    profile = F.when(F.col("n") % 2 == 0, F.create_map(F.lit("time"), F.col("last"), F.lit("skills"), F.lit("  "), F.lit("preferences"), F.lit("short  words")))
+    made = advice.plan(F.array(*map(F.lit, advice.PLAN_STEPS)), profile, goals)
+    return rows.select("conv_id", F.array_join(advice.labelled_goals(goals, {"Well-Tuned": "Trainable"}), ",").alias("goals"), F.size(made).alias("n"), F.md5(F.array_join(made, "|")).alias("digest"), advice.context_lines(F.col("roles"), lambda r: r).alias("context"))
+
+
+@query
+def idea_map(spark, d):
+    """The map of an idea whose echoes are the documents nearest to the first embedding."""
+    docs = t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "n_chars")
+    vecs = _vectors(spark, d)
+    near = vectors.search(vecs.where("id > 0"), [float(x) for x in vecs.where("id = 0").first()["vec"]], "id", "vec", limit=12).select(F.col("id").alias("doc_id"), (F.col("score") - 0.4).alias("score"))
+    layout = t(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), F.floor(F.col("embedding")[0].cast("double") * 40 + 50).alias("x"), F.floor(F.col("embedding")[1].cast("double") * 40 + 50).alias("y"))
+    dots = advice.map_dots(docs, layout, near.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id", [F.desc("n_chars"), F.asc("doc_id")], ("idea-1", "Tide Clock"))
+    return dots.select("kind", "item", F.md5("title").alias("title"), "x", "y", "radius")
+
+
+@query
+def result_digests(spark, d):
+    """A result about every document as lines for a model, without addresses, ids and scores at any level."""
+    text = F.left("text", F.lit(20))
+    inner = F.struct(text.alias("label"), F.col("doc_id").alias("id"), F.lit(1.5).alias("share"), F.struct(F.lit(1).alias("score")).alias("deep"))
+    whole = F.struct(F.lit("u").alias("url"), F.col("n_chars").alias("count"), (F.col("n_chars") > 500).alias("long"), F.array(inner, inner).alias("examples"), F.struct(F.col("lang").alias("language"), F.lit("h").alias("host"), F.struct(F.col("source").alias("name")).alias("place")).alias("about"), F.array(F.lit("a"), F.col("source")).alias("names"))
+    return t(spark, d, "documents").select("doc_id", F.md5(advice.digest_lines(F.parse_json(F.to_json(whole)))).alias("digest"))

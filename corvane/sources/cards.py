@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane import schemas
@@ -61,11 +62,25 @@ def searchable_text(rows: DataFrame) -> DataFrame:
 def read_sessions(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(file, record_index, raw, record) of all *.jsonl below the roots. record is null where a line isn't JSON.
 
-    The index is a line's place in its file; each file is one group, as its lines' order is the point.
-    """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(roots)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("record_index", "raw")).where("trim(raw) <> ''")
-    return lines.withColumn("record", F.try_parse_json("raw"))
+    The index is a line's place in its file, blank lines counted. Files are read in splits: a split's rows come in order and
+    splits are told apart by where they begin, so that no file is held as one value."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(roots)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__k"), F.col("value").alias("raw"))
+    numbered = placed.withColumn("record_index", F.row_number().over(W.partitionBy("file").orderBy("__at", "__k")) - 1)
+    return numbered.where("trim(raw) <> ''").select("file", "record_index", "raw", F.try_parse_json("raw").alias("record"))
+
+
+def session_records(lines: DataFrame) -> DataFrame:
+    """Lines of read_sessions with session_id, timestamp, type and payload (JSON).
+
+    All rows of a file have one session id: that of its last session_meta record, which may lack one; without such a record
+    the file's name, without its ending and a leading `rollout-`."""
+    text = lambda path: F.try_variant_get("record", path, "string")
+    stem = F.regexp_replace(F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", ""), "^rollout-", "")
+    own = F.when(text("$.type") == "session_meta", F.coalesce(F.when(F.schema_of_variant(F.try_variant_get("record", "$.payload.id", "variant")) == "STRING", text("$.payload.id")), stem))
+    whole = W.partitionBy("file").orderBy("record_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = lines.withColumn("session_id", F.coalesce(F.last(own, ignorenulls=True).over(whole), stem))
+    return rows.select("file", "record_index", "session_id", text("$.timestamp").alias("timestamp"), text("$.type").alias("type"), F.to_json(F.try_variant_get("record", "$.payload", "variant")).alias("payload"))
 
 
 def read_examples(spark: SparkSession, path: str, manifest_needed: bool = False) -> tuple[DataFrame, DataFrame]:
