@@ -204,6 +204,18 @@ def without_frontmatter(c: Column) -> Column:
     return F.regexp_replace(rest, r"(?U)\A\s+|\s+\z", "")
 
 
+def object_or_empty(json: Column) -> Column:
+    """A JSON object as a variant; an empty one for anything else."""
+    tree = F.try_parse_json(json)
+    return F.when(F.schema_of_variant(tree).startswith("OBJECT"), tree).otherwise(F.parse_json(F.lit("{}")))
+
+
+def list_or_empty(json: Column) -> Column:
+    """The items of a JSON list as variants; none for anything else."""
+    tree = F.try_parse_json(json)
+    return F.when(F.schema_of_variant(tree).startswith("ARRAY"), tree.cast("array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
 def prefix_hits(words: Column, prefixes: list[str]) -> Column:
     """How many of the prefixes begin some word."""
     def begins(p: str) -> Column:

@@ -6,21 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean, let
-from corvane.operators.labels import EVIDENCE_CHARS, SOURCES, canonical_all
+from corvane.operators.labels import EVIDENCE_CHARS, SOURCES, canonical_all, repeats_taxonomy
 
 MATCH = "struct<quest:string,confidence:double,evidence:string,source:string>"
 
 
-def repeats_taxonomy(evidence: Column, descriptions: list[str]) -> Column:
-    """evidence that quotes the prompt: it has `signals:`, or begins with the first 80 characters of a description."""
-    flat = F.lower(clean(evidence))
-    begins = [flat.startswith(" ".join(x.lower().split())[:80]) for x in descriptions]
-    out = F.contains(flat, F.lit("signals:"))
-    for b in begins:
-        out = out | b
-    return out
-
-
 def checked(answer: Column, descriptions: list[str] = []) -> Column:  # noqa: B006
     """A struct (matches, error) of a JSON answer {"matches": [...]}: matches with canonical labels (a name of several
     gives one each), rounded confidence and cut evidence; the first thing that is wrong with them makes the error."""

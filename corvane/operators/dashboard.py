@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.text import normalized_tags, public_summary, public_title
 from corvane.operators import search
 from corvane.operators.labels import report, require
-from corvane.sources.snapshots import write_snapshot
+from corvane.sources.snapshots import read_snapshot, write_snapshot
 from corvane.sources.work import written
 
 
@@ -156,3 +156,10 @@ def publish(parts: dict[str, DataFrame], root: str, run_id: str, key: str) -> st
 def public_points(shown: DataFrame) -> DataFrame:
     """Points as they are read, their tags without hosting ones and repeats whatever was stored."""
     return shown.withColumn("tags", normalized_tags(F.col("tags")))
+
+
+def latest(spark: SparkSession, root: str, key: str) -> dict[str, DataFrame]:
+    """The latest payload below root, all of its parts there and without problems."""
+    parts = read_snapshot(spark, root, ("clusters", "header", "links", "points", "quest_report"))
+    require(payload_problems(parts, key), "the stored dashboard")
+    return parts

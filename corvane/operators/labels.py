@@ -134,14 +134,25 @@ def canonical_all(name: Column, labels: tuple[tuple[str, str], ...] = LABELS) ->
     return F.when(whole.isNotNull(), F.array(whole)).when(every, F.array_distinct(ids))
 
 
-def checked(matches: DataFrame, key: str) -> DataFrame:
-    """Matches with canonical label, rounded confidence, clipped evidence, and `error`, null where the match is valid."""
+def repeats_taxonomy(evidence: Column, descriptions: list[str]) -> Column:
+    """evidence that quotes the prompt: it has `signals:`, or begins with the first 80 characters of a description."""
+    flat = F.lower(clean(evidence))
+    begins = [flat.startswith(" ".join(x.lower().split())[:80]) for x in descriptions]
+    out = F.contains(flat, F.lit("signals:"))
+    for b in begins:
+        out = out | b
+    return out
+
+
+def checked(matches: DataFrame, key: str, descriptions: list[str] = []) -> DataFrame:  # noqa: B006
+    """Matches with canonical label, rounded confidence, clipped evidence, and `error`, null where the match is valid."""
     label = canonical(F.col("label"))
     evidence = F.left(clean(F.col("evidence")), F.lit(EVIDENCE_CHARS))
     error = (
         F.when(label.isNull(), F.lit("unknown label"))
         .when(F.col("confidence").isNull() | (F.col("confidence") <= 0) | (F.col("confidence") > 1), F.lit("confidence out of range"))
         .when(evidence == "", F.lit("no evidence"))
+        .when(repeats_taxonomy(evidence, descriptions), F.lit("evidence of the prompt"))
         .when(~F.col("source").isin(*SOURCES), F.lit("unknown source"))
     )
     return matches.select(key, label.alias("label"), F.bround("confidence", 3).alias("confidence"), evidence.alias("evidence"), "source", error.alias("error"))

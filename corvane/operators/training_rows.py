@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean
-from corvane.operators.answers import checked, repeats_taxonomy
+from corvane.operators.answers import checked
 from corvane.operators.etl import shuffled_split, upweighted
 
 # Sizes of segments, and the patterns of the invariants.

@@ -7,6 +7,7 @@ place through Hadoop's file system, so readers see the old run or the new one.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,72 @@ def _fs(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def replace_text(spark: SparkSession, path: str, text: str, mark: str = "new") -> None:
+    """A small file written beside its place and renamed into it, so that readers see the old text or the new one."""
+    folder, _, name = path.rpartition("/")
+    fresh, fs = _fs(spark, f"{folder}/.{name}.{mark}")
+    out = fs.create(fresh, True)
+    out.write(text.encode())
+    out.close()
+    place, _ = _fs(spark, path)
+    files = spark._jvm.org.apache.hadoop.fs.FileContext
+    context = files.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()) if place.toUri().getScheme() else files.getFileContext(spark._jsc.hadoopConfiguration())
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    many = spark.sparkContext._gateway.new_array(options, 1)
+    many[0] = options.OVERWRITE
+    context.rename(fresh, place, many)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    place, fs = _fs(spark, path)
+    if not fs.exists(place):
+        return None
+    opened = fs.open(place)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """K2: a value as indented JSON, UTF-8 as it is, with a line feed at its end; a reader sees it whole or not at all."""
+    replace_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False) + "\n")
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """The JSON object of a small file; None where there is none, an error where it is anything else."""
+    text = read_text(spark, path)
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        raise SnapshotError(f"no JSON in {path}") from e
+    if not isinstance(value, dict):
+        raise SnapshotError(f"no JSON object in {path}")
+    return value
+
+
+def require_writable(spark: SparkSession, folder: str) -> str:
+    """K9: the folder, which must exist and take a file."""
+    where, fs = _fs(spark, folder)
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        raise SnapshotError(f"{folder} is no folder")
+    probe, _ = _fs(spark, f"{folder}/.probe-{uuid.uuid4().hex}")
+    try:
+        fs.create(probe, False).close()
+        fs.delete(probe, False)
+    except Exception as e:
+        raise SnapshotError(f"{folder} can't be written to") from e
+    return folder
+
+
+def initial(spark: SparkSession, root: str | None, bundled: dict[str, DataFrame], needed: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The latest run of a root that has one, else the tables that come with the program. A broken run is an error, not a reason for the latter."""
+    return read_snapshot(spark, root, needed) if root and read_text(spark, f"{root}/{POINTER}") is not None else bundled
+
+
 def write_snapshot(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame]) -> str:
     """Write a run, which must not exist yet, and make it the latest. A failure leaves the old pointer."""
     if not run_id or "/" in run_id or run_id.startswith("."):
@@ -33,17 +100,7 @@ def write_snapshot(spark: SparkSession, root: str, run_id: str, tables: dict[str
     for name, rows in tables.items():
         rows.write.mode("errorifexists").parquet(f"{root}/{run_id}/{name}")
     text = json.dumps({"schema_version": SCHEMA_VERSION, "run_id": run_id, "tables": sorted(tables)}, indent=2, sort_keys=True) + "\n"
-    fresh, fs = _fs(spark, f"{root}/.{POINTER}.{run_id}")
-    out = fs.create(fresh, True)
-    out.write(text.encode())
-    out.close()
-    pointer, _ = _fs(spark, f"{root}/{POINTER}")
-    files = spark._jvm.org.apache.hadoop.fs.FileContext
-    context = files.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()) if pointer.toUri().getScheme() else files.getFileContext(spark._jsc.hadoopConfiguration())
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    many = spark.sparkContext._gateway.new_array(options, 1)
-    many[0] = options.OVERWRITE
-    context.rename(fresh, pointer, many)
+    replace_text(spark, f"{root}/{POINTER}", text, run_id)
     return f"{root}/{run_id}"
 
 

@@ -221,3 +221,18 @@ def test_average_counts_empty_documents(spark):
     assert got[1]["score"] == pytest.approx(term(2, 1, 3) + term(1, 2, 3)) and got[2]["score"] == pytest.approx(term(1, 2, 2)) and got[3]["score"] == 0
     assert got[1]["matched"] == ["tide", "moon"]
     assert search.one_pass(rows, "id", {"text": 1.0}, ["tide", "moon"], T.tokens, alphabetic=True).where("id = 1").first()["matched"] == ["moon", "tide"]
+
+
+def test_pairs_by_cells(spark):
+    """Recall against all pairs on rows that lie in groups, exact scores, ties and nulls as there, a cell larger than a block."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 16))
+    rows = [(i, [float(v) for v in centres[i % 20] + 0.2 * r.normal(size=16)]) for i in range(1200)] + [(5000, None)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>")
+    exact = {(x["id"], x["other"]): x["score"] for x in vectors.top_pairs(frame.where("vec IS NOT NULL"), frame.where("vec IS NOT NULL"), 2).collect()}
+    got = {(x["id"], x["other"]): x["score"] for x in vectors.pairs_by_cells(frame, 2, block=40).collect()}
+    hit = set(exact) & set(got)
+    assert len(hit) >= 0.9 * len(exact) and all(got[p] == pytest.approx(exact[p]) for p in hit) and max(np.bincount([i for i, _ in got])) <= 2
+    assert vectors.pairs_by_cells(frame.limit(0), 2).collect() == []
+    whole = {(x["id"], x["other"]) for x in vectors.pairs_by_cells(frame, 2, cells=1).collect()}
+    assert whole == set(exact)

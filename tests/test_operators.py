@@ -61,8 +61,8 @@ def test_labels(spark):
     assert [r[0] for r in rows] == ["OpenBMB", "Codex", "Off-Brand", "Modal", None]
     tagged = spark.createDataFrame([(1, ["Sponsor:Modal", "x", "sponsor:modal", "track:wood"])], "id long, tags array<string>")
     assert {r["label"] for r in labels.declared(tagged, "id", "tags").collect()} == {"Modal", "Thousand Token Wood"}
-    matches = spark.createDataFrame([(1, "Modal", 0.5, " e ", "rules"), (2, "?", 0.5, "e", "rules"), (3, "Codex", 1.5, "e", "rules"), (4, "Codex", 0.1, " ", "rules")], "id long, label string, confidence double, evidence string, source string")
-    assert [r["error"] for r in labels.checked(matches, "id").orderBy("id").collect()] == [None, "unknown label", "confidence out of range", "no evidence"]
+    matches = spark.createDataFrame([(1, "Modal", 0.5, " e ", "readme"), (2, "?", 0.5, "e", "readme"), (3, "Codex", 1.5, "e", "readme"), (4, "Codex", 0.1, " ", "readme"), (5, "Codex", 0.1, "Signals: x", "readme"), (6, "Codex", 0.1, "x", "rules")], "id long, label string, confidence double, evidence string, source string")
+    assert [r["error"] for r in labels.checked(matches, "id").orderBy("id").collect()] == [None, "unknown label", "confidence out of range", "no evidence", "evidence of the prompt", "unknown source"]
     ids = spark.createDataFrame([(1,), (9,)], "id long")
     gaps = labels.coverage_gaps(ids, matches, "id")
     assert {(r["id"], r["problem"]) for r in gaps.collect()} == {(9, "missing"), (2, "extra"), (3, "extra"), (4, "extra")}
@@ -219,5 +219,5 @@ def test_app_segments(spark):
 
 def test_taxonomy_quotes(spark):
     rows = spark.createDataFrame([("It says  SIGNALS: x",), ("Runs  on this machine",), ("fine",)], "e string")
-    assert [r[0] for r in rows.select(training_rows.repeats_taxonomy(F.col("e"), ["Runs on this machine only"])).collect()] == [True, False, False]
-    assert rows.select(training_rows.repeats_taxonomy(F.col("e"), ["runs on"])).collect()[1][0] is True
+    assert [r[0] for r in rows.select(labels.repeats_taxonomy(F.col("e"), ["Runs on this machine only"])).collect()] == [True, False, False]
+    assert rows.select(labels.repeats_taxonomy(F.col("e"), ["runs on"])).collect()[1][0] is True
