@@ -58,7 +58,7 @@ def plan(steps: Column, profile: Column, goals: Column, at: int = 1) -> Column:
     none = F.create_map().cast("map<string,string>")
     whole = F.concat(F.slice(steps, 1, at), profile_steps(F.coalesce(profile, none)), F.slice(steps, F.lit(at + 1), F.greatest(F.size(steps) - at, F.lit(0))))
     tuned = F.exists(F.coalesce(goals, F.array().cast("array<string>")), lambda g: g.contains("Well"))
-    return let(whole, lambda w: F.when(tuned, F.array_insert(w, F.greatest(F.size(w), F.lit(1)), F.lit(TUNING_STEP))).otherwise(w))
+    return let(whole, lambda w: F.when(tuned, F.concat(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.array(F.lit(TUNING_STEP)), F.slice(w, F.greatest(F.size(w), F.lit(1)), F.lit(1)))).otherwise(w))
 
 
 def context_lines(rows: Column, line, most: int = 3) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.text import let
+
 LEAST = 0.88
 WORD = r"([A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)?)"
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -21,16 +23,24 @@ def lowered(text: Column) -> Column:
 
 def runs(text: Column, longest: int = 3) -> Column:
     """The distinct runs of one to `longest` words, each joined by single spaces, in lower case."""
-    words = F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(1))
-    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
+    none = F.array().cast("array<string>")
+
+    def of(words: Column) -> Column:
+        joined = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        parts = [F.when(F.size(words) >= n, joined(n)).otherwise(none) for n in range(1, longest + 1)]
+        return F.array_distinct(F.concat(*parts))
+
+    return let(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(1)), of)
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Not worked out again by a filter on its result.
+matching_ratio = F.pandas_udf(_ratios, T.DoubleType()).asNondeterministic()
+
+
 def compact(text: Column) -> Column:
     return F.regexp_replace(lowered(text), "[^a-z0-9]", "")
 

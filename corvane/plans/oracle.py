@@ -2,7 +2,7 @@
 
 from corvane.functions.text import SEARCH_STOPWORDS
 from corvane.operators import advice, analysis, tools
-from corvane.operators.labels import LABELS
+from corvane.operators.labels import ALIASES, LABELS
 from corvane.operators.search import CLUSTER_STOPWORDS
 
 TOKENS = r"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9.+_-]*'), lambda x: trim(lower(x), '._-+')), lambda x: length(x) > 1)"
@@ -527,3 +527,12 @@ ORACLE_SQL["result_digests"] = """
         WITH r AS (SELECT *, '  - label: "' || left(text, 20) || '", share: 1.5' AS item FROM documents)
         SELECT doc_id, md5('about:' || chr(10) || '  language: "' || lang || '"' || chr(10) || '  place:' || chr(10) || '    name: "' || source || '"' || chr(10) || 'count: ' || n_chars || chr(10) || 'examples:' || chr(10) || item || chr(10) || item || chr(10)
           || 'long: ' || CASE WHEN n_chars > 500 THEN 'True' ELSE 'False' END || chr(10) || 'names:' || chr(10) || '  - "a"' || chr(10) || '  - "' || source || '"') AS digest FROM r"""
+
+_SPELLED = [(x, y) for i, label in LABELS for x, y in ((i, i), (label.upper(), i), (f"Best Use of {i}", i), (f"{i} (track)", i), (i.replace(" ", "--"), i), (f"not {i}", None), (f"{label} / Codex", f"{i},Codex" if i != "Codex" else "Codex"), (f"{label} / not {i}", None))] + list(ALIASES.items())
+ORACLE_SQL["canonical_labels"] = """
+        WITH k(pos, name, label) AS (VALUES {}), l(o, id, shown) AS (VALUES {}),
+        q AS (SELECT doc_id, name, label, lower('who did ' || name) AS low FROM documents JOIN k ON pos = length(text) % {}),
+        f AS (SELECT doc_id, arg_min(id, o) AS asked FROM q JOIN l ON contains(low, lower(id)) OR contains(low, lower(shown)) GROUP BY 1)
+        SELECT doc_id, name, label, asked FROM q LEFT JOIN f USING (doc_id)""".format(
+    ", ".join("({}, '{}', {})".format(n, a.replace("'", "''"), f"'{b}'" if b else "NULL") for n, (a, b) in enumerate(_SPELLED)), ", ".join(f"({n}, '{i}', '{x}')" for n, (i, x) in enumerate(LABELS)), len(_SPELLED)
+)

@@ -299,10 +299,11 @@ def remaining_labels(spark, d):
 
 @query
 def canonical_labels(spark, d):
-    """X11 P27 over the names of the label space, written in other ways."""
+    """Every document's marks under the names of the label space, written in many ways, and a question about one."""
     names = [x for i, label in labels.LABELS for x in (i, label.upper(), f"Best Use of {i}", f"{i} (track)", i.replace(" ", "--"), f"not {i}", f"{label} / Codex", f"{label} / not {i}")]
-    rows = spark.createDataFrame(list(enumerate([*names, *labels.ALIASES])), "pos int, name string")
-    return rows.select("pos", "name", F.array_join(labels.canonical_all(F.col("name")), ",").alias("label"))
+    every = F.array(*map(F.lit, [*names, *labels.ALIASES]))
+    rows = t(spark, d, "documents").select("doc_id", F.get(every, F.pmod(F.length("text"), F.size(every))).alias("name"))
+    return rows.select("doc_id", "name", F.array_join(labels.canonical_all(F.col("name")), ",").alias("label"), repository.resolve_label(F.concat(F.lit("who did "), "name")).alias("asked"))
 
 
 @query
