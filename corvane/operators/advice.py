@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import let, scatter, short_value
+from corvane.functions.text import scatter, short_value
 from corvane.operators.exports import background_dots, echo_radius
 
 # Keys that a digest leaves out, and the fields of a profile in the order in which they shape a plan.
@@ -56,9 +56,11 @@ def plan(steps: Column, profile: Column, goals: Column, at: int = 1) -> Column:
     """A plan with its profile's steps put in behind the first `at` ones, and, where a goal is to be well tuned, the step that
     collects examples before the last one."""
     none = F.create_map().cast("map<string,string>")
-    whole = F.concat(F.slice(steps, 1, at), profile_steps(F.coalesce(profile, none)), F.slice(steps, F.lit(at + 1), F.greatest(F.size(steps) - at, F.lit(0))))
     tuned = F.exists(F.coalesce(goals, F.array().cast("array<string>")), lambda g: g.contains("Well"))
-    return let(whole, lambda w: F.when(tuned, F.concat(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.array(F.lit(TUNING_STEP)), F.slice(w, F.greatest(F.size(w), F.lit(1)), F.lit(1)))).otherwise(w))
+    rest = F.slice(steps, F.lit(at + 1), F.greatest(F.size(steps) - at, F.lit(0)))
+    kept = F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))
+    more = F.when(tuned, F.array(F.lit(TUNING_STEP))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.slice(steps, 1, at), profile_steps(F.coalesce(profile, none)), kept, more, F.slice(rest, F.greatest(F.size(rest), F.lit(1)), F.lit(1)))
 
 
 def context_lines(rows: Column, line, most: int = 3) -> Column:
