@@ -536,3 +536,31 @@ ORACLE_SQL["canonical_labels"] = """
         SELECT doc_id, name, label, asked FROM q LEFT JOIN f USING (doc_id)""".format(
     ", ".join("({}, '{}', {})".format(n, a.replace("'", "''"), f"'{b}'" if b else "NULL") for n, (a, b) in enumerate(_SPELLED)), ", ".join(f"({n}, '{i}', '{x}')" for n, (i, x) in enumerate(LABELS)), len(_SPELLED)
 )
+
+_PARTS_SQL = f"""
+        WITH {LAYOUT}, {MATCHES}, {_BODY.rstrip()},
+        cl AS (SELECT raw, cluster_id, n, {CLEAN.format("coalesce(label, titles, 'Mixed projects')")} AS label FROM ids LEFT JOIN kw USING (raw) LEFT JOIN t2 USING (raw) JOIN t1 USING (raw)),
+        own AS (SELECT doc_id, string_agg(label, ',' ORDER BY confidence DESC, label) AS q, count(*) AS k FROM m GROUP BY 1),
+        pts AS (SELECT doc_id, shown, n_chars, source, cl.label AS cluster_label, coalesce(q, '') AS q, coalesce(k, 0) AS k FROM named JOIN cl USING (raw) LEFT JOIN own USING (doc_id))"""
+ORACLE_SQL["atlas_overview"] = f"""{_PARTS_SQL},
+        lb AS (SELECT label, count(DISTINCT doc_id) AS rows, CASE label WHEN 'quality' THEN 0 ELSE 1 END AS pos FROM m WHERE doc_id IN (SELECT doc_id FROM pr) GROUP BY 1)
+        SELECT 'projects' AS what, 0 AS pos, 'analyzed' AS item, count(*) AS n FROM pts UNION ALL SELECT 'clusters', 0, '', count(*) FROM cl
+        UNION ALL (SELECT 'cluster', row_number() OVER (ORDER BY n DESC, length(cluster_id), cluster_id) AS p, label, n FROM cl ORDER BY p LIMIT 3)
+        UNION ALL (SELECT 'label', row_number() OVER (ORDER BY rows DESC, lower(label), pos) AS p, label, rows FROM lb ORDER BY p LIMIT 3)
+        UNION ALL (SELECT 'liked', row_number() OVER (ORDER BY n_chars DESC, lower(shown) DESC, doc_id) AS p, doc_id::VARCHAR, n_chars FROM pts ORDER BY p LIMIT 3)"""
+ORACLE_SQL["atlas_leaders"] = f"{_PARTS_SQL} SELECT doc_id, n_chars AS likes, k::INTEGER AS labels, q AS quest_ids, count(*) OVER () AS total FROM pts WHERE k > 0 ORDER BY k DESC, n_chars DESC, lower(shown) DESC, doc_id LIMIT 8"
+ORACLE_SQL["atlas_recent"] = f"{_PARTS_SQL} SELECT doc_id, n_chars AS likes, source AS last_modified, cluster_label FROM pts ORDER BY source DESC, doc_id LIMIT 6"
+ORACLE_SQL["atlas_projects"] = f"""{_PARTS_SQL},
+        dz AS (SELECT doc_id, 'org/item-' || lpad(doc_id::VARCHAR, 7, '0') AS id, {CLEAN.format("split_part(text, chr(10), 1)")} AS title, {CLEAN.format('left(text, 80)')} AS summary, left({CLEAN.format('text')}, 3000) AS readme FROM documents),
+        nm AS (SELECT doc_id, id AS name, 0 AS place FROM dz UNION ALL SELECT doc_id, split_part(id, '/', 2), 1 FROM dz UNION ALL SELECT doc_id, lower(CASE WHEN title = '' THEN 'Untitled project' ELSE title END), 2 FROM dz),
+        qs AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN upper(id) WHEN 1 THEN 'What about ' || split_part(id, '/', 2) || '?' ELSE 'zq ' || doc_id END AS question FROM dz),
+        ez AS (SELECT question, min(doc_id) AS exact FROM qs JOIN nm ON lower(question) = name GROUP BY 1),
+        hz AS (SELECT question, arg_min(doc_id, (-length(name), doc_id, place)) AS contained FROM qs JOIN nm ON contains(lower(question), name) AND length(name) >= 4 GROUP BY 1),
+        fz AS (SELECT question, coalesce(exact, contained) AS doc_id FROM qs LEFT JOIN ez USING (question) LEFT JOIN hz USING (question))
+        SELECT question, fz.doc_id, md5(summary) AS summary, md5(CASE WHEN length(readme) <= 1500 THEN readme ELSE rtrim(left(readme, 1500)) || ' ...' END) AS readme, n_chars AS likes, cluster_label, q AS quest_ids FROM fz LEFT JOIN dz USING (doc_id) LEFT JOIN pts USING (doc_id)"""
+ORACLE_SQL["folded_tokens"] = f"SELECT doc_id, len({_WORDS.format('text')})::INTEGER AS n_tokens FROM documents"
+ORACLE_SQL["packed_chunks"] = f"""
+        WITH w AS (SELECT conv_id, turn, string_split({CLEAN.format('text')}, ' ') AS w FROM conversations),
+        r AS (SELECT conv_id, turn, list_reduce(list_prepend(chr(1), w), lambda s, x: CASE WHEN length(split_part(s, chr(1), 2) || x || ' ') >= 28
+          THEN split_part(s, chr(1), 1) || CASE WHEN split_part(s, chr(1), 1) = '' THEN '' ELSE '|' END || split_part(s, chr(1), 2) || x || ' ' || chr(1) ELSE s || x || ' ' END) AS s FROM w)
+        SELECT conv_id, turn, CASE WHEN rtrim(split_part(s, chr(1), 2)) = '' THEN split_part(s, chr(1), 1) ELSE split_part(s, chr(1), 1) || CASE WHEN split_part(s, chr(1), 1) = '' THEN '' ELSE '|' END || rtrim(split_part(s, chr(1), 2)) END AS chunks FROM r"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.python_text import folded
-from corvane.operators import advice, aliases, analysis, dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, tools, training_rows, vectors
+from corvane.operators import advice, aliases, analysis, atlas, dashboard, etl, exports, incremental, index, labels, publication, repository, scoring, search, tools, training_rows, vectors
 from corvane.sources import crawl
 from corvane.sources.work import new_path, written
 from corvane.streaming import sessions, turns
@@ -735,15 +735,20 @@ def _scaled_layout(spark, d):
     return rows.join(F.broadcast(ends)).select("doc_id", *[vectors.scaled(F.col(c), 3, 97, F.col(f"least_{c}"), F.col(f"most_{c}"), 4).alias(n) for c, n in (("a", "x"), ("b", "y"))], "raw")
 
 
-@query
-def dashboard_payload(spark, d):
-    """The whole payload of all documents with an embedding, checked, a row for each of its items."""
+def _parts(spark, d):
+    """The dashboard of all documents with an embedding."""
     layout = written(_scaled_layout(spark, d), "layout")
     projects = t(spark, d, "documents").join(layout.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.col("n_chars").alias("likes"), F.array("source", "lang", F.lit("region:us")).alias("tags"), F.col("source").alias("last_modified"))
     layout = layout.join(projects.select("doc_id"), "doc_id", "left_semi")
     links = vectors.nearest_links(_indexed(spark, d).select(F.col("doc_id").alias("id"), "vec"), 2)
     dimension = spark.createDataFrame([(0, "quality"), (1, "toxic"), (2, "unused")], "pos int, label string")
-    parts = dashboard.payload(projects, layout, written(links, "links"), _matches(spark, d), dimension, "doc_id", T.tokens(F.col("title")), "marks", "2024-01-01T00:00:00+00:00")
+    return dashboard.payload(projects, layout, written(links, "links"), _matches(spark, d), dimension, "doc_id", T.tokens(F.col("title")), "marks", "2024-01-01T00:00:00+00:00")
+
+
+@query
+def dashboard_payload(spark, d):
+    """The whole payload of all documents with an embedding, checked, a row for each of its items."""
+    parts = _parts(spark, d)
     labels.require(dashboard.payload_problems(parts, "doc_id"), "dashboard payload")
     text = lambda c: F.col(c).cast("string")
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -1015,3 +1020,36 @@ def result_digests(spark, d):
     inner = F.struct(text.alias("label"), F.col("doc_id").alias("id"), F.lit(1.5).alias("share"), F.struct(F.lit(1).alias("score")).alias("deep"))
     whole = F.struct(F.lit("u").alias("url"), F.col("n_chars").alias("count"), (F.col("n_chars") > 500).alias("long"), F.array(inner, inner).alias("examples"), F.struct(F.col("lang").alias("language"), F.lit("h").alias("host"), F.struct(F.col("source").alias("name")).alias("place")).alias("about"), F.array(F.lit("a"), F.col("source")).alias("names"))
     return t(spark, d, "documents").select("doc_id", F.md5(advice.digest_lines(F.parse_json(F.to_json(whole)))).alias("digest"))
+
+
+@query
+def atlas_overview(spark, d):
+    """A dashboard's counts, largest clusters, most met labels and most liked projects."""
+    return atlas.atlas_overview(_parts(spark, d), "doc_id")
+
+
+@query
+def atlas_leaders(spark, d):
+    """T4: the projects with most labels, and how many have any."""
+    out = atlas.top_by_labels(_parts(spark, d), "doc_id")
+    return out.select("doc_id", "likes", "labels", F.array_join("quest_ids", ",").alias("quest_ids"), "total")
+
+
+@query
+def atlas_recent(spark, d):
+    """T5: the projects changed last, with their clusters' names."""
+    changed = t(spark, d, "documents").select("doc_id", F.col("source").alias("last_modified"))
+    return atlas.recent_activity(_parts(spark, d), changed, "doc_id").select("doc_id", "likes", "last_modified", "cluster_label")
+
+
+@query
+def atlas_projects(spark, d):
+    """A question about every document by id, within a sentence, or about nothing, with the card and excerpts of what it means."""
+    docs = t(spark, d, "documents")
+    ident = F.concat(F.lit("org/item-"), F.lpad("doc_id", 7, "0"))
+    none = F.lit("")
+    projects = docs.select("doc_id", F.col("doc_id").alias("pos"), ident.alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.left("text", F.lit(80)).alias("summary"), F.array("lang").alias("models"), F.col("text").alias("readme_body"), none.alias("app_file_source"), none.alias("app_file_embedding_text"))
+    slug = F.substring_index(ident, "/", -1)
+    asked = docs.select(F.when(F.col("doc_id") % 3 == 0, F.upper(ident)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("What about "), slug, F.lit("?"))).otherwise(F.concat(F.lit("zq "), F.col("doc_id").cast("string"))).alias("question"))
+    out = atlas.show_project(_parts(spark, d), projects, asked, "doc_id", "question")
+    return out.select("question", F.col("match").alias("doc_id"), F.md5("summary").alias("summary"), F.md5("readme_excerpt").alias("readme"), "likes", "cluster_label", F.array_join("quest_ids", ",").alias("quest_ids"))
