@@ -925,8 +925,9 @@ SEARCHED = "Src1 Tion STRASSE quality"
 def search_projects(spark, d):
     """The whole search: eight fields with cluster and label texts, folded tokens with variants, boosts, the query's order of terms, excerpts, and each hit's point."""
     rows = _projects(spark, d)
-    ids = dashboard.cluster_ids(rows)
-    groups, shown = dashboard.clusters(rows, "doc_id", T.tokens(F.col("title"))), dashboard.points(rows, ids, _matches(spark, d), "doc_id")
+    # Both are read for the counts, for the excerpts and for the hits' points.
+    groups = written(dashboard.clusters(rows, "doc_id", T.tokens(F.col("title"))), "clusters")
+    shown = written(dashboard.points(rows, dashboard.cluster_ids(rows), _matches(spark, d), "doc_id").drop("summary"), "points")
     none = F.array().cast("array<string>")
     projects = t(spark, d, "documents").select("doc_id", F.concat(F.lit("org/"), "source", F.lit("-doc_"), "doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.left("text", F.lit(60)).alias("summary"), F.array("source", "lang").alias("tags"), none.alias("models"), none.alias("datasets"), F.lit("static").alias("sdk"), F.col("n_chars").alias("likes"), F.lit("app.py").alias("app_file"), F.lit("").alias("app_file_embedding_text"), F.right("text", F.lit(50)).alias("app_file_source"), F.col("text").alias("readme_body"))
     evidence = _matches(spark, d).select("doc_id", F.when(F.col("label") == "quality", 0).otherwise(1).alias("pos"), "label", F.lit("was marked").alias("evidence"))
