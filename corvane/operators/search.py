@@ -79,14 +79,14 @@ def one_pass(docs: DataFrame, key: str, fields: dict[str, float], terms: list[st
     def occurrences(words: Column, term: str) -> Column:
         return F.size(F.filter(words, lambda x: x == term))
 
-    def weighted(field: str, weight: float) -> Column:
+    def weighted(field: Column) -> Column:
         own = lambda w: F.array(F.size(w), *[occurrences(w, term) for term in unique])
-        return F.transform(let(tokens(F.col(field)), own), lambda n: n * F.lit(float(weight)))
+        return F.transform(let(tokens(field["text"]), own), lambda n: n * field["weight"])
 
-    parts = [weighted(f, x) for f, x in fields.items()]
-    sums = parts[0]
-    for part in parts[1:]:
-        sums = F.zip_with(sums, part, lambda x, y: x + y)
+    # One expression for all fields, not one a field.
+    parts = F.array(*[F.struct(F.lit(float(x)).alias("weight"), F.col(f).alias("text")) for f, x in fields.items()])
+    start = F.array(*[F.lit(0.0)] * (len(unique) + 1))
+    sums = F.aggregate(F.transform(parts, weighted), start, lambda s, c: F.zip_with(s, c, lambda x, y: x + y))
     rows = written(docs.select(key, *keep, sums.alias("__w")), "counts")
     length, tf = F.col("__w")[0], [F.col("__w")[i + 1] for i in range(len(unique))]
     some = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)]).first()
@@ -138,8 +138,10 @@ def search_projects(fields: DataFrame, query: str, key: str, fold, tokens, limit
     flat = {n: f"__{i}" for i, n in enumerate(FIELDS)}
     both = shown.select("*", *[fold(clean_column(c)).alias(flat[n]) for n, c in own.items()])
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    excerpts = [F.when(F.arrays_overlap(tokens(F.col(flat[n])), wanted), F.struct(F.lit(n).alias("source"), snippet(F.col(c), wanted, folded=F.col(flat[n])).alias("text"))) for n, c in own.items()]
-    found = F.slice(F.filter(F.array(*excerpts), lambda x: x.isNotNull() & (x["text"] != "")), 1, 2)
+    every = F.array(*[F.struct(F.lit(n).alias("source"), F.col(c).alias("text"), F.col(flat[n]).alias("folded")) for n, c in own.items()])
+    hit = F.filter(every, lambda x: F.arrays_overlap(tokens(x["folded"]), wanted))
+    excerpts = F.transform(hit, lambda x: F.struct(x["source"].alias("source"), snippet(x["text"], wanted, folded=x["folded"]).alias("text")))
+    found = F.slice(F.filter(excerpts, lambda x: x["text"] != ""), 1, 2)
     return both.select(key, "title", "slug", "likes", "score", "raw_score", "total", "matched", found.alias("snippets")).orderBy(F.desc("raw_score"), F.desc("likes"), F.desc(F.lower("title")), key)
 
 
