@@ -216,12 +216,10 @@ def list_or_empty(json: Column) -> Column:
     return F.when(F.schema_of_variant(tree).startswith("ARRAY"), tree.cast("array<variant>")).otherwise(F.array().cast("array<variant>"))
 
 
-def prefix_hits(words: Column, prefixes: list[str]) -> Column:
-    """How many of the prefixes begin some word."""
-    def begins(p: str) -> Column:
-        return F.exists(words, lambda w: w.startswith(p)).cast("int")
-
-    return sum((begins(p) for p in prefixes), F.lit(0))
+def prefixes_seen(words: Column, prefixes: list[str]) -> Column:
+    """The prefixes that begin some word, each once. None of them may begin another."""
+    pattern = f"^({'|'.join(prefixes)})"
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike(pattern)), lambda w: F.regexp_extract(w, pattern, 1)))
 
 
 def packed_chunks(c: Column, least: int = 28) -> Column:

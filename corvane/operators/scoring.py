@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import bounded_score, prefix_hits
+from corvane.functions.text import bounded_score, prefixes_seen
 
 # Word beginnings that each score counts.
 DELIGHT = ["story", "visual", "game", "ritual", "share", "voice"]
@@ -18,13 +18,16 @@ NEW_BELOW, ECHO_FROM = 0.16, 0.12
 
 def with_scores(rows: DataFrame, words: Column, top: Column, hits: Column, goals: Column) -> DataFrame:
     """Five scores of 1 to 10, their weighted mean and a verdict. words: array of tokens; top: best affine score; hits: affine scores of the nearest; goals: their number."""
-    scored = rows.select(
-        "*",
+    # The words are gone through once; no beginning is the beginning of another.
+    seen = prefixes_seen(words, sorted({*DELIGHT, *NECESSITY, *COMPLEX, *FIT}))
+    met = lambda prefixes: F.size(F.array_intersect("__seen", F.array(*map(F.lit, prefixes))))
+    scored = rows.withColumn("__seen", seen).select(
+        *[F.col(c) for c in rows.columns],
         bounded_score(F.lit(10) - F.bround(top * 18).cast("int")).alias("originality"),
-        bounded_score(prefix_hits(words, DELIGHT) * 2 + 4).alias("delight"),
-        bounded_score(prefix_hits(words, NECESSITY) * 2 + 3).alias("ai_necessity"),
-        bounded_score(F.lit(8) - prefix_hits(words, COMPLEX)).alias("feasibility"),
-        bounded_score(prefix_hits(words, FIT) * 2 + 4 + F.least(goals, F.lit(3))).alias("goal_fit"),
+        bounded_score(met(DELIGHT) * 2 + 4).alias("delight"),
+        bounded_score(met(NECESSITY) * 2 + 3).alias("ai_necessity"),
+        bounded_score(F.lit(8) - met(COMPLEX)).alias("feasibility"),
+        bounded_score(met(FIT) * 2 + 4 + F.least(goals, F.lit(3))).alias("goal_fit"),
         F.when(top < NEW_BELOW, F.lit("UNWRITTEN")).otherwise(F.concat(F.lit("ECHO x"), F.size(F.filter(hits, lambda s: s >= ECHO_FROM)).cast("string"))).alias("verdict"),
     )
     return scored.withColumn("overall", overall())
