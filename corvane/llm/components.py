@@ -31,7 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of an edge; root is the smallest node of its component. Loops and repeated edges are harmless.
+    """(node, root) for every node of an edge; root is the smallest node of its component. Loops and repeated edges are harmless;
+    edges with a null end are left out, and no edges give no rows.
 
     Ends when a round changes nothing, which is when every edge leads to its root: a number of rounds near the logarithm of
     the longest path. Each round is written to the shared folder, and only two counts come to the driver.

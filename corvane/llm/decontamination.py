@@ -144,7 +144,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scanned for windows of ten words of the benchmark."""
+    """Every document scanned for windows of ten words of the benchmark.
+    Nulls, empty and long texts, repeated rows and empty tables as in scan_documents: a row for every row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(scan_documents(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 

@@ -538,5 +538,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents linked by the similarity of their sets of five-word shingles."""
+    """Documents linked by the similarity of their sets of five-word shingles.
+    Nulls, empty and long texts, repeated rows and empty tables as in link_groups: a row for every row of documents."""
     return link_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -199,6 +199,7 @@ def _as_bytes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest rows of embeddings for each row whose vec_id is divisible by 50."""
+    """The 5 nearest rows of embeddings for each row whose vec_id is divisible by 50.
+    Nulls, ties, repeated rows and empty tables as in nearest; vectors must have one length."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.where("vec_id % 50 = 0"))

@@ -116,7 +116,8 @@ def digest(packed: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 tokens."""
+    """All documents packed into sequences of 2048 tokens.
+    Nulls, empty and long texts, repeated rows and empty tables as in pack_documents: every id of every row lies in one piece."""
     import public_tokenizers
 
     return digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")))

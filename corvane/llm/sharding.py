@@ -68,18 +68,21 @@ def shuffled(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> str:
-    """Write shuffled(docs) as Parquet, a folder for each shard, rows of a file in their order."""
+    """Write shuffled(docs) as Parquet, a folder for each shard, rows of a file in their order. Nulls and
+    repeated rows are rows like others; an empty table writes no shard."""
     out = shuffled(docs, shards, **options)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 
 
 def read_shards(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """What write_shards wrote, every row of it; a folder without shards needs the schema."""
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents shuffled into shards 0 to 7, written, and read back."""
+    """All documents shuffled into shards 0 to 7, written, and read back.
+    Nulls, empty and long texts, repeated rows and empty tables as in shuffled: a row for every row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = write_shards(docs, new_path(spark, "shards"), 8)
     return read_shards(spark, path, "doc_id long, text string, size long, slot long, shard int").select(

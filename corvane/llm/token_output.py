@@ -182,7 +182,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of a written folder; ids are little-endian unsigned 32-bit integers."""
+    """(doc_id, start, n_tokens, ids) of a written folder; ids are little-endian unsigned 32-bit integers.
+    A row for every row that was written, null ids and repeated rows too; none of an empty table."""
     table = [r["token"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
     token_of = np.array(table, "<u4")
     bases = {r["shard"]: r["base"] for r in spark.read.parquet(f"{path}/manifest").collect()}
@@ -202,7 +203,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents, written as ranked variable-length ids and read back from the files."""
+    """Every text of documents, written as ranked variable-length ids and read back from the files.
+    Nulls, empty and long texts, repeated rows and empty tables as in write_tokens: a row for every row of documents."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

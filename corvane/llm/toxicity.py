@@ -386,7 +386,8 @@ def train_on_tables(docs: DataFrame, labels: DataFrame, calibrated: bool = True)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents scored, by a model of the labelled documents outside the held-out fold."""
+    """Every text of documents scored, by a model of the labelled documents outside the held-out fold.
+    Nulls, empty and long texts, repeated rows and empty tables as in train_on_tables and score: a row for every row of documents."""
     docs = table(spark, sf_dir, "documents")
     model = train_on_tables(docs, table(spark, sf_dir, "labels"), calibrated=False)
     scored = score(docs.select("doc_id", "text"), model)

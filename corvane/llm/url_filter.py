@@ -155,7 +155,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
 
 
 def exact_join(keyed: DataFrame, action: dict[str, str], default: str, names: list[str]) -> DataFrame:
-    """The same judgement by an equi-join on the keys, for lists too long for a cascade in the plan."""
+    """The same judgement by an equi-join on the keys, for lists too long for a cascade in the plan.
+    Null keys, repeats and empty tables come out as from the cascade: a row for every row."""
     spark = keyed.sparkSession
     listed = spark.createDataFrame(list(action.items()), "key string, act string")
     rows = keyed.withColumn("__row", F.monotonically_increasing_id())
@@ -165,7 +166,8 @@ def exact_join(keyed: DataFrame, action: dict[str, str], default: str, names: li
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every url of pages, judged by the four rules; urls that fit none are allowed."""
+    """Every url of pages, judged by the four rules; urls that fit none are allowed.
+    Null and odd urls, repeated rows and empty tables as in judge_urls: a row for every row of pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, list(RULES)).select("page_id", "host", "path", "rule", "verdict")
 
