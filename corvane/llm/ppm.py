@@ -1,16 +1,19 @@
 """Language-model scoring by prediction by partial matching over bytes, beside a word-unigram score.
 
 A text, A-Z lower-cased, is its UTF-8 bytes and one end symbol; END (256) also stands for what precedes a text. The model is
-a trie of byte contexts up to ORDER symbols long, with counts from all training texts. A node is kept if it makes up 1 /
-NODES of all symbols at least, so each order has NODES nodes at most, whatever the corpus; what is cut goes to the escape.
-A symbol is coded in the longest context that the trie has. Escape estimation is method C with the cut counts added to
-the escape; after an escape the symbols of the longer context are excluded from the shorter one (they form nested sets,
-so the exclusion at an order depends on one context only). Below order 0, symbols not excluded are equally likely. The
-model is a proper distribution: over all symbols a context gives probabilities that sum to 1. Training is complete before
-scoring (`pretrained`), so the score of a text depends on no other text that is scored.
+a trie of byte contexts up to ORDER symbols long, with counts from all training texts; every node is kept. A symbol is coded
+in the longest context that the trie has. Escape estimation is method C; after an escape the symbols of the longer context
+are excluded from the shorter one (they form nested sets, so the exclusion at an order depends on one context only). Below
+order 0, symbols not excluded are equally likely. The model is a proper distribution: over all symbols a context gives
+probabilities that sum to 1. Training is complete before scoring (`pretrained`), so the score of a text depends on no other
+text that is scored.
+
+The trie isn't held in one place. What a symbol's probability depends on shares the last SUFFIX symbols of its context, so
+the codes of the highest order are dealt by these, and a task works out the log probability of each of its codes from its
+part of the trie and the nodes of the lowest orders, of which there are at most 257 ** SUFFIX. A text's score is the sum over its codes.
 
 Words: maximal runs of bytes other than space and 0x09-0x0D, and one end token for each text. Their counts stay a table.
-Words with 1 / HEAVY of all occurrences at least are at most HEAVY and are shipped to the tasks; the others are joined.
+At most NODES codes and HEAVY words, the most frequent ones, are shipped to the tasks with their values; all others are joined.
 """
 
 from __future__ import annotations
@@ -29,8 +32,13 @@ from corvane.llm.common import LOWER, fold_of, materialize, shuffle_width, table
 END = 256
 BITS = 9
 ORDER = 5
-NODES = 1 << 18
-HEAVY = 1 << 17
+#: Codes are dealt by the symbols just before the last one: so many of them.
+SUFFIX = 2
+#: Codes of which a task works out the values at once, at the end of a suffix.
+AT_ONCE = 500_000
+#: The most frequent codes and words, so many at most, are looked up in the tasks; others are joined.
+NODES = 1 << 20
+HEAVY = 1 << 19
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,21 +187,21 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _gather(order: int, blocks: int):
-    """Counts of a task, packed by block: kind 0 words (training, all), kind 1 codes of the highest order (training)."""
+    """Counts of a task, packed by block (training, all): kind 0 words, kind 1 codes of the highest order."""
     names = ["block", "kind", "keys", "train", "every"]
 
-    def packed(kind: int, keys: np.ndarray, train: np.ndarray, every: np.ndarray | None) -> pa.RecordBatch:
+    def packed(kind: int, keys: np.ndarray, train: np.ndarray, every: np.ndarray) -> pa.RecordBatch:
         block = ((keys * _HASH) >> np.uint64(33)).astype(np.int64) % blocks
         by = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[by], np.arange(blocks + 1))
         own = [(i, by[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         small = lambda x: [x[o].astype(np.uint32).tobytes() for _, o in own]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([keys[o].tobytes() for _, o in own], pa.binary()), pa.array(small(train), pa.binary()), pa.array(small(every) if every is not None else [b""] * len(own), pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([keys[o].tobytes() for _, o in own], pa.binary()), pa.array(small(train), pa.binary()), pa.array(small(every), pa.binary())], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
         other: Counter[bytes] = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
         def words() -> pa.RecordBatch:
@@ -204,39 +212,38 @@ def _gather(order: int, blocks: int):
             other.clear()
             return out
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in grams])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys = np.concatenate([g[0] for g in grams])
             by = np.argsort(keys, kind="stable")
-            keys, n = keys[by], np.concatenate([n for _, n in grams])[by]
+            keys = keys[by]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[first], np.add.reduceat(n, first)
+            a, b = (np.add.reduceat(np.concatenate([g[j] for g in grams])[by], first) for j in (1, 2))
+            return keys[first], a, b
 
         for part in parts:
             held_out = part.column(0).to_numpy(zero_copy_only=False)
             for begin, texts in _runs(part.column(1)):
-                learn = []
+                learn, rest = [], []
                 for i, text in enumerate(texts):
-                    if held_out[begin + i]:
-                        other.update(text.split())
-                    else:
-                        train.update(text.split())
-                        learn.append(text)
-                if learn:
-                    keys, n = np.unique(codes_of(learn, order)[0], return_counts=True)
-                    grams.append((keys, n))
-                    held += len(keys)
+                    (other if held_out[begin + i] else train).update(text.split())
+                    (rest if held_out[begin + i] else learn).append(text)
+                for own, learnt in ((learn, 1), (rest, 0)):
+                    if own:
+                        keys, n = np.unique(codes_of(own, order)[0], return_counts=True)
+                        grams.append((keys, n * learnt, n))
+                        held += len(keys)
                 if held > 3_000_000:
                     grams[:] = [merged()]
                     held = len(grams[0][0])
                     if held > 2_000_000:
-                        yield packed(1, *grams.pop(), None)
+                        yield packed(1, *grams.pop())
                         held = 0
                 if len(train) + len(other) > 500_000:
                     yield words()
         if train or other:
             yield words()
         if grams:
-            yield packed(1, *merged(), None)
+            yield packed(1, *merged())
 
     return run
 
@@ -246,7 +253,7 @@ def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, list] = {0: [], 1: []}
     for part in parts:
         for _, kind, keys, train, every in zip(*[c.to_pylist() for c in part.columns], strict=True):
-            found[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(train, np.uint32), np.frombuffer(every or train, np.uint32)))
+            found[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(train, np.uint32), np.frombuffer(every, np.uint32)))
     for kind, all_parts in found.items():
         if not all_parts:
             continue
@@ -268,28 +275,87 @@ def gather_counts(docs: DataFrame, held_out: Column, text: str = "text", order:
     return materialize(packed.repartitionById(blocks, "block").mapInArrow(_add_up, "kind int, key long, train long, every long"), "lm-counts")
 
 
-def build_model(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The trie of the counts: nodes of each order, and the totals of contexts that keep a node."""
-    grams = counts.where("kind = 1").select(F.col("key").alias("code"), F.col("train").alias("n"))
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-total // nodes))
-    kept, contexts = [], []
-    for o in range(order + 1):
-        own = grams.select(F.col("code").bitwiseAND(F.lit((1 << BITS * (o + 1)) - 1)).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
-        own = own.select("code", "n", F.shiftright("code", BITS).alias("context"))
-        table_ = own.where(F.col("n") >= least).select("code", "n").toArrow()
-        kept.append((table_.column("code").to_numpy().view(np.uint64), table_.column("n").to_numpy().astype(np.float64)))
-        sums = own.groupBy("context").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where(F.col("top") >= least).select("context", "n").toArrow()
-        contexts.append((sums.column("context").to_numpy().view(np.uint64), sums.column("n").to_numpy().astype(np.float64)))
-    return Model(order, kept, contexts)
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(codes, return_inverse=True)
+    return keys, np.bincount(at, n, minlength=len(keys))
+
+
+def _values(order: int, low: tuple[np.ndarray, np.ndarray]):
+    """The log10 probability of each code. Rows: suffix, key, train, every, in the order of suffix, all of a suffix in one task.
+    `low` are all nodes of the highest order below SUFFIX."""
+    level = min(order, SUFFIX - 1)
+
+    def worked_out(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        learnt = n > 0
+        nodes, totals = [], []
+        for o in range(order + 1):
+            source = low if o <= level else (codes[learnt], n[learnt])
+            nodes.append(_summed(source[0] & np.uint64((1 << BITS * (o + 1)) - 1), source[1]))
+            totals.append(_summed(nodes[-1][0] >> np.uint64(BITS), nodes[-1][1]))
+        return Model(order, nodes, totals).log10(codes)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            codes, n = (np.concatenate([h.column(j).to_numpy() for h in held]) for j in (1, 2))
+            every = np.concatenate([h.column(3).to_numpy() for h in held])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(every), pa.array(worked_out(codes.view(np.uint64), n.astype(np.float64)))], ["key", "every", "value"])
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            if sum(h.num_rows for h in held) >= AT_ONCE:
+                # All that ended before this batch's last suffix, which may go on, or began.
+                suffix = part.column(0).to_numpy()
+                cut = 0 if suffix[0] != held[-1].column(0)[-1].as_py() else int(np.searchsorted(suffix, suffix[0], "right"))
+                if cut < len(suffix):
+                    held.append(part.slice(0, cut))
+                    yield out()
+                    part = part.slice(cut)
+            held.append(part)
+        if held:
+            yield out()
+
+    return run
+
+
+def code_values(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, every, value): each code of gather_counts with its log10 probability in the whole trie, written."""
+    codes = counts.where("kind = 1")
+    part = lambda bits: F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    low = codes.groupBy(part(BITS * min(order + 1, SUFFIX)).alias("key")).agg(F.sum("train").alias("n")).where("n > 0").toArrow()
+    shipped = counts.sparkSession.sparkContext.broadcast((low.column("key").to_numpy().view(np.uint64), low.column("n").to_numpy().astype(np.float64)))
+    run = lambda parts: _values(order, shipped.value)(parts)
+    dealt = codes.select(F.shiftright(part(BITS * (SUFFIX + 1)), BITS).alias("suffix"), "key", "train", "every").repartition("suffix").sortWithinPartitions("suffix")
+    return materialize(dealt.mapInArrow(run, "key long, every long, value double"), "lm-values")
 
 
-def _scorer(model: Model, heavy: np.ndarray, heavy_count: np.ndarray, order: int):
-    """Rows: row, doc_id, held_out, n_tokens, n_known, part (sum of log10(c + 0.5)), score, and `word`, a rare word's hash.
+def _most_frequent(table_: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest `every`, at most so many: those from the least step of a finely graded scale on that has no more."""
+    step = F.floor(F.log2("every") * 16)
+    sizes = table_.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    return table_.where(step >= least) if least is not None else table_.limit(0)
 
-    A rare word is a row of its own; a document's row carries a hash of its number, to be dealt evenly.
+
+def _scorer(codes_and_values: tuple[np.ndarray, np.ndarray], heavy: np.ndarray, heavy_count: np.ndarray, order: int):
+    """Rows: row, doc_id, held_out, n_tokens, n_known, part (sum of log10(c + 0.5)), score, kind and key.
+
+    A rare word (kind 0) or code (1) is a row of its own; a document's row (2) carries a hash of its number, to be dealt evenly.
     """
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "part", "score", "word", "is_doc"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "part", "score", "kind", "key"]
+    known_codes, values = Table(codes_and_values[0]), np.append(codes_and_values[1], 0.0)
+
+    def rare(kind: int, row: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        m = len(row)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(np.full(m, kind, np.int32)), pa.array(keys.view(np.int64))], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -299,8 +365,14 @@ def _scorer(model: Model, heavy: np.ndarray, heavy_count: np.ndarray, order: int
             rows = part.column(0).to_numpy()
             for begin, texts in _runs(part.column(3)):
                 k = len(texts)
+                row = rows[begin : begin + k]
                 codes, lengths = codes_of(texts, order)
-                score = np.add.reduceat(model.log10(codes), np.cumsum(lengths) - lengths)
+                found = known_codes.find(codes)
+                # What isn't found has the last place, a zero.
+                score = np.add.reduceat(values[found], np.cumsum(lengths) - lengths)
+                lost = np.flatnonzero(found < 0)
+                if len(lost):
+                    yield rare(1, row[np.searchsorted(np.cumsum(lengths), lost, "right")], codes[lost])
                 words, sizes = [], []
                 for t in texts:
                     own = t.split()
@@ -328,13 +400,10 @@ def _scorer(model: Model, heavy: np.ndarray, heavy_count: np.ndarray, order: int
                 common = slot >= 0
                 part_sum = np.bincount(owner[common], logs[slot[common]], minlength=k).astype(np.float64)
                 known = np.bincount(owner[common], heavy_count[slot[common]] > 0, minlength=k).astype(np.int64)
-                rare = ~common
-                row = rows[begin : begin + k]
                 spread = ((row.astype(np.uint64) + np.uint64(1)) * _HASH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), part.column(1).slice(begin, k), part.column(2).slice(begin, k), pa.array(np.array(sizes, np.int64) + 1), pa.array(known), pa.array(part_sum), pa.array(score), pa.array(spread), pa.array(np.ones(k, bool))], names)
-                m = int(rare.sum())
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(row[owner[rare]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(hashes[at[rare]].view(np.int64)), pa.array(np.zeros(m, bool))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(row), part.column(1).slice(begin, k), part.column(2).slice(begin, k), pa.array(np.array(sizes, np.int64) + 1), pa.array(known), pa.array(part_sum), pa.array(score), pa.array(np.full(k, 2, np.int32)), pa.array(spread)], names)
+                if not common.all():
+                    yield rare(0, row[owner[~common]], hashes[at[~common]])
 
     return run
 
@@ -343,28 +412,32 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; rows with held_out aren't learnt from.
 
     Null texts count as empty: one token, the end. Repeated rows each count. Without training rows, base_score is log10(0.5 /
-    0.5) for each token and every symbol of the model has probability 1/257.
+    0.5) for each token and every symbol of the model has probability 1/257. `nodes` and `heavy` say how many codes and words
+    are looked up in the tasks instead of by a join; they change no result.
     """
     spark = docs.sparkSession
     counts = gather_counts(docs, held_out, text, order)
     ends = docs.agg(F.count(F.lit(1)).alias("every"), F.coalesce(F.sum((~held_out).cast("long")), F.lit(0)).alias("train")).first()
     words = counts.where("kind = 0")
-    sums = words.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.coalesce(F.sum("every"), F.lit(0)).alias("e"), F.count_if(F.col("train") > 0).alias("v")).first()
+    sums = words.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     n, v = sums["n"] + ends["train"], sums["v"] + (1 if ends["train"] else 0)
-    most = words.where(F.col("every") >= max(1, -(-sums["e"] // heavy))).select("key", "train").toArrow()
+    most = _most_frequent(words, heavy).select("key", "train").toArrow()
     keys = most.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    shipped = spark.sparkContext.broadcast((build_model(counts, order, nodes), keys[by], most.column("train").to_numpy()[by].astype(np.float64)))
+    values = code_values(counts, order)
+    top = _most_frequent(values, nodes).select("key", "value").toArrow()
+    shipped = spark.sparkContext.broadcast(((top.column("key").to_numpy().view(np.uint64), top.column("value").to_numpy()), keys[by], most.column("train").to_numpy()[by].astype(np.float64)))
     run = lambda parts: _scorer(*shipped.value, order)(parts)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double, word long, is_doc boolean"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double, kind int, key long"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, schema)
-    joined = rows.join(words.select(F.col("key").alias("word"), F.col("train").alias("c")), "word", "left")
+    learnt = words.select("kind", "key", F.col("train").alias("c"), F.lit(None).cast("double").alias("value")).unionByName(values.select(F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "value"))
+    joined = rows.join(learnt, ["kind", "key"], "left")
     c = F.coalesce("c", F.lit(0))
     end_log = F.lit(float(np.log10(ends["train"] + 0.5)))
-    known = F.when(F.col("is_doc"), F.col("n_known") + (1 if ends["train"] else 0)).otherwise((c > 0).cast("long"))
-    logs = F.when(F.col("is_doc"), F.col("part") + end_log).otherwise(F.log10(c + 0.5))
+    known = F.when(F.col("kind") == 2, F.col("n_known") + (1 if ends["train"] else 0)).when(F.col("kind") == 0, (c > 0).cast("long"))
+    logs = F.when(F.col("kind") == 2, F.col("part") + end_log).when(F.col("kind") == 0, F.log10(c + 0.5))
     first = lambda name: F.max(name).alias(name)
-    sums = joined.groupBy("row").agg(first("doc_id"), first("held_out"), first("n_tokens"), F.sum(known).alias("n_known"), F.sum(logs).alias("logs"), first("score"))
+    sums = joined.groupBy("row").agg(first("doc_id"), first("held_out"), first("n_tokens"), F.sum(known).alias("n_known"), F.sum(logs).alias("logs"), F.sum(F.coalesce("score", "value")).alias("score"))
     below = float(np.log10(n + 0.5 * (v + 1)))
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * below).alias("base_score"), "score")
 

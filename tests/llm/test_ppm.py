@@ -86,3 +86,18 @@ def test_scores(spark, docs, empty):
     assert ppm.score_texts(empty, held).count() == 0
     nothing = ppm.score_texts(docs, F.lit(True), order=1).where("doc_id = 3").first()
     assert nothing["base_score"] == pytest.approx(0) and nothing["score"] == pytest.approx(-math.log10(257))
+
+
+@pytest.mark.parametrize(("order", "nodes"), [(5, 12), (5, 10**6), (2, 0)])
+def test_scores_of_the_whole_trie(spark, docs, order, nodes, monkeypatch):
+    """No node is cut: every score is that of one trie of all training texts, however few codes are shipped."""
+    monkeypatch.setattr(ppm, "AT_ONCE", 20)
+    r = np.random.default_rng(1)
+    made = [("ab" * 9 + "".join(map(chr, r.integers(97, 103, 40)))) for _ in range(60)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    held = fold_of(F.col("doc_id")) == 1
+    rows = [((q["text"] or "").encode().translate(LOWER), q["h"]) for q in frame.withColumn("h", held).collect()]
+    model = model_of([t for t, h in rows if not h], order, 1)
+    want = sorted(model.log10(ppm.codes_of([t], order)[0]).sum() for t, _ in rows)
+    got = sorted(q["score"] for q in ppm.score_texts(frame, held, order=order, nodes=nodes, heavy=4).collect())
+    assert len(got) == len(want) and got == pytest.approx(want, rel=1e-9)
