@@ -29,6 +29,8 @@ from corvane.llm.common import fresh, materialize, new_path, table
 
 #: 2 MB in each task, whatever the number of rows; with two probes it tells apart up to about 2 million blobs well.
 FILTER_BITS = 1 << 24
+#: Rows of an Arrow batch that are scanned at once.
+ROWS = 1000
 _SPANS = "array<struct<rule:string,start:int,stop:int>>"
 _LEDGER = f"blob binary, rules array<string>, spans {_SPANS}"
 
@@ -101,40 +103,48 @@ def _filter(blobs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _scan(rules: tuple[Rule, ...]):
+def _in_filter(blobs: pa.Array, words: np.ndarray) -> np.ndarray:
+    at = _probes(np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, 32), 64 * len(words))
+    return ((words[at >> 6] >> (at & 63)) & 1).all(axis=1)
+
+
+def _scan(rules: tuple[Rule, ...], bits=None):
+    """Scans of rows (blob, text, todo); given a filter, of the rows (blob, text) that miss it, by all rules."""
+    everything = [r.key for r in rules]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = {r.key: (r.name, r.scanner()) for r in rules}
         for part in parts:
-            out = []
-            for blob, text, keys in zip(*part.columns, strict=True):
-                text, keys = text.as_py() or "", keys.as_py()
-                lower, spans = text.lower(), []
-                for k in keys:
-                    name, scan = scanners[k]
-                    spans += [{"rule": k, "start": a, "stop": b} for a, b in scan(text, lower)]
-                out.append({"blob": blob.as_py(), "rules": keys, "spans": spans})
-            span = pa.struct([("rule", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("blob", pa.binary()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(span))]))
+            if bits is not None and part.num_rows:
+                part = part.filter(pa.array(~_in_filter(part.column(0), bits.value)))
+            # A few rows at a time: memory doesn't depend on the size of an Arrow batch.
+            for begin in range(0, part.num_rows, ROWS):
+                yield scanned(part.slice(begin, ROWS), scanners)
+
+    def scanned(part: pa.RecordBatch, scanners: dict) -> pa.RecordBatch:
+        out = []
+        for row in zip(*part.columns, strict=True):
+            text, keys = row[1].as_py() or "", everything if bits is not None else row[2].as_py()
+            lower, spans = text.lower(), []
+            for k in keys:
+                name, scan = scanners[k]
+                spans += [{"rule": k, "start": a, "stop": b} for a, b in scan(text, lower)]
+            out.append({"blob": row[0].as_py(), "rules": keys, "spans": spans})
+        span = pa.struct([("rule", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+        return pa.RecordBatch.from_pylist(out, pa.schema([("blob", pa.binary()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(span))]))
 
     return run
 
 
-def _misses(bits):
-    """Rows of (blob, text) whose blob isn't in the filter (want=False), or is."""
-
-    def of(want: bool):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = bits.value
-            size = 64 * len(words)
-            for part in parts:
-                if part.num_rows:
-                    at = _probes(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, 32), size)
-                    hit = ((words[at >> 6] >> (at & 63)) & 1).all(axis=1)
-                    yield part.filter(pa.array(hit == want))
+def _hits(bits):
+    """Rows of (blob, text) whose blob is in the filter."""
 
-        return run
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                yield part.filter(pa.array(_in_filter(part.column(0), bits.value)))
 
-    return of
+    return run
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -167,11 +177,12 @@ def update(ledger: str, versions: DataFrame, text: str = "text", rules: tuple[Ru
     # Blobs of one row that lack all rules are scanned in place; all others of the input set the filter's bits.
     simple = todo.where((F.col("copies") == 1) & (F.size("todo") == len(every))).select("blob")
     others = texts.select("blob").distinct().join(simple, "blob", "left_anti")
-    misses = _misses(spark.sparkContext.broadcast(_filter(others, filter_bits)))
-    alone = texts.mapInArrow(misses(False), "blob binary, text string").withColumn("todo", F.array(*[F.lit(k) for k in every]))
+    bits = spark.sparkContext.broadcast(_filter(others, filter_bits))
+    # One Python stage that leaves out and scans: texts go to Python once.
+    alone = texts.mapInArrow(_scan(rules, bits), _LEDGER)
     # Copies meet in an aggregate that combines before the shuffle, so that a blob of very many rows is no hot key.
-    joined = texts.mapInArrow(misses(True), "blob binary, text string").groupBy("blob").agg(F.first("text").alias("text")).join(todo.select("blob", "todo"), "blob")
-    alone.unionByName(joined).mapInArrow(_scan(rules), _LEDGER).write.mode("append").parquet(ledger)
+    joined = texts.mapInArrow(_hits(bits), "blob binary, text string").groupBy("blob").agg(F.first("text").alias("text")).join(todo.select("blob", "todo"), "blob")
+    alone.unionByName(joined.mapInArrow(_scan(rules), _LEDGER)).write.mode("append").parquet(ledger)
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -104,3 +104,23 @@ def test_empty_tables(spark, versions):
     s.update(path, none)
     assert s.read_ledger(spark, path).collect() == [] and found(spark, path, none).collect() == []
     assert all(r["spans"] == [] for r in found(spark, path, versions).collect())
+
+
+def test_scan_in_place_in_one_stage(monkeypatch):
+    """Rows in the filter are left out and all others scanned in one pass, a few rows at a time."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(s, "ROWS", 3)
+    texts = [f"token={'x' * 12}{i}" for i in range(10)] + [None]
+    blobs = [hashlib.sha256((t or "").encode()).digest() for t in texts]
+    words = np.zeros(1 << 10, np.int64)
+    for at in s._probes(np.frombuffer(b"".join(blobs[:2]), np.uint8).reshape(-1, 32), 64 * len(words)).ravel().tolist():
+        words[at >> 6] |= np.left_shift(np.int64(1), at & 63)
+    part = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(texts, pa.string())], ["blob", "text"])
+    out = list(s._scan(s.RULES, SimpleNamespace(value=words))(iter([part])))
+    assert max(p.num_rows for p in out) == 3
+    got = {r["blob"]: (r["rules"], r["spans"]) for p in out for r in p.to_pylist()}
+    assert got == {b: ([r.key for r in s.RULES], [{"rule": "assign@1", "start": 0, "stop": len(t)}] if t else []) for b, t in zip(blobs[2:], texts[2:], strict=True)}
