@@ -25,6 +25,8 @@ from corvane.llm.encoding import binaries, encoder, runs, with_ends
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
+#: Bytes of text that are encoded at once: a piece that occurs several times in them is looked up once.
+RUN_BYTES = 8_000_000
 #: Lengths of the four ranks of a control byte, and where in the data each of their 16 bytes is (16: a zero).
 LENGTHS = np.stack([((np.arange(256) >> (2 * i)) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 SPAN = LENGTHS.sum(axis=1).astype(np.int64)
@@ -76,7 +78,7 @@ def _tokenizer(path: str, end_id: int | None):
         total = np.zeros(size, np.int64)
         names = ["shard", "doc_id", "ids", "counts"]
         for part in parts:
-            for a, b in runs(part.column(2)):
+            for a, b in runs(part.column(2), RUN_BYTES):
                 flat, lengths = coder.encode_column(part.column(2).slice(a, b - a))
                 if end_id is not None:
                     flat, lengths = with_ends(flat, lengths, end_id), lengths + 1

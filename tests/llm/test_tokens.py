@@ -109,3 +109,17 @@ def test_groups_by_bytes(spark):
             ends[p["sequence_id"]] = max(ends.get(p["sequence_id"], 0), p["offset"] + p["length"])
         total = sum(p["length"] for p in pieces)
         assert total == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values()) and len(ends) <= 1.01 * total / 2048 + len({s >> 32 for s in ends})  # at most one sequence of each group is left open
+
+
+def test_pieces_of_a_batch_are_looked_up_once():
+    """A few megabytes of an Arrow batch are one run; ids are those of the whole texts."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"{'some words of a text ' * 50}{i}" for i in range(3000)]
+    part = pa.RecordBatch.from_arrays([pa.array([0] * 3000, pa.int32()), pa.array(range(3000), pa.int64()), pa.array(texts)], ["shard", "doc_id", "text"])
+    coded, counts = token_output._tokenizer(path, 0)(iter([part]))
+    tokenizer = Tokenizer.from_file(path)
+    for i in (0, 1999, 2999):
+        assert np.frombuffer(coded.column(2)[i].as_py(), "<u2").tolist() == [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 0]
+    assert np.frombuffer(counts.column(3)[0].as_py(), np.int64)[0] == 3000
