@@ -8,8 +8,9 @@ Rows of the incidence matrix are classes of documents with the same shingle set;
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
    shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
 3. What remains is verified on whole sets.
-First come STAR_ROUNDS in which a row is compared with one row only: of the leaders of its columns (another leader in each
-round) the one it shares most columns with, outside its own component. That joins large groups of near copies at a cost that
+First come STAR_ROUNDS in which a row is compared with one row only: of the leaders of its columns (first the row that shares
+most columns with others, which in a group of copies is what they were made from, then one by chance) the one it shares most
+columns with, outside its own component. That joins large groups of near copies at a cost that
 grows with the rows. Then all pairs of a column whose rows aren't in one component follow. So no link between different
 sets is lost, and a group of near copies doesn't make all of its pairs.
 """
@@ -34,7 +35,7 @@ COMMON = 1 << 19
 COMMON_SETS = 2
 #: Shingles that a task holds before it hands them over.
 HELD = 4_000_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Bits of the fixed-size filter by which a task recognises sets that may be in a candidate pair (false hits are harmless).
 FILTER_BITS = 1 << 23
 #: Bytes of text that are hashed at a time.
@@ -42,6 +43,7 @@ PIECE = 4 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
+_PAIR = ["a", "b", "na", "nb", "shared"]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -298,7 +300,7 @@ def _accumulate(pairs: list[np.ndarray]) -> pa.RecordBatch:
     p = all_pairs[:, order]
     begins = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
     counts = np.diff(np.r_[begins, p.shape[1]])
-    return pa.RecordBatch.from_arrays([*(pa.array(p[i, begins]) for i in range(4)), pa.array(counts)], ["a", "b", "na", "nb", "shared"])
+    return pa.RecordBatch.from_arrays([*(pa.array(p[i, begins]) for i in range(4)), pa.array(counts)], _PAIR)
 
 
 def _needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -307,59 +309,92 @@ def _needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (t * (na + nb) + t + u - 1) // (t + u) - ((t * np.maximum(na, nb) + u - 1) // u - 1)
 
 
-def _product(star_round: int | None, at_once: int = 2_000_000):
-    """Multiply the columns of a task: rows (col, row, n, root, shared columns of the row), sorted by column.
+def _row_by_row(col: np.ndarray, row: np.ndarray, n: np.ndarray, root: np.ndarray, columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of different components with the number of these columns, sorted by col, that they share; without those that
+    can't share enough: beyond what they share here, only columns that lie elsewhere are left to both. As a pair that shares
+    enough in all passes wherever it is met, the sums of such pairs stay whole."""
+    begins = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+    sizes = np.diff(np.r_[begins, len(col)])
+    rows, first, at = np.unique(row, return_index=True, return_inverse=True)
+    n, root, columns = n[first], root[first], columns[first]
+    elsewhere = columns - np.bincount(at)
+    mixed = np.minimum.reduceat(root[at], begins) != np.maximum.reduceat(root[at], begins)
+    if not mixed.any():
+        return
+    at, sizes = at[np.repeat(mixed, sizes)], sizes[mixed]
+    starts = np.cumsum(sizes) - sizes
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.argsort(at, kind="stable")
+    own, cuts = np.unique(at[by], return_index=True)
+    found: list[np.ndarray] = []
+    held = 0
+    for u, mine in zip(own.tolist(), np.split(number[by], cuts[1:]), strict=True):
+        k = sizes[mine]
+        v = at[np.repeat(starts[mine] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
+        v = v[v > u]
+        if 8 * len(v) > len(rows):
+            shared = np.bincount(v, minlength=len(rows))
+            v = np.flatnonzero(shared)
+            shared = shared[v]
+        else:
+            v, shared = np.unique(v, return_counts=True)
+        few, many = np.minimum(n[v], n[u]), np.maximum(n[v], n[u])
+        needed = _needed(n[v], n[u])
+        keep = (root[v] != root[u]) & (SIMILAR[1] * few >= SIMILAR[0] * many) & (shared + np.minimum(elsewhere[v], elsewhere[u]) >= needed)
+        v, shared = v[keep], shared[keep]
+        if len(v):
+            found.append(np.array([np.full(len(v), rows[u]), rows[v], np.full(len(v), n[u]), n[v], shared], np.int64))
+            held += len(v)
+        if held > 200_000:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), _PAIR)
+            found, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), _PAIR)
+
 
-    star_round: each row with the leader of its column, as (row, leader). None: each pair of different components once,
-    if both rows share enough columns with others at all.
+def _product(star_round: int | None, at_once: int = 1_000_000):
+    """Multiply the columns of a task: rows (col, row, n, root, shared columns of the row), the rows of a column side by side.
+
+    star_round: each row with the leader of its column, as (row, leader). None: each pair of different components, at_once
+    rows of whole columns at a time.
     """
     salt = np.uint64(0 if star_round is None else (2 * star_round + 1) * 0x9E3779B97F4A7C15 & _MASK)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        held = 0
-        rest = None
+    def whole_columns(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for part in _with_end(parts):
             if part is not None:
-                own = [part.column(i).to_numpy(zero_copy_only=False) for i in range(part.num_columns)]
-                rest = own if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, own, strict=True)]
-                cut = int(np.flatnonzero(np.r_[True, rest[0][1:] != rest[0][:-1]])[-1])  # the last column may go on
-            elif rest is None:
-                break
-            else:
-                cut = len(rest[0])
-            now, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
-            if not cut:
+                held.append(part)
+                size += part.num_rows
+            if not size or (part is not None and size < least):
                 continue
+            own = [np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]) for i in range(held[0].num_columns)]
+            # The last column may go on.
+            cut = size if part is None else int(np.flatnonzero(np.r_[True, own[0][1:] != own[0][:-1]])[-1])
+            held, size = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in own], held[0].schema.names)], size - cut
+            if cut:
+                yield [x[:cut] for x in own]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if star_round is None:
+            for now in whole_columns(parts, at_once):
+                yield from _row_by_row(*now)
+            return
+        pairs: list[np.ndarray] = []
+        held = 0
+        for now in whole_columns(parts, 1):
             begins = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-            ends = np.r_[begins[1:], cut]
-            if star_round is not None:
-                draw = _mix(now[1].view(np.uint64) ^ salt)
-                lead = np.repeat([b + int(np.argmin(draw[b:e])) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], ends - begins)
-                n, m = now[2], now[2][lead]
-                hope = np.minimum(now[4], now[4][lead]) >= _needed(n, m)
-                other = np.flatnonzero(hope & (now[3][lead] != now[3]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)))
-                pairs.append(np.array([now[1][other], now[1][lead[other]], n[other], m[other]], np.int64))
-                held += len(other)
-            else:
-                for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                    c, n, root, columns = (x[b:e] for x in now[1:])
-                    if (root == root[0]).all():
-                        continue
-                    order = np.argsort(n, kind="stable")
-                    c, n, root, columns = c[order], n[order], root[order], columns[order]
-                    # Rows sorted by size: partners of a row end where sizes exceed its own by more than 4/3.
-                    upto = np.searchsorted(n, SIMILAR[1] * n // SIMILAR[0], side="right")
-                    for i in range(len(c) - 1):
-                        j = np.arange(i + 1, upto[i])
-                        j = j[(root[j] != root[i]) & (np.minimum(columns[j], columns[i]) >= _needed(n[i], n[j]))]
-                        if len(j):
-                            swap = c[j] < c[i]
-                            pairs.append(np.array([np.where(swap, c[j], c[i]), np.where(swap, c[i], c[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])], np.int64))
-                            held += len(j)
-                    if held > at_once:
-                        yield _accumulate(pairs)
-                        pairs, held = [], 0
+            sizes = np.diff(np.r_[begins, len(now[0])])
+            draw = _mix(now[1].view(np.uint64) ^ salt)
+            # What the copies of a group were made from shares most columns with others: copies have some of their own.
+            order = np.lexsort((draw, *([-now[4]] if star_round == 0 else []), np.repeat(begins, sizes)))
+            lead = np.repeat(order[begins], sizes)
+            n, m = now[2], now[2][lead]
+            hope = np.minimum(now[4], now[4][lead]) >= _needed(n, m)
+            other = np.flatnonzero(hope & (now[3][lead] != now[3]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)))
+            pairs.append(np.array([now[1][other], now[1][lead[other]], n[other], m[other]], np.int64))
+            held += len(other)
             if held > at_once:
                 yield _accumulate(pairs)
                 pairs, held = [], 0

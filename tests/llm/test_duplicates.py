@@ -88,6 +88,33 @@ def test_common_shingles(spark):
     assert {k for k, n in top.items() if n == 40} == set(common)
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one text, no two alike, make pairs in proportion to their number, and lose no link."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        copy = list(base)
+        for k in r.sample(range(100), 2 + i % 2):
+            copy[k] = f"n{i}x{k}"
+        texts.append(" ".join(copy))
+    made = []
+
+    def counted(products, bounded=J._bounded):
+        made.append(products.count())
+        return bounded(products)
+
+    monkeypatch.setattr(J, "_bounded", counted)
+    got = {q["doc_id"]: q["component_id"] for q in J.link_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()}
+    sets, parent = [sets_of(t) for t in texts], {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(parent, i), find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: find(parent, i) for i in range(len(texts))} and made[0] < 10 * len(texts), made
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
