@@ -4,7 +4,7 @@ Rows of the incidence matrix are classes of documents with the same shingle set;
 1. A document's set is reduced to its prefix: n - ceil(0.75 n) + 1 shingles in an order that puts common ones last. Two
    sets with similarity 0.75 share a shingle of both prefixes, whatever the order, so the order (a bounded list of the most
    common shingles, counted over the whole corpus) changes speed but never results.
-2. Prefix columns are dealt out in blocks by hash, for all pairs by the hash of their smallest row. A block multiplies its columns: it accumulates for each pair of rows
+2. Prefix columns are dealt out in blocks by the hash of their smallest row. A block multiplies its columns: it accumulates for each pair of rows
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
    shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
 3. What remains is verified on whole sets.
@@ -529,11 +529,8 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
 
     def multiplied(star_round: int | None) -> DataFrame:
         labelled = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"), "columns", "lead")
-        if star_round is not None:
-            dealt = labelled.repartition(blocks, "col").sortWithinPartitions("col")
-        else:
-            # Columns that share documents mostly share their smallest one: together in a block, they make a pair once, not once in each block.
-            dealt = labelled.repartition(blocks, "lead").sortWithinPartitions("lead", "col")
+        # Columns that share documents mostly share their smallest one: together in a block, they make a pair once, not once in each block.
+        dealt = labelled.repartition(blocks, "lead").sortWithinPartitions("lead", "col")
         return dealt.drop("lead").mapInArrow(_product(star_round), product)
 
     def joined(more: DataFrame) -> DataFrame:
