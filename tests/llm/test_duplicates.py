@@ -184,6 +184,70 @@ def test_line_recall(spark):
     assert len(gone) >= 0.97 * len(near)
 
 
+def typo(r, s):
+    """s with one letter replaced, left out or put in."""
+    k, kind = r.choice([i for i, c in enumerate(s) if c != " "]), r.randrange(3)
+    return s[:k] + ("" if kind == 1 else r.choice("abcdefghijklmnopqrstuvwxyz")) + s[k + (kind != 2) :]
+
+
+def lost(spark, pairs):
+    """Of pairs (kind, a, b) of lines within the threshold, how many of each kind there are and how many stay."""
+    near = [(kind, a, b) for kind, a, b in pairs if a != b and edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - L.EDIT))]
+    frame = spark.createDataFrame([(2 * i + j, line) for i, (_, *both) in enumerate(near) for j, line in enumerate(both)], "doc_id long, text string").coalesce(1)
+    gone = {q["doc_id"] for q in L.dedup_lines(frame).where("n_removed > 0").collect()}
+    kinds = sorted({kind for kind, *_ in near})
+    return {kind: (sum(k == kind for k, *_ in near), sum(k == kind and 2 * i + 1 not in gone for i, (k, *_) in enumerate(near))) for kind in kinds}
+
+
+def test_line_typos(spark):
+    """Typing errors in short and long lines, short words replaced, lines of few words and without spaces."""
+    r = random.Random(11)
+    word = lambda a=3, b=9: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
+    pairs = []
+    for n in (1, 2, 3, 4, 6, 8, 9, 10, 12, 15, 20, 40, 60):
+        for edits in (1, 2, 3, 4):
+            for _ in range(12):
+                a = b = " ".join(word() for _ in range(n))
+                for _ in range(edits):
+                    b = typo(r, b)
+                pairs.append((("typos", n, edits), a, b))
+    for n in (25, 40, 60, 150, 210):
+        for _ in range(10):
+            words = [word() for _ in range(n)]
+            pairs.append((("each fifth", n), " ".join(words), " ".join(typo(r, w) if i % 5 == 2 else w for i, w in enumerate(words))))
+    for n in (12, 20, 40):
+        for _ in range(10):
+            words = [word(1, 3) for _ in range(n)]
+            copy = list(words)
+            copy[r.randrange(n)] = word(1, 3)
+            pairs.append((("short words", n), " ".join(words), " ".join(copy)))
+    for n in (20, 40, 100):
+        for _ in range(10):
+            a = b = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(n))
+            for _ in range(max(1, n // 40)):
+                k = r.randrange(n)
+                b = b[:k] + chr(0x4E00 + r.randrange(2000)) + b[k + 1 :]
+            pairs.append((("no spaces", n), a, b))
+    found = lost(spark, pairs)
+    assert all(gone == 0 for (kind, n, *_), (_, gone) in found.items() if kind == "typos" and n <= 12)
+    assert all(gone <= 0.1 * most for most, gone in found.values())
+
+
+def test_simhash(spark):
+    """Bits are the majority of the pieces' bits, in short and in long lines; fingerprints within SIM_BITS share a key."""
+    r = random.Random(2)
+    sets = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 10, 511, 512, 700)]
+    want = [sum((sum(h >> b & 1 for h in hs) * 2 > len(hs)) << b for b in range(63)) for hs in sets]
+    frame = spark.createDataFrame([(i, hs) for i, hs in enumerate(sets)], "id int, h array<long>")
+    assert [q[0] for q in frame.orderBy("id").select(L.simhash(F.col("h"))).collect()] == want
+    rows = []
+    for _ in range(100):
+        x = r.getrandbits(63)
+        rows.append(([x], [x ^ sum(1 << b for b in r.sample(range(63), L.SIM_BITS))]))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    assert pairs.where(~F.arrays_overlap(L.simhash_keys(F.col("a")), L.simhash_keys(F.col("b")))).count() == 0
+
+
 def test_long_lines(spark):
     """Lines of thousands of words: a tenth of the words changed stays within bounds, a third doesn't."""
     r = random.Random(4)
