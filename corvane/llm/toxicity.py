@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corvane.llm.common import drop, fold_of, fresh, materialize, table
+from corvane.llm.common import drop, fold_of, fresh, materialize, released, table
 
 #: Words are hashed to this many buckets; only buckets that training kept have an embedding, so a rare word rarely meets one.
 BUCKETS = 1 << 32
@@ -47,7 +47,8 @@ MIN_OF_LABEL = 10
 BINS = 4096
 SEED = 11
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-MEMO = 400_000
+#: Words whose number a task remembers.
+MEMO = 100_000
 
 
 class Words:
@@ -140,7 +141,7 @@ class Network:
         if not len(self.keys):
             return np.zeros(len(buckets), np.int64)
         at = np.minimum(np.searchsorted(self.keys, buckets), len(self.keys) - 1)
-        return np.where(self.keys[at] == buckets, at + 1, 0)
+        return np.where(self.keys[at] == buckets, at + 1, 0).astype(np.int32)
 
     def scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         h, _, _ = self.pool(ids, lengths)
@@ -247,13 +248,15 @@ def _fitter(epochs: int, max_words: int, odds: bool):
         texts, labels, room = [], [], max_words
         for part in parts:
             for label, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                words = np.frombuffer(raw.as_py(), np.uint32).astype(np.int64)
+                words = np.frombuffer(raw.as_py(), np.uint32)
                 if len(words) <= room:
                     room -= len(words)
                     texts.append(words)
                     labels.append(label)
         network = Network()
         network.fit(texts, np.array(labels, np.float32), epochs, odds=odds)
+        texts.clear()
+        released()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
 
     return run
@@ -336,14 +339,16 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once:
     """docs with the score added as `into` (a column of that name is replaced). Null and empty texts get the score of a text
     without words; repeated rows, and rows with a null id, are scored like any other; a text of any length is read whole."""
     shipped = docs.sparkSession.sparkContext.broadcast(model.network)
-    kept = docs.drop(into)
-    names = kept.columns
+    # A text that stays in its own column goes to Python once.
+    kept, own = docs.drop(into), fresh("text", docs.columns)
+    names, sent = kept.columns, kept if text in kept.columns else docs.withColumn(own, F.col(text)).drop(into)
+    place = sent.columns.index(text if text in kept.columns else own)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shipped.value
         words = Words(network.keys)
         for part in parts:
-            column = pc.cast(part.column(len(names)), pa.binary())
+            column = pc.cast(part.column(place), pa.binary())
             found: list[np.ndarray] = []
             held, size = [], 0
             for value in column:
@@ -357,9 +362,11 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", words_at_once:
                 found.append(network.scores(*words.ids(held)))
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], [*names, into])
+            part = column = value = raw = None
+        released()
 
     schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
-    return kept.select("*", F.col(text).alias(fresh("text", names))).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def flag(scored: DataFrame, model: Classifier, score_col: str = "score", into: str = "rejected") -> DataFrame:

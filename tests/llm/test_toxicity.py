@@ -126,3 +126,12 @@ def test_stays_outside_names_and_languages(spark):
 
     assert X.clean(docs.withColumn("lang", F.lit("en")), model).count() == 0
     assert np.all([k["score"] is not None for k in X.score(docs, model).collect()])
+
+
+def test_text_goes_to_python_once(spark, docs):
+    """Scoring adds no second copy of the text to what a task sends, and a text under another case of its name is found."""
+    model = X.Classifier(X.Network(), {}, 0.5)
+    scored = X.score(docs, model)
+    assert scored._jdf.queryExecution().analyzed().child().output().size() == len(docs.columns) - 1
+    assert scored.columns == [*(c for c in docs.columns if c != "score"), "score"]
+    assert {q["score"] for q in X.score(docs, model, "TEXT").collect()} == {q["score"] for q in scored.collect()}
