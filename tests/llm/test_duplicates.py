@@ -268,3 +268,20 @@ def test_counts_that_are_columns_already(spark):
     docs = spark.createDataFrame([(1, "one line of text\none line of text", 99, "mine", "kept"), (2, None, 98, "mine", "kept")], "doc_id long, text string, n_lines int, gone string, row string")
     assert {tuple(q) for q in L.without_repeats(docs).collect()} == {(1, "one line of text", 99, "mine", "kept"), (2, None, 98, "mine", "kept")}
     assert {(q["doc_id"], q["n_lines"], q["n_removed"]) for q in L.dedup_lines(docs).collect()} == {(1, 2, 1), (2, 0, 0)}
+
+
+def test_simhash_of_every_line(spark):
+    """Lines of any length have every key of their SimHash, odd ones; short words don't vote beside longer ones; lines that share
+    such a key are compared by their whole fingerprints, those that share another key always."""
+    lines = ["short", "abc def", "one two three four five", "some words of a line that is long enough for all kinds of keys"]
+    frame = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("sim", L.fingerprint(F.split("norm", " ")))
+    parts = frame.select("sim", L.fingerprint_keys(F.col("sim")).alias("own"), *[k.alias(f"p{i}") for i, k in enumerate(L.block_keys(F.col("norm"), F.col("sim")))])
+    for q in parts.collect():
+        assert len(q["own"]) == 10 and all(k % 2 for k in q["own"]) and {k for k in q["p0"] if k % 2} == set(q["own"])
+        assert not any(k % 2 for k in q["p1"] or [])
+    votes = spark.createDataFrame([("gamma river stone cloud of the",), ("gamma river stone cloud in an a",), ("gamma river of the",), ("gamma river in an",)], "norm string")
+    a, b, c, d = [q[0] for q in votes.coalesce(1).select(L.fingerprint(F.split("norm", " "))).collect()]
+    assert a == b and c != d
+    far = (1 << L.SIM_FAR + 1) - 1
+    pairs = spark.createDataFrame([(1, 0, far), (1, 0, far >> 1), (2, 0, far)], "key long, a long, b long")
+    assert [q[0] for q in pairs.coalesce(1).select(L._close(F.col("key"), F.col("a"), F.col("b"))).collect()] == [False, True, True]
