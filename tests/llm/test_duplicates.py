@@ -285,3 +285,20 @@ def test_simhash_of_every_line(spark):
     far = (1 << L.SIM_FAR + 1) - 1
     pairs = spark.createDataFrame([(1, 0, far), (1, 0, far >> 1), (2, 0, far)], "key long, a long, b long")
     assert [q[0] for q in pairs.coalesce(1).select(L._close(F.col("key"), F.col("a"), F.col("b"))).collect()] == [False, True, True]
+
+
+def test_shuffles_go_as_tables_are_written(spark):
+    """What a written table's query shuffled is deleted, and the setting is put back as it was."""
+    import glob
+    import os
+
+    from corvane.llm.common import _CLEANUP, drop, materialize
+
+    def held():
+        return sum(os.path.getsize(p) for p in glob.glob(os.path.join(folder, "**", "shuffle_*.data"), recursive=True))
+
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before, setting = held(), spark.conf.get(_CLEANUP)
+    out = materialize(spark.range(1 << 20).groupBy(F.xxhash64("id").alias("h")).agg(F.max("id").alias("m")), "shuffled")
+    assert out.count() == 1 << 20 and held() - before < 1 << 20 and spark.conf.get(_CLEANUP) == setting
+    drop(spark, out)
