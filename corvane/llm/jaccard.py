@@ -507,7 +507,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     blocks = max(shuffle_width(spark), rows.rdd.getNumPartitions())
     profile = materialize(rows.mapInArrow(_profile(words, blocks), "doc_id long, cls long, n long, block int, packed binary"), "profile")
     dealt = profile.where("packed is not null").select("block", "packed").repartitionById(blocks, "block").sortWithinPartitions("block")
-    top = dealt.mapInArrow(_most_common(max(1, COMMON // blocks)), "key long, sets long").toArrow()
+    top = materialize(dealt.mapInArrow(_most_common(max(1, COMMON // blocks)), "key long, sets long"), "common").toArrow()
     common = top.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(common)
     shipped = spark.sparkContext.broadcast((common[order], top.column("sets").to_numpy()[order].astype(np.int32)))
