@@ -2,8 +2,10 @@
 
 Rows of the incidence matrix are classes of documents with the same shingle set; columns are 64-bit hashes of shingles.
 1. A document's set is reduced to its prefix: n - ceil(0.75 n) + 1 shingles in an order that puts common ones last. Two
-   sets with similarity 0.75 share a shingle of both prefixes, whatever the order, so the order (a bounded list of the most
-   common shingles, counted over the whole corpus) changes speed but never results.
+   sets with similarity 0.75 share a shingle of both prefixes, whatever the order, so the order changes speed but never results.
+   Shingles are counted over the whole corpus. Those in one set only come first, told by a bit for each shingle in several
+   (a filter of bounded size); then those in few; last the most common, a bounded list, by their counts. Where the bits hold
+   all shingles in several sets, those in one set are no columns, as they are shared with no other row, and aren't shuffled.
 2. Prefix columns are dealt out in blocks by the hash of their smallest row. A block multiplies its columns: it accumulates for each pair of rows
    how many prefix shingles they share. Sums over blocks are compared with the bound that the sizes give: shared prefix
    shingles plus the larger rest must reach ceil(0.75 / 1.75 * (n + m)); pairs below are discarded.
@@ -33,6 +35,9 @@ SIMILAR = (75, 100)
 #: At most so many shingles are marked as common: of each block of hashes, its share of those in most sets.
 COMMON = 1 << 19
 COMMON_SETS = 2
+#: Bits that mark shingles of COMMON_SETS sets or more, a block's share at most: so many for each of them as long as they fit, and
+#: never fewer than CROWDED. Of more shingles those in most sets are marked.
+MARK_BITS, MARK_WIDTH, CROWDED = 1 << 26, 16, 4
 #: Shingles that a task holds before it hands them over.
 HELD = 4_000_000
 STAR_ROUNDS = 3
@@ -198,8 +203,17 @@ def _profile(words: int, blocks: int):
     return run
 
 
-def _most_common(most: int):
-    """Of the packed shingles of each block of a task, sorted by block: those in most sets, `most` at most."""
+def _in_most(value: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """By falling counts, ties by value; which ones of a tie stay only changes speed."""
+    if len(n) <= most:
+        return value, n
+    top = np.sort(np.argsort(-n, kind="stable")[:most])
+    return value[top], n[top]
+
+
+def _most_common(most: int, room: int = 0):
+    """Of the packed shingles of each block of a task, sorted by block: those in most sets, `most` at most. With room, a row for
+    each block that has them as lists, beside the bits that mark all in several sets, `room` at most, and whether they do mark all."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
@@ -207,11 +221,15 @@ def _most_common(most: int):
             value, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             value, n = value[n >= COMMON_SETS], n[n >= COMMON_SETS]
-            if len(n) > most:
-                # By falling counts, ties by value; which ones of a tie stay only changes speed.
-                top = np.sort(np.argsort(-n, kind="stable")[:most])
-                value, n = value[top], n[top]
-            return pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64) | block << 32), pa.array(n.astype(np.int64))], ["key", "sets"])
+            if not room:
+                value, n = _in_most(value, n, most)
+                return pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64) | block << 32), pa.array(n.astype(np.int64))], ["key", "sets"])
+            marked, _ = _in_most(value, n, room // CROWDED)
+            width = -(-min(room, max(64, MARK_WIDTH * len(marked))) // 8) * 8
+            bits = np.zeros(width, bool)
+            bits[marked % np.uint32(width)] = True
+            keys, sets = _in_most(value, n, most)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(marked) == len(value)]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([(keys.astype(np.int64) | block << 32).tobytes()], pa.binary()), pa.array([sets.astype(np.int32).tobytes()], pa.binary())], ["block", "whole", "bits", "keys", "sets"])
 
         for part in parts:
             for b, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
@@ -225,8 +243,39 @@ def _most_common(most: int):
     return run
 
 
-def _postings(words: int, common: np.ndarray, weight: np.ndarray, blocks: int):
-    """Packed prefix postings, by block: columns (hash), rows (class), sizes. common: sorted keys, and in how many sets they are."""
+class Common:
+    """In how many sets a shingle is, as far as it is known: what _most_common(most, room) found in all blocks."""
+
+    def __init__(self, found: pa.Table, blocks: int):
+        rows = sorted(zip(*(found.column(c).to_pylist() for c in ("block", "whole", "bits", "keys", "sets")), strict=True), key=lambda r: r[0])
+        self.blocks = blocks
+        # Blocks without shingles have eight bits that mark none.
+        self.whole, self.width = np.ones(blocks, bool), np.full(blocks, 8, np.uint64)
+        raw = [b"\0"] * blocks
+        for block, whole, bits, _, _ in rows:
+            self.whole[block], self.width[block], raw[block] = whole, 8 * len(bits), bits
+        self.first = np.cumsum(self.width) - self.width
+        self.bits = np.frombuffer(b"".join(raw), np.uint8)
+        # Blocks are the high half of keys, so the lists in their order are sorted.
+        self.keys = np.frombuffer(b"".join([r[3] for r in rows]), np.uint64)
+        self.sets = np.frombuffer(b"".join([r[4] for r in rows]), np.int32)
+
+    def rank(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A rank in the common order, and which of them another set may have."""
+        key = _key(shingles, self.blocks)
+        block = (key >> np.uint64(32)).astype(np.int64)
+        at = self.first[block] + (key & np.uint64(0xFFFFFFFF)) % self.width[block]
+        marked = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        rank = marked.astype(np.int32)
+        if len(self.keys) and marked.any():
+            own = key[marked]
+            found = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            rank[marked] = np.where(self.keys[found] == own, self.sets[found], 1)
+        return rank, marked | ~self.whole[block]
+
+
+def _postings(words: int, common: Common, blocks: int):
+    """Packed prefix postings, by block: columns (hash) that other rows may have, rows (class), sizes."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingles(words)
         seen: set[int] = set()
@@ -254,13 +303,12 @@ def _postings(words: int, common: np.ndarray, weight: np.ndarray, blocks: int):
                     seen.add(c)
                     n = len(s)
                     p = int(prefix_length(np.array(n)))
-                    if len(common):
-                        key = _key(s, blocks)
-                        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                        rank = np.where(common[at] == key, weight[at], 0)
-                        s = s[np.argsort(rank, kind="stable")]
-                    held.append((s[:p], c, n))
-                    size += p
+                    rank, shared = common.rank(s)
+                    prefix = np.argsort(rank, kind="stable")[:p]
+                    prefix = prefix[shared[prefix]]
+                    if len(prefix):
+                        held.append((s[prefix], c, n))
+                        size += len(prefix)
                 if size > 1_000_000:
                     yield flush()
                     size = 0
@@ -507,13 +555,11 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     blocks = max(shuffle_width(spark), rows.rdd.getNumPartitions())
     profile = materialize(rows.mapInArrow(_profile(words, blocks), "doc_id long, cls long, n long, block int, packed binary"), "profile")
     dealt = profile.where("packed is not null").select("block", "packed").repartitionById(blocks, "block").sortWithinPartitions("block")
-    top = materialize(dealt.mapInArrow(_most_common(max(1, COMMON // blocks)), "key long, sets long"), "common").toArrow()
-    common = top.column("key").to_numpy().astype(np.uint64)
-    order = np.argsort(common)
-    shipped = spark.sparkContext.broadcast((common[order], top.column("sets").to_numpy()[order].astype(np.int32)))
+    counted = materialize(dealt.mapInArrow(_most_common(max(1, COMMON // blocks), max(64, MARK_BITS // blocks)), "block int, whole boolean, bits binary, keys binary, sets binary"), "common")
+    shipped = spark.sparkContext.broadcast(Common(counted.toArrow(), blocks))
     mine = materialize(profile.where("cls is not null").select("doc_id", "cls", "n"), "classes")
-    drop(spark, profile)
-    deal = lambda parts: _postings(words, *shipped.value, blocks)(parts)
+    drop(spark, profile, counted)
+    deal = lambda parts: _postings(words, shipped.value, blocks)(parts)
     packed = texts.mapInArrow(deal, "block int, h binary, c binary, n binary").repartitionById(blocks, "block")
     raw = materialize(packed.mapInArrow(_columns, "col long, row long, n long, lead long"), "columns")
     spread = raw.groupBy("row").agg(F.count(F.lit(1)).alias("columns"))

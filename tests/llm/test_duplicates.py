@@ -88,6 +88,30 @@ def test_common_shingles(spark):
     assert {k for k, n in top.items() if n == 40} == set(common)
 
 
+def test_shared_shingles_beyond_the_list(spark, monkeypatch):
+    """Shingles that several sets share aren't columns of sets that have enough of their own, however short the list of common
+    ones is; with too few bits to mark them all, the same documents link."""
+    passages = [" ".join(f"p{g}w{k}" for k in range(12)) for g in range(60)]
+    texts = [" ".join([*(f"d{i}w{k}" for k in range(40)), passages[i % 60], passages[(i * 7 + 1) % 60]]) for i in range(240)]
+    texts += [f"{texts[3]} more", f"{texts[4]} more words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    made = []
+
+    def counted(df, name, *rest, write=J.materialize):
+        out = write(df, name, *rest)
+        if name == "columns":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    monkeypatch.setattr(J, "COMMON", 4)
+    want = {i: {240: 3, 241: 4}.get(i, i) for i in range(len(texts))}
+    assert {q["doc_id"]: q["component_id"] for q in J.link_groups(frame).collect()} == want
+    assert made[-1] < 100, made
+    monkeypatch.setattr(J, "MARK_BITS", 256)
+    assert {q["doc_id"]: q["component_id"] for q in J.link_groups(frame).collect()} == want
+
+
 def test_pairs_of_a_large_group(spark, monkeypatch):
     """Copies of one text, no two alike, make pairs in proportion to their number, and lose no link."""
     r = random.Random(8)
