@@ -311,6 +311,32 @@ def test_simhash_of_every_line(spark):
     assert [q[0] for q in pairs.coalesce(1).select(L._close(F.col("key"), F.col("a"), F.col("b"))).collect()] == [False, True, True]
 
 
+def test_sketches_only_bound(spark):
+    """A sketch passes every pair that the text would, and stops most others; a pair is made by one of its shared keys."""
+    r = random.Random(21)
+    base = [" ".join("".join(r.choice("abcdefghijklmnoprstuw") for _ in range(r.randint(1, 12))) for _ in range(r.choice([3, 8, 30, 120, 500]))) for _ in range(30)]
+    rows = []
+    for line in base:
+        for edits in (1, len(line) // 12, len(line) // 7):
+            copy = list(line)
+            for _ in range(edits):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice([[], [r.choice("eé ")], [copy[at], "x"]])
+            rows.append((line, " ".join("".join(copy).split())))
+        rows += [(line, other) for other in base if other != line and abs(len(other) - len(line)) < 0.15 * max(len(line), len(other))]
+    pairs = spark.createDataFrame(rows, "x string, y string").distinct()
+    longest = F.greatest(F.length("x"), F.length("y"))
+    u, v = F.split("x", " "), F.split("y", " ")
+    common = F.size(F.array_intersect(u, v)) >= L.COMMON * F.greatest(F.size(F.array_distinct(u)), F.size(F.array_distinct(v)))
+    near = (F.levenshtein("x", "y") <= F.floor(longest * (1 - L.EDIT))) & (common | (F.least(F.length("x"), F.length("y")) <= L.SEGMENTED))
+    got = pairs.select(near.alias("near"), L._sketch(F.col("x")).alias("a"), L._sketch(F.col("y")).alias("b"), "x").where(F.length("x") <= L.LONG).select("near", L._may_be_near(F.col("a"), F.col("b")).alias("may")).groupBy("near", "may").count().collect()
+    n = {(q["near"], q["may"]): q["count"] for q in got}
+    assert n.get((True, False), 0) == 0 and n[True, True] > 40 and n[False, False] > 3 * n.get((False, True), 0), n
+    shared = spark.createDataFrame([(k, a, b) for a in range(6) for b in range(a) for k in range(40)], "k long, a long, b long")
+    keyed = shared.select(F.col("k").alias("key"), F.struct("a", F.sequence(F.lit(0), F.lit(31)).alias("first"), F.col("k").alias("key")).alias("x"), F.struct("b", F.sequence(F.lit(0), F.lit(31)).alias("first")).alias("y"))
+    assert keyed.where(L._by_first("x.", "y.")).select("x.a", "y.b").count() == 15
+
+
 def test_shuffles_go_as_tables_are_written(spark):
     """What a written table's query shuffled is deleted, and the setting is put back as it was."""
     import glob
