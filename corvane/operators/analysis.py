@@ -66,11 +66,12 @@ def _spaced(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(values, F.array().cast("array<string>")), quoted), ", "), F.lit("]"))
 
 
-def prompt(title: Column, sdk: Column, models: Column, tags: Column, readme: Column, app_name: Column, app: Column, labels: Column) -> Column:
-    """The classification prompt, byte for byte. labels: an array of structs (id, description, signals) of the labels asked for; signals null: without them."""
+def prompt(title: Column, sdk: Column, models: Column, tags: Column, readme: Column, app_name: Column, app: Column, labels: Column, strip: Callable[[Column], Column] = stripped) -> Column:
+    """The classification prompt, byte for byte. labels: an array of structs (id, description, signals) of the labels asked for; signals null: without them.
+    strip: what takes blanks off the ends of title and segments, of every kind if not given."""
     line = F.transform(labels, lambda x: F.concat(F.lit("- "), x["id"], F.lit(": "), x["description"], F.coalesce(F.concat(F.lit(" Signals: "), x["signals"]), F.lit(""))))
-    text = lambda c, limit, none: F.coalesce(F.nullif(clipped(c, limit), F.lit("")), F.lit(none))
-    metadata = F.concat(F.lit('METADATA: {"title": '), quoted(stripped(title)), F.lit(', "sdk": '), quoted(stripped(sdk)), F.lit(', "declared_models": '), _spaced(models), F.lit(', "tags": '), _spaced(tags), F.lit("}"))
+    text = lambda c, limit, none: F.coalesce(F.nullif(clipped(c, limit, strip=strip), F.lit("")), F.lit(none))
+    metadata = F.concat(F.lit('METADATA: {"title": '), quoted(strip(F.coalesce(title, F.lit("")))), F.lit(', "sdk": '), quoted(stripped(sdk)), F.lit(', "declared_models": '), _spaced(models), F.lit(', "tags": '), _spaced(tags), F.lit("}"))
     name = F.coalesce(F.nullif(stripped(app_name), F.lit("")), F.lit("(unknown)"))
     lines = F.concat(F.array(*map(F.lit, PROMPT_HEAD)), line, F.array(*map(F.lit, PROMPT_RULES)), F.array(metadata, F.lit(""), F.lit("[README]"), text(readme, README_LIMIT, NO_README), F.lit(""), F.concat(F.lit("[APP_FILE] "), name), text(app, APP_LIMIT, NO_APP)))
     return F.array_join(lines, "\n")
