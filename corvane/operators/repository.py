@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.text import clean
 from corvane.operators.labels import LABELS, canonical
+from corvane.sources.work import written
 
 
 def top(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
@@ -33,19 +34,26 @@ def resolve_projects(candidates: DataFrame, wanted: DataFrame, pos: str, value:
     """(question, match): the value of the first candidate one of whose names (id, slug, title) is the question; else of the one
     with the longest name, of at least `least` characters, that the question contains, ties to the first candidate (by pos) and its first name.
 
-    Case and runs of white space don't matter. Exact names meet questions by equality; contained ones by their first `least`
-    characters among all runs of so many characters of the question, not by comparing every pair, so punctuation and affixes are harmless."""
+    Case and runs of white space don't matter. Exact names meet questions by equality. So do contained ones: wherever the first `least`
+    characters of a name stand in a question, what stands there in the lengths of names that begin so is looked up, so that no
+    name meets a question that doesn't contain it, however many names begin alike; punctuation and affixes are harmless.
+
+    No side is broadcast for its estimated size: names and what questions hold are many times what the planner takes them for."""
     size = max(1, least)
     fold = lambda c: F.lower(clean(c))
     asked = wanted.select(question, fold(F.col(question)).alias("__q")).where("__q <> ''").distinct()
-    named = candidates.select(F.col(pos).alias("__pos"), F.col(value).alias("__value"), F.posexplode(names).alias("__place", "__raw")).withColumn("__name", fold(F.col("__raw"))).where("__name <> ''")
+    named = candidates.select(F.col(pos).alias("__pos"), F.col(value).alias("__value"), F.posexplode(names).alias("__place", "__raw")).withColumn("__name", fold(F.col("__raw"))).where("__name <> ''").drop("__raw").hint("merge")
     exact = asked.join(named, F.col("__q") == F.col("__name")).groupBy(question).agg(F.min_by("__value", "__pos").alias("__exact"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__q") - size + 1, F.lit(1))), lambda i: F.substring("__q", i, F.lit(size)))
-    grams = asked.select(question, "__q", F.explode(F.array_distinct(runs)).alias("__g"))
-    hits = grams.join(named.where(F.length("__name") >= size).withColumn("__g", F.left("__name", F.lit(size))), "__g").where(F.contains("__q", "__name"))
+    # Written, so that its true size decides whether places in questions move to meet it.
+    begins = written(named.where(F.length("__name") >= size).groupBy(F.left("__name", F.lit(size)).alias("__g")).agg(F.array_sort(F.collect_set(F.length("__name"))).alias("__lengths")), "begins")
+    places = F.transform(F.sequence(F.lit(1), F.length("__q") - size + 1), lambda i: F.struct(i.alias("i"), F.substring("__q", i, F.lit(size)).alias("g")))
+    grams = asked.where(F.length("__q") >= size).select(question, F.explode(places).alias("__p")).select(question, F.col("__p.i").alias("__i"), F.col("__p.g").alias("__g"))
+    rest = F.length("__q") - F.col("__i") + 1
+    held = grams.join(begins, "__g").withColumn("__q", fold(F.col(question))).select(question, "__q", "__i", F.explode(F.filter("__lengths", lambda n: n <= rest)).alias("__n"))
+    hits = held.select(question, F.substring("__q", F.col("__i"), F.col("__n")).alias("__name")).join(named, "__name")
     best = F.min_by("__value", F.struct((-F.length("__name")).alias("n"), "__pos", "__place"))
     contained = hits.groupBy(question).agg(best.alias("__contained"))
-    joined = wanted.select(question).distinct().join(exact, question, "left").join(contained, question, "left")
+    joined = wanted.select(question).distinct().join(exact.hint("merge"), question, "left").join(contained.hint("merge"), question, "left")
     return joined.select(question, F.coalesce("__exact", "__contained").alias("match"))
 
 

@@ -236,3 +236,31 @@ def test_pairs_by_cells(spark):
     assert vectors.pairs_by_cells(frame.limit(0), 2).collect() == []
     whole = {(x["id"], x["other"]) for x in vectors.pairs_by_cells(frame, 2, cells=1).collect()}
     assert whole == set(exact)
+
+
+def broadcasts(df):
+    """What the plan of df broadcasts before it has run."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_small_files_of_many_runs_arent_broadcast(spark, tmp_path):
+    """Texts of a few MB in a file hold far more runs and names; the planner only sees the file."""
+    at = f"{tmp_path}/rows"
+    spark.createDataFrame([(i, f"on the zero gpu {i}") for i in range(40)], "i long, text string").write.parquet(at)
+    rows = spark.read.parquet(at)
+    out = aliases.corrected(rows, aliases.alias_table(spark, {"ZeroGPU": ("zero gpu", "zero g p u")}), "i", "text")
+    # The list of aliases alone, to the runs with equal letters and to the others.
+    assert broadcasts(out) <= 3 and {r["text"] for r in out.collect()} == {f"on the ZeroGPU {i}" for i in range(40)}
+
+
+def test_names_that_begin_alike_arent_compared_with_every_question(spark, tmp_path):
+    at = f"{tmp_path}/rows"
+    spark.range(500).selectExpr("id AS pos", "concat('org/item-', lpad(id, 5, '0')) AS id").write.parquet(at)
+    rows = spark.read.parquet(at).selectExpr("pos", "id", "array(id, substring_index(id, '/', -1)) AS names")
+    asked = rows.selectExpr("concat('What about ', names[1], '?') AS q", "id AS want")
+    found = repository.resolve_projects(rows, asked.select("q"), "pos", "id", "names", "q")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Contains" not in plan and plan.count("BroadcastHashJoin") <= 1
+    assert found.join(asked, "q").where("match = want").count() == 500
+    odd = {"": None, "ite": None, "item-00007": "org/item-00007", "x" * 50 + "ITEM-00003  " + "y" * 300: "org/item-00003", "item-0001item-00012 item-0": "org/item-00012"}
+    assert {r["q"]: r["match"] for r in repository.resolve_projects(rows, spark.createDataFrame([(q,) for q in odd], "q string"), "pos", "id", "names", "q").collect()} == odd
