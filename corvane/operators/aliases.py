@@ -45,26 +45,36 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(lowered(text), "[^a-z0-9]", "")
 
 
-def alike(spans: DataFrame, aliases: DataFrame, least: float = LEAST) -> DataFrame:
-    """(span, name, place, variant_place, score) for the runs (span) that are like an alias (name, place, variant,
-    variant_place): 1 if letters and digits are equal, else their matching ratio, from `least` on.
+def _near(spans: DataFrame, letters: Column, aliases: DataFrame, least: float) -> DataFrame:
+    """spans with `span_letters` (letters) and every alias (name, place, variant_place, letters) that lengths and letters allow. The aliases
+    are a list of names, so they are sent to the runs, and runs that are like none of them go no farther.
 
     A ratio is twice what matches over both lengths, so it can't reach `least` where the shorter is under least / (2 - least)
-    of the longer, nor where too few letters are in both. Runs meet aliases on the lengths that leaves, by equality."""
+    of the longer, nor where too many letters are in one alone. Runs meet aliases on the lengths that leaves, by equality."""
     short = least / (2 - least)
-    size = F.length("span_letters")
-    own = spans.select("span", compact(F.col("span")).alias("span_letters")).where("span_letters <> ''").withColumn("size", size)
+    own = spans.withColumn("span_letters", letters).where("span_letters <> ''").withColumn("size", F.length("span_letters"))
     names = aliases.select("name", "place", "variant_place", compact(F.col("variant")).alias("letters")).where("letters <> ''")
     n = F.length("letters")
     lengths = F.sequence(F.ceil(n * short).cast("int"), F.floor(n / short).cast("int"))
-    pairs = own.join(names.withColumn("size", F.explode(lengths)), "size")
-    digits = lambda c: F.split(c, "")
-    common = F.size(F.array_intersect(digits(F.col("span_letters")), digits(F.col("letters"))))
-    distinct = F.greatest(F.size(F.array_distinct(digits(F.col("span_letters")))), F.size(F.array_distinct(digits(F.col("letters")))))
-    # A letter that only one side has is at least one letter unmatched.
-    kept = pairs.where((distinct - common) <= (1 - least) * (F.col("size") + n) + 1e-9)
-    score = F.when(F.col("span_letters") == F.col("letters"), F.lit(1.0)).otherwise(matching_ratio("letters", "span_letters"))
-    return kept.select("span", "name", "place", "variant_place", score.alias("score")).where(F.col("score") >= least)
+    pairs = own.join(F.broadcast(names.withColumn("size", F.explode(lengths))), "size")
+    # Letters that the other side lacks are unmatched.
+    without = lambda a, b: F.length(F.call_function("translate", F.col(a), F.col(b), F.lit("")))
+    lone = without("span_letters", "letters") + without("letters", "span_letters")
+    return pairs.where(lone <= (1 - least) * (F.col("size") + n) + 1e-9).drop("size")
+
+
+def alike(spans: DataFrame, aliases: DataFrame, least: float = LEAST, letters: Column | None = None) -> DataFrame:
+    """The rows of spans for each alias (name, place, variant_place, score) that their run (`span`) is like: score is 1 if
+    letters and digits are equal, else their matching ratio, from `least` on. Every pair of letters is compared once, however many rows have it.
+    letters: the letters and digits of a run, if there is a cheaper way to them.
+
+    No side is broadcast for its estimated size: runs are many times what the planner takes them for."""
+    near = _near(spans, compact(F.col("span")) if letters is None else letters, aliases, least)
+    given = [*spans.columns, "name", "place", "variant_place"]
+    equal = near.where("span_letters = letters").select(*given, F.lit(1.0).alias("score"))
+    other = near.where("span_letters <> letters")
+    rated = other.select("span_letters", "letters").distinct().withColumn("score", matching_ratio("letters", "span_letters")).where(F.col("score") >= least)
+    return equal.unionByName(other.join(rated.hint("merge"), ["span_letters", "letters"]).select(*given, "score"))
 
 
 def corrected(rows: DataFrame, aliases: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
@@ -72,9 +82,8 @@ def corrected(rows: DataFrame, aliases: DataFrame, key: str, text: str, least: f
     earlier alias, the longer run, the smaller text) is replaced by the name where it first occurs, in any case. A run serves one
     name only, and a name stays. corrections: (original, canonical, confidence) in that order. Null texts stay null; keys must be distinct.
 
-    Runs are compared with aliases once each, however many texts have them."""
-    found = rows.select(key, F.explode(runs(F.col(text))).alias("span"))
-    hits = found.join(alike(found.select("span").distinct(), aliases, least), "span")
+    Only runs that may be like an alias are moved, and each is compared once, however many texts have it."""
+    hits = alike(rows.select(key, F.explode(runs(F.col(text))).alias("span")), aliases, least, F.translate("span", " .-", ""))
     order = F.struct((-F.col("score")).alias("less"), "variant_place", (-F.length("span")).alias("shorter"), "span")
     best = hits.groupBy(key, "name", "place").agg(F.min(order).alias("b")).select(key, "name", "place", F.col("b.span").alias("span"), (-F.col("b.less")).alias("score")).where("span <> name")
     first = best.groupBy(key, "span").agg(F.min(F.struct("place", "name", "score")).alias("x"))
@@ -86,7 +95,7 @@ def corrected(rows: DataFrame, aliases: DataFrame, key: str, text: str, least: f
         return F.when(at > 0, F.concat(F.substring(held, F.lit(1), at - 1), fix["canonical"], F.substring(held, at + F.length(fix["original"]), F.length(held)))).otherwise(held)
 
     none = F.array().cast("array<struct<original:string,canonical:string,confidence:double>>")
-    joined = rows.select(key, text).join(fixes, key, "left").withColumn("corrections", F.coalesce("corrections", none))
+    joined = rows.select(key, text).join(fixes.hint("merge"), key, "left").withColumn("corrections", F.coalesce("corrections", none))
     return joined.select(key, F.aggregate("corrections", F.col(text), replaced).alias("text"), "corrections")
 
 
