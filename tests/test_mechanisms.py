@@ -250,6 +250,7 @@ def test_small_files_of_many_runs_arent_broadcast(spark, tmp_path):
     rows = spark.read.parquet(at)
     out = aliases.corrected(rows, aliases.alias_table(spark, {"ZeroGPU": ("zero gpu", "zero g p u")}), "i", "text")
     # The list of aliases alone, to the runs with equal letters and to the others.
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
     assert broadcasts(out) <= 3 and {r["text"] for r in out.collect()} == {f"on the ZeroGPU {i}" for i in range(40)}
 
 
@@ -264,3 +265,44 @@ def test_names_that_begin_alike_arent_compared_with_every_question(spark, tmp_pa
     assert found.join(asked, "q").where("match = want").count() == 500
     odd = {"": None, "ite": None, "item-00007": "org/item-00007", "x" * 50 + "ITEM-00003  " + "y" * 300: "org/item-00003", "item-0001item-00012 item-0": "org/item-00012"}
     assert {r["q"]: r["match"] for r in repository.resolve_projects(rows, spark.createDataFrame([(q,) for q in odd], "q string"), "pos", "id", "names", "q").collect()} == odd
+
+
+def test_all_pairs_in_turns(spark):
+    """The sent side in several turns, and equal vectors, whose ties go to the larger id wherever they lie in a product."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((400, 64)).astype(np.float32)
+    x[np.arange(40) * 7 + 3] = x[3]
+    rows = spark.createDataFrame([(i * 3 - 50, [float(v) for v in row]) for i, row in enumerate(x)] + [(9999, None), (None, [0.0] * 64)], "id long, vec array<float>")
+    exact = np.zeros((400, 400))
+    for j in range(64):
+        exact += np.multiply.outer(x[:, j].astype(float), x[:, j].astype(float))
+    want = {i * 3 - 50: sorted(((s, j * 3 - 50) for j, s in enumerate(row) if j != i), reverse=True)[:5] for i, row in enumerate(exact.tolist())}
+    for most in (1 << 16, 150):
+        got = {}
+        for p in vectors.top_pairs(rows, rows, 5, block=64, most=most).collect():
+            got.setdefault(p["id"], []).append((p["score"], p["other"]))
+        assert {i: sorted(v, reverse=True) for i, v in got.items()} == want
+    few = rows.where("id < 0 AND vec IS NOT NULL")
+    assert {p["id"] for p in vectors.top_pairs(few, rows, 1, most=100).collect()} == {p["id"] for p in few.collect()}
+    assert vectors.top_pairs(rows.limit(0), rows, 2).collect() == vectors.top_pairs(rows, rows.limit(0), 2).collect() == []
+    ends = [{tuple(p) for p in groups_of([tuple(p) for p in vectors.similar_links(rows, 0.3, 50, most).collect()]).items()} for most in (1 << 16, 70)]
+    assert ends[0] == ends[1] != set()
+
+
+def test_all_pairs_move_no_rows_to_each_other(spark):
+    rows = spark.range(3000).selectExpr("id", "array(cast(sin(id) AS float), cast(cos(id) AS float)) AS vec")
+    for found in (vectors.top_pairs(rows, rows, 2), vectors.similar_links(rows, 0.999999)):
+        assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tools_of_a_chat_make_no_links(spark, monkeypatch):
+    from corvane.plans import queries
+
+    def never(*_, **__):
+        raise AssertionError("links that no tool shows")
+
+    monkeypatch.setattr(vectors, "nearest_links", never)
+    for name in ("atlas_overview", "atlas_leaders", "atlas_recent", "atlas_projects"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    with pytest.raises(AssertionError, match="links"):
+        queries.QUERIES["dashboard_payload"](spark, "/root/testdata/sf0.001")
