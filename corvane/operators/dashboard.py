@@ -99,12 +99,12 @@ def check(shown: DataFrame, ids: DataFrame, links: DataFrame, key: str) -> None:
 PAYLOAD_VERSION, LEAST_PROJECTS = 1, 3
 
 
-def payload(projects: DataFrame, layout: DataFrame, links: DataFrame, matches: DataFrame, dimension: DataFrame, key: str, words: Column, source: str, generated_at: str) -> dict[str, DataFrame]:
+def payload(projects: DataFrame, layout: DataFrame, links: DataFrame | None, matches: DataFrame, dimension: DataFrame, key: str, words: Column, source: str, generated_at: str) -> dict[str, DataFrame]:
     """All parts of one dashboard from one reading of its rows: header, clusters, points, links and quest_report.
 
     projects: title, summary, likes, tags, last_modified; layout: x, y, raw; links: source, target, score; dimension: pos, label.
     The placed rows are written once and every part is made of them, so that the parts agree; no parts are made of rows that only
-    one of projects and layout has, which `payload_problems` tells. Without a source the labels count as not analysed."""
+    one of projects and layout has, which `payload_problems` tells. Without links there is no such part: the tools of a chat need none. Without a source the labels count as not analysed."""
     require(unplaced(projects, layout, key), "projects without a place, or places without a project")
     rows = written(placed(projects, layout, key), "placed")
     ids = written(cluster_ids(rows), "clusters")
@@ -115,7 +115,7 @@ def payload(projects: DataFrame, layout: DataFrame, links: DataFrame, matches: D
         "header": header,
         "clusters": clusters(rows, key, words),
         "points": points(rows, ids, matches, key),
-        "links": links,
+        **({} if links is None else {"links": links}),
         "quest_report": report(dimension, matches.join(rows.select(key), key, "left_semi"), key, rows.select(key, "likes")),
     }
 
